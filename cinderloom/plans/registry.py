@@ -4,14 +4,218 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import text, vectors
+from ..operators import evaluate, fusion, objects, ranking, search, timeline, windows
+from ..sources import tables
+from .oracles import ORACLES
 
 Query = Callable[[SparkSession, str], DataFrame]
+DAY = 86_400.0
+WEIGHTS = {"visual": 1.0, "asr": 0.8}
+
+
+def _knn(metric: str) -> Query:
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        v = tables.vectors(spark, sf_dir)
+        first = v.where("vec_id = 0").select("v").first()["v"]
+        return search.knn(v, first, 20, metric).select("vec_id", F.round("score", 6).alias("score"))
+
+    return query
+
+
+def knn_batch_topk_per_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = tables.vectors(spark, sf_dir)
+    asked = [(r["vec_id"], r["v"]) for r in v.where("vec_id < 20").select("vec_id", "v").collect()]
+    return search.knn_batch(v, asked, 10).select("query_id", F.col("rank").cast("long").alias("rank"), "vec_id", F.round("score", 6).alias("score"))
+
+
+def hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Visual hits of vectors 0 to 2, and text hits by length; ids of both are document ids."""
+    v = tables.vectors(spark, sf_dir)
+    asked = [(r["vec_id"], r["v"]) for r in v.where("vec_id < 3").select("vec_id", "v").collect()]
+    visual = search.knn_batch(v, asked, 50).select("query_id", F.lit("visual").alias("source"), F.col("vec_id").alias("candidate_id"), "score")
+    d = tables.read(spark, sf_dir, "documents").select(F.col("doc_id").alias("candidate_id"), (F.col("n_chars") % 997 / 997).alias("score"))
+    q = spark.range(3).withColumnRenamed("id", "query_id")
+    asr = d.where("candidate_id < 500").crossJoin(F.broadcast(q)).select("query_id", F.lit("asr").alias("source"), "candidate_id", "score")
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "candidate_id"))
+    return visual.unionByName(asr.withColumn("r", rank).where("r <= 50").drop("r"))
+
+
+def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = fusion.top(fusion.reciprocal_rank_fusion(hits(spark, sf_dir), WEIGHTS), 50)
+    return f.select("query_id", F.col("rank").cast("long").alias("rank"), "candidate_id", F.round("score", 10).alias("score"), "n_sources")
+
+
+def _weighted(normalization: str) -> Query:
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        f = fusion.weighted_score_fusion(hits(spark, sf_dir), WEIGHTS, normalization)
+        return f.select("query_id", "candidate_id", F.round("score", 6).alias("score"), "n_sources")
+
+    return query
+
+
+def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = tables.keyframes(spark, sf_dir)
+    return k.select(F.lit(0).cast("long").alias("query_id"), F.col("event_id").alias("candidate_id"), "video_id", F.col("pts_time").alias("ts"), "score", F.col("label").alias("modality"))
+
+
+def video_aggregate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranking.aggregate_by_video(_candidates(spark, sf_dir)).select("video_id", F.round("score", 6).alias("score"))
+
+
+def diversify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pool = _candidates(spark, sf_dir).orderBy(F.desc("score"), "candidate_id").limit(200)
+    return ranking.diversify(pool, limit=50, radius=DAY).select(F.col("rank").cast("long").alias("rank"), "candidate_id", "video_id", F.round("utility", 6).alias("utility"))
+
+
+def kis_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Known-item search end to end: vector and text hits, fused by rank, diversified per source document."""
+    fused = fusion.top(fusion.reciprocal_rank_fusion(hits(spark, sf_dir), WEIGHTS), 1000)
+    v = tables.vectors(spark, sf_dir).select(F.col("vec_id").alias("candidate_id"), F.col("label").cast("long").alias("video_id"))
+    pool = fused.join(v, "candidate_id").select("query_id", "candidate_id", "video_id", F.lit(None).cast("double").alias("ts"), F.round("score", 9).alias("score"))
+    best = ranking.diversify(pool, limit=20, same_video=0.05, temporal=0.3)
+    return best.select("query_id", F.col("rank").cast("long").alias("rank"), "candidate_id", "video_id")
+
+
+def sliding_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = windows.windows(tables.keyframes(spark, sf_dir), DAY, DAY / 2, tables.FPS)
+    return w.select("video_id", "k", "start", F.round("end", 6).alias("end"), "n_keyframes", F.col("representative").cast("long").alias("representative"), "labels", "start_frame", "end_frame")
+
+
+def window_transcript_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = windows.overlapping_text(tables.transcript(spark, sf_dir), 10.0, 5.0)
+    return w.select("video_id", "k", F.md5("text").alias("text_md5"), "n_segments")
+
+
+def window_mean_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean vector of each label, normalised, one row per component."""
+    v = tables.vectors(spark, sf_dir).select("label", F.posexplode("v").alias("i", "x"))
+    mean = v.groupBy("label", "i").agg(F.avg("x").alias("x"))
+    length = mean.groupBy("label").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
+    return mean.join(length, "label").select("label", F.col("i").cast("long").alias("i"), F.round(F.col("x") / F.greatest("norm", F.lit(vectors.EPSILON)), 6).alias("x"))
+
+
+def nearest_keyframe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = tables.keyframes(spark, sf_dir)
+    asked = k.select("video_id").distinct().select("video_id", F.explode(F.sequence(F.lit(0), F.lit(29))).alias("d")).select("video_id", (F.col("d") * F.lit(DAY)).alias("at"))
+    return timeline.nearest(asked, k).select("video_id", "at", F.col("n").cast("long").alias("n"))
+
+
+def timeline_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = tables.keyframes(spark, sf_dir)
+    shifted = k.withColumn("frame_idx", F.when(F.col("n") % 10 == 0, F.col("frame_idx") + 100).otherwise(F.col("frame_idx")))
+    return timeline.violations(shifted, tables.FPS).select("video_id", F.col("n").cast("long").alias("n"), "code")
+
+
+EVENTS = ("click", "view", "purchase")
+
+
+def _align(max_gap: float | None, rate: float) -> Query:
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        k = tables.keyframes(spark, sf_dir)
+        labels = [r["label"] for r in k.select("label").distinct().orderBy("label").limit(3).collect()]
+        event = F.lit(None).cast("int")
+        for e, label in enumerate(labels):
+            event = F.when(F.col("label") == label, e).otherwise(event)
+        c = k.select("video_id", event.alias("event"), F.col("pts_time").alias("ts"), F.col("frame_idx").alias("frame"), "score").where("event IS NOT NULL")
+        best = F.row_number().over(Window.partitionBy("video_id", "event").orderBy(F.desc("score"), "ts", "frame"))
+        c = c.withColumn("r", best).where("r <= 30").drop("r")
+        cost = (lambda gap: F.log1p(gap) * rate) if rate else None
+        return timeline.align(c, 3, max_gap=max_gap, penalty=cost).select("video_id", F.round("score", 6).alias("score"))
+
+    return query
+
+
+def nms_classwise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = objects.suppress(tables.detections(spark, sf_dir), most=10_000)
+    return kept.select("frame", "label", F.col("pos").cast("long").alias("pos"), F.round("score", 6).alias("score"))
+
+
+def object_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return objects.counts(tables.detections(spark, sf_dir))
+
+
+def manifest_outer_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which of six components each id has, from one aggregation over the union of their ids."""
+    parts = {"customer": "c_custkey", "orders": "o_custkey", "supplier": "s_suppkey", "part": "p_partkey", "nation": "n_nationkey", "region": "r_regionkey"}
+    ids = None
+    for name, key in parts.items():
+        rows = tables.read(spark, sf_dir, name).select(F.col(key).cast("long").alias("id"), F.lit(name).alias("component"))
+        ids = rows if ids is None else ids.unionByName(rows)
+    present = ids.groupBy("id").agg(*[F.count_if(F.col("component") == name).alias(name) for name in parts])
+    missing = F.array_join(F.filter(F.array(*[F.when(F.col(name) == 0, name) for name in sorted(parts)]), lambda x: x.isNotNull()), ",")
+    return present.select("id", missing.alias("missing"), F.col("orders").alias("n_orders"))
+
+
+def scope_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = F.array_sort(F.collect_set(F.upper(F.trim("n_name"))))
+    return tables.read(spark, sf_dir, "nation").agg(F.sha2(F.concat(F.array_join(names, "\n"), F.lit("\n")), 256).alias("scope_hash"))
+
+
+def scope_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations without suppliers, and how many suppliers the others have."""
+    n, s = tables.read(spark, sf_dir, "nation"), tables.read(spark, sf_dir, "supplier")
+    missing = n.join(s, n["n_nationkey"] == s["s_nationkey"], "left_anti").select(F.col("n_nationkey").cast("long").alias("id"), F.lit("missing").alias("state"))
+    present = n.join(s, n["n_nationkey"] == s["s_nationkey"], "left_semi").select(F.col("n_nationkey").cast("long").alias("id"), F.lit("present").alias("state"))
+    return missing.unionByName(present)
+
+
+def parse_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = tables.read(spark, sf_dir, "benchmark")
+    return b.select("item_id", text.language(F.col("text")).alias("language"), text.task_type(F.col("text")).alias("task"), F.coalesce(F.size(text.split_events(F.col("text"))), F.lit(0)).cast("long").alias("n_events"))
+
+
+def normalize_answer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = tables.read(spark, sf_dir, "conversations")
+    return c.select("conv_id", "turn", F.md5(text.normalize_answer(F.col("text"))).alias("normal_md5"), F.size(text.unicode_tokens(F.col("text"))).cast("long").alias("n_tokens"))
+
+
+def _predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of a source in order of length, scored by their quality label."""
+    d, labels = tables.read(spark, sf_dir, "documents"), tables.read(spark, sf_dir, "labels").select("doc_id", "quality")
+    rank = F.row_number().over(Window.partitionBy("source").orderBy(F.desc("n_chars"), "doc_id"))
+    ranked = d.select("source", "doc_id", rank.alias("rank")).where(F.col("rank") <= 100)
+    return ranked.join(labels, "doc_id", "left").select(F.col("source").alias("query_id"), "rank", F.coalesce(F.col("quality").cast("double"), F.lit(0.0)).alias("score"))
+
+
+def eval_recall_at_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q = tables.read(spark, sf_dir, "documents").select(F.col("source").alias("query_id"), F.lit("KIS").alias("task")).distinct()
+    r = evaluate.recall_at(_predictions(spark, sf_dir), q)
+    return r.select("query_id", "r1", "r5", "r20", "r50", "r100", F.round("final", 6).alias("final"))
+
+
+def eval_macro(spark: SparkSession, sf_dir: str) -> DataFrame:
+    task = F.when(F.length("source") == 4, "KIS").otherwise("QA")
+    q = tables.read(spark, sf_dir, "documents").select(F.col("source").alias("query_id"), task.alias("task")).distinct()
+    return evaluate.macro(evaluate.recall_at(_predictions(spark, sf_dir), q)).select("task", F.round("final", 6).alias("final"), "n")
+
+
+def submission_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = tables.read(spark, sf_dir, "conversations").where("role = 'assistant'")
+    rank = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn"))
+    a = c.select(F.col("conv_id").alias("query_id"), rank.alias("rank"), F.col("conv_id").alias("video_id"), F.col("turn").alias("frame"), F.substring("text", 1, 60).alias("answer")).where("rank <= 100")
+    return evaluate.submission_lines(a).select("query_id", F.col("rank").cast("long").alias("rank"), "line")
+
+
+def json_props(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = tables.read(spark, sf_dir, "events")
+    k = F.from_json("props", "k long")["k"]
+    return e.select("event_id", k.alias("k"), text.format_timestamp((F.col("event_id") % 100000) / 8).alias("clock"))
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    plain = (
+        knn_batch_topk_per_query, rrf_fusion, video_aggregate, diversify, kis_topk, sliding_windows, window_transcript_overlap, window_mean_pool, nearest_keyframe, timeline_violations,
+        nms_classwise, object_counts, manifest_outer_join, scope_hash, scope_diff, parse_queries, normalize_answer, eval_recall_at_k, eval_macro, submission_rows, json_props,
+    )
+    out: dict[str, Query] = {f"knn_{m}": _knn(m) for m in vectors.SCORES}
+    out |= {"weighted_fusion_minmax": _weighted("minmax"), "weighted_fusion_rank": _weighted("rank")}
+    out |= {"ordered_alignment": _align(None, 0.0), "ordered_alignment_gap": _align(5 * DAY, 0.0), "ordered_alignment_penalty": _align(None, 0.5)}
+    return out | {f.__name__: f for f in plain}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
