@@ -199,30 +199,43 @@ def word_table(docs: DataFrame, text_col: str, ranks: dict[bytes, int], pattern:
     return materialize(encoded.select("word", "c", "ids").unionByName(long))
 
 
-class PackedTable:
-    """Words by hash: sorted hashes, and the place of each word's ids in one array."""
+def pack(words: DataFrame) -> DataFrame:
+    """Words and their ids as (hashes, sizes, ids) bytes per batch: 8 bytes a word and 4 an id."""
 
-    def __init__(self, batches: Iterator[pa.RecordBatch]) -> None:
-        hashes, sizes, ids = [], [], []
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            hashes.append(np.fromiter((xxhash.xxh3_64_intdigest(w) for w in b.column(0).to_pylist()), np.uint64, len(b)))
-            lists = b.column(1)
-            sizes.append(np.diff(lists.offsets.to_numpy()))
-            ids.append(lists.flatten().to_numpy().astype(np.int32))
-        h = np.concatenate([np.zeros(0, np.uint64), *hashes])
-        size = np.concatenate([np.zeros(0, np.int64), *sizes]).astype(np.int64)
-        self.ids = np.concatenate([np.zeros(0, np.int32), *ids])
-        start = np.concatenate(([0], np.cumsum(size)))[:-1]
+            hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, b.column(0).to_pylist()), np.uint64, len(b))
+            sizes = np.diff(b.column(1).offsets.to_numpy()).astype(np.uint16)
+            parts = [hashes.tobytes(), sizes.tobytes(), b.column(1).flatten().to_numpy().astype("<u4").tobytes()]
+            yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in parts], names=["hashes", "sizes", "ids"])
+
+    return words.select("word", "ids").mapInArrow(run, "hashes binary, sizes binary, ids binary")
+
+
+class PackedTable:
+    """Words by hash: sorted hashes, and the place of each word's ids in one string of bytes."""
+
+    def __init__(self, packed: DataFrame) -> None:
+        hashes, sizes, ids = bytearray(), bytearray(), bytearray()
+        for r in packed.toLocalIterator():
+            hashes += r["hashes"]
+            sizes += r["sizes"]
+            ids += r["ids"]
+        h, size = np.frombuffer(hashes, np.uint64), np.frombuffer(sizes, np.uint16)
+        end = np.cumsum(size, dtype=np.uint32)
         order = np.argsort(h)
-        self.hashes, self.start, self.size = h[order], start[order].astype(np.uint32), size[order].astype(np.uint16)
+        self.ids, self.hashes, self.end, self.size = bytes(ids), h[order], end[order], size[order]
 
-    def get(self, word: bytes) -> bytes | None:
-        h = np.uint64(xxhash.xxh3_64_intdigest(word))
-        k = int(np.searchsorted(self.hashes, h))
-        if k == len(self.hashes) or self.hashes[k] != h:
-            return None
-        a = int(self.start[k])
-        return self.ids[a : a + int(self.size[k])].tobytes()
+    def get(self, words: list[bytes]) -> list[bytes | None]:
+        """Ids of each word as little-endian 32-bit integers, None for words that are not here."""
+        if not len(self.hashes):
+            return [None] * len(words)
+        h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+        k = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
+        end, size = self.end[k].astype(np.int64) * 4, self.size[k].astype(np.int64) * 4
+        found = self.hashes[k] == h
+        ids = self.ids
+        return [ids[z - n : z] if ok else None for z, n, ok in zip(end.tolist(), size.tolist(), found.tolist(), strict=True)]
 
 
 def _key(text: Column) -> Column:
@@ -249,9 +262,7 @@ def encode_documents(
     whole = n_words == shared.count() and n_words <= table_words
     if n_words > table_words:
         shared = shared.orderBy(F.desc("c"), "word").limit(table_words)
-    arrow = shared.select("word", "ids").toArrow()
-    packed = spark.sparkContext.broadcast(PackedTable(arrow.to_batches()))
-    del arrow
+    packed = spark.sparkContext.broadcast(PackedTable(pack(shared)))
     pieces = [b""] * (max(ranks.values()) + 1)
     for piece, rank in ranks.items():
         pieces[rank] = piece
@@ -267,10 +278,10 @@ def encode_documents(
             for b in batches:
                 keys, words = [], []
                 for key, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                    for w in {x.encode("utf-8", "surrogatepass") for x in find(text)}:
-                        if known.get(w) is None:
-                            keys.append(key)
-                            words.append(w)
+                    some = list({x.encode("utf-8", "surrogatepass") for x in find(text)})
+                    missing = [w for w, ids in zip(some, known.get(some), strict=True) if ids is None]
+                    keys += [key] * len(missing)
+                    words += missing
                 yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(words, pa.binary())], names=["_key", "word"])
 
         rows = rows.withColumn("_key", _key(F.col("_text")))
@@ -280,24 +291,18 @@ def encode_documents(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find, known, vocab = regex.compile(pattern).findall, packed.value, vocabulary.value
-        extra: dict[bytes, bytes] = {}
-
-        def of(part: str) -> bytes:
-            out = []
-            for word in find(part):
-                w = word.encode("utf-8", "surrogatepass")
-                ids = known.get(w)
-                out.append(extra[w] if ids is None else ids)
-            return b"".join(out)
-
-        class Parts(dict):
-            def __missing__(self, part: str) -> bytes:
-                out = of(" " + part)
-                if len(self) < 2_000_000:
-                    self[part] = out
-                return out
-
-        cache = Parts()
+        cache: dict[str, bytes] = {}  # ids of parts that follow a space
+
+        def encoded(parts: list[str], extra: dict[bytes, bytes]) -> list[bytes]:
+            found = [find(x) for x in parts]
+            flat = [w.encode("utf-8", "surrogatepass") for f in found for w in f]
+            ids = [extra[w] if x is None else x for w, x in zip(flat, known.get(flat), strict=True)]
+            out, k = [], 0
+            for f in found:
+                out.append(b"".join(ids[k : k + len(f)]))
+                k += len(f)
+            return out
+
         at = len(keep)
         for b in batches:
             made = []
@@ -305,9 +310,14 @@ def encode_documents(
                 extra = {x["word"]: np.array(x["ids"], dtype="<u4").tobytes() for x in more or ()}
                 cut = chunks(text)
                 if extra or cut is None:
-                    ids = of(text)
+                    ids = encoded([text], extra)[0]
                 else:
-                    ids = of(cut[0]) + b"".join(map(cache.__getitem__, cut[1:]))
+                    if len(cache) > 2_000_000:
+                        cache.clear()
+                    new = [x for x in dict.fromkeys(cut[1:]) if x not in cache]
+                    if new:
+                        cache.update(zip(new, encoded([" " + x for x in new], extra), strict=True))
+                    ids = encoded(cut[:1], extra)[0] + b"".join(map(cache.__getitem__, cut[1:]))
                 decoded = b"".join(map(vocab.__getitem__, np.frombuffer(ids, "<u4").tolist()))
                 made.append((len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoded).hexdigest(), *((ids, decoded) if with_ids else ())))
             types = [pa.int64(), pa.string(), pa.string(), *((pa.binary(), pa.binary()) if with_ids else ())]
