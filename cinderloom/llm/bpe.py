@@ -79,24 +79,27 @@ class RankMap:
         self.pieces = F.from_json(F.lit("[" + join(f'"{base64.b64encode(p).decode()}"' for p in pieces) + "]"), "array<binary>")
         self.slots = F.from_json(F.lit("[" + join(str(max(0, t)) for t in table) + "]"), "array<int>")
 
-    def rank(self, piece: Column) -> Column:
+    def rank(self, piece: Column, tables: Column) -> Column:
         """Rank of a binary piece, or ``NO_RANK``: one of its two slots must name a piece equal to it."""
         mask = (1 << self.bits) - 1
 
         def at(slot: Column) -> Column:
-            r = F.get(self.slots, slot.cast("int"))
-            return F.when(F.get(self.pieces, r) == piece, r)
+            r = F.get(tables["slots"], slot.cast("int"))
+            return F.when(F.get(tables["pieces"], r) == piece, r)
 
         h = F.xxhash64(piece)
         return F.coalesce(at(h.bitwiseAND(F.lit(mask))), at(F.shiftrightunsigned(h, self.bits).bitwiseAND(F.lit(mask))), F.lit(NO_RANK))
 
     def encode(self, word: Column) -> Column:
-        """Ids of a binary word: merges by rank, leftmost first."""
+        """Ids of a binary word: merges by rank, leftmost first. The tables stand in the plan once."""
+        return let(F.struct(self.slots.alias("slots"), self.pieces.alias("pieces")), lambda tables: self._encode(word, tables))
+
+    def _encode(self, word: Column, tables: Column) -> Column:
         empty = F.array().cast("array<binary>")
         none = F.array().cast("array<int>")
         n = F.length(word)
         single = F.transform(F.sequence(F.lit(1), n), lambda i: F.substring(word, i, F.lit(1)))
-        pair_ranks = F.when(n > 1, F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: self.rank(F.substring(word, i, F.lit(2))))).otherwise(none)
+        pair_ranks = F.when(n > 1, F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: self.rank(F.substring(word, i, F.lit(2)), tables))).otherwise(none)
         state = F.struct(single.alias("p"), pair_ranks.alias("r"))
 
         def step(acc: Column, _: Column) -> Column:
@@ -104,8 +107,8 @@ class RankMap:
 
             def merge(i: Column) -> Column:  # i: place of the pair from 1
                 one = F.concat(F.get(p, i - 1), F.get(p, i))
-                left = F.when(i > 1, F.array(self.rank(F.concat(F.get(p, i - 2), one)))).otherwise(none)
-                right = F.when(i + 1 < F.size(p), F.array(self.rank(F.concat(one, F.get(p, i + 1))))).otherwise(none)
+                left = F.when(i > 1, F.array(self.rank(F.concat(F.get(p, i - 2), one), tables))).otherwise(none)
+                right = F.when(i + 1 < F.size(p), F.array(self.rank(F.concat(one, F.get(p, i + 1)), tables))).otherwise(none)
                 return F.struct(
                     F.concat(F.slice(p, F.lit(1), i - 1), F.array(one), F.slice(p, i + 2, F.size(p))).alias("p"),
                     F.concat(F.slice(r, F.lit(1), F.greatest(i - 2, F.lit(0))), left, right, F.slice(r, i + 2, F.size(p))).alias("r"),
@@ -116,7 +119,7 @@ class RankMap:
 
         merges = F.when(n > 1, F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1)))).otherwise(none)
         folded = F.aggregate(merges, state, step)["p"]
-        return F.when(n > 0, F.transform(folded, self.rank)).otherwise(none)
+        return F.when(n > 0, F.transform(folded, lambda x: self.rank(x, tables))).otherwise(none)
 
 
 def merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
