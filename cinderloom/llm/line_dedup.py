@@ -23,7 +23,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .support import document_key, drop_table, materialize, words
+from .support import document_key, materialize, words
 
 MIN_WORDS = 3
 NEAR_MIN_WORDS = 10
