@@ -110,9 +110,6 @@ def timeline_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return timeline.violations(shifted, tables.FPS).select("video_id", F.col("n").cast("long").alias("n"), "code")
 
 
-EVENTS = ("click", "view", "purchase")
-
-
 def _align(max_gap: float | None, rate: float) -> Query:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         k = tables.keyframes(spark, sf_dir)
