@@ -144,6 +144,49 @@ def test_simhash(spark, docs, none):
     assert simhash.one_of_each(d).columns == d.columns
 
 
+def similar_groups(texts, width=5, least=0.8):
+    """Places of the texts by group: links between all pairs of shingle sets, compared one by one."""
+    sets = []
+    for t in texts:
+        w = (t or "").encode().lower().split()
+        sets.append({b" ".join(w[i : i + width]) for i in range(max(1, len(w) - width + 1))} if w else set())
+    parent = list(range(len(texts)))
+
+    def top(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if a == b or len(a & b) >= least * len(a | b):
+                parent[top(i)] = top(j)
+    groups = collections.defaultdict(list)
+    for i in range(len(texts)):
+        groups[top(i)].append(i)
+    return groups
+
+
+def test_one_of_each(spark, docs, none):
+    rng = np.random.default_rng(3)
+    rows = []
+    for g in range(12):
+        first = [f"g{g}w{x}" for x in rng.integers(0, 500, 300)]
+        for k in range(8):
+            w = list(first)
+            for at in rng.integers(0, len(w), 3 * k):
+                w[at] = f"edit{rng.integers(0, 10**6)}"
+            rows.append((8000 + 10 * g + k, " ".join(w), "en", "s", 0, "x", 1))
+    d = docs.unionByName(spark.createDataFrame(rows, docs.select("doc_id", "text", "lang", "source", "n_chars", "size", "kept").schema))
+    listed = [(r["doc_id"] if r["doc_id"] is not None else 2**63 - 1, r["text"]) for r in d.select("doc_id", "text").collect()]
+    want = sorted(min(listed[i][0] for i in g) for g in similar_groups([t for _, t in listed]).values())
+    for rows_limit in (1000, 5):
+        got = sorted(r["doc_id"] if r["doc_id"] is not None else 2**63 - 1 for r in simhash.one_of_each(d, shard_rows=rows_limit).collect())
+        assert got == want
+    assert len(want) < len(listed) - 30
+    assert simhash.one_of_each(none).count() == 0
+
+
 def test_components(spark):
     links = [(k, k + 1) for k in range(1, 200)] + [(500 + k, 500) for k in range(1, 50)] + [(1000, 999)]
     got = {r["node"]: r["component"] for r in components.components(spark.createDataFrame(links, "a long, b long")).collect()}
