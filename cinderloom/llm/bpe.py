@@ -92,7 +92,11 @@ class RankMap:
 
     def encode(self, word: Column) -> Column:
         """Ids of a binary word: merges by rank, leftmost first. The tables stand in the plan once."""
-        return let(F.struct(self.slots.alias("slots"), self.pieces.alias("pieces")), lambda tables: self._encode(word, tables))
+
+        def ids(tables: Column) -> Column:  # a word that is itself a piece is not merged
+            return let(self.rank(word, tables), lambda own: F.when(own != NO_RANK, F.array(own)).otherwise(self._encode(word, tables)))
+
+        return let(F.struct(self.slots.alias("slots"), self.pieces.alias("pieces")), ids)
 
     def _encode(self, word: Column, tables: Column) -> Column:
         empty = F.array().cast("array<binary>")
@@ -124,6 +128,8 @@ class RankMap:
 
 def merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     """Ids of a long word in O(n log n): a heap of (rank, place) over linked pieces."""
+    if word in ranks:
+        return [ranks[word]]
     n = len(word)
     end, prev, after = list(range(1, n + 1)), list(range(-1, n - 1)), list(range(1, n + 1))
     alive = [True] * n
