@@ -36,6 +36,7 @@ from .support import let, materialize
 
 LONG_WORD = 256
 TABLE_WORDS = 4_000_000
+WORDS_A_TASK = 50_000
 NO_RANK = 2**31 - 1
 #: A space before white space or the end: there, cutting at spaces would cut a match.
 UNSAFE = re.compile(r" (?:\s|\Z)")
@@ -155,6 +156,18 @@ def chunks(text: str) -> list[str] | None:
     return None if UNSAFE.search(text) else text.split(" ")
 
 
+def words_of(parts: list[str], find) -> list[list[str]]:
+    """The matches in each part of ``chunks`` but the first, with the space before it: one search over all of them, in
+    which a match that begins with a space begins a part."""
+    out: list[list[str]] = []
+    for word in find(" " + " ".join(parts)) if parts else ():
+        if word[0] == " ":
+            out.append([word])
+        else:
+            out[-1].append(word)
+    return out
+
+
 def distinct_words(docs: DataFrame, text_col: str, pattern: str) -> DataFrame:
     """(word binary, c): every match of the pattern in all documents, counted."""
 
@@ -164,8 +177,8 @@ def distinct_words(docs: DataFrame, text_col: str, pattern: str) -> DataFrame:
         found: Counter[str] = Counter()
 
         def flush() -> pa.RecordBatch:
-            for part, c in parts.items():
-                for word in find(part):
+            for group, c in zip(words_of(list(parts), find), parts.values(), strict=True):
+                for word in group:
                     found[word] += c
             keys = [w.encode("utf-8", "surrogatepass") for w in found]
             out = pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(list(found.values()), pa.int64())], names=["word", "c"])
@@ -182,7 +195,7 @@ def distinct_words(docs: DataFrame, text_col: str, pattern: str) -> DataFrame:
                     found.update(find(text))
                 else:
                     found.update(find(cut[0]))
-                    parts.update([" " + x for x in cut[1:]])
+                    parts.update(cut[1:])
                 if len(parts) + len(found) > 1_000_000:
                     yield flush()
         yield flush()
@@ -195,7 +208,7 @@ def word_table(docs: DataFrame, text_col: str, ranks: dict[bytes, int], pattern:
     spark = docs.sparkSession
     words = materialize(distinct_words(docs, text_col, pattern))
     short = words.where(F.length("word") <= LONG_WORD)
-    parts = max(spark.sparkContext.defaultParallelism * 2, short.rdd.getNumPartitions())
+    parts = max(spark.sparkContext.defaultParallelism * 2, short.rdd.getNumPartitions(), short.count() // WORDS_A_TASK)
     encoded = short.repartition(parts).withColumn("ids", RankMap(ranks).encode(F.col("word")))
     shared = spark.sparkContext.broadcast(ranks)
 
@@ -302,8 +315,7 @@ def encode_documents(
         find, known, vocab = regex.compile(pattern).findall, packed.value, vocabulary.value
         cache: dict[str, bytes] = {}  # ids of parts that follow a space
 
-        def encoded(parts: list[str], extra: dict[bytes, bytes]) -> list[bytes]:
-            found = [find(x) for x in parts]
+        def encoded(found: list[list[str]], extra: dict[bytes, bytes]) -> list[bytes]:
             flat = [w.encode("utf-8", "surrogatepass") for f in found for w in f]
             ids = [extra[w] if x is None else x for w, x in zip(flat, known.get(flat), strict=True)]
             out, k = [], 0
@@ -319,14 +331,14 @@ def encode_documents(
                 extra = {x["word"]: np.array(x["ids"], dtype="<u4").tobytes() for x in more or ()}
                 cut = chunks(text)
                 if extra or cut is None:
-                    ids = encoded([text], extra)[0]
+                    ids = encoded([find(text)], extra)[0]
                 else:
                     if len(cache) > 2_000_000:
                         cache.clear()
                     new = [x for x in dict.fromkeys(cut[1:]) if x not in cache]
                     if new:
-                        cache.update(zip(new, encoded([" " + x for x in new], extra), strict=True))
-                    ids = encoded(cut[:1], extra)[0] + b"".join(map(cache.__getitem__, cut[1:]))
+                        cache.update(zip(new, encoded(words_of(new, find), extra), strict=True))
+                    ids = encoded([find(cut[0])], extra)[0] + b"".join(map(cache.__getitem__, cut[1:]))
                 decoded = b"".join(map(vocab.__getitem__, np.frombuffer(ids, "<u4").tolist()))
                 made.append((len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoded).hexdigest(), *((ids, decoded) if with_ids else ())))
             types = [pa.int64(), pa.string(), pa.string(), *((pa.binary(), pa.binary()) if with_ids else ())]
