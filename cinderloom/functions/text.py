@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Markers, separators and rules of the query parser.
 VI_MARKERS = ("cảnh", "người", "đang", "sau", "trước", "màu", "bao nhiêu", "ở đâu", "là gì")
 SEPARATOR = r"(?i)\s*(?:\s+[-=]>\s+|\b(?:sau đó|sau do|tiếp theo|tiep theo|rồi|roi|kế tiếp|ke tiep|finally|then|next)\b)\s*"
+MARKER = r"(?i)\n\s*(?:E(?:VENT)?\s*\d+|\d+[.)]|[-*])[.):\-]?\s+"
 ANSWER_TYPES = (
     ("count", ("bao nhiêu", "mấy ", "how many", "number of")),
     ("color", ("màu gì", "màu nào", "what color", "which color")),
@@ -53,12 +58,44 @@ def modality_hints(x: Column) -> Column:
     return F.map_from_entries(F.transform(F.filter(pairs, lambda e: e["on"]), lambda e: F.struct(e["k"], e["v"])))
 
 
+def _trimmed(parts: Column) -> Column:
+    return F.filter(F.transform(parts, lambda p: F.regexp_replace(p, r"^[ ,.;:\n]+|[ ,.;:\n]+$", "")), lambda p: p != "")
+
+
 def split_events(x: Column) -> Column:
-    """Ordered events between connector words, null if fewer than two."""
-    parts = F.filter(F.transform(F.split(x, SEPARATOR), lambda p: F.regexp_replace(p, r"^[ ,.;:\n]+|[ ,.;:\n]+$", "")), lambda p: p != "")
+    """Ordered events: the parts that two or more markers at line starts begin, else what lies between connector words;
+    null if fewer than two."""
+    marked = F.concat(F.lit("\n"), x)
+    numbered = F.slice(F.split(marked, MARKER), F.lit(2), F.greatest(F.size(F.split(marked, MARKER)) - 1, F.lit(0)))
+    parts = _trimmed(F.when(F.size(numbered) >= 2, numbered).otherwise(F.split(x, SEPARATOR)))
     return F.when(F.size(parts) >= 2, parts)
 
 
+def qa_parts(x: Column) -> Column:
+    """(context, question): the last line if it asks, else the last sentence if it has an answer type, else the text twice."""
+    lines = F.filter(F.transform(F.split(x, r"\R"), F.trim), lambda p: p != "")
+    sentences = F.split(F.trim(x), r"(?<=[.!?])\s+")
+    last_line, last_sentence = F.try_element_at(lines, F.lit(-1)), F.try_element_at(sentences, F.lit(-1))
+    before = lambda a, sep: F.array_join(F.slice(a, F.lit(1), F.greatest(F.size(a) - 1, F.lit(0))), sep)
+    pair = lambda a, b: F.struct(F.trim(a).alias("context"), F.trim(b).alias("question"))
+    asks = F.contains(last_line, F.lit("?")) | answer_type(last_line).isNotNull()
+    return F.when((F.size(lines) > 1) & asks, pair(before(lines, " "), last_line)).when((F.size(sentences) > 1) & answer_type(last_sentence).isNotNull(), pair(before(sentences, " "), last_sentence)).otherwise(pair(x, x))
+
+
+@F.pandas_udf(StringType())
+def _compose(texts: pd.Series, form: pd.Series) -> pd.Series:
+    return pd.Series([None if t is None else unicodedata.normalize(f, t) for t, f in zip(texts, form, strict=True)], dtype=object)
+
+
+def unicode_form(x: Column, form: str = "NFC") -> Column:
+    """Unicode normal form, by Arrow batches: Spark has no such function."""
+    return _compose(x, F.lit(form))
+
+
+def normalize_ocr(x: Column) -> Column:
+    return F.lower(collapse(unicode_form(x)))
+
+
 def task_type(x: Column) -> Column:
     return F.when(split_events(x).isNotNull(), "TRAKE").when(answer_type(x).isNotNull() | F.contains(x, F.lit("?")), "QA").otherwise("KIS")
 

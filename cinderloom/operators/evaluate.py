@@ -41,3 +41,28 @@ def submission_lines(answers: DataFrame) -> DataFrame:
     quoted = F.when(F.col("answer").rlike('[",\n\r]'), F.concat(F.lit('"'), F.replace("answer", F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(F.col("answer"))
     line = F.concat_ws(",", F.col("video_id").cast("string"), F.col("frame").cast("string"), quoted)
     return answers.select("query_id", "rank", F.when(F.col("rank") > MAX_ROWS, F.raise_error(F.lit("more than 100 rows for a query"))).otherwise(line).alias("line"))
+
+
+def ordered_hits(predictions: DataFrame, truth: DataFrame) -> DataFrame:
+    """Share of a query's events whose frame lies in one of the event's intervals; 0 in another video.
+
+    Predictions: (query_id, rank, video_id, frames); truth: (query_id, video_id, event, start, end), events from 0.
+    """
+    n = truth.groupBy("query_id").agg((F.max("event") + 1).alias("n_events"))
+    p = predictions.select("query_id", "rank", "video_id", F.posexplode_outer("frames").alias("event", "frame"))
+    t = truth.select("query_id", "video_id", "event", "start", "end")
+    joined = p.join(t, ["query_id", "video_id", "event"], "left")
+    hit = F.coalesce(F.max((F.col("frame") >= F.col("start")) & (F.col("frame") <= F.col("end"))), F.lit(False))
+    events = joined.groupBy("query_id", "rank", "event").agg(hit.alias("hit"))
+    return events.groupBy("query_id", "rank").agg(F.count_if("hit").alias("hits")).join(n, "query_id").select("query_id", "rank", (F.col("hits") / F.col("n_events")).alias("score"))
+
+
+def answer_hits(predictions: DataFrame, accepted: DataFrame, normalize) -> DataFrame:
+    """Interval scores (query_id, rank, score, answer) that stand only where the normalised answer is an accepted one."""
+    a = accepted.select("query_id", normalize(F.col("answer")).alias("same")).distinct().withColumn("ok", F.lit(1.0))
+    p = predictions.withColumn("same", normalize(F.col("answer"))).join(a, ["query_id", "same"], "left")
+    return p.select("query_id", "rank", (F.col("score") * F.coalesce("ok", F.lit(0.0))).alias("score"))
+
+
+def unknown_queries(predictions: DataFrame, queries: DataFrame) -> DataFrame:
+    return predictions.select("query_id").distinct().join(queries.select("query_id"), "query_id", "left_anti")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,3 +29,12 @@ def counts(detections: DataFrame) -> DataFrame:
     c = detections.groupBy("frame", "label").agg(F.count(F.lit(1)).alias("n"))
     phrase = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("label", "n"))), lambda x: F.concat(x["n"].cast("string"), F.lit(" "), x["label"])), ", ")
     return c.groupBy("frame").agg(phrase.alias("phrase"), F.sum("n").alias("total"))
+
+
+def above_threshold(detections: DataFrame, thresholds: Mapping[str, float], default: float = 0.2) -> DataFrame:
+    """Detections at or above the threshold of their class id, else of their entity, else of their label, else the
+    default; boxes clamped to the unit square."""
+    table = F.create_map(*[x for k, v in thresholds.items() for x in (F.lit(k), F.lit(float(v)))]) if thresholds else F.create_map().cast("map<string,double>")
+    least = F.coalesce(F.try_element_at(table, "mid"), F.try_element_at(table, "entity"), F.try_element_at(table, F.lower("label")), F.lit(default))
+    clamp = {c: F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col(c))) for c in ("x0", "y0", "x1", "y1")}
+    return detections.where(F.col("score") >= least).withColumns(clamp)

@@ -13,6 +13,7 @@ from ..functions.vectors import SCORES
 
 #: Queries of one pass over the index: what is broadcast never exceeds this many vectors.
 QUERY_BLOCK = 4096
+DIGITS = 9
 
 
 def knn(index: DataFrame, query: list[float], k: int, metric: str = "cosine") -> DataFrame:
@@ -23,7 +24,8 @@ def knn(index: DataFrame, query: list[float], k: int, metric: str = "cosine") ->
 
 def knn_batch(index: DataFrame, queries: list[tuple[int, list[float]]], k: int) -> DataFrame:
     """(query_id, rank, vec_id, score) by inner product: matrix products per Arrow batch keep k rows of each batch and
-    query, then one ranking per query. Queries go in blocks of ``QUERY_BLOCK``."""
+    query, then one ranking per query. Queries go in blocks of ``QUERY_BLOCK``. Scores are rounded to ``DIGITS`` places before
+    they are compared, so that equal vectors tie wherever they lie."""
     out = None
     for at in range(0, max(1, len(queries)), QUERY_BLOCK):
         part = queries[at : at + QUERY_BLOCK]
@@ -34,7 +36,7 @@ def knn_batch(index: DataFrame, queries: list[tuple[int, list[float]]], k: int)
             for b in batches:
                 if not len(b) or not len(ids):
                     continue
-                s = matrix @ np.stack(b["v"].to_numpy()).T
+                s = np.round(matrix @ np.stack(b["v"].to_numpy()).T, DIGITS)
                 rows = b["vec_id"].to_numpy()
                 order = np.lexsort((np.broadcast_to(rows, s.shape), -s))[:, :k]
                 yield pd.DataFrame({"query_id": np.repeat(ids, order.shape[1]), "vec_id": rows[order].ravel(), "score": np.take_along_axis(s, order, 1).ravel()})

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,22 +32,43 @@ def nearest(asked: DataFrame, keyframes: DataFrame) -> DataFrame:
     return both.where("side = 1").select("video_id", "at", F.when(F.col("right").isNull() | left_near, F.col("left.n")).otherwise(F.col("right.n")).alias("n"))
 
 
-def align(candidates: DataFrame, events: int, min_gap: float = 0.0, max_gap: float | None = None, penalty=None) -> DataFrame:
-    """(video_id, score, times): the best strictly ordered choice of one candidate per event in every video.
+def align(candidates: DataFrame, events: int, min_gap: float = 0.0, max_gap: float | None = None, penalty=None, keys: Sequence[str] = ("video_id",)) -> DataFrame:
+    """(keys, score, path): the best strictly ordered choice of one candidate per event for each value of ``keys``.
 
-    Candidates: (video_id, event, ts, frame, score). A chain of joins, one per event; each keeps the best predecessor.
+    Candidates: (keys, event, ts, frame, score). A chain of joins, one per event; each keeps the best predecessor. ``path``
+    holds the (ts, frame) chosen for each event.
     """
-    w = Window.partitionBy("video_id", "event").orderBy("ts", F.desc("score"), "frame")
+    w = Window.partitionBy(*keys, "event").orderBy("ts", F.desc("score"), "frame")
     c = candidates.withColumn("pos", F.row_number().over(w))
-    path = c.where("event = 0").select("video_id", F.col("score").alias("total"), "ts", "pos", F.array("ts").alias("times"))
+    path = c.where("event = 0").select(*keys, F.col("score").alias("total"), "ts", "pos", F.array(F.struct("ts", "frame")).alias("path"))
     for e in range(1, events):
-        step = c.where(F.col("event") == e).select("video_id", F.col("ts").alias("t"), F.col("pos").alias("p"), F.col("score").alias("s"))
+        step = c.where(F.col("event") == e).select(*keys, F.col("ts").alias("t"), F.col("frame").alias("f"), F.col("pos").alias("p"), F.col("score").alias("s"))
         gap: Column = F.col("t") - F.col("ts")
         ok = (gap > 0) & (gap >= min_gap)
         if max_gap is not None:
             ok = ok & (gap <= max_gap)
         cost = penalty(gap) if penalty else F.lit(0.0)
-        joined = path.join(step, "video_id").where(ok).withColumn("sum", F.col("total") + F.col("s") - cost)
-        best = joined.groupBy("video_id", "t", "p").agg(F.max("sum").alias("total"), F.max_by("times", F.struct("sum", -F.col("pos"))).alias("times"))
-        path = best.select("video_id", "total", F.col("t").alias("ts"), F.col("p").alias("pos"), F.concat("times", F.array("t")).alias("times"))
-    return path.groupBy("video_id").agg(F.max("total").alias("score"), F.max_by("times", F.struct("total", -F.col("pos"))).alias("times"))
+        joined = path.join(step, list(keys)).where(ok).withColumn("sum", F.col("total") + F.col("s") - cost)
+        best = joined.groupBy(*keys, "t", "f", "p").agg(F.max("sum").alias("total"), F.max_by("path", F.struct("sum", -F.col("pos"))).alias("path"))
+        here = F.array(F.struct(F.col("t").alias("ts"), F.col("f").alias("frame")))
+        path = best.select(*keys, "total", F.col("t").alias("ts"), F.col("p").alias("pos"), F.concat("path", here).alias("path"))
+    return path.groupBy(*keys).agg(F.max("total").alias("score"), F.max_by("path", F.struct("total", -F.col("pos"))).alias("path"))
+
+
+def viterbi(positions: DataFrame, events: int, min_gap: float = 0.0, max_gap: float | None = None) -> DataFrame:
+    """(video_id, score, path): the best strictly ordered positions for scores ``s0``, ``s1``, .. on one timeline.
+
+    Positions: (video_id, ts, s0, ..); a null score cannot be chosen. The best predecessor is a maximum over a range of
+    time, in whole microseconds, so each event costs one pass over a sorted video.
+    """
+    at = F.round(F.col("ts") * 1e6).cast("long")
+    rows = positions.withColumn("at", at).withColumn("best", F.when(F.col("s0").isNotNull(), F.struct(F.col("s0").alias("total"), (-F.col("at")).alias("last"), F.array("ts").alias("path"))))
+    nearest_end = -max(1, round(min_gap * 1e6))
+    farthest = Window.unboundedPreceding if max_gap is None else -round(max_gap * 1e6)
+    w = Window.partitionBy("video_id").orderBy("at").rangeBetween(farthest, nearest_end)
+    for e in range(1, events):
+        rows = rows.withColumn("before", F.max("best").over(w))
+        total = F.col("before.total") + F.col(f"s{e}")
+        rows = rows.withColumn("best", F.when(total.isNotNull(), F.struct(total.alias("total"), (-F.col("at")).alias("last"), F.concat("before.path", F.array("ts")).alias("path"))))
+    top = rows.where("best IS NOT NULL").groupBy("video_id").agg(F.max("best").alias("b"))
+    return top.select("video_id", F.col("b.total").alias("score"), F.col("b.path").alias("path"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -46,3 +46,30 @@ def overlapping_text(segments: DataFrame, length: float, stride: float, least: f
     kept = s.join(g, ["video_id", "k"]).where((shared > 0) & (shared / F.greatest(F.lit(1e-9), F.col("end") - F.col("start")) >= least))
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("segment", "text"))), lambda x: x["text"]), " ")
     return kept.groupBy("video_id", "k").agg(text.alias("text"), F.count(F.lit(1)).alias("n_segments"))
+
+
+def timed_words(segments: DataFrame) -> DataFrame:
+    """(video_id, segment, i, word, start, end): words of segments without word times, by their share of the characters."""
+    w = Window.partitionBy("video_id", "segment").orderBy("i")
+    words = segments.select("video_id", "segment", "start", "end", F.posexplode(F.split("text", r"\s+")).alias("i", "word"))
+    words = words.withColumn("before", F.coalesce(F.sum(F.length("word")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    words = words.withColumn("chars", F.sum(F.length("word")).over(Window.partitionBy("video_id", "segment"))).where("word <> ''")
+    rate = (F.col("end") - F.col("start")) / F.col("chars")
+    return words.select("video_id", "segment", "i", "word", (F.col("start") + F.col("before") * rate).alias("w_start"), (F.col("start") + (F.col("before") + F.length("word")) * rate).alias("w_end"))
+
+
+def words_in_windows(words: DataFrame, durations: DataFrame, length: float, stride: float) -> DataFrame:
+    """(video_id, k, text, n_words): the words whose middle lies in a window, in order."""
+    g = grid(durations, length, stride)
+    placed = place(words.withColumn("middle", (F.col("w_start") + F.col("w_end")) / 2), "middle", length, stride)
+    held = placed.join(g, ["video_id", "k"]).where("middle >= start AND middle < end")
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("segment", "i", "word"))), lambda x: x["word"]), " ")
+    return held.groupBy("video_id", "k").agg(text.alias("text"), F.count(F.lit(1)).alias("n_words"))
+
+
+def attach_text(windows: DataFrame, texts: DataFrame) -> DataFrame:
+    """Windows (video_id, k, keyframe_uids) with the texts (keyframe_uid, text) of their keyframes, in order, each once."""
+    rows = windows.select("video_id", "k", F.posexplode("keyframe_uids").alias("pos", "keyframe_uid")).join(texts, "keyframe_uid", "left")
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"])
+    kept = F.array_distinct(F.filter(ordered, lambda x: F.coalesce(F.trim(x), F.lit("")) != ""))
+    return rows.groupBy("video_id", "k").agg(F.array_join(kept, "\n").alias("text"))

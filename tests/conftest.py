@@ -17,5 +17,8 @@ def spark():
         .config("spark.sql.session.timeZone", "UTC").config("spark.driver.memory", "4g").getOrCreate()
     )
     s.sparkContext.setLogLevel("ERROR")
+    from cinderloom.session import settle
+
+    settle(s)
     yield s
     s.stop()

@@ -1,0 +1,114 @@
+"""Operators on small hand-made rows."""
+
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from cinderloom.functions import text
+from cinderloom.operators import embed, evaluate, gallery, objects, query, tasks, timeline, validate
+from cinderloom.sources import sinks
+from cinderloom.streaming import ingest
+
+
+def test_expand(spark):
+    q = spark.createDataFrame([(1, "A dog runs then a cat sleeps"), (2, "  "), (3, None)], "query_id long, text string")
+    rows = query.expand(q, translation=F.upper, paraphrases=[lambda x: F.concat(x, F.lit(" now"))]).orderBy("query_id", "variant").collect()
+    assert [(r["query_id"], r["kind"], r["weight"]) for r in rows] == [(1, "original", 1.0), (1, "paraphrase", 0.8), (1, "event", 0.85), (1, "event", 0.85), (2, "paraphrase", 0.8)]
+
+
+@pytest.mark.parametrize("given, want", [("E1: a red car\nE2: a blue car", ["a red car", "a blue car"]), ("1. one\n2. two. ", ["one", "two"]), ("walks -> sits", ["walks", "sits"]), ("alone", None)])
+def test_split_events(spark, given, want):
+    assert spark.range(1).select(text.split_events(F.lit(given))).first()[0] == want
+
+
+@pytest.mark.parametrize("given, want", [("Two men talk.\nHow many?", ("Two men talk.", "How many?")), ("A car stops. Who drives it", ("A car stops.", "Who drives it")), ("A car stops. It is red", ("A car stops. It is red",) * 2), ("A car. What color is it?", ("A car.", "What color is it?"))])
+def test_qa_parts(spark, given, want):
+    assert tuple(spark.range(1).select(text.qa_parts(F.lit(given)).alias("p")).select("p.*").first()) == want
+
+
+def test_unicode_and_embedding(spark):
+    d = spark.createDataFrame([(1, "Café  au LAIT"), (2, None), (3, "")], "doc_id long, text string")
+    assert [r[0] for r in d.orderBy("doc_id").select(text.normalize_ocr(F.col("text"))).collect()] == ["café au lait", None, ""]
+    v = {r["vec_id"]: r["v"] for r in embed.hash_embed(d, "doc_id", "text", dim=32).collect()}
+    assert abs(sum(x * x for x in v[1]) - 1) < 1e-9 and not any(v[2]) and not any(v[3])
+
+
+def test_viterbi_against_all_paths(spark):
+    rng = random.Random(5)
+    rows = [(v, float(rng.randrange(12)), *[None if rng.random() < 0.2 else rng.randrange(9) + 0.5 for _ in range(3)]) for v in range(4) for _ in range(10)]
+    want = {}
+    for v, a, s, _, _ in rows:
+        for w, b, _, t, _ in rows:
+            for x, c, _, _, u in rows:
+                if v == w == x and 1 <= b - a <= 5 and 1 <= c - b <= 5 and None not in (s, t, u):
+                    want[v] = max(want.get(v, -1), s + t + u)
+    p = spark.createDataFrame(rows, "video_id long, ts double, s0 double, s1 double, s2 double")
+    got = timeline.viterbi(p, 3, min_gap=1.0, max_gap=5.0).collect()
+    assert {r["video_id"]: r["score"] for r in got} == want and all(r["path"] == sorted(set(r["path"])) for r in got)
+
+
+def test_answers_and_reviews(spark):
+    r = spark.createDataFrame([(1, k, 1, "v", k, 1 - k / 10) for k in range(6)], "query_id long, candidate_id long, rank int, video_id string, frame long, score double")
+    q = tasks.qa_requests(r)
+    assert [(x["batch"], x["label"]) for x in q.orderBy("candidate_id").collect()] == [(0, "C01"), (0, "C02"), (0, "C03"), (0, "C04"), (1, "C01"), (1, "C02")]
+    schema = "query_id long, batch long, label string, answerable boolean, answer string, confidence double"
+    replies = spark.createDataFrame([(1, 0, "C02", True, "Blue!", 0.9), (1, 1, "C03", True, "x", 1.0), (1, 1, "C01", False, "", 0.2), (1, 2, None, True, " ", 1.5)], schema)
+    got = tasks.qa_answers(q, replies, text.normalize_answer).collect()
+    assert [(g["candidate_id"], round(g["score"], 6)) for g in got] == [(1, round(0.55 * 0.9 + 0.45 * 0.8, 6))]
+    codes = sorted(x["code"] for x in tasks.reply_problems(replies).collect())
+    assert codes == ["confidence_range", "missing_answer", "missing_support"]
+    reviewed = spark.createDataFrame([(1, 0, "v", 4), (1, 1, "w", 9)], "query_id long, place long, video_id string, frame long")
+    out = tasks.reviewed_first(r.withColumn("rank", (F.col("candidate_id") + 1).cast("int")), reviewed, 4).orderBy("rank").collect()
+    assert [(x["video_id"], x["frame"], x["reviewed"]) for x in out] == [("v", 4, True), ("w", 9, True), ("v", 0, False), ("v", 1, False)]
+    assert out[0]["score"] > out[1]["score"] > 1.0
+    answers = r.withColumn("frame", F.when(F.col("frame") < 5, F.lit(0)).cast("long")).withColumn("rank", (F.col("candidate_id") + 1).cast("int"))
+    assert [x["candidate_id"] for x in tasks.frame_answers(answers).collect()] == [0]
+
+
+def test_scope_and_thresholds(spark):
+    rows = spark.createDataFrame([("A1", 1), ("B2", 2)], "video string, x int")
+    assert [r["x"] for r in validate.in_scope(rows, [" b2", "a1"], "video").orderBy("place").collect()] == [2, 1]
+    with pytest.raises(Exception, match="not in the data"):
+        validate.in_scope(rows, ["C3"], "video").collect()
+    schema = "mid string, entity string, label string, score double, x0 double, y0 double, x1 double, y1 double"
+    d = spark.createDataFrame([("/m/1", "Dog", "dog", 0.3, -1.0, 0.0, 2.0, 1.0), ("/m/2", "Cat", "CAT", 0.3, 0.0, 0.0, 1.0, 1.0), (None, None, "x", 0.3, 0.0, 0.0, 1.0, 1.0)], schema)
+    kept = objects.above_threshold(d, {"/m/1": 0.1, "cat": 0.5}).collect()
+    assert [(k["label"], k["x0"], k["x1"]) for k in kept] == [("dog", 0.0, 1.0), ("x", 0.0, 1.0)]
+    assert validate.duplicates(rows.union(rows.limit(1)), "video").count() == 1
+    late = spark.createDataFrame([("A1", 1, 5.0), ("A1", 2, 9.5), ("B2", 1, 3.0)], "video_id string, n int, pts_time double")
+    ends = spark.createDataFrame([("A1", 7.0), ("B2", 2.0)], "video_id string, duration double")
+    assert [(r["video_id"], r["over"]) for r in validate.past_end(late, ends).collect()] == [("A1", 2.5)]
+
+
+def test_evaluation_of_answers(spark):
+    p = spark.createDataFrame([("q", 1, 1.0, "Blue."), ("q", 2, 1.0, "red")], "query_id string, rank int, score double, answer string")
+    a = spark.createDataFrame([("q", "blue")], "query_id string, answer string")
+    assert [r["score"] for r in evaluate.answer_hits(p, a, text.normalize_answer).orderBy("rank").collect()] == [1.0, 0.0]
+    assert evaluate.unknown_queries(p, a.where("false")).count() == 1
+
+
+def test_index_and_sinks(spark, tmp_path):
+    v = spark.createDataFrame([(1, [0.5, 0.5]), (2, [1.0, 0.0])], "vec_id long, v array<double>")
+    sinks.write_index(v, f"{tmp_path}/i", encoder="hash", scope_hash="s")
+    assert sinks.open_index(spark, f"{tmp_path}/i", encoder="hash", scope_hash="s").count() == 2
+    with pytest.raises(ValueError, match="scope_hash"):
+        sinks.open_index(spark, f"{tmp_path}/i", encoder="hash", scope_hash="other")
+    lines = spark.createDataFrame([(7, 2, "b"), (7, 1, "a")], "query_id long, rank int, line string")
+    sinks.write_submissions(lines, f"{tmp_path}/s")
+    assert [r["value"] for r in spark.read.text(f"{tmp_path}/s/query_id=7").collect()] == ["a", "b"]
+
+
+def test_ingest_reads_new_files_once(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "a")], "id long, t string")
+    for k in (1, 2):
+        rows.withColumn("id", F.lit(k).cast("long")).write.mode("append").parquet(f"{tmp_path}/in")
+        for _ in range(2):
+            ingest.ingest_new(spark, f"{tmp_path}/in", rows.schema, f"{tmp_path}/out", f"{tmp_path}/seen")
+        assert sorted(r["id"] for r in spark.read.parquet(f"{tmp_path}/out").collect()) == list(range(1, k + 1))
+
+
+def test_page_escapes():
+    assert "<script>" not in gallery.page([{"a": "<script>", "b": None}], "t")
+    with pytest.raises(ValueError):
+        gallery.page([{}] * 101, "t")

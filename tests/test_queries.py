@@ -8,8 +8,9 @@ import duckdb
 import pytest
 
 from cinderloom.plans import registry
+from cinderloom.session import settle
 
-SF = "/root/testdata/sf0.001"
+SF = os.environ.get("CINDERLOOM_SF", "/root/testdata/sf0.001")
 
 
 @pytest.fixture(scope="module")
@@ -28,7 +29,7 @@ def plain(v):
 
 @pytest.mark.parametrize("name", sorted(registry.queries()))
 def test_query(spark, con, name):
-    df = registry.queries()[name](spark, SF)
+    df = registry.queries()[name](settle(spark), SF)
     got = sorted((tuple(plain(r[c]) for c in sorted(df.columns)) for r in df.collect()), key=repr)
     assert len(set(df.columns)) == len(df.columns)
     sql = registry.oracle_sql().get(name)
