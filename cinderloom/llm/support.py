@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import settle
+
 #: Runs of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE_RUN = r"[\x20\x09-\x0D]+"
@@ -16,7 +18,7 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return settle(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -33,7 +35,7 @@ def shared_folder(spark: SparkSession) -> str:
 
 def materialize(df: DataFrame, **options: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it again: lineage ends there, and a lost executor loses nothing."""
-    spark = df.sparkSession
+    spark = settle(df.sparkSession)
     path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
     df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
