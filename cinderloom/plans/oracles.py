@@ -64,7 +64,7 @@ VARIANTS = f"""WITH {EVENTS}, listed AS (SELECT id, list_concat([{{'t': text, 'w
 spread AS (SELECT id AS query_id, unnest(vs) AS v, generate_subscripts(vs, 1) - 1 AS i FROM listed), keyed AS (SELECT query_id, i, v.t AS t, v.w AS w, trim(lower(regexp_replace(v.t, '\\s+', ' ', 'g'))) AS key FROM spread),
 variants AS (SELECT * FROM keyed WHERE key <> '' QUALIFY row_number() OVER (PARTITION BY query_id, key ORDER BY i) = 1)"""
 BEST_OF = "greatest(0, 1 - abs(c.ts - o.ts) / 86400)"
-LINES = "SELECT frame, label, pos, score, x AS x0, y AS y0, x + (0.25::DOUBLE + tax) AS x1, y + 0.3::DOUBLE AS y1 FROM (SELECT l_orderkey AS frame, l_returnflag AS label, l_linenumber AS pos, l_quantity / 50 AS score, l_discount * 5 AS x, (l_extendedprice % 1000) / 2000 AS y, l_tax AS tax FROM lineitem)"
+LINES = "SELECT frame, label, pos, score, x AS x0, y AS y0, x + 0.25::DOUBLE + tax AS x1, y + 0.3::DOUBLE AS y1 FROM (SELECT l_orderkey AS frame, l_returnflag AS label, l_linenumber AS pos, l_quantity / 50 AS score, l_discount * 5 AS x, (l_extendedprice % 1000) / 2000 AS y, l_tax AS tax FROM lineitem)"
 ISSUES = """WITH ids AS (SELECT o_orderkey AS id, 'orders' AS c FROM orders UNION ALL SELECT l_orderkey, 'lineitem' FROM lineitem UNION ALL SELECT event_id, 'events' FROM events),
 m AS (SELECT id, count(*) FILTER (c = 'orders') AS o, count(*) FILTER (c = 'lineitem') AS l, count(*) FILTER (c = 'events') AS e FROM ids GROUP BY id),
 issues AS (SELECT id, 'error' AS severity, 'missing_component' AS code, 'orders' AS detail FROM m WHERE o = 0 UNION ALL SELECT id, 'warning', 'missing_component', 'lineitem' FROM m WHERE l = 0
@@ -87,7 +87,7 @@ g AS (SELECT video_id, list({{'u': 0.0::DOUBLE, 'score': score, 'id': id, 'ts':
     'score': c.score, 'id': c.id, 'ts': c.ts, 'rel': c.rel}}), 'DESC')[1] AS b FROM g WHERE len(rest) > 0)),
 c AS (SELECT video_id, unnest(chosen) AS b FROM g WHERE len(rest) = 0), o AS (SELECT row_number() OVER (ORDER BY b.u DESC, b.score DESC, b.id DESC) AS rank, b.id AS candidate_id, video_id, round(b.u, 6) AS utility FROM c)
 SELECT * FROM o WHERE rank <= 50""",
-    "nms_classwise": f"""WITH RECURSIVE d AS (SELECT *, row_number() OVER (PARTITION BY frame, label ORDER BY score DESC, pos) AS rn FROM ({LINES}) WHERE score >= 0.2),
+    "nms_classwise": f"""WITH RECURSIVE d AS (SELECT *, row_number() OVER (PARTITION BY frame, label ORDER BY score DESC, pos, x0, y0, x1, y1) AS rn FROM ({LINES}) WHERE score >= 0.2),
 r AS (SELECT frame, label, 1::BIGINT AS rn, [{{'pos': pos, 'score': score, 'x0': x0, 'y0': y0, 'x1': x1, 'y1': y1}}] AS kept FROM d WHERE rn = 1
   UNION ALL SELECT d.frame, d.label, d.rn, CASE WHEN len(list_filter(kept, lambda k: {SHARED} / ((k.x1 - k.x0) * (k.y1 - k.y0) + (d.x1 - d.x0) * (d.y1 - d.y0) - {SHARED}) > 0.5)) > 0 THEN kept
     ELSE list_append(kept, {{'pos': d.pos, 'score': d.score, 'x0': d.x0, 'y0': d.y0, 'x1': d.x1, 'y1': d.y1}}) END FROM r JOIN d ON d.frame = r.frame AND d.label = r.label AND d.rn = r.rn + 1),
