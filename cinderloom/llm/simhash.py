@@ -19,7 +19,8 @@ for blocks of bits. Its shards are documents that agree on a band of min-hashes
 and the first neighbour whose sketches show the similarity links it to that set. A sketch holds the ``SKETCH``
 least shingle hashes, so the similarity is exact up to so many distinct shingles and an estimate (standard error 0.02)
 beyond. Documents of equal shingle sets count as one. Shards of more than ``shard_rows`` are dealt out in blocks, each
-with the same few hundred leaders of the shard, so dense groups stay joined without a task holding all of one.
+with the same few hundred leaders of the shard, so dense groups are joined without a task holding all of one; then all
+pairs of blocks of such a shard are compared, less those of one component, each pair as a shard of its own.
 
 Defined results: a null text or one without words has fingerprint zero, linked like any other; a null id is never
 the smallest id of a component unless all its ids are null. Rows that repeat give the same result each. An empty table gives an empty
@@ -28,7 +29,7 @@ result. Extra columns are not read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from itertools import combinations
 
 import numpy as np
@@ -42,6 +43,7 @@ from .support import document_key, materialize
 
 SEED = 42
 SKETCH, BANDS, BAND_ROWS, LEADERS = 512, 14, 3, 100
+MASK = 0xFFFFFFFFFFFFFFFF
 #: Odd multipliers: each orders 64-bit hashes anew.
 MULTIPLIERS = np.random.default_rng(SEED).integers(0, 2**63, BANDS * BAND_ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -238,6 +240,11 @@ class Linked:
         return None
 
 
+def document_of(key: int, sketch: bytes) -> tuple[int, frozenset[int], bool]:
+    hashes = np.frombuffer(sketch, "<u4")
+    return key, frozenset(hashes.tolist()), len(hashes) < SKETCH
+
+
 def similarity(a: tuple[int, frozenset[int], bool], b: tuple[int, frozenset[int], bool]) -> float:
     """Jaccard similarity of two shingle sets by (id, least hashes, whether these are all)."""
     both = a[1] & b[1]
@@ -253,8 +260,7 @@ def similar_forest(shard: Sequence[tuple[int, int, bytes]], radius: int, least:
     sets: list[Linked] = []
     out = []
     for key, fp, sketch in shard:
-        hashes = np.frombuffer(sketch, "<u4")
-        document = (key, frozenset(hashes.tolist()), len(hashes) < SKETCH)
+        document = document_of(key, sketch)
         home, apart = None, []
         for s in sets:
             other = s.match(fp, document, radius, least)
@@ -275,36 +281,97 @@ def similar_forest(shard: Sequence[tuple[int, int, bytes]], radius: int, least:
     return out
 
 
-def similar_links(nodes: DataFrame, least: float, radius: int, shard_rows: int) -> DataFrame:
-    """(a, b): links that join all shingle sets (columns ``node``, ``fp``, ``bands``, ``sketch``) of similarity ``least``."""
-    dealt = nodes.select("node", F.posexplode("bands").alias("k", "part"))
-    sizes = dealt.groupBy("k", "part").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    blocks = F.ceil(F.col("n") / shard_rows).cast("int")
-    own = F.pmod(F.xxhash64("node", "k"), blocks).cast("int")
-    leader = F.pmod(F.xxhash64("node", F.lit(SEED)), F.col("n")) < LEADERS
-    block = F.when(F.col("n") <= shard_rows, F.array(F.lit(0))).when(leader, F.sequence(F.lit(0), blocks - 1)).otherwise(F.array(own))
-    dealt = dealt.join(sizes, ["k", "part"]).select("node", "k", "part", F.explode(block).alias("block"))
-    dealt = dealt.join(nodes.select("node", "fp", "sketch"), "node").select("node", "fp", "sketch", "k", "part", "block")
+def pair_links(shard: Sequence[tuple[int, int, int, bytes, int]], radius: int, least: float) -> list[tuple[int, int]]:
+    """Links among (id, component, unsigned fingerprint, sketch, side) that join components; documents of side 0 and 1
+    are compared across, those of side 2 with each other."""
+    parent: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        parent.setdefault(x, x)
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    sides: list[list[tuple]] = [[], [], []]
+    for key, component, fp, sketch, side in shard:
+        sides[side].append((component, fp, document_of(key, sketch)))
+    out = []
+    for k, (component, fp, document) in enumerate(sides[0] or sides[2]):
+        for other, near, earlier in sides[1] if sides[0] else sides[2][:k]:
+            if top(component) != top(other) and (fp ^ near).bit_count() <= radius and similarity(document, earlier) >= least:
+                parent[top(component)] = top(other)
+                out.append((document[0], earlier[0]))
+    return out
+
+
+def _searched(dealt: DataFrame, keys: Sequence[str], find: Callable[[list[tuple]], list[tuple[int, int]]]) -> DataFrame:
+    """(a, b): what ``find`` returns for the rows of each shard; ``dealt`` has the rows' columns, then ``keys``."""
+    width = len(dealt.columns) - len(keys)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def flush(shard: list[tuple[int, int, bytes]]) -> Iterator[pa.RecordBatch]:
-            if found := similar_forest(shard, radius, least) if len(shard) > 1 else []:
+        def flush(shard: list[tuple]) -> Iterator[pa.RecordBatch]:
+            if found := find(shard) if len(shard) > 1 else []:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], names=["a", "b"])
 
         last, shard = None, []
         for b in batches:
-            node, fp, sketch, *keys = (c.to_pylist() for c in b.columns)
-            for i, key in enumerate(zip(*keys, strict=True)):
+            columns = [c.to_pylist() for c in b.columns]
+            rows = zip(*columns[:width], strict=True)
+            for row, key in zip(rows, zip(*columns[width:], strict=True), strict=True):
                 if key != last:
                     yield from flush(shard)
                     last, shard = key, []
-                shard.append((node[i], fp[i] & 0xFFFFFFFFFFFFFFFF, sketch[i]))
+                shard.append(row)
         yield from flush(shard)
 
-    keys = ["k", "part", "block"]
     return dealt.repartition(*keys).sortWithinPartitions(*keys, "node").mapInArrow(search, "a long, b long")
 
 
+def similar_links(nodes: DataFrame, least: float, radius: int, shard_rows: int) -> DataFrame:
+    """(a, b): links that join all shingle sets (columns ``node``, ``fp``, ``bands``, ``sketch``) of similarity ``least``."""
+    dealt = nodes.select("node", F.posexplode("bands").alias("k", "part"))
+    sizes = materialize(dealt.groupBy("k", "part").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    blocks = F.ceil(F.col("n") / shard_rows).cast("int")
+    own = F.pmod(F.xxhash64("node", "k"), blocks).cast("int")
+    leader = F.pmod(F.xxhash64("node", F.lit(SEED)), F.col("n")) < LEADERS
+    block = F.when(F.col("n") <= shard_rows, F.array(F.lit(0))).when(leader, F.sequence(F.lit(0), blocks - 1)).otherwise(F.array(own))
+    blocked = dealt.join(sizes, ["k", "part"]).select("node", "k", "part", F.explode(block).alias("block"))
+    blocked = blocked.join(nodes.select("node", "fp", "sketch"), "node").select("node", "fp", "sketch", "k", "part", "block")
+    found = _searched(blocked, ["k", "part", "block"], lambda shard: similar_forest([(n, fp & MASK, s) for n, fp, s in shard], radius, least))
+    crowded = sizes.where(F.col("n") > shard_rows)
+    if crowded.isEmpty():
+        return found
+    found = materialize(found)
+    return found.unionByName(links_across(nodes, dealt.join(crowded, ["k", "part"]), components(found), least, radius, shard_rows))
+
+
+def links_across(nodes: DataFrame, crowded: DataFrame, member: DataFrame, least: float, radius: int, shard_rows: int) -> DataFrame:
+    """(a, b): links in the shards ``crowded`` (node, k, part) between documents that are not of one component yet.
+    Components of a shard lie in blocks, those of more than ``shard_rows`` in blocks of their own; all pairs of blocks
+    are compared, each as a shard, but for two blocks of one component."""
+    rows = crowded.select("node", "k", "part").join(member, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    rows = materialize(rows)
+    held = materialize(rows.groupBy("k", "part", "component").agg(F.count(F.lit(1)).alias("n")))
+    small = held.where(F.col("n") <= shard_rows).groupBy("k", "part").agg(F.sum("n").alias("rest"))
+    cuts = F.when(F.col("n") > shard_rows, F.ceil(F.col("n") / shard_rows)).otherwise(F.ceil(F.col("rest") / shard_rows)).cast("long")
+    held = materialize(held.join(small, ["k", "part"], "left").select("k", "part", "component", (F.col("n") > shard_rows).alias("large"), cuts.alias("cuts")))
+    number = F.pmod(F.xxhash64(F.when(F.col("large"), F.col("node")).otherwise(F.col("component"))), F.col("cuts"))
+    rows = rows.join(held, ["k", "part", "component"])
+    rows = materialize(rows.select("node", "k", "part", "component", F.struct(F.when(F.col("large"), F.col("component")).alias("of"), number.alias("no")).alias("block")))
+    blocks = rows.select("k", "part", "block").distinct()
+    pairs = blocks.withColumnRenamed("block", "x").join(blocks.withColumnRenamed("block", "y"), ["k", "part"])
+    one = F.coalesce(F.col("x.of") == F.col("y.of"), F.lit(False))
+    pairs = materialize(pairs.where((F.col("x") <= F.col("y")) & ~one))
+    same = F.array(F.struct(F.col("x").alias("block"), F.lit(2).alias("side")))
+    both = F.array(F.struct(F.col("x").alias("block"), F.lit(0).alias("side")), F.struct(F.col("y").alias("block"), F.lit(1).alias("side")))
+    asked = pairs.select("k", "part", "x", "y", F.explode(F.when(F.col("x") == F.col("y"), same).otherwise(both)).alias("s")).select("k", "part", "x", "y", "s.block", "s.side")
+    dealt = rows.join(asked, ["k", "part", "block"]).join(nodes.select("node", "fp", "sketch"), "node")
+    keys = ["k", "part", "xo", "xn", "yo", "yn"]
+    dealt = dealt.select("node", "component", "fp", "sketch", "side", "k", "part", F.col("x.of").alias("xo"), F.col("x.no").alias("xn"), F.col("y.of").alias("yo"), F.col("y.no").alias("yn"))
+    return _searched(dealt, keys, lambda shard: pair_links([(n, c, fp & MASK, s, side) for n, c, fp, s, side in shard], radius, least))
+
+
 def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
     """(node, least, fp, bands, sketch): every distinct shingle set, by its hash, with its first document."""
 
