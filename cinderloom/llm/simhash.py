@@ -16,9 +16,8 @@ agree on the shard's blocks still agree on one of r + 1 blocks of the free bits)
 ``one_of_each`` looks for a stated similarity of shingle sets instead, which differ by about 10 bits at 0.8: far too many
 for blocks of bits. Its shards are documents that agree on a band of min-hashes (a pair at 0.8 misses all bands once in
 20,000 times); in a shard each set of linked documents has a BK-tree, a document follows the edges within the radius,
-and the first neighbour whose sketches show the similarity links it to that set. A sketch holds the ``SKETCH``
-least shingle hashes, so the similarity is exact up to so many distinct shingles and an estimate (standard error 0.02)
-beyond. Documents of equal shingle sets count as one. Shards of more than ``shard_rows`` are dealt out in blocks, each
+and the first neighbour of the similarity links it to that set. Similarities are those of whole shingle sets, shingles
+being told apart by 32 bits of their hashes (at 20,000 shingles a similarity is wrong by about 0.000005). Documents of equal shingle sets count as one. Shards of more than ``shard_rows`` are dealt out in blocks, each
 with the same few hundred leaders of the shard, so dense groups are joined without a task holding all of one; then all
 pairs of blocks of such a shard are compared, less those of one component, each pair as a shard of its own.
 
@@ -42,8 +41,12 @@ from .components import components
 from .support import document_key, materialize
 
 SEED = 42
-SKETCH, BANDS, BAND_ROWS, LEADERS = 512, 14, 3, 100
+BANDS, BAND_ROWS, LEADERS = 14, 3, 100
+#: Shingle sets up to so many are held as Python sets, longer ones as arrays.
+SET = 512
 MASK = 0xFFFFFFFFFFFFFFFF
+#: A document of a shard: its id, the number of its shingles, and these as a set (short documents) and in order.
+Document = tuple[int, int, frozenset[int] | None, np.ndarray]
 #: Odd multipliers: each orders 64-bit hashes anew.
 MULTIPLIERS = np.random.default_rng(SEED).integers(0, 2**63, BANDS * BAND_ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -226,41 +229,43 @@ class Linked:
         self.tree, self.documents = BKTree(), {}
         self.size = 0
 
-    def add(self, fp: int, document: tuple[int, frozenset[int], bool]) -> None:
+    def add(self, fp: int, document: Document) -> None:
         self.documents.setdefault(fp, []).append(document)
         self.tree.insert(fp)
         self.size += 1
 
-    def match(self, fp: int, document: tuple[int, frozenset[int], bool], radius: int, least: float) -> int | None:
+    def match(self, fp: int, document: Document, radius: int, least: float) -> int | None:
         """Id of some document within ``radius`` bits and at ``least`` as similar."""
         for near in self.tree.search(fp, radius):
             for other in self.documents[near]:
-                if similarity(document, other) >= least:
+                if similarity(document, other, least) >= least:
                     return other[0]
         return None
 
 
-def document_of(key: int, sketch: bytes) -> tuple[int, frozenset[int], bool]:
-    hashes = np.frombuffer(sketch, "<u4")
-    return key, frozenset(hashes.tolist()), len(hashes) < SKETCH
+def document_of(key: int, shingles: bytes) -> Document:
+    hashes = np.frombuffer(shingles, "<u4")
+    return key, len(hashes), frozenset(hashes.tolist()) if len(hashes) <= SET else None, hashes
 
 
-def similarity(a: tuple[int, frozenset[int], bool], b: tuple[int, frozenset[int], bool]) -> float:
-    """Jaccard similarity of two shingle sets by (id, least hashes, whether these are all)."""
-    both = a[1] & b[1]
-    if a[2] and b[2]:
-        return len(both) / max(1, len(a[1]) + len(b[1]) - len(both))
-    union = sorted(a[1] | b[1])[:SKETCH]
-    return sum(x in both for x in union) / max(1, len(union))
+def similarity(a: Document, b: Document, least: float = 0.0) -> float:
+    """Jaccard similarity of two whole shingle sets; 0 if their sizes alone keep it under ``least``."""
+    if min(a[1], b[1]) < least * max(a[1], b[1]):
+        return 0.0
+    if a[2] is not None and b[2] is not None:
+        both = len(a[2] & b[2])
+    else:
+        both = len(np.intersect1d(a[3], b[3], assume_unique=True))
+    return both / max(1, a[1] + b[1] - both)
 
 
 def similar_forest(shard: Sequence[tuple[int, int, bytes]], radius: int, least: float) -> list[tuple[int, int]]:
-    """A spanning forest of the links among (id, unsigned fingerprint, sketch). Each set is searched up to its first link
+    """A spanning forest of the links among (id, unsigned fingerprint, shingles). Each set is searched up to its first link
     alone, so a dense group costs about one comparison a document."""
     sets: list[Linked] = []
     out = []
-    for key, fp, sketch in shard:
-        document = document_of(key, sketch)
+    for key, fp, shingles in shard:
+        document = document_of(key, shingles)
         home, apart = None, []
         for s in sets:
             other = s.match(fp, document, radius, least)
@@ -282,7 +287,7 @@ def similar_forest(shard: Sequence[tuple[int, int, bytes]], radius: int, least:
 
 
 def pair_links(shard: Sequence[tuple[int, int, int, bytes, int]], radius: int, least: float) -> list[tuple[int, int]]:
-    """Links among (id, component, unsigned fingerprint, sketch, side) that join components; documents of side 0 and 1
+    """Links among (id, component, unsigned fingerprint, shingles, side) that join components; documents of side 0 and 1
     are compared across, those of side 2 with each other."""
     parent: dict[int, int] = {}
 
@@ -294,12 +299,12 @@ def pair_links(shard: Sequence[tuple[int, int, int, bytes, int]], radius: int, l
         return x
 
     sides: list[list[tuple]] = [[], [], []]
-    for key, component, fp, sketch, side in shard:
-        sides[side].append((component, fp, document_of(key, sketch)))
+    for key, component, fp, shingles, side in shard:
+        sides[side].append((component, fp, document_of(key, shingles)))
     out = []
     for k, (component, fp, document) in enumerate(sides[0] or sides[2]):
         for other, near, earlier in sides[1] if sides[0] else sides[2][:k]:
-            if top(component) != top(other) and (fp ^ near).bit_count() <= radius and similarity(document, earlier) >= least:
+            if top(component) != top(other) and (fp ^ near).bit_count() <= radius and similarity(document, earlier, least) >= least:
                 parent[top(component)] = top(other)
                 out.append((document[0], earlier[0]))
     return out
@@ -329,7 +334,7 @@ def _searched(dealt: DataFrame, keys: Sequence[str], find: Callable[[list[tuple]
 
 
 def similar_links(nodes: DataFrame, least: float, radius: int, shard_rows: int) -> DataFrame:
-    """(a, b): links that join all shingle sets (columns ``node``, ``fp``, ``bands``, ``sketch``) of similarity ``least``."""
+    """(a, b): links that join all shingle sets (columns ``node``, ``fp``, ``bands``, ``shingles``) of similarity ``least``."""
     dealt = nodes.select("node", F.posexplode("bands").alias("k", "part"))
     sizes = materialize(dealt.groupBy("k", "part").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
     blocks = F.ceil(F.col("n") / shard_rows).cast("int")
@@ -337,7 +342,7 @@ def similar_links(nodes: DataFrame, least: float, radius: int, shard_rows: int)
     leader = F.pmod(F.xxhash64("node", F.lit(SEED)), F.col("n")) < LEADERS
     block = F.when(F.col("n") <= shard_rows, F.array(F.lit(0))).when(leader, F.sequence(F.lit(0), blocks - 1)).otherwise(F.array(own))
     blocked = dealt.join(sizes, ["k", "part"]).select("node", "k", "part", F.explode(block).alias("block"))
-    blocked = blocked.join(nodes.select("node", "fp", "sketch"), "node").select("node", "fp", "sketch", "k", "part", "block")
+    blocked = blocked.join(nodes.select("node", "fp", "shingles"), "node").select("node", "fp", "shingles", "k", "part", "block")
     found = _searched(blocked, ["k", "part", "block"], lambda shard: similar_forest([(n, fp & MASK, s) for n, fp, s in shard], radius, least))
     crowded = sizes.where(F.col("n") > shard_rows)
     if crowded.isEmpty():
@@ -366,14 +371,14 @@ def links_across(nodes: DataFrame, crowded: DataFrame, member: DataFrame, least:
     same = F.array(F.struct(F.col("x").alias("block"), F.lit(2).alias("side")))
     both = F.array(F.struct(F.col("x").alias("block"), F.lit(0).alias("side")), F.struct(F.col("y").alias("block"), F.lit(1).alias("side")))
     asked = pairs.select("k", "part", "x", "y", F.explode(F.when(F.col("x") == F.col("y"), same).otherwise(both)).alias("s")).select("k", "part", "x", "y", "s.block", "s.side")
-    dealt = rows.join(asked, ["k", "part", "block"]).join(nodes.select("node", "fp", "sketch"), "node")
+    dealt = rows.join(asked, ["k", "part", "block"]).join(nodes.select("node", "fp", "shingles"), "node")
     keys = ["k", "part", "xo", "xn", "yo", "yn"]
-    dealt = dealt.select("node", "component", "fp", "sketch", "side", "k", "part", F.col("x.of").alias("xo"), F.col("x.no").alias("xn"), F.col("y.of").alias("yo"), F.col("y.no").alias("yn"))
+    dealt = dealt.select("node", "component", "fp", "shingles", "side", "k", "part", F.col("x.of").alias("xo"), F.col("x.no").alias("xn"), F.col("y.of").alias("yo"), F.col("y.no").alias("yn"))
     return _searched(dealt, keys, lambda shard: pair_links([(n, c, fp & MASK, s, side) for n, c, fp, s, side in shard], radius, least))
 
 
 def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
-    """(node, least, fp, bands, sketch): every distinct shingle set, by its hash, with its first document."""
+    """(node, least, fp, bands, shingles): every distinct shingle set, by its hash, with its first document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -381,16 +386,16 @@ def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
             for text in b.column(2).to_pylist():
                 h = shingle_hashes(text, width)
                 distinct = np.unique(h)
-                sketch = (distinct[:SKETCH] >> np.uint64(32)).astype("<u4").tobytes()
+                shingles = np.unique((distinct >> np.uint64(32)).astype("<u4")).tobytes()
                 node = int.from_bytes(xxhash.xxh64_digest(distinct.tobytes(), SEED), "big", signed=True)
-                rows.append((node, majority(h), band_keys(distinct), sketch))
+                rows.append((node, majority(h), band_keys(distinct), shingles))
             types = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary()]
             made = [pa.array([r[k] for r in rows], t) for k, t in enumerate(types)]
-            yield pa.RecordBatch.from_arrays([*b.columns[:2], *made], names=["_doc", "_th", "node", "fp", "bands", "sketch"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:2], *made], names=["_doc", "_th", "node", "fp", "bands", "shingles"])
 
-    rows = docs.select(*document_key(docs), "text").mapInArrow(run, "_doc long, _th long, node long, fp long, bands array<long>, sketch binary")
-    first = rows.groupBy("node").agg(F.min(F.struct("_doc", "_th", "fp", "bands", "sketch")).alias("x"))
-    return first.select("node", F.struct("x._doc", "x._th").alias("least"), "x.fp", "x.bands", "x.sketch")
+    rows = docs.select(*document_key(docs), "text").mapInArrow(run, "_doc long, _th long, node long, fp long, bands array<long>, shingles binary")
+    first = rows.groupBy("node").agg(F.min(F.struct("_doc", "_th", "fp", "bands", "shingles")).alias("x"))
+    return first.select("node", F.struct("x._doc", "x._th").alias("least"), "x.fp", "x.bands", "x.shingles")
 
 
 def one_of_each(docs: DataFrame, *, width: int = 5, least: float = 0.8, radius: int = 20, shard_rows: int = 1_000) -> DataFrame:

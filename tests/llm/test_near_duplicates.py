@@ -43,3 +43,15 @@ def test_crowded_shards(spark, monkeypatch):
     texts += [" ".join([*dense, f"e{g}"]) for g in range(40)]
     want = similar_firsts(texts)
     assert len(want) == 41 and kept(spark, texts, shard_rows=5) == want
+
+
+def test_long_texts(spark):
+    texts = []
+    for g in range(12):
+        words = [f"g{g}w{k}" for k in range(1500)]
+        for k, share in enumerate((0.79, 0.795, 0.805, 0.81)):  # each pair on its own: share of the union that both have
+            own = [f"p{k}{w}" for w in words]
+            n = round(len(own) * (1 - share) / (1 + share))
+            texts += [" ".join(own), " ".join(own[:-n] + [f"n{k}{w}" for w in words[:n]])]
+    want = similar_firsts(texts)
+    assert len(want) == 72 and kept(spark, texts) == want
