@@ -16,7 +16,8 @@ agree on the shard's blocks still agree on one of r + 1 blocks of the free bits)
 ``one_of_each`` looks for a stated similarity of shingle sets instead, which differ by about 10 bits at 0.8: far too many
 for blocks of bits. Its shards are documents that agree on a band of min-hashes (a pair at 0.8 misses all bands once in
 20,000 times); in a shard each set of linked documents has a BK-tree, a document follows the edges within the radius,
-and the first neighbour of the similarity links it to that set. Similarities are those of whole shingle sets, shingles
+and the first neighbour of the similarity links it to that set; if there is none, the set's other documents are compared
+too, so that fingerprints only say which come first. Similarities are those of whole shingle sets, shingles
 being told apart by 32 bits of their hashes (at 20,000 shingles a similarity is wrong by about 0.000005). Documents of equal shingle sets count as one. Shards of more than ``shard_rows`` are dealt out in blocks, each
 with the same few hundred leaders of the shard, so dense groups are joined without a task holding all of one; then all
 pairs of blocks of such a shard are compared, less those of one component, each pair as a shard of its own.
@@ -235,11 +236,18 @@ class Linked:
         self.size += 1
 
     def match(self, fp: int, document: Document, radius: int, least: float) -> int | None:
-        """Id of some document within ``radius`` bits and at ``least`` as similar."""
+        """Id of some document at ``least`` as similar: those within ``radius`` bits first, then all others."""
+        seen = set()
         for near in self.tree.search(fp, radius):
+            seen.add(near)
             for other in self.documents[near]:
                 if similarity(document, other, least) >= least:
                     return other[0]
+        for far, documents in self.documents.items():
+            if far not in seen:
+                for other in documents:
+                    if similarity(document, other, least) >= least:
+                        return other[0]
         return None
 
 
@@ -286,8 +294,8 @@ def similar_forest(shard: Sequence[tuple[int, int, bytes]], radius: int, least:
     return out
 
 
-def pair_links(shard: Sequence[tuple[int, int, int, bytes, int]], radius: int, least: float) -> list[tuple[int, int]]:
-    """Links among (id, component, unsigned fingerprint, shingles, side) that join components; documents of side 0 and 1
+def pair_links(shard: Sequence[tuple[int, int, bytes, int]], least: float) -> list[tuple[int, int]]:
+    """Links among (id, component, shingles, side) that join components; documents of side 0 and 1
     are compared across, those of side 2 with each other."""
     parent: dict[int, int] = {}
 
@@ -299,12 +307,12 @@ def pair_links(shard: Sequence[tuple[int, int, int, bytes, int]], radius: int, l
         return x
 
     sides: list[list[tuple]] = [[], [], []]
-    for key, component, fp, shingles, side in shard:
-        sides[side].append((component, fp, document_of(key, shingles)))
+    for key, component, shingles, side in shard:
+        sides[side].append((component, document_of(key, shingles)))
     out = []
-    for k, (component, fp, document) in enumerate(sides[0] or sides[2]):
-        for other, near, earlier in sides[1] if sides[0] else sides[2][:k]:
-            if top(component) != top(other) and (fp ^ near).bit_count() <= radius and similarity(document, earlier, least) >= least:
+    for k, (component, document) in enumerate(sides[0] or sides[2]):
+        for other, earlier in sides[1] if sides[0] else sides[2][:k]:
+            if top(component) != top(other) and similarity(document, earlier, least) >= least:
                 parent[top(component)] = top(other)
                 out.append((document[0], earlier[0]))
     return out
@@ -348,10 +356,10 @@ def similar_links(nodes: DataFrame, least: float, radius: int, shard_rows: int)
     if crowded.isEmpty():
         return found
     found = materialize(found)
-    return found.unionByName(links_across(nodes, dealt.join(crowded, ["k", "part"]), components(found), least, radius, shard_rows))
+    return found.unionByName(links_across(nodes, dealt.join(crowded, ["k", "part"]), components(found), least, shard_rows))
 
 
-def links_across(nodes: DataFrame, crowded: DataFrame, member: DataFrame, least: float, radius: int, shard_rows: int) -> DataFrame:
+def links_across(nodes: DataFrame, crowded: DataFrame, member: DataFrame, least: float, shard_rows: int) -> DataFrame:
     """(a, b): links in the shards ``crowded`` (node, k, part) between documents that are not of one component yet.
     Components of a shard lie in blocks, those of more than ``shard_rows`` in blocks of their own; all pairs of blocks
     are compared, each as a shard, but for two blocks of one component."""
@@ -371,10 +379,10 @@ def links_across(nodes: DataFrame, crowded: DataFrame, member: DataFrame, least:
     same = F.array(F.struct(F.col("x").alias("block"), F.lit(2).alias("side")))
     both = F.array(F.struct(F.col("x").alias("block"), F.lit(0).alias("side")), F.struct(F.col("y").alias("block"), F.lit(1).alias("side")))
     asked = pairs.select("k", "part", "x", "y", F.explode(F.when(F.col("x") == F.col("y"), same).otherwise(both)).alias("s")).select("k", "part", "x", "y", "s.block", "s.side")
-    dealt = rows.join(asked, ["k", "part", "block"]).join(nodes.select("node", "fp", "shingles"), "node")
+    dealt = rows.join(asked, ["k", "part", "block"]).join(nodes.select("node", "shingles"), "node")
     keys = ["k", "part", "xo", "xn", "yo", "yn"]
-    dealt = dealt.select("node", "component", "fp", "shingles", "side", "k", "part", F.col("x.of").alias("xo"), F.col("x.no").alias("xn"), F.col("y.of").alias("yo"), F.col("y.no").alias("yn"))
-    return _searched(dealt, keys, lambda shard: pair_links([(n, c, fp & MASK, s, side) for n, c, fp, s, side in shard], radius, least))
+    dealt = dealt.select("node", "component", "shingles", "side", "k", "part", F.col("x.of").alias("xo"), F.col("x.no").alias("xn"), F.col("y.of").alias("yo"), F.col("y.no").alias("yn"))
+    return _searched(dealt, keys, lambda shard: pair_links(shard, least))
 
 
 def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
@@ -388,7 +396,7 @@ def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
                 distinct = np.unique(h)
                 shingles = np.unique((distinct >> np.uint64(32)).astype("<u4")).tobytes()
                 node = int.from_bytes(xxhash.xxh64_digest(distinct.tobytes(), SEED), "big", signed=True)
-                rows.append((node, majority(h), band_keys(distinct), shingles))
+                rows.append((node, majority(distinct), band_keys(distinct), shingles))
             types = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary()]
             made = [pa.array([r[k] for r in rows], t) for k, t in enumerate(types)]
             yield pa.RecordBatch.from_arrays([*b.columns[:2], *made], names=["_doc", "_th", "node", "fp", "bands", "shingles"])

@@ -55,3 +55,12 @@ def test_long_texts(spark):
             texts += [" ".join(own), " ".join(own[:-n] + [f"n{k}{w}" for w in words[:n]])]
     want = similar_firsts(texts)
     assert len(want) == 72 and kept(spark, texts) == want
+
+
+def test_repeated_run(spark):
+    texts = []
+    for g in range(60):
+        words = [f"g{g}w{k}" for k in range(104)]
+        texts += [" ".join(words), " ".join(words[:50] + [f"again{g}"] * 20 + words[50:])]
+    want = similar_firsts(texts)
+    assert len(want) == 60 and kept(spark, texts) == want
