@@ -2,7 +2,7 @@
 
 Lines are the ``\\n``-split parts of a text; their words are runs of characters other than ASCII white space. Of equal
 lines with at least ``min_words`` words the earliest stays. Of lines with at least ``near_min_words`` words that
-differ by at most one word put in, left out or replaced, a later one goes if any earlier one exists in the input
+differ by at most one word put in, left out or replaced (or in white space alone), a later one goes if any earlier one exists in the input
 (whether or not that one stays). Earlier means smaller document id, then smaller line number.
 
 How: every distinct line has a hash of its words and, for each word, a hash of the line without it (the deletion
@@ -85,10 +85,10 @@ def near_partners(docs: DataFrame, firsts: DataFrame) -> DataFrame:
 
     a = claims.join(lines.select("h1", "h2", "w"), ["h1", "h2"])
     pairs = a.join(lines.select(F.col("at").alias("other"), F.col("w").alias("v")), "other")
-    # the first place at which they differ: one word less there must make them equal
+    # the first place at which they differ (0: nowhere): one word less there must make them equal
     pairs = pairs.withColumn("long", F.when(F.size("w") >= F.size("v"), F.col("w")).otherwise(F.col("v")))
     pairs = pairs.withColumn("short", F.when(F.size("w") >= F.size("v"), F.col("v")).otherwise(F.col("w")))
-    pairs = pairs.withColumn("d", F.expr("array_position(zip_with(long, short, (x, y) -> x <=> y), false)")).where("d > 0 AND size(long) - size(short) <= 1")
+    pairs = pairs.withColumn("d", F.expr("array_position(zip_with(long, short, (x, y) -> x <=> y), false)")).where("size(long) - size(short) <= 1")
     rest = "slice(long, CAST(d AS INT) + 1, size(long)) = slice(short, CAST(d AS INT) + size(short) - size(long) + 1, size(long))"
     return pairs.where(rest).select("h1", "h2").distinct()
 
