@@ -1,8 +1,9 @@
 """License scan by a positional rare-token index, DataFrame operations only.
 
 Templates are word lists with mandatory key phrases. The index posts every indexed template word under (template,
-position). Of a file's words the ``top`` with the highest inverse document frequency (over all documents), and the
-rarest word of each base phrase, are looked up; a posting and a place in the file together name a start of the
+position). Of each template the ``top`` words with the highest inverse document frequency (over all documents), and as
+many more as stand in over ``1 - min_coverage`` of its places, so that every match has one of them (at most all that are indexed), are looked up in a
+file; of a base phrase it is the rarest. A posting and a place in the file together name a start of the
 template in the file, so that hits agreeing on a relative position name the same start. At each such start the
 template's words are compared place by place; it counts if ``min_coverage`` of them match and all its key phrases
 stand in that stretch. Base phrases are templates of their own that must match whole.
@@ -79,19 +80,28 @@ def scan_licenses(docs: DataFrame, *, templates: Sequence[Template] = TEMPLATES,
     counts = hits.select(F.explode("present").alias("word")).groupBy("word").count()
     df = {r["word"]: r["count"] for r in counts.collect()}  # as many rows as the templates have words
     rarest = sorted(indexed, key=lambda x: (df.get(x, 0), x))
-    rank = {x: k for k, x in enumerate(rarest)}
-    anchors = sorted({min((x for x in p if x in rank), key=rank.__getitem__) for p in parts[: len(base)]})
 
-    ranks = F.create_map(*[x for word in rarest for x in (F.lit(word), F.lit(rank[word]))])
-    posting = lambda word: F.array(*[F.lit((t << 40) - at + (1 << 20)).cast("long") for t, p in enumerate(parts) for at, x in enumerate(p) if x == word])
-    postings = F.create_map(*[x for word in rarest for x in (F.lit(word), posting(word))])
+    def looked_up(k: int, p: list[str]) -> set[str]:
+        """A template's rarest words: without any of them in place less than its least coverage would match."""
+        own = [x for x in rarest if x in p]
+        if k < len(base):
+            return set(own[:1])
+        n = min(top, len(own))
+        while n < len(own) and len(p) - sum(p.count(x) for x in own[:n]) >= min_coverage * len(p):
+            n += 1
+        return set(own[:n])
+
+    chosen = [looked_up(k, p) for k, p in enumerate(parts)]
+    look = sorted(set().union(*chosen))
+
+    posting = lambda word: F.array(*[F.lit((t << 40) - at + (1 << 20)).cast("long") for t, p in enumerate(parts) for at, x in enumerate(p) if x == word and x in chosen[t]])
+    postings = F.create_map(*[x for word in look for x in (F.lit(word), posting(word))])
     forms = F.array(*[
         F.struct(F.lit(t.label).alias("label"), F.lit(k < len(base)).alias("is_base"), F.lit(1.0 if k < len(base) else min_coverage).alias("least"), _array(parts[k]).alias("words"), _array([f" {x} " for x in t.keys]).alias("keys"))
         for k, t in enumerate(every)
     ])
 
-    x = hits.withColumn("look", F.transform(F.slice(F.array_sort(F.transform("present", lambda v: F.struct(F.element_at(ranks, v).alias("r"), v.alias("v")))), 1, top), lambda s: s["v"]))
-    x = x.withColumn("look", F.array_union("look", F.array_intersect("present", _array(anchors))))
+    x = hits.withColumn("look", F.array_intersect("present", _array(look)))
     at = F.filter(F.transform("w", lambda v, i: F.when(F.array_contains("look", v), i)), lambda i: i.isNotNull())
     starts = F.array_distinct(F.flatten(F.transform(at, lambda i: F.transform(F.element_at(postings, F.get("w", i)), lambda s: s + i))))
     x = x.withColumn("starts", starts)
