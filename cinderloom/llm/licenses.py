@@ -4,9 +4,10 @@ Templates are word lists with mandatory key phrases. The index posts every index
 position). Of each template the ``top`` words with the highest inverse document frequency (over all documents), and as
 many more as stand in over ``1 - min_coverage`` of its places, so that every match has one of them (at most all that are indexed), are looked up in a
 file; of a base phrase it is the rarest. A posting and a place in the file together name a start of the
-template in the file, so that hits agreeing on a relative position name the same start. At each such start the
-template's words are compared place by place; it counts if ``min_coverage`` of them match and all its key phrases
-stand in that stretch. Base phrases are templates of their own that must match whole.
+template in the file, so that hits agreeing on a relative position name the same start. Postings are intersected by that
+start: it stands if as many hits agree on it as a match must have (the looked-up places less the places that may
+differ). There the template's words are compared place by place; it counts if ``min_coverage`` of them match and all
+its key phrases stand in that stretch. Base phrases are templates of their own that must match whole.
 
 Words are runs of digits, ASCII letters in lower case, and characters beyond ASCII.
 
@@ -16,6 +17,7 @@ repeat give the same result each. An empty table gives an empty result. Extra co
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -101,9 +103,19 @@ def scan_licenses(docs: DataFrame, *, templates: Sequence[Template] = TEMPLATES,
         for k, t in enumerate(every)
     ])
 
+    # a match has at least so many of its template's looked-up places
+    places = [sum(x in c for x in p) for c, p in zip(chosen, parts, strict=True)]
+    agree = F.array(*[F.lit(max(1, n - (0 if k < len(base) else len(p) - math.ceil(min_coverage * len(p) - 1e-9)))) for k, (n, p) in enumerate(zip(places, parts, strict=True))])
+
     x = hits.withColumn("look", F.array_intersect("present", _array(look)))
     at = F.filter(F.transform("w", lambda v, i: F.when(F.array_contains("look", v), i)), lambda i: i.isNotNull())
-    starts = F.array_distinct(F.flatten(F.transform(at, lambda i: F.transform(F.element_at(postings, F.get("w", i)), lambda s: s + i))))
+    named = F.array_sort(F.flatten(F.transform(at, lambda i: F.transform(F.element_at(postings, F.get("w", i)), lambda s: s + i))))
+
+    def agreed(every: Column) -> Column:  # equal starts lie together: the first of enough of them
+        enough = lambda s, i: (F.get(every, i + F.get(agree, F.shiftright(s, 40).cast("int")) - 1) == s) & ~F.coalesce(F.get(every, i - 1) == s, F.lit(False))
+        return F.filter(F.transform(every, lambda s, i: F.when(enough(s, i), s)), lambda s: s.isNotNull())
+
+    starts = let(named, agreed)
     x = x.withColumn("starts", starts)
 
     def judged(code: Column) -> Column:
