@@ -3,8 +3,8 @@
 Base rules follow from word counts alone. The method compares two histograms of a document with references of its
 language by Jensen-Shannon distance (base 2, so 0 to 1): character classes (letters, upper-case letters, digits,
 punctuation, symbols, white space, and the rest) and the language's common words (a parameter, with one class for
-all other words; languages without such a list are judged by characters alone). References are sums over all documents of a language; a language with fewer than ``min_reference``
-documents is held against the sums over all documents. Documents under ``min_words`` words are too short for a
+all other words; languages without such a list are judged by characters alone). References are sums over all documents of a language; the characters of a language with fewer than
+``min_reference`` documents are held against the sums over all documents, its common words against nothing. Documents under ``min_words`` words are too short for a
 histogram and keep their base verdict; the common-word distance also needs ``min_words_for_words``.
 
 Defined results: a null text counts as empty (no words, so it fails the base rules). A null language is a language
@@ -33,8 +33,6 @@ COMMON_WORDS = {
 MAX_CLASS_DISTANCE = 0.22
 MAX_WORD_DISTANCE = 0.35
 MIN_REFERENCE = 100
-#: Languages with a reference of their own; the rest take the pooled one. Bounds what is broadcast.
-MAX_LANGUAGES = 256
 
 
 def _left(text: Column, pattern: str) -> Column:
@@ -70,7 +68,7 @@ def window_hashes(w: Column, width: int) -> Column:
 
 def measure(docs: DataFrame, common: Mapping[str, Sequence[str]], keep: Sequence[str] = ()) -> DataFrame:
     """Counts of every document in one pass over the texts; no text comes out unless ``keep`` names it."""
-    x = docs.select("doc_id", *[F.col(c).alias(f"_keep_{c}") for c in keep], F.coalesce("text", F.lit("")).alias("t"), F.coalesce("lang", F.lit("")).alias("lang"))
+    x = docs.select("doc_id", *[F.col(c).alias(f"_keep_{c}") for c in keep], F.coalesce("text", F.lit("")).alias("t"), "lang")
     listed = F.array().cast("array<string>")
     for lang, those in common.items():
         listed = F.when(F.col("lang") == lang, F.array(*[F.lit(v) for v in those])).otherwise(listed)
@@ -118,16 +116,13 @@ def _word_counts() -> Column:
     return F.transform(F.concat(F.col("common_counts"), F.array(rest)), lambda v: v.cast("double"))
 
 
-def references(measured: DataFrame, min_reference: int, listed: int) -> DataFrame:
-    """(lang, classes, common) of every language with enough documents, and of all documents under a null lang."""
+def references(measured: DataFrame, listed: int, *by: str) -> DataFrame:
+    """(docs, ref_classes, ref_words): sums over all documents, or over those of each value of ``by``."""
     sums = [F.sum(F.col("cc")[k]).alias(f"c{k}") for k in range(len(CLASSES))] + [F.sum(F.get("wc", F.lit(k))).alias(f"w{k}") for k in range(listed + 1)]
-    rows = measured.select("lang", _class_counts().alias("cc"), _word_counts().alias("wc"))
-    by_lang = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("docs"), *sums)
-    by_lang = by_lang.where(F.col("docs") >= min_reference).orderBy(F.desc("docs"), "lang").limit(MAX_LANGUAGES)
-    pooled = rows.agg(F.count(F.lit(1)).alias("docs"), *sums).select(F.lit(None).cast("string").alias("lang"), "docs", *[f"c{k}" for k in range(len(CLASSES))], *[f"w{k}" for k in range(listed + 1)])
-    both = by_lang.unionByName(pooled)
+    rows = measured.select(*by, _class_counts().alias("cc"), _word_counts().alias("wc"))
+    found = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("docs"), *sums)
     present = lambda names: F.filter(F.array(*names), lambda v: v.isNotNull())
-    return both.select("lang", present([f"c{k}" for k in range(len(CLASSES))]).alias("ref_classes"), present([f"w{k}" for k in range(listed + 1)]).alias("ref_words"))
+    return found.select(*by, "docs", present([f"c{k}" for k in range(len(CLASSES))]).alias("ref_classes"), present([f"w{k}" for k in range(listed + 1)]).alias("ref_words"))
 
 
 def quality_rules(
@@ -143,12 +138,12 @@ def quality_rules(
 ) -> DataFrame:
     """Measures, distances and verdict of every document (columns ``keep`` come along as ``_keep_<name>``)."""
     measured = materialize(measure(docs, common, keep))
-    found = references(measured, min_reference, max(map(len, common.values()), default=0)).collect()
-    schema = "ref_lang string, ref_classes array<double>, ref_words array<double>"
-    by_lang = docs.sparkSession.createDataFrame([tuple(r) for r in found if r["lang"] is not None], schema)
-    pooled = next(r for r in found if r["lang"] is None)
+    listed = max(map(len, common.values()), default=0)
+    pooled = references(measured, listed).first()
+    # as many rows as languages: written, so that the join goes by their true size
+    by_lang = materialize(references(measured, listed, "lang").where(F.col("docs") >= min_reference).withColumnRenamed("lang", "ref_lang"))
     array = lambda v: F.array(*[F.lit(float(x)) for x in v]).cast("array<double>")
-    x = measured.join(F.broadcast(by_lang), F.col("lang") == F.col("ref_lang"), "left")
+    x = measured.join(by_lang, F.col("lang").eqNullSafe(F.col("ref_lang")), "left")
     x = x.withColumn("class_distance", js_distance(_class_counts(), F.coalesce("ref_classes", array(pooled["ref_classes"]))))
     x = x.withColumn("word_distance", F.when(F.size("common_counts") > 0, js_distance(_word_counts(), F.col("ref_words"))))
     base = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
