@@ -1,17 +1,23 @@
 """Exact top-k search by inner product as a Voronoi kNN join.
 
 Inner products become distances by one more coordinate: with R the largest squared norm, |q - (x, sqrt(R - |x|^2))|^2
-= |q|^2 + R - 2 q.x. A bounded sample of vectors gives pivots; every vector belongs to its nearest pivot. Summaries
-per cell (size, radius, and the k smallest distances to the pivot) bound the k-th distance of all queries of a cell;
-by the triangle inequality a query cell needs only the data whose distance to their own pivot reaches into that
-bound. Those rows alone are replicated, dealt over as many parts as the counts ask for, and solved by matrix products;
-the parts' k best meet in one more ranking.
+= |q|^2 + R - 2 q.x. A bounded sample of vectors gives pivots, about as many as the square root of the rows; every vector
+belongs to its nearest pivot. Pivots of queries are put together in groups of about ``group_queries`` queries, near pivots
+first, since each group is sent its data once.
 
-Vectors are integers floor(scale * x), so scores are exact; bounds are in doubles with a margin. A query id that repeats asks once, with its smallest vector.
+First every group is solved against the data of its own cells. That gives each query a k-th score that the true one
+cannot be below, so a distance bound. Summaries (per group and cell, the least and the greatest distance from the pivot
+that a bound allows, by the triangle inequality; per cell, its rows and radius) then say which rows of other cells can
+still matter to a group. Those rows alone are replicated, dealt over as many parts as the counts ask for, and solved
+by matrix products; the parts' k best meet in one more ranking.
+
+Vectors are integers floor(scale * x), so scores are exact; bounds are in doubles with a margin. A query id that repeats
+asks once, with its smallest vector.
 
 Defined results: null vectors, vectors with null or non-finite components and rows without an id take no part, nor
-do vectors of another length than ``dim`` (by default the most frequent one). A query's own row is any row with its
-id. Ties go to the smaller id. An empty table gives an empty result. Extra columns are not read.
+do vectors of another length than ``dim`` (by default the most frequent one), which have no inner product with the rest.
+A query's own row is any row with its id. Ties go to the smaller id. An empty table gives an empty result. Extra
+columns are not read.
 """
 
 from __future__ import annotations
@@ -28,7 +34,8 @@ from .support import materialize
 
 #: Rows of a part of a query cell, at most about: bounds what one task holds.
 PART_ROWS, PART_QUERIES = 20_000, 1_000
-PIVOTS = 24
+MIN_PIVOTS, MAX_PIVOTS = 8, 512
+MARGIN = 1e-6
 
 
 def integer_vectors(df: DataFrame, id_col: str, vec_col: str, scale: float, dim: int | None) -> DataFrame:
@@ -52,19 +59,44 @@ def top_k_search(
     k: int = 10,
     query_modulus: int = 100,
     scale: float = 1024.0,
-    pivots: int = PIVOTS,
+    pivots: int | None = None,
+    group_queries: int = PART_QUERIES,
     sample: int = 4096,
     id_col: str = "vec_id",
     vec_col: str = "embedding",
     dim: int | None = None,
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): the k best of all other rows for every row whose id ``query_modulus`` divides."""
+    _, _, local = _plan(vectors, k, query_modulus, scale, pivots, group_queries, sample, id_col, vec_col, dim)
+    if local is None:
+        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    return local.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def pivot_groups(centre: np.ndarray, queries: dict[int, int], most: int) -> list[int]:
+    """Group of each pivot: a walk from pivot to nearest pivot, cut where a group would have over ``most`` queries."""
+    left, at = set(range(1, len(centre))), 0
+    group, held, number = [0] * len(centre), queries.get(0, 0), 0
+    while left:
+        near = np.fromiter(left, np.int64)
+        at = int(near[((centre[near] - centre[at]) ** 2).sum(1).argmin()])
+        left.discard(at)
+        if held and held + queries.get(at, 0) > most:
+            number, held = number + 1, 0
+        group[at] = number
+        held += queries.get(at, 0)
+    return group
+
+
+def _plan(vectors: DataFrame, k: int, query_modulus: int, scale: float, pivots: int | None, group_queries: int, sample: int, id_col: str, vec_col: str, dim: int | None):
+    """Placed vectors, the rows (cell, grp, lo, hi) that other groups need, and (query_id, vec_id, score) of all parts."""
     spark = vectors.sparkSession
-    schema = "query_id long, rank int, vec_id long, score long"
     rows = integer_vectors(vectors, id_col, vec_col, scale, dim)
     stats = rows.agg(F.count(F.lit(1)).alias("n"), F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)).alias("r")).first()
     if not stats["n"]:
-        return spark.createDataFrame([], schema)
+        return None, None, None
+    pivots = pivots or min(MAX_PIVOTS, max(MIN_PIVOTS, int(stats["n"] ** 0.5)))
     top_norm = float(stats["r"])
     # pivots: the sample's rows of smallest id hash, distinct
     drawn = rows.withColumn("h", F.xxhash64("id", F.lit("pivot"))).orderBy("h", "id").limit(sample).select("v").collect()
@@ -95,45 +127,17 @@ def top_k_search(
             )
 
     placed = materialize(rows.mapInArrow(assign, "id long, v array<double>, cell int, dist double, is_query boolean, q_cell int, q_dist double"))
-    # summaries: bounded by pivots x (k + 1) rows
-    by_cell = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("dist").alias("far"))
-    repeats = placed.groupBy("id").count().agg(F.max("count")).first()[0]  # rows that a query must not count on
-    enough = k + repeats
-    spread = placed.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(64)))
-    near = spread.select("cell", "part", "dist", F.row_number().over(Window.partitionBy("cell", "part").orderBy("dist")).alias("r")).where(F.col("r") <= enough)
-    near = near.select("cell", "dist", F.row_number().over(Window.partitionBy("cell").orderBy("dist")).alias("r")).where(F.col("r") <= enough)
-    nearest: dict[int, list[float]] = {}
-    for r in near.select("cell", "dist").collect():
-        nearest.setdefault(r["cell"], []).append(r["dist"])
-    cells = {r["cell"]: (r["n"], r["far"]) for r in by_cell.collect()}
-    groups = {r["q_cell"]: (r["n"], r["far"]) for r in placed.where("is_query").groupBy("q_cell").agg(F.count(F.lit(1)).alias("n"), F.max("q_dist").alias("far")).collect()}
-    if not groups:
-        return spark.createDataFrame([], schema)
-    # |q - s| <= |q - p_i| + |p_i - p_j| + |p_j - s|; up to ``repeats`` of the rows may have the query's id
-    gap = np.sqrt(np.maximum(0.0, ((centre[:, None, :] - centre[None, :, :]) ** 2).sum(2)))
-    need = []
-    for i, (n_q, far_q) in groups.items():
-        bounds = sorted(far_q + gap[i, j] + d for j, ds in nearest.items() for d in ds)
-        theta = bounds[enough - 1] if len(bounds) >= enough else float("inf")
-        total = 0
-        reach = {}
-        for j, (n, far) in cells.items():
-            least = gap[i, j] - far_q - theta  # |p_j - s| >= |p_i - p_j| - |q - p_i| - |q - s|
-            most = gap[i, j] + far_q + theta
-            margin = 1e-6 * (1 + abs(gap[i, j]) + far_q)
-            if far >= least - margin:
-                reach[j] = (float(least - margin), float(min(most + margin, 1e300)))
-                total += n
-        parts, q_parts = max(1, -(-total // PART_ROWS)), max(1, -(-n_q // PART_QUERIES))
-        need += [(j, i, lo, hi, parts, q_parts) for j, (lo, hi) in reach.items()]
-    plan = F.broadcast(spark.createDataFrame(need, "cell int, grp int, lo double, hi double, parts int, q_parts int"))
-    dealt = spark.createDataFrame([(g, p, q) for _, g, p, q in {(0, x[1], x[4], x[5]) for x in need}], "q_cell int, parts int, q_parts int")
-
-    data = placed.join(plan, "cell").where("dist BETWEEN lo AND hi")
-    data = data.select(F.col("grp"), F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"), F.explode(F.sequence(F.lit(0), F.col("q_parts") - 1)).alias("q_part"), F.col("id").alias("id"), F.col("v").alias("v"))
-    queries = placed.where("is_query").groupBy("id").agg(F.min(F.struct("v", "q_cell")).alias("x")).select("id", "x.v", "x.q_cell")
-    queries = queries.join(F.broadcast(dealt), "q_cell")
-    queries = queries.select(F.col("q_cell").alias("grp"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.pmod(F.xxhash64("id"), F.col("q_parts")).cast("int").alias("q_part"), F.col("id").alias("qid"), F.col("v").alias("qv"))
+    cells = materialize(placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("dist").alias("far")))
+    asked = {r["q_cell"]: r["n"] for r in placed.where("is_query").groupBy("q_cell").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a pivot
+    if not asked:
+        return None, None, None
+    of_pivot = pivot_groups(centre, asked, group_queries)
+    sizes = [sum(n for c, n in asked.items() if of_pivot[c] == g) for g in range(max(of_pivot) + 1)]
+    q_parts = [max(1, -(-n // PART_QUERIES)) for n in sizes]
+    number = lambda values, at: F.get(F.array(*[F.lit(x) for x in values]), F.col(at))
+    queries = placed.where("is_query").groupBy("id").agg(F.min(F.struct("v", "q_cell")).alias("x"))
+    queries = materialize(queries.select("id", "x.v", number(of_pivot, "x.q_cell").alias("grp")))
+    by_group = cells.withColumn("grp", number(of_pivot, "cell"))
 
     def solve(q: pd.DataFrame, s: pd.DataFrame) -> pd.DataFrame:
         none = pd.DataFrame({"query_id": np.zeros(0, "int64"), "vec_id": np.zeros(0, "int64"), "score": np.zeros(0, "int64")})
@@ -154,8 +158,49 @@ def top_k_search(
                 out.append(pd.DataFrame({"query_id": qid, "vec_id": ids[best], "score": line[best].astype("int64")}))
         return pd.concat(out) if out else none
 
-    keys = ["grp", "part", "q_part"]
-    queries = queries.select(*[F.col(c).alias(f"q_{c}") for c in keys], "qid", "qv")
-    local = queries.groupBy(*[f"q_{c}" for c in keys]).cogroup(data.groupBy(*keys)).applyInPandas(solve, "query_id long, vec_id long, score long")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return local.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    def solved(data: DataFrame, parts: DataFrame) -> DataFrame:
+        """The k best of each part; ``data`` has (grp, id, v), ``parts`` the number of parts (grp, parts)."""
+        keys = ["grp", "part", "q_part"]
+        split = number(q_parts, "grp")
+        data = data.join(parts, "grp").select(
+            "grp", F.pmod(F.xxhash64("id"), "parts").cast("int").alias("part"), F.explode(F.sequence(F.lit(0), split - 1)).alias("q_part"), "id", "v"
+        )
+        asking = queries.join(parts, "grp").select(
+            F.col("grp").alias("q_grp"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("q_part"), F.pmod(F.xxhash64("id"), split).cast("int").alias("q_q_part"),
+            F.col("id").alias("qid"), F.col("v").alias("qv"),
+        )
+        return asking.groupBy("q_grp", "q_part", "q_q_part").cogroup(data.groupBy(*keys)).applyInPandas(solve, "query_id long, vec_id long, score long")
+
+    in_parts = F.ceil(F.sum("n") / PART_ROWS).cast("int").alias("parts")
+    own = materialize(solved(placed.select(number(of_pivot, "cell").alias("grp"), "id", "v"), by_group.groupBy("grp").agg(in_parts)))
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"))
+    kth = own.withColumn("r", F.row_number().over(best)).where(F.col("r") == k).select(F.col("query_id").alias("id"), "score")
+
+    def reach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Per group and cell, between which distances from the pivot a row can be better than a query's k-th."""
+        for b in batches:
+            v = _matrix(b.column(1))
+            if not len(v):
+                continue
+            norm = (v**2).sum(1)
+            score = np.array([-np.inf if x is None else x for x in b.column(3).to_pylist()], float)
+            bound = np.sqrt(np.maximum(0.0, norm + top_norm - 2 * score))
+            full = np.hstack([v, np.zeros((len(v), 1))])
+            d = np.sqrt(np.maximum(0.0, norm[:, None] + (centre**2).sum(1)[None, :] - 2 * full @ centre.T))
+            margin = MARGIN * (1 + d + np.where(np.isfinite(bound), bound, 0.0)[:, None])
+            lo, hi = d - bound[:, None] - margin, np.minimum(d + bound[:, None] + margin, 1e300)
+            grp = b.column(2).to_numpy()
+            for g in np.unique(grp):
+                mine = grp == g
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(centre), g, "int32")), pa.array(np.arange(len(centre), dtype="int32")), pa.array(np.maximum(lo[mine].min(0), -1e300)), pa.array(hi[mine].max(0))],
+                    names=["grp", "cell", "lo", "hi"],
+                )
+
+    bounded = queries.join(kth, "id", "left").select("id", "v", "grp", "score")
+    need = bounded.mapInArrow(reach, "grp int, cell int, lo double, hi double").groupBy("grp", "cell").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    need = need.join(by_group.withColumnRenamed("grp", "home"), "cell").where((F.col("grp") != F.col("home")) & (F.col("far") >= F.col("lo")))
+    need = materialize(need.select("cell", "grp", "lo", "hi", "n"))
+    other = placed.join(need.drop("n"), "cell").where("dist BETWEEN lo AND hi").select("grp", "id", "v")
+    rest = solved(other, need.groupBy("grp").agg(in_parts))
+    return placed, need, own.unionByName(rest)
