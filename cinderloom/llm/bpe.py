@@ -1,19 +1,22 @@
 """Byte-level BPE encoding and decoding.
 
-Words are the matches of the tokenizer's pattern. Each distinct word of the corpus is encoded once, by Spark
-higher-order functions that fold ranked merges over the word's byte array: the state holds the pieces and the rank of
-every neighbouring pair; a step merges the leftmost pair of least rank and looks up the two new pairs. Ranks sit in
-literal arrays (a two-choice hash table and the pieces by rank), whose size is the vocabulary's.
+A text is cut before every space that a character other than white space follows; no match of the tokenizer's pattern
+crosses such a cut (the pattern lets a word begin with one space). Words are the matches of the pattern in these chunks.
+Each distinct word of the corpus is encoded once, by Spark higher-order functions that fold ranked merges over the
+word's byte array. The state of the fold is one number a part: its id, and the rank of the pair that it makes with the
+next part; a step merges the leftmost pair of least rank and looks up the two new pairs. The rank map is literal: pairs
+of ids lie in one array, each in a slot that no other pair has (perfect hashing by shifted buckets), and an entry names
+its pair, so that a look-up needs one slot. Its size is the vocabulary's.
 
 Documents then take their words' ids from a word table. The ``table_words`` most frequent words are broadcast (hash,
-place, ids: bounded by that parameter); words beyond it, or longer than ``LONG_WORD`` bytes, reach their
-documents by a join on the text. Decoding concatenates the binary pieces of the ids.
+place, ids: bounded by that parameter and ``TABLE_IDS`` ids a word); a document that holds other words gets them by a
+join, and no other document takes part in that. Decoding concatenates the binary pieces of the ids.
 
-Words longer than ``LONG_WORD`` bytes are merged by a heap over linked pieces, since the fold copies the pieces at every
+Words longer than ``LONG_WORD`` bytes are merged by a heap over linked parts, since the fold copies the parts at every
 step; both give the same ids.
 
 Defined results: a null text counts as empty, with no ids. Rows that repeat give the same result each. An empty table
-gives an empty result. Extra columns are not read.
+gives an empty result. Extra columns are not read. A text of any length is encoded whole.
 """
 
 from __future__ import annotations
@@ -35,11 +38,15 @@ from pyspark.sql import functions as F
 from .support import let, materialize
 
 LONG_WORD = 256
-TABLE_WORDS = 4_000_000
+TABLE_WORDS, TABLE_IDS = 4_000_000, 64
 WORDS_A_TASK = 50_000
-NO_RANK = 2**31 - 1
-#: A space before white space or the end: there, cutting at spaces would cut a match.
+#: Chunks that a worker counts, and those whose ids it keeps, before it begins anew.
+COUNTED, CACHED = 600_000, 500_000
+#: A space before white space or the end: there, cutting at every space would cut a match.
 UNSAFE = re.compile(r" (?:\s|\Z)")
+CUT = regex.compile(r" (?=\S)")
+#: Ids have at most so many bits; an entry is left id, right id and merged id.
+ID_BITS = 20
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -47,89 +54,99 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
 
 
-def _slots(hashes: list[int], bits: int) -> list[int] | None:
-    """A two-choice (cuckoo) table of ``2 ** bits`` slots holding the index of each hash, or None if it does not fit."""
-    size, table = 1 << bits, [-1] * (1 << bits)
-    places = [(h & (size - 1), (h >> bits) & (size - 1)) for h in hashes]
-    for k in range(len(hashes)):
-        item, at = k, places[k][0]
-        for _ in range(500):
-            item, table[at] = table[at], item
-            if item < 0:
-                break
-            at = places[item][1] if places[item][0] == at else places[item][0]
-        else:
-            return None
-    return table
+def _prime(n: int) -> int:
+    while any(n % k == 0 for k in range(2, int(n**0.5) + 1)):
+        n += 1
+    return n
+
+
+def perfect_table(entries: dict[int, int]) -> tuple[list[int], list[int], int]:
+    """Shifts by bucket (key modulo their number), slots, and ``size``: a key lies at key modulo ``size`` plus the shift of
+    its bucket, as (key, value) packed. No two keys share a slot."""
+    count, size = _prime(len(entries) // 3 + 11), _prime(len(entries) * 4 // 3 + 101)
+    buckets: dict[int, list[int]] = {}
+    for key in entries:
+        buckets.setdefault(key % count, []).append(key)
+    shifts, taken = [0] * count, bytearray(4 * size)
+    slots = [(1 << 61)] * len(taken)
+    last = 0
+    for bucket, keys in sorted(buckets.items(), key=lambda x: (-len(x[1]), x[0])):
+        places = [k % size for k in keys]
+        if len(set(places)) < len(places):
+            raise ValueError("two pairs of the vocabulary cannot be told apart")
+        shift = 0
+        while any(taken[x + shift] for x in places):
+            shift += 1
+        shifts[bucket] = shift
+        for key, x in zip(keys, places, strict=True):
+            taken[x + shift] = 1
+            slots[x + shift] = (key << ID_BITS) + entries[key]
+            last = max(last, x + shift)
+    return shifts, slots[: max(last + 1, size + max(shifts))], size
 
 
 class RankMap:
-    """The vocabulary as literal columns."""
+    """The ranked merges as literal columns."""
 
     def __init__(self, ranks: dict[bytes, int]) -> None:
-        pieces = [b""] * (max(ranks.values()) + 1)
+        self.ids = max(ranks.values()) + 1
+        if self.ids >> ID_BITS or any(bytes([b]) not in ranks for b in range(256)):
+            raise ValueError("the vocabulary must hold every byte, and ids below 2 ** 20")
+        entries = {}
         for piece, rank in ranks.items():
-            pieces[rank] = piece
-        hashes = [xxhash.xxh64_intdigest(p, 42) for p in pieces]
-        self.bits, table = 17, None
-        while table is None:
-            table = _slots(hashes, self.bits)
-            self.bits += table is None
-        join = lambda items: ",".join(items)
+            for k in range(1, len(piece)):
+                left, right = ranks.get(piece[:k]), ranks.get(piece[k:])
+                if left is not None and right is not None:
+                    entries[(left << ID_BITS) + right] = rank
+        shifts, slots, self.size = perfect_table(entries)
+        self.buckets = len(shifts)
+        literal = lambda items, kind: F.from_json(F.lit("[" + ",".join(map(str, items)) + "]"), f"array<{kind}>")
         # constant expressions: the optimizer folds them into one literal each
-        self.pieces = F.from_json(F.lit("[" + join(f'"{base64.b64encode(p).decode()}"' for p in pieces) + "]"), "array<binary>")
-        self.slots = F.from_json(F.lit("[" + join(str(max(0, t)) for t in table) + "]"), "array<int>")
-
-    def rank(self, piece: Column, tables: Column) -> Column:
-        """Rank of a binary piece, or ``NO_RANK``: one of its two slots must name a piece equal to it."""
-        mask = (1 << self.bits) - 1
-
-        def at(slot: Column) -> Column:
-            r = F.get(tables["slots"], slot.cast("int"))
-            return F.when(F.get(tables["pieces"], r) == piece, r)
-
-        h = F.xxhash64(piece)
-        return F.coalesce(at(h.bitwiseAND(F.lit(mask))), at(F.shiftrightunsigned(h, self.bits).bitwiseAND(F.lit(mask))), F.lit(NO_RANK))
+        self.tables = F.struct(
+            literal(shifts, "int").alias("shifts"), literal(slots, "bigint").alias("slots"), literal([ranks[bytes([b])] << ID_BITS for b in range(256)], "bigint").alias("bytes")
+        )
+        #: Words that are pieces but that merging does not lead to; they keep their own id.
+        self.own = {w: r for w, r in ranks.items() if merge_long(w, ranks, whole=False) != [r]}
 
     def encode(self, word: Column) -> Column:
-        """Ids of a binary word: merges by rank, leftmost first. The tables stand in the plan once."""
-
-        def ids(tables: Column) -> Column:  # a word that is itself a piece is not merged
-            return let(self.rank(word, tables), lambda own: F.when(own != NO_RANK, F.array(own)).otherwise(self._encode(word, tables)))
-
-        return let(F.struct(self.slots.alias("slots"), self.pieces.alias("pieces")), ids)
+        """Ids of a binary word of a byte or more: merges by rank, leftmost first. The tables stand in the plan once."""
+        return let(self.tables, lambda tables: self._encode(word, tables))
 
     def _encode(self, word: Column, tables: Column) -> Column:
-        empty = F.array().cast("array<binary>")
-        none = F.array().cast("array<int>")
-        n = F.length(word)
-        single = F.transform(F.sequence(F.lit(1), n), lambda i: F.substring(word, i, F.lit(1)))
-        pair_ranks = F.when(n > 1, F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: self.rank(F.substring(word, i, F.lit(2)), tables))).otherwise(none)
-        state = F.struct(single.alias("p"), pair_ranks.alias("r"))
-
-        def step(acc: Column, _: Column) -> Column:
-            p, r = acc["p"], acc["r"]
-
-            def merge(i: Column) -> Column:  # i: place of the pair from 1
-                one = F.concat(F.get(p, i - 1), F.get(p, i))
-                left = F.when(i > 1, F.array(self.rank(F.concat(F.get(p, i - 2), one), tables))).otherwise(none)
-                right = F.when(i + 1 < F.size(p), F.array(self.rank(F.concat(one, F.get(p, i + 1)), tables))).otherwise(none)
-                return F.struct(
-                    F.concat(F.slice(p, F.lit(1), i - 1), F.array(one), F.slice(p, i + 2, F.size(p))).alias("p"),
-                    F.concat(F.slice(r, F.lit(1), F.greatest(i - 2, F.lit(0))), left, right, F.slice(r, i + 2, F.size(p))).alias("r"),
-                )
-
-            least = F.array_min(r)
-            return F.when(F.coalesce(least, F.lit(NO_RANK)) == NO_RANK, acc).otherwise(let(F.array_position(r, least).cast("int"), merge))
-
-        merges = F.when(n > 1, F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1)))).otherwise(none)
-        folded = F.aggregate(merges, state, step)["p"]
-        return F.when(n > 0, F.transform(folded, lambda x: self.rank(x, tables))).otherwise(none)
-
-
-def merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """Ids of a long word in O(n log n): a heap of (rank, place) over linked pieces."""
-    if word in ranks:
+        """A part is (rank of its pair with the next part, own id, 0), ``ID_BITS`` bits each. An id beyond all others stands at
+        either end, so that every pair has neighbours."""
+        no_rank, own_id = 1 << ID_BITS, ((1 << ID_BITS) - 1) << ID_BITS
+
+        def part(own: Column, after: Column) -> Column:  # own: the id, shifted; after: the id that follows
+            key = own + after
+            entry = F.get(tables["slots"], (key % self.size).cast("int") + F.get(tables["shifts"], (key % self.buckets).cast("int")))
+            rank = F.least(entry.bitwiseXOR(F.shiftleft(key, ID_BITS)), F.lit(no_rank))
+            return F.shiftleft(rank, 2 * ID_BITS) + own
+
+        letters = F.split(F.decode(word, "ISO-8859-1"), "")
+        edge = F.lit(self.ids << ID_BITS)
+        ids = F.concat(F.array(edge), F.transform(letters, lambda c: F.get(tables["bytes"], F.ascii(c))), F.array(edge))
+        start = let(ids, lambda own: F.transform(own, lambda x, i: part(x, F.shiftright(F.coalesce(F.get(own, i + 1), edge), ID_BITS))))
+
+        def step(parts: Column, _: Column) -> Column:
+            def merge(i: Column) -> Column:  # i: place of the part, from 1, whose pair has the least rank
+                one = F.shiftright(F.get(parts, i - 1), 2 * ID_BITS)
+                before = F.get(parts, i - 2).bitwiseAND(F.lit(own_id))
+                after = F.shiftright(F.get(parts, i + 1).bitwiseAND(F.lit(own_id)), ID_BITS)
+                merged = F.concat(F.slice(parts, F.lit(1), i - 2), F.array(part(before, one), part(F.shiftleft(one, ID_BITS), after)), F.slice(parts, i + 2, F.size(parts)))
+                return F.when(one < no_rank, merged).otherwise(parts)
+
+            return let(F.array_position(parts, F.array_min(parts)).cast("int"), merge)
+
+        merged = let(F.aggregate(letters, start, step), lambda p: F.transform(F.slice(p, F.lit(2), F.size(p) - 2), lambda x: F.shiftright(x.bitwiseAND(F.lit(own_id)), ID_BITS).cast("int")))
+        for w, rank in self.own.items():
+            merged = F.when(word == F.lit(w), F.array(F.lit(rank))).otherwise(merged)
+        return merged
+
+
+def merge_long(word: bytes, ranks: dict[bytes, int], whole: bool = True) -> list[int]:
+    """Ids of a long word in O(n log n): a heap of (rank, place) over linked parts."""
+    if whole and word in ranks:
         return [ranks[word]]
     n = len(word)
     end, prev, after = list(range(1, n + 1)), list(range(-1, n - 1)), list(range(1, n + 1))
@@ -151,21 +168,35 @@ def merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[word[i : end[i]]] for i in range(n) if alive[i]]
 
 
-def chunks(text: str) -> list[str] | None:
-    """The text cut at its spaces, if that cuts no match of the pattern: all but the first part follow a space."""
-    return None if UNSAFE.search(text) else text.split(" ")
+def chunks(text: str) -> list[str]:
+    """The chunks of a text. One that follows a cut stands without its space; the first has a space put before it, which
+    tells it from those."""
+    out = CUT.split(text) if UNSAFE.search(text) else text.split(" ")
+    if out[0]:
+        out[0] = " " + out[0]
+    else:
+        del out[0]
+    return out
+
+
+def text_of(chunk: str) -> str:
+    return chunk[1:] if chunk[0] == " " else " " + chunk
 
 
-def words_of(parts: list[str], find) -> list[list[str]]:
-    """The matches in each part of ``chunks`` but the first, with the space before it: one search over all of them, in
-    which a match that begins with a space begins a part."""
-    out: list[list[str]] = []
-    for word in find(" " + " ".join(parts)) if parts else ():
+def words_of(batch: list[str], find) -> list[list[bytes]]:
+    """The matches of the pattern in each chunk. Chunks without a space are searched together: there, a match that begins
+    with a space begins a chunk."""
+    plain = [c for c in batch if " " not in c]
+    found: list[list[bytes]] = []
+    for word in find(" " + " ".join(plain)) if plain else ():
         if word[0] == " ":
-            out.append([word])
+            found.append([word.encode("utf-8", "surrogatepass")])
         else:
-            out[-1].append(word)
-    return out
+            found[-1].append(word.encode("utf-8", "surrogatepass"))
+    if len(plain) == len(batch):
+        return found
+    rest = iter(found)
+    return [[w.encode("utf-8", "surrogatepass") for w in find(text_of(c))] if " " in c else next(rest) for c in batch]
 
 
 def distinct_words(docs: DataFrame, text_col: str, pattern: str) -> DataFrame:
@@ -173,32 +204,28 @@ def distinct_words(docs: DataFrame, text_col: str, pattern: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = regex.compile(pattern).findall
-        parts: Counter[str] = Counter()
-        found: Counter[str] = Counter()
-
-        def flush() -> pa.RecordBatch:
-            for group, c in zip(words_of(list(parts), find), parts.values(), strict=True):
-                for word in group:
-                    found[word] += c
-            keys = [w.encode("utf-8", "surrogatepass") for w in found]
-            out = pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(list(found.values()), pa.int64())], names=["word", "c"])
-            parts.clear()
-            found.clear()
-            return out
+        counted: Counter[str] = Counter()
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            found: dict[bytes, int] = {}
+            keys, counts = list(counted), list(counted.values())
+            counted.clear()
+            for at in range(0, len(keys), 50_000):
+                for group, c in zip(words_of(keys[at : at + 50_000], find), counts[at : at + 50_000], strict=True):
+                    for word in group:
+                        found[word] = found.get(word, 0) + c
+            del keys, counts
+            words, counts = list(found), list(found.values())
+            for at in range(0, len(words), 100_000):
+                yield pa.RecordBatch.from_arrays([pa.array(words[at : at + 100_000], pa.binary()), pa.array(counts[at : at + 100_000], pa.int64())], names=["word", "c"])
 
         for b in batches:
             for text in b.column(0).to_pylist():
-                if not text:
-                    continue
-                cut = chunks(text)
-                if cut is None:
-                    found.update(find(text))
-                else:
-                    found.update(find(cut[0]))
-                    parts.update(cut[1:])
-                if len(parts) + len(found) > 1_000_000:
-                    yield flush()
-        yield flush()
+                if text:
+                    counted.update(chunks(text))
+                    if len(counted) > COUNTED:
+                        yield from flush()
+        yield from flush()
 
     return docs.select(F.col(text_col)).mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
@@ -208,8 +235,8 @@ def word_table(docs: DataFrame, text_col: str, ranks: dict[bytes, int], pattern:
     spark = docs.sparkSession
     words = materialize(distinct_words(docs, text_col, pattern))
     short = words.where(F.length("word") <= LONG_WORD)
-    parts = max(spark.sparkContext.defaultParallelism * 2, short.rdd.getNumPartitions(), short.count() // WORDS_A_TASK)
-    encoded = short.repartition(parts).withColumn("ids", RankMap(ranks).encode(F.col("word")))
+    parts = max(spark.sparkContext.defaultParallelism * 2, words.count() // WORDS_A_TASK)
+    encoded = short.repartition(parts, "word").withColumn("ids", RankMap(ranks).encode(F.col("word")))
     shared = spark.sparkContext.broadcast(ranks)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -221,47 +248,51 @@ def word_table(docs: DataFrame, text_col: str, ranks: dict[bytes, int], pattern:
     return materialize(encoded.select("word", "c", "ids").unionByName(long))
 
 
-def pack(words: DataFrame) -> DataFrame:
-    """Words and their ids as (hashes, sizes, ids) bytes per batch: 8 bytes a word and 4 an id."""
+def pack(table: DataFrame, kind: str) -> DataFrame:
+    """Words and their ids as (hashes, sizes, ids) bytes per batch, in order of the hashes."""
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            h = np.fromiter(map(xxhash.xxh3_64_intdigest, b.column(0).to_pylist()), np.uint64, len(b))
+            yield pa.RecordBatch.from_arrays([pa.array((h ^ np.uint64(1 << 63)).view(np.int64)), b.column(1)], names=["h", "ids"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, b.column(0).to_pylist()), np.uint64, len(b))
-            sizes = np.diff(b.column(1).offsets.to_numpy()).astype(np.uint16)
-            parts = [hashes.tobytes(), sizes.tobytes(), b.column(1).flatten().to_numpy().astype("<u4").tobytes()]
+            hashes = b.column(0).to_numpy().view(np.uint64) ^ np.uint64(1 << 63)
+            sizes = np.diff(b.column(1).offsets.to_numpy()).astype(np.uint8)
+            parts = [hashes.tobytes(), sizes.tobytes(), b.column(1).flatten().to_numpy().astype(kind).tobytes()]
             yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in parts], names=["hashes", "sizes", "ids"])
 
-    return words.select("word", "ids").mapInArrow(run, "hashes binary, sizes binary, ids binary")
+    return table.select("word", "ids").mapInArrow(hashed, "h long, ids array<int>").orderBy("h").mapInArrow(run, "hashes binary, sizes binary, ids binary")
 
 
 class PackedTable:
-    """Words by hash: sorted hashes, and the place of each word's ids in one string of bytes."""
+    """Words by hash: sorted hashes, and where each word's ids end."""
 
-    def __init__(self, packed: DataFrame) -> None:
+    def __init__(self, packed: DataFrame, kind: str) -> None:
         hashes, sizes, ids = bytearray(), bytearray(), bytearray()
         for r in packed.toLocalIterator():
             hashes += r["hashes"]
             sizes += r["sizes"]
             ids += r["ids"]
-        h, size = np.frombuffer(hashes, np.uint64), np.frombuffer(sizes, np.uint16)
-        end = np.cumsum(size, dtype=np.uint32)
-        order = np.argsort(h)
-        self.ids, self.hashes, self.end, self.size = bytes(ids), h[order], end[order], size[order]
+        self.hashes, self.ids = np.frombuffer(hashes, np.uint64), np.frombuffer(ids, kind)
+        self.end = np.cumsum(np.frombuffer(sizes, np.uint8), dtype=np.uint32)
 
-    def get(self, words: list[bytes]) -> list[bytes | None]:
-        """Ids of each word as little-endian 32-bit integers, None for words that are not here."""
+    def get(self, groups: list[list[bytes]]) -> list[bytes | None]:
+        """Ids of each group of words as little-endian 32-bit integers, None for groups with a word that is not here."""
         if not len(self.hashes):
-            return [None] * len(words)
-        h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+            return [None] * len(groups)
+        h = np.fromiter((xxhash.xxh3_64_intdigest(w) for g in groups for w in g), np.uint64)
+        last = np.cumsum(np.fromiter(map(len, groups), np.int64, len(groups)))
         k = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
-        end, size = self.end[k].astype(np.int64) * 4, self.size[k].astype(np.int64) * 4
-        found = self.hashes[k] == h
-        ids = self.ids
-        return [ids[z - n : z] if ok else None for z, n, ok in zip(end.tolist(), size.tolist(), found.tolist(), strict=True)]
-
-
-def _key(text: Column) -> Column:
-    return F.sha2(F.coalesce(text, F.lit("")), 256)
+        end = self.end[k].astype(np.int64)
+        size = end - np.where(k > 0, self.end[k - 1], 0)
+        absent = np.concatenate(([0], np.cumsum(self.hashes[k] != h)))[np.concatenate(([0], last))]
+        # the ids of all words in one string of bytes, then cut
+        stop = np.cumsum(size)
+        flat = self.ids[np.repeat(end - stop, size) + np.arange(int(stop[-1]) if len(stop) else 0)].astype("<u4").tobytes()
+        cuts = np.concatenate(([0], stop))[np.concatenate(([0], last))] * 4
+        return [flat[a:z] if whole else None for a, z, whole in zip(cuts[:-1].tolist(), cuts[1:].tolist(), (np.diff(absent) == 0).tolist(), strict=True)]
 
 
 def encode_documents(
@@ -278,74 +309,81 @@ def encode_documents(
     (little-endian 32-bit integers) as binary ``ids`` and the decoded text as binary ``decoded``."""
     spark: SparkSession = docs.sparkSession
     ranks = load_ranks(ranks_path)
+    kind = "<u2" if max(ranks.values()) < 1 << 16 else "<u4"
     table = word_table(docs, text_col, ranks, pattern)
-    n_words = table.count()
-    shared = table.where(F.length("word") <= LONG_WORD)
-    whole = n_words == shared.count() and n_words <= table_words
-    if n_words > table_words:
+    shared = table.where(F.size("ids") <= TABLE_IDS)
+    held, every = shared.count(), table.count()
+    if held > table_words:
         shared = shared.orderBy(F.desc("c"), "word").limit(table_words)
-    packed = spark.sparkContext.broadcast(PackedTable(pack(shared)))
+    packed = spark.sparkContext.broadcast(PackedTable(pack(shared, kind), kind))
     pieces = [b""] * (max(ranks.values()) + 1)
     for piece, rank in ranks.items():
         pieces[rank] = piece
     vocabulary = spark.sparkContext.broadcast(pieces)
-
-    rows = docs.select(*keep, F.coalesce(text_col, F.lit("")).alias("_text"))
-    missing_type = "array<struct<word:binary,ids:array<int>>>"
-    if whole:
-        rows = rows.withColumn("_more", F.lit(None).cast(missing_type))
-    else:  # words that are not broadcast reach their texts by a join
-        def absent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            find, known = regex.compile(pattern).findall, packed.value
-            for b in batches:
-                keys, words = [], []
-                for key, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                    some = list({x.encode("utf-8", "surrogatepass") for x in find(text)})
-                    missing = [w for w, ids in zip(some, known.get(some), strict=True) if ids is None]
-                    keys += [key] * len(missing)
-                    words += missing
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(words, pa.binary())], names=["_key", "word"])
-
-        rows = rows.withColumn("_key", _key(F.col("_text")))
-        asked = rows.select("_key", "_text").mapInArrow(absent, "_key string, word binary").distinct()
-        more = asked.join(table.select("word", "ids"), "word").groupBy("_key").agg(F.collect_list(F.struct("word", "ids")).alias("_more"))
-        rows = rows.join(more, "_key", "left").drop("_key")
+    at = len(keep)
+    names = ["n_tokens", "ids_sha256", "decoded_sha256", *(("ids", "decoded") if with_ids else ())]
+    types = [pa.int64(), pa.string(), pa.string(), *((pa.binary(), pa.binary()) if with_ids else ())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find, known, vocab = regex.compile(pattern).findall, packed.value, vocabulary.value
-        cache: dict[str, bytes] = {}  # ids of parts that follow a space
-
-        def encoded(found: list[list[str]], extra: dict[bytes, bytes]) -> list[bytes]:
-            flat = [w.encode("utf-8", "surrogatepass") for f in found for w in f]
-            ids = [extra[w] if x is None else x for w, x in zip(flat, known.get(flat), strict=True)]
-            out, k = [], 0
-            for f in found:
-                out.append(b"".join(ids[k : k + len(f)]))
-                k += len(f)
-            return out
-
-        at = len(keep)
-        for b in batches:
-            made = []
-            for text, more in zip(b.column(at).to_pylist(), b.column(at + 1).to_pylist(), strict=True):
-                extra = {x["word"]: np.array(x["ids"], dtype="<u4").tobytes() for x in more or ()}
-                cut = chunks(text)
-                if extra or cut is None:
-                    ids = encoded([find(text)], extra)[0]
-                else:
-                    if len(cache) > 2_000_000:
-                        cache.clear()
-                    new = [x for x in dict.fromkeys(cut[1:]) if x not in cache]
-                    if new:
-                        cache.update(zip(new, encoded(words_of(new, find), extra), strict=True))
-                    ids = encoded([find(cut[0])], extra)[0] + b"".join(map(cache.__getitem__, cut[1:]))
-                decoded = b"".join(map(vocab.__getitem__, np.frombuffer(ids, "<u4").tolist()))
-                made.append((len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoded).hexdigest(), *((ids, decoded) if with_ids else ())))
-            types = [pa.int64(), pa.string(), pa.string(), *((pa.binary(), pa.binary()) if with_ids else ())]
-            columns = [pa.array([m[k] for m in made], t) for k, t in enumerate(types)]
-            names = ["n_tokens", "ids_sha256", "decoded_sha256", *(("ids", "decoded") if with_ids else ())]
-            yield pa.RecordBatch.from_arrays([*b.columns[:at], *columns], names=[*keep, *names])
+        """Rows (keep.., text, more); words that neither the table nor ``more`` has come out as ``_missing``."""
+        find, known, vocab = regex.compile(pattern).findall, packed.value, pa.array(vocabulary.value, pa.binary())
+        cache: dict[str, bytes] = {}  # ids of chunks
+
+        def row(ids: bytes) -> tuple:
+            numbers = np.frombuffer(ids, "<u4")
+            spelled = hashlib.sha256()
+            decoded = []
+            for k in range(0, len(numbers), 1 << 20):
+                found = vocab.take(pa.array(numbers[k : k + (1 << 20)]))
+                if len(found):  # the pieces lie one after the other in the array's buffer
+                    text = memoryview(found.buffers()[2])[: int(np.frombuffer(found.buffers()[1], np.int32)[len(found)])]
+                    spelled.update(text)
+                    if with_ids:
+                        decoded.append(bytes(text))
+            return len(numbers), hashlib.sha256(ids).hexdigest(), spelled.hexdigest(), *((ids, b"".join(decoded)) if with_ids else ())
+
+        for whole in batches:
+            for lo in range(0, len(whole), 256):
+                b = whole.slice(lo, 256)
+                cut = [chunks(t) if t else [] for t in b.column(at).to_pylist()]
+                new = list({c for parts in cut for c in parts if c not in cache})
+                if len(cache) + len(new) > CACHED:
+                    cache.clear()
+                    new = list({c for parts in cut for c in parts})
+                words = words_of(new, find)
+                found = known.get(words)
+                cache.update((c, ids) for c, ids in zip(new, found, strict=True) if ids is not None)
+                rare = {c: w for c, w, ids in zip(new, words, found, strict=True) if ids is None}
+                made, missing = [], []
+                for parts, more in zip(cut, b.column(at + 1).to_pylist(), strict=True):
+                    extra = {x["word"]: np.array(x["ids"], dtype="<u4").tobytes() for x in more or ()}
+                    ids, absent = [], {}
+                    for c in parts if rare else ():
+                        if c in rare and c not in absent:
+                            absent[c] = b"".join(known.get([[w]])[0] or extra.get(w, b"") for w in rare[c])
+                    if not absent:
+                        ids = map(cache.__getitem__, parts)
+                    elif more is not None:
+                        ids = [absent[c] if c in absent else cache[c] for c in parts]
+                    if absent and more is None:
+                        made.append((None,) * len(types))
+                        missing.append(list(dict.fromkeys(w for c in absent for w in rare[c])))
+                    else:
+                        made.append(row(b"".join(ids)))
+                        missing.append(None)
+                columns = [pa.array([m[k] for m in made], t) for k, t in enumerate(types)]
+                yield pa.RecordBatch.from_arrays([*b.columns[:at], *columns, pa.array(missing, pa.list_(pa.binary())), b.column(at + 2)], names=[*keep, *names, "_missing", "_key"])
 
+    rows = docs.select(*keep, F.coalesce(text_col, F.lit("")).alias("_text"))
     head = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[: len(keep)])
     tail = "n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids binary, decoded binary" if with_ids else "")
-    return rows.select(*keep, "_text", "_more").mapInArrow(run, f"{head}, {tail}")
+    schema = f"{head}, {tail}, _missing array<binary>, _key string"
+    no_more = F.lit(None).cast("array<struct<word:binary,ids:array<int>>>").alias("_more")
+    if every == held and held <= table_words:
+        return rows.select(*keep, "_text", no_more, F.lit(None).cast("string").alias("_key")).mapInArrow(run, schema).drop("_missing", "_key")
+    # documents with words that are not broadcast get those by a join
+    first = materialize(rows.select(*keep, "_text", no_more, F.sha2("_text", 256).alias("_key")).mapInArrow(run, schema))
+    asked = first.where("_missing IS NOT NULL").select("_key", F.explode("_missing").alias("word")).distinct()
+    more = asked.join(table.select("word", "ids"), "word").groupBy("_key").agg(F.collect_list(F.struct("word", "ids")).alias("_more"))
+    again = rows.withColumn("_key", F.sha2("_text", 256)).join(more, "_key").select(*keep, "_text", "_more", "_key").mapInArrow(run, schema)
+    return first.where("_missing IS NULL").unionByName(again).drop("_missing", "_key")
