@@ -1,9 +1,13 @@
 """Language-model scoring with a log-frequency Bloom filter.
 
 Word and bigram counts of the training documents are quantised on a log scale (level q for counts from 2^(q-1) to
-2^q - 1). The filter holds (n-gram, 1) .. (n-gram, q); a lookup probes levels 1, 2, .. until the first miss. The
-filter lies in blocks by n-gram hash, each built by the task that counts its n-grams and sized by what it holds,
-up to ``max_bits`` in all; beyond that its error rate rises, and no n-gram is left out. So what is broadcast is bounded.
+2^q - 1). The filter holds (n-gram, 1) .. (n-gram, q); a lookup probes levels 1, 2, .. until the first miss, at most to
+the highest level stored. The filter lies in blocks by n-gram hash. Their number grows with the training text (one per
+``BLOCK_BYTES``) and a block has ``LEVEL_BITS`` bits for each level that it holds, so the error rate is the same at every
+size, and a task that builds blocks holds one at a time.
+
+Workers get the filter by broadcast if it has at most ``broadcast_bytes``; a larger one stays where it is, and the
+documents' distinct n-grams meet its blocks by a join. Both give the same levels.
 
 The probability of word w after v is (low(v w) + k * p(w)) / (high(v) + k), where low and high are the ends of a
 level and p(w) = (low(w) + 0.5) / (N + 0.5 (V + 1)); sums over w stay at or below one but for the filter's errors. A
@@ -14,7 +18,7 @@ rest reach their documents by a join. Words are told apart by 64-bit hashes.
 
 Defined results: a null text is empty and scores its end token; a null id has crc32 0, so it trains. Rows that repeat
 count as often as they occur and score alike. Without training documents all counts are 0. An empty table gives an
-empty result. Extra columns are not read.
+empty result. Extra columns are not read. A long text is counted and scored whole.
 """
 
 from __future__ import annotations
@@ -23,14 +27,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .support import document_key, materialize
 
-BLOCKS = 1024
-PROBES = 4
+#: Training text per block of the filter; bits per stored level; probes per level.
+BLOCK_BYTES, LEVEL_BITS, PROBES = 1 << 19, 10, 4
+BROADCAST_BYTES = 1 << 27
+#: Tokens that are counted, n-grams that are held, and bytes of text that are scored at a time.
+COUNT_TOKENS, HELD_NGRAMS, SCORE_BYTES, CACHED_WORDS = 1_000_000, 3_000_000, 2_000_000, 200_000
 END = np.uint64(xxhash.xxh3_64_intdigest(b"\n"))
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -51,65 +59,85 @@ def single(word: np.ndarray) -> np.ndarray:
 
 
 class Words(dict):
-    """Number of each word, given as it is first met; ``hashes`` by number."""
+    """Number of each word, given as it is first met; hashes by number in ``list``. Number 0 is the end token."""
 
     def __init__(self) -> None:
         self.list: list[int] = []
+        self.empty()
+
+    def empty(self) -> None:
+        self.clear()
+        self["\n"] = 0
+        self.list[:] = [int(END) & ~1]
 
     def __missing__(self, word: bytes) -> int:
         self[word] = at = len(self.list)
         self.list.append(xxhash.xxh3_64_intdigest(word) & ~1)
         return at
 
+    def numbers(self, text: str | None) -> np.ndarray:
+        """Numbers of a text's tokens, the end token last."""
+        t = tokens(text)
+        t.append("\n")
+        return np.fromiter(map(self.__getitem__, t), np.int64, len(t))
+
 
 def tokens(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
 
+def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order, with their counts added."""
+    order = np.argsort(keys, kind="stable")
+    keys, counts = keys[order], counts[order]
+    first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+    return keys[first], np.add.reduceat(counts, first)
+
+
 def count_ngrams(docs: DataFrame) -> DataFrame:
-    """(h, c): partial counts of words and bigrams, summed per few million tokens."""
+    """(h, c): partial counts of words and bigrams."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, numbers, sizes = Words(), [], []
-
-        def flush() -> pa.RecordBatch:
-            hashes = np.array(words.list, dtype=np.uint64)
-            n = np.concatenate([np.zeros(0, np.int64), *numbers])
-            size = np.concatenate([np.zeros(0, np.int64), *sizes])
-            ends = np.cumsum(size + 1) - 1  # place of each text's end token
-            h = np.full(len(n) + len(size), END & ~np.uint64(1), dtype=np.uint64)
-            inner = np.ones(len(h), bool)
-            inner[ends] = False
-            h[inner] = hashes[n] if len(n) else h[inner]
-            before = np.concatenate((h[:0] if not len(h) else [END & ~np.uint64(1)], h[:-1]))
-            keys, counts = np.unique(np.concatenate((single(h), bigram(before, h))), return_counts=True)
-            words.clear()
-            words.list.clear()
-            numbers.clear()
-            sizes.clear()
-            return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(counts)], names=["h", "c"])
+        words, texts = Words(), []
+        runs: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def count() -> None:
+            h = np.array(words.list, dtype=np.uint64)[np.concatenate(texts)]
+            before = np.concatenate(([END & ~np.uint64(1)], h[:-1]))
+            runs.append(np.unique(np.concatenate((single(h), bigram(before, h))), return_counts=True))
+            texts.clear()
+            words.empty()
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            keys, counts = summed(*map(np.concatenate, zip(*runs, strict=True))) if len(runs) > 1 else runs[0]
+            runs.clear()
+            for at in range(0, len(keys), 1 << 18):
+                yield pa.RecordBatch.from_arrays([pa.array(keys[at : at + (1 << 18)].view(np.int64)), pa.array(counts[at : at + (1 << 18)])], names=["h", "c"])
 
         held = 0
         for b in batches:
             for text in b.column(0).to_pylist():
-                t = tokens(text)
-                numbers.append(np.fromiter(map(words.__getitem__, t), np.int64, len(t)))
-                sizes.append(np.array([len(t)]))
-                held += len(t) + 1
-                if held > 4_000_000:
-                    yield flush()
+                texts.append(words.numbers(text))
+                held += len(texts[-1])
+                if held > COUNT_TOKENS:
+                    count()
                     held = 0
-        yield flush()
+                    if sum(len(k) for k, _ in runs) > HELD_NGRAMS:
+                        yield from flush()
+        if texts:
+            count()
+        if runs:
+            yield from flush()
 
     return docs.select("text").mapInArrow(run, "h long, c long")
 
 
 def positions(h: np.ndarray, level: int, bits: np.ndarray) -> Iterator[np.ndarray]:
-    """Places of (n-gram, level) in its block; ``bits``: the block's size, a power of two."""
+    """Places of (n-gram, level) in its block of ``bits`` bits (below 2 ** 32)."""
     g = _mix(h + np.uint64(level * int(_A) & 0xFFFFFFFFFFFFFFFF))
     step = (g >> np.uint64(32)) | np.uint64(1)
     for _ in range(PROBES):
-        yield g & (bits - np.uint64(1))
+        yield (g & np.uint64(0xFFFFFFFF)) * bits >> np.uint64(32)
         g = g + step
 
 
@@ -117,168 +145,230 @@ def levels(counts: np.ndarray) -> np.ndarray:
     return np.frexp(counts.astype(np.float64))[1]  # 1 for 1, 2 for 2 and 3, 3 for 4 to 7
 
 
-def build_blocks(h: np.ndarray, counts: np.ndarray, max_block_bits: int) -> np.ndarray:
+def build_block(h: np.ndarray, counts: np.ndarray) -> tuple[bytes, int]:
+    """A block's bits, ``LEVEL_BITS`` for each level of its n-grams, and its highest level."""
     q = levels(counts)
-    need = max(64, int(q.sum()) * 8)
-    bits = min(1 << (need - 1).bit_length(), max_block_bits)
+    bits = 8 * -(-max(64, int(q.sum()) * LEVEL_BITS) // 8)
     flags = np.zeros(bits, bool)
-    for level in range(1, int(q.max(initial=0)) + 1):
-        some = h[q >= level]
-        for at in positions(some, level, np.uint64(bits)):
+    top = int(q.max(initial=0))
+    for level in range(1, top + 1):
+        for at in positions(h[q >= level], level, np.uint64(bits)):
             flags[at.astype(np.int64)] = True
-    return np.packbits(flags, bitorder="little")
+    return np.packbits(flags, bitorder="little").tobytes(), top
 
 
 class LogFrequencyFilter:
-    def __init__(self, blocks: dict[int, bytes]) -> None:
-        self.size = np.full(BLOCKS, 64, dtype=np.uint64)
-        self.start = np.zeros(BLOCKS, dtype=np.uint64)
-        parts, at = [], 0
-        for k in range(BLOCKS):
-            part = blocks.get(k, bytes(8))
-            self.size[k], self.start[k] = len(part) * 8, at
-            parts.append(np.frombuffer(part, np.uint8))
-            at += len(part)
-        self.data = np.concatenate(parts)
+    """Blocks by the highest bits of an n-gram's hash, one after the other in ``data``."""
+
+    def __init__(self, blocks: Iterator[tuple[int, bytes]], shift: int, top: int) -> None:
+        self.shift, self.top = np.uint64(shift), top
+        self.size = np.full(1 << (64 - shift), 64, dtype=np.uint64)
+        self.start = np.zeros(1 << (64 - shift), dtype=np.uint64)
+        data = bytearray(8)  # blocks that are not there share eight empty bytes
+        for k, part in blocks:
+            self.size[k], self.start[k] = len(part) * 8, len(data)
+            data += part
+        self.data = np.frombuffer(data, np.uint8)
 
     def level(self, h: np.ndarray) -> np.ndarray:
         """Level of each n-gram hash, 0 if it is not there."""
-        out = np.zeros(len(h), np.int64)
-        block = (h >> np.uint64(54)).astype(np.int64)
-        bits, start, alive = self.size[block], self.start[block], np.arange(len(h))
-        level = 1
-        while len(alive):
+        block = (h >> self.shift).astype(np.int64) if self.shift < 64 else np.zeros(len(h), np.int64)
+        out, alive = np.zeros(len(h), np.int64), np.arange(len(h))
+        for level in range(1, self.top + 1):
+            if not len(alive):
+                break
+            bits, start = self.size[block[alive]], self.start[block[alive]]
             keep = np.ones(len(alive), bool)
-            for at in positions(h[alive], level, bits[alive]):
-                byte = self.data[(start[alive] + (at >> np.uint64(3))).astype(np.int64)]
+            for at in positions(h[alive], level, bits):
+                byte = self.data[(start + (at >> np.uint64(3))).astype(np.int64)]
                 keep &= (byte >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
             alive = alive[keep]
             out[alive] = level
-            level += 1
         return out
 
 
-def train(docs: DataFrame, max_bits: int) -> DataFrame:
-    """The written model: rows (block, bits) of the filter, and rows (h, c) of the words."""
-    counts = count_ngrams(docs).repartition(F.shiftrightunsigned("h", 54)).groupBy(F.shiftrightunsigned("h", 54).alias("block"), "h").agg(F.sum("c").alias("c"))
+def _block(shift: int):
+    return F.shiftrightunsigned("h", shift).alias("block")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blocks, keys, counts = [], [], []
-        for b in batches:
-            blocks.append(b.column(0).to_numpy())
-            keys.append(b.column(1).to_numpy().view(np.uint64))
-            counts.append(b.column(2).to_numpy())
-        if not blocks:
-            return
-        block, h, c = np.concatenate(blocks), np.concatenate(keys), np.concatenate(counts)
-        del blocks, keys, counts
-        names = ["block", "bits", "h", "c"]
-        word = h & np.uint64(1) == 0
-        n = int(word.sum())
-        yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), pa.array(h[word].view(np.int64)), pa.array(c[word])], names=names)
-        order = np.argsort(block, kind="stable")
-        block, h, c = block[order], h[order], c[order]
-        cuts = np.flatnonzero(np.diff(block)) + 1
-        for lo, hi in zip([0, *cuts], [*cuts, len(block)], strict=True):
-            bits = build_blocks(h[lo:hi], c[lo:hi], max_bits // BLOCKS).tobytes()
-            yield pa.RecordBatch.from_arrays([pa.array([int(block[lo])]), pa.array([bits], pa.binary()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64())], names=names)
 
-    return materialize(counts.select("block", "h", "c").mapInArrow(run, "block long, bits binary, h long, c long"))
+def train(docs: DataFrame, shift: int) -> DataFrame:
+    """The written model: rows (block, bits, top) of the filter, and rows (h, c) of the words."""
+    counts = count_ngrams(docs)
+    names = ["block", "bits", "top", "h", "c"]
 
+    def rows(**columns) -> pa.RecordBatch:
+        n = len(next(iter(columns.values())))
+        kinds = {"block": pa.int64(), "bits": pa.binary(), "top": pa.int32(), "h": pa.int64(), "c": pa.int64()}
+        return pa.RecordBatch.from_arrays([pa.array(columns[k], t) if k in columns else pa.nulls(n, t) for k, t in kinds.items()], names=names)
+
+    def build(keys: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """The rows of one block, from its partial counts in order of the hash."""
+        first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+        h, c = keys[first], np.add.reduceat(counts, first)
+        word = h & np.uint64(1) == 0
+        if word.any():
+            yield rows(h=h[word].view(np.int64), c=c[word])
+        bits, top = build_block(h, c)
+        yield rows(block=[int(h[0] >> np.uint64(shift))], bits=[bits], top=[top])
 
-def score_documents(docs: DataFrame, *, held_out: int = 1, modulus: int = 5, max_bits: int = 1 << 30, table_words: int = 4_000_000, prior: float = 40.0) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []  # of the block that is being read
+        for b in batches:
+            h, c = b.column(0).to_numpy().view(np.uint64), b.column(1).to_numpy()
+            block = h >> np.uint64(shift)
+            cuts = [0, *(np.flatnonzero(block[1:] != block[:-1]) + 1).tolist(), len(h)]
+            for lo, hi in zip(cuts, cuts[1:], strict=False):
+                if lo == hi:
+                    continue
+                if held and held[-1][0][-1] >> np.uint64(shift) != block[lo]:
+                    yield from build(*map(np.concatenate, zip(*held, strict=True)))
+                    held = []
+                held.append((h[lo:hi].copy(), c[lo:hi].copy()))
+        if held:
+            yield from build(*map(np.concatenate, zip(*held, strict=True)))
+
+    dealt = counts.repartition(_block(shift)).sortWithinPartitions("h")  # blocks lie together, as they are the highest bits
+    return materialize(dealt.mapInArrow(run, "block long, bits binary, top int, h long, c long"))
+
+
+def levels_by_join(asked: DataFrame, model: DataFrame, shift: int, top: int) -> DataFrame:
+    """(h, q): levels of distinct n-gram hashes, looked up where the blocks lie."""
+    blocks = model.where("block IS NOT NULL").select("block", F.lit(0).alias("kind"), "bits", F.lit(None).cast("long").alias("h"))
+    wanted = asked.select("h").distinct().select(_block(shift), F.lit(1).alias("kind"), F.lit(None).cast("binary").alias("bits"), "h")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, lfbf = None, None
+        for b in batches:
+            block, kind = b.column(0).to_numpy(), b.column(1).to_numpy()
+            cuts = [0, *(np.flatnonzero((block[1:] != block[:-1]) | (kind[1:] != kind[:-1])) + 1).tolist(), len(b)]
+            for lo, hi in zip(cuts, cuts[1:], strict=False):
+                if lo == hi:
+                    continue
+                if kind[lo] == 0:
+                    own, lfbf = block[lo], LogFrequencyFilter(iter([(0, b.column(2)[lo].as_py())]), 64, top)
+                    continue
+                h = b.column(3).slice(lo, hi - lo).to_numpy().view(np.uint64)
+                q = lfbf.level(h) if own == block[lo] else np.zeros(len(h), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(q)], names=["h", "q"])
+
+    return blocks.unionByName(wanted).repartition("block").sortWithinPartitions("block", "kind", "h").mapInArrow(run, "h long, q long")
+
+
+def score_documents(
+    docs: DataFrame, *, held_out: int = 1, modulus: int = 5, broadcast_bytes: int = BROADCAST_BYTES, table_words: int = 1_000_000, prior: float = 40.0, block_bytes: int = BLOCK_BYTES
+) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every document."""
     spark = docs.sparkSession
     is_held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % modulus, F.lit(0)) == held_out
-    model = train(docs.where(~is_held), max_bits)
+    text_bytes = docs.where(~is_held).agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    shift = 64 - max(6, (text_bytes // block_bytes).bit_length())
+    model = train(docs.where(~is_held), shift)
     words = model.where("h IS NOT NULL").select("h", "c")
-    total = words.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
-    n, v = int(total["n"]), int(total["v"])
+    total = model.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("h").alias("v"), F.coalesce(F.sum(F.length("bits")), F.lit(0)).alias("size"), F.max("top").alias("top")).first()
+    n, v, top = int(total["n"]), int(total["v"]), int(total["top"] or 0)
     scale = n + 0.5 * (v + 1)
-    blocks = {r["block"]: bytes(r["bits"]) for r in model.where("block IS NOT NULL").select("block", "bits").toLocalIterator()}  # max_bits at most
-    top = (words.orderBy(F.desc("c"), "h").limit(table_words) if v > table_words else words).toArrow()
-    keys, counts = top.column(0).to_numpy().view(np.uint64), top.column(1).to_numpy()
+    by_broadcast = total["size"] + (16 << (64 - shift)) <= broadcast_bytes
+    lfbf = None
+    if by_broadcast:
+        parts = ((r["block"], bytes(r["bits"])) for r in model.where("block IS NOT NULL").select("block", "bits").toLocalIterator())
+        lfbf = LogFrequencyFilter(parts, shift, top)
+    most = (words.orderBy(F.desc("c"), "h").limit(table_words) if v > table_words else words).toArrow()
+    keys, counts = most.column(0).to_numpy().view(np.uint64), most.column(1).to_numpy()
     order = np.argsort(keys)
-    shared = spark.sparkContext.broadcast((LogFrequencyFilter(blocks), keys[order], counts[order]))
+    shared = spark.sparkContext.broadcast((lfbf, keys[order], counts[order]))
     whole = v <= table_words
-    del blocks, top
+    del most, lfbf
 
-    def lookup(known: np.ndarray, counts: np.ndarray, h: np.ndarray) -> np.ndarray:
-        """Exact counts, 0 for words that are not in the table."""
+    def lookup(known: np.ndarray, values: np.ndarray, h: np.ndarray) -> np.ndarray:
+        """Value of each hash, 0 for those that are not among the sorted ``known``."""
         if not len(known):
             return np.zeros(len(h), np.int64)
         at = np.minimum(np.searchsorted(known, h), len(known) - 1)
-        return np.where(known[at] == h, counts[at], 0)
+        return np.where(known[at] == h, values[at], 0)
+
+    def in_parts(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[pa.RecordBatch]:
+        """Rows with about ``SCORE_BYTES`` of text at a time."""
+        for b in batches:
+            size = np.cumsum(pc.binary_length(b.column(text)).to_numpy(zero_copy_only=False).astype(np.int64)) // SCORE_BYTES
+            cuts = [0, *(np.flatnonzero(np.diff(size)) + 1).tolist(), len(b)]
+            for lo, hi in zip(cuts, cuts[1:], strict=False):
+                if hi > lo:
+                    yield b.slice(lo, hi - lo)
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The distinct n-grams of each text."""
+        words = Words()
+        for b in in_parts(batches, 2):
+            for doc, th, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                t = words.numbers(text)
+                h = np.fromiter((words.list[k] for k in t.tolist()), np.uint64, len(t))
+                if len(words) > CACHED_WORDS:
+                    words.empty()
+                h = np.unique(np.concatenate((single(h), bigram(np.concatenate(([END & ~np.uint64(1)], h[:-1])), h))))
+                yield pa.RecordBatch.from_arrays([pa.array([doc] * len(h), pa.int64()), pa.array([th] * len(h), pa.int64()), pa.array(h.view(np.int64))], names=["_doc", "_th", "h"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lfbf, known, counts = shared.value
         words = Words()
-        table: dict[str, np.ndarray] = {"h": np.zeros(0, np.uint64)}
-
-        def extend() -> None:
-            """Hash, exact count and level of the words met since."""
-            new = np.array(words.list[len(table["h"]) :], dtype=np.uint64)
-            if not len(new):
-                return
-            more = {"h": new, "c": lookup(known, counts, new), "q": lfbf.level(single(new))}
-            for k, x in more.items():
-                table[k] = np.concatenate((table[k], x)) if k in table else x
-
-        def sums(x: np.ndarray, ends: np.ndarray) -> np.ndarray:
-            return np.diff(np.concatenate(([0], np.cumsum(x)))[np.concatenate(([0], ends + 1))])
-
-        words["\n"] = 0  # the end token is word 0
-        words.list.append(int(END) & ~1)
-        for b in batches:
-            for lo in range(0, len(b), 512):
-                part = b.slice(lo, 512)
-                numbers, size = [], []
-                for text in part.column(3).to_pylist():
-                    t = tokens(text)
-                    numbers.append(np.fromiter(map(words.__getitem__, t), np.int64, len(t)))
-                    numbers.append(np.zeros(1, np.int64))
-                    size.append(len(t) + 1)
-                extend()
-                t = np.concatenate(numbers)
-                ends = np.cumsum(size) - 1
-                h, c, q = table["h"][t], table["c"][t], table["q"][t]
-                before = np.concatenate(([0], t[:-1]))
-                low2 = lfbf.level(bigram(table["h"][before], h))
-                low = lambda x: np.where(x > 0, np.exp2(x - 1.0), 0.0)
-                high = np.where(table["q"][before] > 0, np.exp2(table["q"][before].astype(float)) - 1, 0.0)
-                p1 = (low(q) + 0.5) / scale
-                p = (np.minimum(low(low2), high) + prior * p1) / (high + prior)
-                base = np.log10((c + 0.5) / scale) if whole else np.where(c > 0, np.log10((c + 0.5) / scale), 0.0)
-                each = [np.add.reduceat(x, np.concatenate(([0], ends[:-1] + 1))) for x in (base, np.log10(p))]
-                made = [pa.array(np.array(size, np.int64)), pa.array(sums((c > 0).astype(np.int64), ends)), pa.array(each[0]), pa.array(each[1])]
-                yield pa.RecordBatch.from_arrays([*part.columns[:3], part.column(4), *made], names=["_doc", "_th", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
-                if len(words.list) > 3_000_000:
-                    words.clear()
-                    del words.list[:]
-                    words["\n"] = 0
-                    words.list.append(int(END) & ~1)
-                    table.clear()
-                    table["h"] = np.zeros(0, np.uint64)
-
-    rows = docs.select(*document_key(docs), F.col("doc_id").cast("long").alias("doc_id"), "text", is_held.alias("held_out"))
-    scored = rows.mapInArrow(run, "_doc long, _th long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
-    if not whole:  # words beyond the table add their part by a join
-        def absent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            _, known, counts = shared.value
-            for b in batches:
-                out: list[list] = [[], [], [], []]
-                for doc, th, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                    h = np.array([xxhash.xxh3_64_intdigest(w) & ~1 for w in tokens(text)] + [int(END) & ~1], dtype=np.uint64)
-                    h, times = np.unique(h[lookup(known, counts, h) == 0], return_counts=True)
-                    for k, x in enumerate(([doc] * len(h), [th] * len(h), h.view(np.int64).tolist(), times.tolist())):
-                        out[k] += x
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], names=["_doc", "_th", "h", "times"])
-
-        asked = rows.select("_doc", "_th", "text").mapInArrow(absent, "_doc long, _th long, h long, times long").distinct()
-        found = asked.join(words, "h", "left").withColumn("c", F.coalesce("c", F.lit(0)))
-        part = found.groupBy("_doc", "_th").agg(
-            F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("more_known"), F.sum(F.col("times") * F.log10((F.col("c") + 0.5) / F.lit(scale))).alias("more")
-        )
-        scored = scored.join(part, ["_doc", "_th"], "left")
-        scored = scored.withColumn("n_known", F.col("n_known") + F.coalesce("more_known", F.lit(0))).withColumn("base_score", F.col("base_score") + F.coalesce("more", F.lit(0.0)))
-    return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
+        hashes, count = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        low = lambda x: np.where(x > 0, np.exp2(x - 1.0), 0.0)
+        for b in in_parts(batches, 3):
+            numbers = [words.numbers(text) for text in b.column(3).to_pylist()]
+            new = np.array(words.list[len(hashes) :], dtype=np.uint64)
+            hashes, count = np.concatenate((hashes, new)), np.concatenate((count, lookup(known, counts, new)))
+            size = np.fromiter(map(len, numbers), np.int64, len(numbers))
+            first = np.cumsum(size) - size
+            t = np.concatenate(numbers)
+            h, c = hashes[t], count[t]
+            pair = bigram(np.concatenate(([END & ~np.uint64(1)], h[:-1])), h)
+            if lfbf is not None:
+                some, place = np.unique(t, return_inverse=True)
+                q, q2 = lfbf.level(single(hashes[some]))[place], lfbf.level(pair)
+                after_end = lfbf.level(np.array([END & ~np.uint64(1)]))
+            else:  # the levels that the join has found for each text
+                got = b.column(4)
+                of = np.repeat(np.arange(len(b)), size)
+                q, q2 = np.zeros(len(t), np.int64), np.zeros(len(t), np.int64)
+                for k, found in enumerate(got.to_pylist()):
+                    keys = np.array([x["h"] for x in found or ()], np.int64).view(np.uint64)
+                    values = np.array([x["q"] for x in found or ()], np.int64)
+                    order = np.argsort(keys)
+                    mine = of == k
+                    q[mine], q2[mine] = lookup(keys[order], values[order], single(h[mine])), lookup(keys[order], values[order], pair[mine])
+                after_end = q[first + size - 1][:1]
+            before = np.concatenate((after_end, q[:-1]))
+            high = np.where(before > 0, np.exp2(before.astype(float)) - 1, 0.0)
+            p = (np.minimum(low(q2), high) + prior * (low(q) + 0.5) / scale) / (high + prior)
+            base = np.where((c > 0) | whole, np.log10((c + 0.5) / scale), 0.0)
+            sums = [np.add.reduceat(x, first) for x in ((c > 0).astype(np.int64), base, np.log10(p))]
+            # words that are not in the table of counts, with how often each text has them
+            absent = [np.unique(h[a : a + z][c[a : a + z] == 0], return_counts=True) if not whole else ((), ()) for a, z in zip(first.tolist(), size.tolist(), strict=True)]
+            ends = np.cumsum([0, *(len(a) for a, _ in absent)]).astype(np.int32)
+            join = lambda k, kind: pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, kind), *(np.asarray(x[k], kind) for x in absent)]).view(np.int64)))  # noqa: E731, B023
+            made = [pa.array(size), *map(pa.array, sums), join(0, np.uint64), join(1, np.int64)]
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], *made], names=["row", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "absent", "times"])
+            if len(words.list) > CACHED_WORDS:
+                words.empty()
+                hashes, count = hashes[:0], count[:0]
+
+    keyed = docs.select(*document_key(docs), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), is_held.alias("held_out"))
+    columns = [F.monotonically_increasing_id().alias("row"), "doc_id", "held_out", "text"]
+    if by_broadcast:
+        rows = keyed.select(*columns)
+    else:
+        asked = keyed.select("_doc", "_th", "text").mapInArrow(ask, "_doc long, _th long, h long").distinct()
+        got = asked.join(levels_by_join(asked, model, shift, top), "h").where("q > 0").groupBy("_doc", "_th").agg(F.collect_list(F.struct("h", "q")).alias("got"))
+        rows = keyed.join(got, ["_doc", "_th"], "left").select(*columns, "got")
+    scored = rows.mapInArrow(run, "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, absent array<long>, times array<long>")
+    out = ["doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score"]
+    if whole:
+        return scored.select(*out)
+    scored = materialize(scored)
+    rare = scored.select("row", F.explode(F.arrays_zip("absent", "times")).alias("x")).select("row", F.col("x.absent").alias("h"), "x.times")
+    found = rare.join(words, "h", "left").withColumn("c", F.coalesce("c", F.lit(0)))
+    part = found.groupBy("row").agg(
+        F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("more_known"), F.sum(F.col("times") * F.log10((F.col("c") + 0.5) / F.lit(scale))).alias("more")
+    )
+    both = scored.drop("absent", "times").join(part, "row", "left")
+    both = both.withColumn("n_known", F.col("n_known") + F.coalesce("more_known", F.lit(0))).withColumn("base_score", F.col("base_score") + F.coalesce("more", F.lit(0.0)))
+    return both.select(*out)

@@ -68,12 +68,13 @@ def test_quality(docs, none):
     assert quality.quality_rules(none).count() == 0
 
 
-@pytest.mark.parametrize("wide", [1000, 2])
-def test_suffix_dedup(spark, docs, none, wide):
+@pytest.mark.parametrize(("wide", "piece"), [(1000, 1_000_000), (2, 1_000_000), (1000, 30)])
+def test_suffix_dedup(spark, docs, none, wide, piece):
     text = "".join(f"{k:04d}" for k in range(60))
     more = [(8000 + k, f"{k}-{k * 7919}" + text + f"tail {k}", "en", "s") for k in range(12)] + [(8100, "ab" * 300, "en", "s"), (8100, "other " * 40, "en", "s")]
+    more += [(None, text + f"end {k}", "en", "s") for k in range(5)] + [(None, f"{k} alone " + "".join(f"{k * j:05d}" for j in range(80)), "en", "s") for k in range(3, 8)]
     d = docs.select("doc_id", "text", "lang", "source").unionByName(spark.createDataFrame(more, "doc_id long, text string, lang string, source string"))
-    rows = d.select("doc_id", F.shiftrightunsigned(F.xxhash64(F.coalesce("text", F.lit(""))), 41).alias("h"), F.coalesce("text", F.lit("")).alias("t")).collect()
+    rows = d.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"), F.coalesce("text", F.lit("")).alias("t")).collect()
     seen, want = set(), {}
     for i, _, t in sorted({(1 << 62 if r["doc_id"] is None else r["doc_id"], r["h"], r["t"]) for r in rows}):
         raw = t.encode()
@@ -84,12 +85,21 @@ def test_suffix_dedup(spark, docs, none, wide):
             seen.add(raw[k : k + 100])
         kept = bytes(c for c, f in zip(raw, flag, strict=False) if not f)
         want[i, t] = (len(raw), int(flag.sum()), int((np.diff(flag, prepend=0) == 1).sum()), hashlib.sha256(kept).hexdigest())
-    got = sorted((1 << 62 if r["doc_id"] is None else r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in suffix_dedup.remove_repeats(d, wide_group=wide).collect())
+    got = sorted((1 << 62 if r["doc_id"] is None else r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in suffix_dedup.remove_repeats(d, wide_group=wide, piece_rows=piece).collect())
     exp = sorted((i, *want[i, r["t"]]) for r in rows for i in [1 << 62 if r["doc_id"] is None else r["doc_id"]])
     assert got == exp and sum(e[2] for e in exp) > 2000
     assert wide > 2 or suffix_dedup.remove_repeats(none).count() == 0
 
 
+def test_long_text_is_read_in_windows(spark):
+    rng = np.random.default_rng(3)
+    long = "".join(map(chr, rng.integers(97, 123, suffix_dedup.BATCH_BYTES + 5000).tolist()))
+    edge = suffix_dedup.BATCH_BYTES
+    rows = [(1, long), (2, long[edge - 300 : edge + 300]), (3, long[edge + 4000 :] + long[:400])]
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"]) for r in suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: (len(long), 0, 0), 2: (600, 600, 1), 3: (1400, 1400, 1)}
+
+
 def test_previous_factors():
     s = b"abracadabra abracadabra"
     suffixes = [s[i:] for i in range(len(s))]
@@ -193,6 +203,40 @@ def test_components(spark):
     assert got == {k: 1 for k in range(1, 201)} | {500 + k: 500 for k in range(50)} | {999: 999, 1000: 999}
 
 
+def test_chat_budget(spark):
+    """No window of several own turns exceeds the budget, system turn and history counted."""
+    rng = np.random.default_rng(1)
+    rows = []
+    for c in range(40):
+        first = int(rng.integers(0, 3))
+        sizes = [int(rng.choice([3, 30, 200, 400, 700])) for _ in range(25)]
+        rows += [(c, t, "system" if t == 0 and first else ("user", "assistant")[t % 2], " ".join(["w"] * n)) for t, n in enumerate(sizes)]
+    out = chat.windows(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), budget=512).collect()
+    for w in out:
+        turns = w["formatted"].split("<|im_start|>")[1:]
+        tokens = [len(t.split("\n", 1)[1].rsplit("<|im_end|>", 1)[0].split()) + chat.TURN_COST for t in turns]
+        assert sum(tokens) <= 512 or (w["n_turns"] == 1 and tokens[-1] > 100 and w["n_context"] <= 1)
+    own = sorted((w["conv_id"], w["window"], w["n_turns"]) for w in out)
+    assert sum(n for _, _, n in own) == len(rows) and any(w["n_context"] > 1 for w in out)
+
+
+def test_top_k_bounds(spark):
+    """On clustered vectors few rows are sent to a second group."""
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(30, 16))
+    v = (centres[np.arange(3000) % 30] + 0.02 * rng.normal(size=(3000, 16))).astype(float)
+    v /= np.sqrt((v**2).sum(1))[:, None]
+    table = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    placed, need, local = knn._plan(table, 10, 7, 1024.0, 60, 20, 4096, "vec_id", "embedding", None)
+    sent = placed.join(need, "cell").where("dist BETWEEN lo AND hi").count()
+    assert sent < 3 * 3000  # there are some twenty groups
+    got = {tuple(r) for r in knn.top_k_search(table, query_modulus=7, pivots=60, group_queries=20).collect()}
+    w = np.floor(1024 * v).astype(int)
+    s = w @ w.T
+    want = {(i, a + 1, int(j), int(s[i, j])) for i in range(0, 3000, 7) for a, j in enumerate([j for j in np.lexsort((np.arange(3000), -s[i])) if j != i][:10])}
+    assert got == want
+
+
 def test_bpe(docs, none):
     import public_tokenizers
     import tiktoken
@@ -216,8 +260,12 @@ def test_lm(docs, none):
     c = collections.Counter(w for r in rows if not held(r["doc_id"]) for w in tokens(r["text"]))
     n, scale = sum(c.values()), sum(c.values()) + 0.5 * (len(c) + 1)
     want = sorted((str(r["doc_id"]), held(r["doc_id"]), len(tokens(r["text"])), sum(c[w] > 0 for w in tokens(r["text"])), round(sum(math.log10((c[w] + 0.5) / scale) for w in tokens(r["text"])), 6)) for r in rows)
-    for size in (4_000_000, 200):
-        got = lm.score_documents(docs, table_words=size).collect()
+    first = None
+    for size, most in ((4_000_000, lm.BROADCAST_BYTES), (200, lm.BROADCAST_BYTES), (200, 0)):
+        got = lm.score_documents(docs, table_words=size, broadcast_bytes=most).collect()
+        scores = sorted((str(r["doc_id"]), round(r["score"], 6)) for r in got)
+        first = first or scores
+        assert scores == first  # the filter that is broadcast and the one that is joined say the same
         assert sorted((str(r["doc_id"]), r["held_out"], r["n_tokens"], r["n_known"], round(r["base_score"], 6)) for r in got) == want
         assert all(r["train_tokens"] == n and r["score"] < 0 for r in got)
         assert sum(r["score"] for r in got if r["held_out"]) > sum(r["base_score"] for r in got if r["held_out"])
@@ -228,7 +276,9 @@ def test_top_k(spark):
     base = [(r["vec_id"], [float(x) for x in r["embedding"]]) for r in spark.read.parquet(f"{SF}/embeddings.parquet").collect()]
     base += [(1000 + k, base[0][1]) for k in range(40)]
     odd = [(2000, None), (2100, [float("nan")] * 64), (2200, [None] * 64), (None, base[1][1]), (2300, [1.0])]
-    got = {tuple(r) for r in knn.top_k_search(spark.createDataFrame(base + odd, "vec_id long, embedding array<float>").repartition(4)).collect()}
+    table = spark.createDataFrame(base + odd, "vec_id long, embedding array<float>").repartition(4)
+    got = {tuple(r) for r in knn.top_k_search(table).collect()}
+    assert got == {tuple(r) for r in knn.top_k_search(table, group_queries=2, pivots=20).collect()}
     ids = np.array([i for i, _ in base])
     v = np.floor(1024 * np.array([np.float32(x) for _, x in base], dtype=float)).astype(int)
     s = v @ v.T
