@@ -33,11 +33,16 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def materialize(df: DataFrame, **options: str) -> DataFrame:
+#: A task buffers a row group before it writes it, and decompresses pages before it reads them: small ones keep wide rows in
+#: bounds, and zstd needs no buffers outside the heap that only a collection frees.
+WRITE = {"compression": "zstd", "parquet.block.size": str(16 << 20), "parquet.compression.codec.zstd.level": "1"}
+
+
+def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it again: lineage ends there, and a lost executor loses nothing."""
     spark = settle(df.sparkSession)
     path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
-    df.write.options(**options).parquet(path)
+    df.write.options(**WRITE).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
