@@ -41,9 +41,19 @@ def _any(x: Column, parts: tuple[str, ...]) -> Column:
     return out
 
 
+def _carriers(marks: str) -> str:
+    """The letters whose canonical decomposition has one of ``marks``, and the marks themselves, as a character class."""
+    letters = (chr(c) for c in range(0x80, 0x2000) if any(m in unicodedata.normalize("NFD", chr(c)) for m in marks))
+    return "[" + "".join(dict.fromkeys((*letters, *marks))) + "]"
+
+
+#: Fixed value: the marks of Vietnamese vowels (circumflex, breve, horn), alone or under a tone mark, and the letter d with a stroke.
+VI_LETTERS = _carriers("\u0302\u0306\u031b")[:-1] + "đĐ]"
+
+
 def language(x: Column) -> Column:
     low = F.lower(x)
-    return F.when(_any(low, VI_MARKERS) | low.rlike("[đơưăâêô]"), "vi").when(low.rlike("[a-z]"), "en").otherwise("unknown")
+    return F.when(_any(low, VI_MARKERS) | x.rlike(VI_LETTERS), "vi").when(low.rlike("[a-z]"), "en").otherwise("unknown")
 
 
 def answer_type(x: Column) -> Column:
@@ -54,8 +64,14 @@ def answer_type(x: Column) -> Column:
 
 
 def modality_hints(x: Column) -> Column:
-    pairs = F.array(F.struct(F.lit("visual").alias("k"), F.lit(1.0).alias("v"), F.lit(True).alias("on")), *[F.struct(F.lit(k).alias("k"), F.lit(w).alias("v"), _any(F.lower(x), p).alias("on")) for k, w, p in HINTS])
-    return F.map_from_entries(F.transform(F.filter(pairs, lambda e: e["on"]), lambda e: F.struct(e["k"], e["v"])))
+    """A map of weight factors by modality: the visual one, and those that the text's words ask for."""
+    names, weights = [F.lit("visual")], [F.lit(1.0)]
+    for name, weight, parts in HINTS:
+        asked = _any(F.lower(x), parts)
+        names.append(F.when(asked, F.lit(name)))
+        weights.append(F.when(asked, F.lit(weight)))
+    present = lambda a: F.filter(F.array(*a), lambda v: v.isNotNull())
+    return F.map_from_arrays(present(names), present(weights))
 
 
 def _trimmed(parts: Column) -> Column:
@@ -92,16 +108,28 @@ def unicode_form(x: Column, form: str = "NFC") -> Column:
     return _compose(x, F.lit(form))
 
 
+@F.pandas_udf(StringType())
+def _folded(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: unicodedata.normalize("NFKC", t).casefold(), na_action="ignore")
+
+
+def fold(x: Column) -> Column:
+    """Compatibility form and full case folding, by Arrow batches where a text is not ASCII: Spark has no such functions."""
+    return F.when(x.rlike(r"^[\x00-\x7F]*$"), F.lower(x)).otherwise(_folded(x))
+
+
 def normalize_ocr(x: Column) -> Column:
     return F.lower(collapse(unicode_form(x)))
 
 
-def task_type(x: Column) -> Column:
-    return F.when(split_events(x).isNotNull(), "TRAKE").when(answer_type(x).isNotNull() | F.contains(x, F.lit("?")), "QA").otherwise("KIS")
+def task_type(x: Column, explicit: Column | None = None) -> Column:
+    """The task that is asked for, if any; else what the text suggests."""
+    given = F.upper(F.trim(explicit)) if explicit is not None else F.lit(None).cast("string")
+    return F.when(given.isin("KIS", "QA", "TRAKE"), given).when(split_events(x).isNotNull(), "TRAKE").when(answer_type(x).isNotNull() | F.contains(x, F.lit("?")), "QA").otherwise("KIS")
 
 
 def normalize_answer(x: Column) -> Column:
-    return collapse(F.regexp_replace(F.lower(x), r"[\p{P}\p{Z}]", " "))
+    return collapse(F.regexp_replace(fold(x), r"[\p{P}\p{Z}]", " "))
 
 
 def unicode_tokens(x: Column) -> Column:
@@ -135,3 +163,42 @@ def probability(avg_logprob: Column) -> Column:
 def rational(x: Column) -> Column:
     parts = F.split(x, "/")
     return F.when(F.size(parts) == 2, F.try_divide(F.get(parts, F.lit(0)).try_cast("double"), F.get(parts, F.lit(1)).try_cast("double"))).otherwise(x.try_cast("double"))
+
+
+def normalize_label(x: Column) -> Column:
+    """A label in composed form with single spaces."""
+    return collapse(unicode_form(x))
+
+
+def joined_labels(labels: Column) -> Column:
+    """Labels that are not blank, joined by a comma and a space."""
+    return F.array_join(F.filter(labels, lambda v: F.trim(v) != ""), ", ")
+
+
+def natural_key(name: Column) -> Column:
+    """A sort key that puts numbers inside names in the order of their values: digits without leading zeros, after their count."""
+    parts = F.regexp_extract_all(F.lower(name), F.lit(r"(\d+|\D+)"))
+    number = lambda p: F.regexp_replace(p, r"^0+(?=\d)", "")
+    return F.transform(parts, lambda p: F.when(p.rlike(r"^\d"), F.concat(F.lit("0"), F.lpad(F.length(number(p)).cast("string"), 6, "0"), number(p))).otherwise(F.concat(F.lit("1"), p)))
+
+
+def file_stem(path: Column) -> Column:
+    """The last part of a path of either kind, without its last suffix."""
+    return F.regexp_replace(F.regexp_extract(path, r"([^/\\]*)[/\\]*$", 1), r"(?<=.)\.[^.]*$", "")
+
+
+def submission_stem(path: Column) -> Column:
+    """``query-<number>-<task>`` of a query file; the number without leading zeros, null if the name has none."""
+    stem = F.lower(file_stem(path))
+    number, task = F.regexp_extract(stem, r"(\d+)", 1), F.regexp_extract(stem, r"-(kis|qa|trake)$", 1)
+    return F.when(number != "", F.concat_ws("-", F.lit("query"), F.regexp_replace(number, r"^0+(?=\d)", ""), F.when(task != "", task)))
+
+
+def shifted(spans: Column, offset: Column) -> Column:
+    """Spans (text, start, end) of a clip in the time of its video."""
+    return F.transform(spans, lambda w: F.struct(w["text"].alias("text"), (w["start"] + offset).alias("start"), (w["end"] + offset).alias("end")))
+
+
+def retry_delay(attempt: Column, first: float, most: float) -> Column:
+    """Seconds to wait before the next attempt: doubled each time, up to ``most``."""
+    return F.least(F.lit(most), F.lit(first) * F.pow(F.lit(2.0), attempt - 1))

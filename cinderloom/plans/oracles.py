@@ -75,7 +75,7 @@ ORACLES = {
     "hash_embed_search": f"WITH {_text_hits(ITEMS, 10)} SELECT query_id, r AS rank, candidate_id, round(score, 6) AS score FROM text_hits",
     "variant_max_merge": f"""{VARIANTS}, {_text_hits('SELECT query_id * 1024 + i AS id, t AS text FROM variants', 20)}
 SELECT v.query_id, candidate_id, round(max(score * w), 6) AS score FROM text_hits h JOIN variants v ON h.query_id = v.query_id * 1024 + v.i GROUP BY ALL""",
-    "parse_queries": f"""WITH {EVENTS} SELECT id AS item_id, CASE WHEN {_contains("lower(text)", text.VI_MARKERS)} OR regexp_matches(lower(text), '[đơưăâêô]') THEN 'vi' WHEN regexp_matches(lower(text), '[a-z]') THEN 'en' ELSE 'unknown' END AS language,
+    "parse_queries": f"""WITH {EVENTS} SELECT id AS item_id, CASE WHEN {_contains("lower(text)", text.VI_MARKERS)} OR regexp_matches(lower(text), '[âầấẩẫậêềếểễệôồốổỗộîûĉĝĥĵŝŵŷăằắẳẵặĕğĭŏŭơờớởỡợưừứửữựđ]') THEN 'vi' WHEN regexp_matches(lower(text), '[a-z]') THEN 'en' ELSE 'unknown' END AS language,
   CASE WHEN len(events) >= 2 THEN 'TRAKE' WHEN {ASKS} OR contains(text, '?') THEN 'QA' ELSE 'KIS' END AS task, CASE WHEN len(events) >= 2 THEN len(events) ELSE 0 END AS n_events FROM evented""",
     "kis_topk": f"""{RANKED}, pool AS (SELECT query_id, candidate_id, label::BIGINT AS video_id, round(score, 9) AS score FROM ranked JOIN embeddings ON vec_id = candidate_id WHERE rank <= 1000),
 u AS (SELECT *, coalesce((score - min(score) OVER p) / nullif(max(score) OVER p - min(score) OVER p, 0), 1) AS rel, row_number() OVER (PARTITION BY query_id, video_id ORDER BY score DESC, candidate_id DESC) - 1 AS before FROM pool WINDOW p AS (PARTITION BY query_id)),
@@ -186,7 +186,7 @@ SELECT id, coalesce(list_aggregate(list_sort(list_filter(['customer', 'nation',
   count(*) FILTER (c = 'orders') AS n_orders FROM ids GROUP BY id""",
     "scope_hash": "SELECT sha256(string_agg(x, chr(10) ORDER BY x) || chr(10)) AS scope_hash FROM (SELECT DISTINCT upper(trim(n_name)) AS x FROM nation)",
     "scope_diff": "SELECT n_nationkey::BIGINT AS id, CASE WHEN n_nationkey IN (SELECT s_nationkey FROM supplier) THEN 'present' ELSE 'missing' END AS state FROM nation",
-    "normalize_answer": r"""SELECT conv_id, turn, md5(trim(regexp_replace(regexp_replace(lower(text), '[\p{P}\p{Z}]', ' ', 'g'), '\s+', ' ', 'g'))) AS normal_md5,
+    "normalize_answer": r"""SELECT conv_id, turn, md5(trim(regexp_replace(regexp_replace(replace(lower(nfc_normalize(text)), 'ß', 'ss'), '[\p{P}\p{Z}]', ' ', 'g'), '\s+', ' ', 'g'))) AS normal_md5,
   len(regexp_extract_all(text, '[\p{L}\p{N}_]+')) AS n_tokens FROM conversations""",
     "eval_recall_at_k": f"WITH {PREDICTIONS} SELECT *, round((r1 + r5 + r20 + r50 + r100) / 5, 6) AS final FROM recall",
     "eval_macro": f"""WITH {PREDICTIONS}, t AS (SELECT CASE WHEN length(query_id) = 4 THEN 'KIS' ELSE 'QA' END AS task, (r1 + r5 + r20 + r50 + r100) / 5 AS final FROM recall)

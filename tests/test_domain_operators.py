@@ -112,3 +112,63 @@ def test_page_escapes():
     assert "<script>" not in gallery.page([{"a": "<script>", "b": None}], "t")
     with pytest.raises(ValueError):
         gallery.page([{}] * 101, "t")
+
+
+def test_language_and_answers(spark):
+    from cinderloom.functions import text
+
+    rows = [("Tiếng Việt", "vi"), ("một chiếc xe", "vi"), ("a red car", "en"), ("12 !", "unknown"), ("nga\u0302n", "vi"), (None, "unknown")]
+    got = spark.createDataFrame(rows, "t string, want string").select(text.language(F.col("t")).alias("got"), "want").collect()
+    assert all(r["got"] == r["want"] for r in got)
+    answers = [("\uff21\uff11", "a1"), ("\ufb01ne, Stra\u00dfe!", "fine strasse"), (" A  B. ", "a b"), (None, None), ("", "")]
+    got = spark.createDataFrame(answers, "t string, want string").select(text.normalize_answer(F.col("t")).alias("got"), "want").collect()
+    assert all(r["got"] == r["want"] for r in got)
+    asked = spark.createDataFrame([("first this then that", "kis", "KIS"), ("first this then that", None, "TRAKE"), ("how many?", "other", "QA")], "t string, task string, want string")
+    assert all(r["got"] == r["want"] for r in asked.select(text.task_type(F.col("t"), F.col("task")).alias("got"), "want").collect())
+
+
+def test_names_and_delays(spark):
+    from cinderloom.functions import text
+
+    names = ["/a/query-10-kis.txt", "C:\\b\\query-9-kis.txt", "query-010b.txt", "/x/.hidden", "plain"]
+    rows = spark.createDataFrame([(n,) for n in names], "p string")
+    got = [r[0] for r in rows.orderBy(text.natural_key(text.file_stem(F.col("p")))).select(text.file_stem(F.col("p"))).collect()]
+    assert got == [".hidden", "plain", "query-9-kis", "query-10-kis", "query-010b"]
+    stems = [r[0] for r in rows.select(text.submission_stem(F.col("p"))).collect()]
+    assert stems == ["query-10-kis", "query-9-kis", "query-10", None, None]
+    spans = spark.sql("SELECT array(struct('a' AS text, 1.0D AS start, 2.0D AS end)) AS s").select(text.shifted(F.col("s"), F.lit(10.0)).alias("s")).first()["s"]
+    assert [tuple(x) for x in spans] == [("a", 11.0, 12.0)]
+
+
+def test_readers(spark, tmp_path):
+    from cinderloom.operators import artifacts, hits
+    from cinderloom.sources import readers
+
+    for name, body in {"query-10-kis": "\ufeffred car \n", "query-2-kis": "blue", "query-3-qa": "who?"}.items():
+        (tmp_path / f"{name}.txt").write_text(body, encoding="utf-8")
+    files = readers.whole_files(spark, str(tmp_path))
+    assert [(r["stem"], r["text"]) for r in readers.query_files(files).collect()] == [("query-2-kis", "blue"), ("query-10-kis", "red car")]
+    value = '[{"query_id":"q1","task":"kis","predictions":[{"video_id":"L1_V1","frame_idx":3},{"video_id":"L1_V2","frame_id":4},{"video_id":"L1_V3","frames":[5,6],"answer":"x"}]}]'
+    rows = readers.predictions(spark.createDataFrame([(value,), ("no json",), (None,)], "value string")).collect()
+    assert [(r["query_id"], r["task"], r["rank"], r["video_id"], r["frames"], r["answer"]) for r in rows] == [
+        ("q1", "KIS", 1, "L1_V1", [3], None), ("q1", "KIS", 2, "L1_V2", [4], None), ("q1", "KIS", 3, "L1_V3", [5, 6], "x"),
+    ]
+    media = readers.media_info(spark.createDataFrame([('{"title":"t","keywords":["a"],"length":3}',), ("[",), (None,)], "value string")).collect()
+    assert [(r["title"], r["length"]) for r in media] == [("t", 3.0), (None, None), (None, None)]
+    _, bad = readers.transcripts(spark.createDataFrame([("{",), ('{"segments":[{"text":"a","start":-1,"end":1},{"start":0,"end":1},{"text":"a","start":0}]}',)], "value string"))
+    assert sorted(r["code"] for r in bad.collect()) == ["bad_time", "missing_text", "negative_time", "not_a_transcript"]
+    side = readers.sidecar(spark.createDataFrame([("k", 1, "a"), ("k", 2, "b")], "uid string, line int, t string"), "uid", F.col("t"), "line").collect()
+    assert [tuple(r) for r in side] == [("k", "b")]
+    with pytest.raises(Exception, match="not configured"):
+        artifacts.selected(spark.range(3), spark.createDataFrame([(9,)], "id long"), "id").collect()
+    with pytest.raises(ValueError, match="canonical"):
+        artifacts.check_target("/a/b/", "/a/b", whole=False)
+    keys = spark.createDataFrame([("v", 1), ("v", 2)], "video_id string, n int")
+    images, objects = spark.createDataFrame([("v", 1, "p")], "video_id string, n int, image string"), spark.createDataFrame([], "video_id string, n int, labels string")
+    assert artifacts.matched_frames(keys, images, objects).count() == 2
+    with pytest.raises(Exception, match="no image"):
+        artifacts.matched_frames(keys, images, objects, strict=True).collect()
+    with pytest.raises(ValueError, match="negative"):
+        hits.fuse(keys, {"a": -1.0})
+    fused = spark.createDataFrame([("v", None, 7, None, 1.5), (None, 1, 2, 0.5, 0.5)], "video_id string, frame_idx int, frame_id int, timestamp double, pts_time double")
+    assert [(r["frame"], r["at"]) for r in hits.to_candidates(fused).collect()] == [(7, 1.5)]
