@@ -23,12 +23,19 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .support import document_key, materialize, words
+from .support import SPACE_RUN, document_key, materialize
 
 MIN_WORDS = 3
+SPACES = " \t\n\x0b\x0c\r"
 NEAR_MIN_WORDS = 10
 
 
+def line_words(line: Column) -> Column:
+    """The words of a line."""
+    inner = F.btrim(line, F.lit(SPACES))
+    return F.when(inner == "", F.array().cast("array<string>")).otherwise(F.split(inner, SPACE_RUN))
+
+
 def _half_keys(w: Column, n: Column) -> Column:
     """Four keys: with ``longer`` (n or n + 1) the length of the longer of two lines, a line's first
     (longer - 1) div 2 words and its last words up to longer - 1 in all. One edit leaves one of the two halves as it is."""
@@ -42,8 +49,10 @@ def _half_keys(w: Column, n: Column) -> Column:
 
 def line_table(docs: DataFrame, min_words: int, near_min_words: int) -> DataFrame:
     """One row per line of at least ``min_words`` words: where it is, its 128-bit hash, and its half keys."""
-    lines = docs.where("text is not null").select(*document_key(docs), F.posexplode(F.split("text", "\n")).alias("no", "line"))
-    lines = lines.withColumn("w", words(F.col("line"))).withColumn("n", F.size("w")).where(F.col("n") >= min_words)
+    # the words are made inside the generator: a column of its own would be computed by the filter and once more after it
+    with_words = F.transform(F.split("text", "\n"), lambda line: F.struct(line.alias("line"), line_words(line).alias("w")))
+    lines = docs.where("text is not null").select(*document_key(docs), F.posexplode(with_words).alias("no", "x"))
+    lines = lines.where(F.size("x.w") >= min_words).select("_doc", "_th", "no", "x.line", "x.w", F.size("x.w").alias("n"))
     return lines.select(
         "_doc", "_th", "no", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit("second"), F.col("line")).alias("h2"),
         F.when(F.col("n") >= near_min_words, _half_keys(F.col("w"), F.col("n"))).alias("keys"),
@@ -60,7 +69,7 @@ def near_partners(docs: DataFrame, firsts: DataFrame) -> DataFrame:
     texts = docs.select(*document_key(docs), "text")
     found = per_doc.join(texts, ["_doc", "_th"]).select(F.split("text", "\n").alias("lines"), "wanted")
     found = found.select(F.explode(F.expr("transform(wanted, x -> struct(x.h1 AS h1, x.h2 AS h2, x.at AS at, element_at(lines, x.at.no + 1) AS line))")).alias("x")).select("x.*")
-    lines = materialize(found.dropDuplicates(["h1", "h2"]).select("h1", "h2", "at", words(F.col("line")).alias("w")))
+    lines = materialize(found.dropDuplicates(["h1", "h2"]).select("h1", "h2", "at", line_words(F.col("line")).alias("w")))
 
     each = lines.select("h1", "h2", "at", F.size("w").alias("n"), F.posexplode("w").alias("i", "word"))
     each = each.select("h1", "h2", "at", "n", "i", F.xxhash64("word", "i").alias("here"), F.xxhash64("word", F.col("i") - 1).alias("shifted"))
