@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Allowance for rounding where relevances are compared.
+SLACK = 1e-9
+
+
 def aggregate_by_video(candidates: DataFrame, top_n: int = 3) -> DataFrame:
     """0.65 best + 0.35 mean of the ``top_n`` best + 0.05 share of the modalities seen among them."""
     rows = candidates.where("video_id IS NOT NULL")
@@ -23,29 +28,42 @@ def diversify(candidates: DataFrame, limit: int = 100, same_video: float = 0.08,
     """Greedy choice by relevance less penalties for candidates of the same video that are chosen already.
 
     Penalties depend on one's own video alone and only grow, so the greedy order inside each (query, video) with the
-    utility at each choice, sorted over all videos, is the global greedy order. A query's candidates are a bounded pool.
+    utility at each choice, sorted over all videos, is the global greedy order, and no video gives more than ``limit``.
+    At any of its choices one of a video's ``limit`` most relevant candidates is still there, at a loss of ``temporal`` at
+    most against the others, so candidates that are less relevant by more than that are never chosen: they are left out
+    before the choice. The choice takes time in proportion to the rest and ``limit``.
+
+    Defined results: a null video is one video, a null time is near nothing, of equal utilities the higher score and then
+    the higher id goes first, candidates without a score are left out; an empty table gives an empty result. Other columns are dropped.
     """
     if min(same_video, temporal) < 0:
         raise ValueError("penalties are not negative")
+    if limit < 1 or radius <= 0 or (max_per_video is not None and max_per_video < 1):
+        raise ValueError("limits and the radius are positive")
     w = Window.partitionBy("query_id")
     low, high = F.min("score").over(w), F.max("score").over(w)
     rows = candidates.withColumn("relevance", F.when(high == low, 1.0).otherwise((F.col("score") - low) / (high - low)))
     rows = rows.withColumn("video_id", F.coalesce("video_id", F.lit(-1)))
+    most = limit if max_per_video is None else min(limit, max_per_video)
+    video = Window.partitionBy("query_id", "video_id")
+    rows = rows.withColumn("place", F.row_number().over(video.orderBy(F.desc("relevance"))))
+    last = F.min(F.when(F.col("place") <= most, F.col("relevance"))).over(video)
+    rows = rows.withColumn("last", last).where(F.col("relevance") >= F.col("last") - temporal - SLACK)
 
     def choose(pool: pd.DataFrame) -> pd.DataFrame:
-        rest = list(pool.itertuples(index=False))
-        chosen: list = []
-        out = []
-        while rest and (max_per_video is None or len(chosen) < max_per_video):
-            keyed = []
-            for c in rest:
-                near = [max(0.0, 1 - abs(c.ts - o.ts) / radius) for o in chosen if c.ts == c.ts and o.ts == o.ts]
-                keyed.append((c.relevance - same_video * len(chosen) - temporal * max(near, default=0.0), c.score, c.candidate_id))
-            best = max(range(len(rest)), key=keyed.__getitem__)
-            c = rest.pop(best)
-            chosen.append(c)
-            out.append((c.query_id, c.candidate_id, c.video_id, c.score, keyed[best][0]))
-        return pd.DataFrame(out, columns=["query_id", "candidate_id", "video_id", "score", "utility"])
+        pool = pool.sort_values(["score", "candidate_id"], ascending=False, ignore_index=True)
+        ts, relevance = pool["ts"].to_numpy(float), pool["relevance"].to_numpy(float)
+        near = np.zeros(len(pool))
+        left = np.ones(len(pool), bool)
+        chosen, utilities = [], []
+        while len(chosen) < min(most, len(pool)):
+            utility = np.where(left, relevance - same_video * len(chosen) - temporal * near, -np.inf)
+            best = int(utility.argmax())
+            chosen.append(best)
+            utilities.append(utility[best])
+            left[best] = False
+            near = np.fmax(near, 1 - np.abs(ts - ts[best]) / radius)
+        return pool.loc[chosen, ["query_id", "candidate_id", "video_id", "score"]].assign(utility=utilities)
 
     schema = "query_id long, candidate_id long, video_id long, score double, utility double"
     picked = rows.select("query_id", "candidate_id", "video_id", "ts", "score", "relevance").groupBy("query_id", "video_id").applyInPandas(choose, schema)

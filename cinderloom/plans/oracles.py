@@ -24,8 +24,8 @@ text_hits AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id
 ITEMS = "SELECT item_id AS id, text FROM benchmark"
 HITS = f"""visual AS (
   SELECT * FROM (SELECT q.vec_id AS query_id, 'visual' AS source, s.vec_id AS candidate_id, round(list_inner_product(q.v, s.v), 9) AS score,
-    row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_inner_product(q.v, s.v), 9) DESC, s.vec_id) AS r FROM ({FINE}) q, ({FINE}) s WHERE q.vec_id IN (SELECT item_id FROM benchmark)) WHERE r <= 50
-), {_text_hits(ITEMS, 50)}, hits AS (SELECT * FROM visual UNION ALL SELECT query_id, 'asr', candidate_id, score, r FROM text_hits), weighed AS (SELECT *, CASE source WHEN 'asr' THEN 0.8::DOUBLE ELSE 1.0::DOUBLE END AS w FROM hits)"""
+    row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_inner_product(q.v, s.v), 9) DESC, s.vec_id) AS r FROM ({FINE}) q, ({FINE}) s WHERE q.vec_id IN (SELECT item_id FROM benchmark)) WHERE r <= 500
+), {_text_hits(ITEMS, 500)}, hits AS (SELECT * FROM visual UNION ALL SELECT query_id, 'asr', candidate_id, score, r FROM text_hits), weighed AS (SELECT *, CASE source WHEN 'asr' THEN 0.8::DOUBLE ELSE 1.0::DOUBLE END AS w FROM hits)"""
 RRF = f"WITH {HITS}, fused AS (SELECT query_id, candidate_id, sum(w / (60 + r)) AS score, count(*) AS n_sources FROM weighed GROUP BY ALL)"
 TRANSCRIPT = """SELECT conv_id AS video_id, turn AS segment, text, coalesce(sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / 15.0::DOUBLE AS s,
   length(text) / 15.0::DOUBLE AS len FROM conversations"""
@@ -80,12 +80,12 @@ SELECT v.query_id, candidate_id, round(max(score * w), 6) AS score FROM text_hit
     "kis_topk": f"""{RANKED}, pool AS (SELECT query_id, candidate_id, label::BIGINT AS video_id, round(score, 9) AS score FROM ranked JOIN embeddings ON vec_id = candidate_id WHERE rank <= 1000),
 u AS (SELECT *, coalesce((score - min(score) OVER p) / nullif(max(score) OVER p - min(score) OVER p, 0), 1) AS rel, row_number() OVER (PARTITION BY query_id, video_id ORDER BY score DESC, candidate_id DESC) - 1 AS before FROM pool WINDOW p AS (PARTITION BY query_id)),
 o AS (SELECT query_id, candidate_id, video_id, row_number() OVER (PARTITION BY query_id ORDER BY rel - 0.05::DOUBLE * before DESC, score DESC, candidate_id DESC) AS rank FROM u) SELECT query_id, rank, candidate_id, video_id FROM o WHERE rank <= 20""",
-    "diversify": f"""WITH RECURSIVE pool AS (SELECT video_id, event_id AS id, pts AS ts, score FROM ({KEYFRAMES}) ORDER BY score DESC, event_id LIMIT 200),
+    "diversify": f"""WITH RECURSIVE pool AS (SELECT video_id, event_id AS id, pts AS ts, score FROM ({KEYFRAMES})),
 rel AS (SELECT *, (score - min(score) OVER ()) / (max(score) OVER () - min(score) OVER ()) AS rel FROM pool),
 g AS (SELECT video_id, list({{'u': 0.0::DOUBLE, 'score': score, 'id': id, 'ts': ts, 'rel': rel}}) AS rest, list({{'u': 0.0::DOUBLE, 'score': score, 'id': id, 'ts': ts, 'rel': rel}})[1:0] AS chosen FROM rel GROUP BY video_id
   UNION ALL SELECT video_id, list_filter(rest, lambda x: x.id <> b.id), list_append(chosen, b) FROM (SELECT *, list_sort(list_transform(rest, lambda c: {{'u': c.rel - 0.08::DOUBLE * len(chosen) - 0.35::DOUBLE * coalesce(list_max(list_transform(chosen, lambda o: {BEST_OF})), 0),
-    'score': c.score, 'id': c.id, 'ts': c.ts, 'rel': c.rel}}), 'DESC')[1] AS b FROM g WHERE len(rest) > 0)),
-c AS (SELECT video_id, unnest(chosen) AS b FROM g WHERE len(rest) = 0), o AS (SELECT row_number() OVER (ORDER BY b.u DESC, b.score DESC, b.id DESC) AS rank, b.id AS candidate_id, video_id, round(b.u, 6) AS utility FROM c)
+    'score': c.score, 'id': c.id, 'ts': c.ts, 'rel': c.rel}}), 'DESC')[1] AS b FROM g WHERE len(rest) > 0 AND len(chosen) < 50)),
+c AS (SELECT video_id, unnest(chosen) AS b FROM g WHERE len(rest) = 0 OR len(chosen) = 50), o AS (SELECT row_number() OVER (ORDER BY b.u DESC, b.score DESC, b.id DESC) AS rank, b.id AS candidate_id, video_id, round(b.u, 6) AS utility FROM c)
 SELECT * FROM o WHERE rank <= 50""",
     "nms_classwise": f"""WITH RECURSIVE d AS (SELECT *, row_number() OVER (PARTITION BY frame, label ORDER BY score DESC, pos, x0, y0, x1, y1) AS rn FROM ({LINES}) WHERE score >= 0.2),
 r AS (SELECT frame, label, 1::BIGINT AS rn, [{{'pos': pos, 'score': score, 'x0': x0, 'y0': y0, 'x1': x1, 'y1': y1}}] AS kept FROM d WHERE rn = 1

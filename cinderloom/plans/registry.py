@@ -19,6 +19,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 DAY = 86_400.0
 TEXT_DIM = 256
 VARIANTS = 1024
+PER_SOURCE = 500
 WEIGHTS = {"visual": 1.0, "asr": 0.8}
 
 
@@ -60,9 +61,9 @@ def hash_embed_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 def hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For every benchmark item, the vectors nearest to the one of its id and the documents nearest to its text."""
     v, b = tables.vectors(spark, sf_dir), tables.read(spark, sf_dir, "benchmark")
-    visual = search.knn_batch(v, _asked(v.join(b, F.col("vec_id") == F.col("item_id"), "left_semi")), 50)
+    visual = search.knn_batch(v, _asked(v.join(b, F.col("vec_id") == F.col("item_id"), "left_semi")), PER_SOURCE)
     visual = visual.select("query_id", F.lit("visual").alias("source"), F.col("vec_id").alias("candidate_id"), "score")
-    asr = _text_hits(spark, sf_dir, b.select(F.col("item_id").alias("vec_id"), "text"), 50)
+    asr = _text_hits(spark, sf_dir, b.select(F.col("item_id").alias("vec_id"), "text"), PER_SOURCE)
     return visual.unionByName(asr.select("query_id", F.lit("asr").alias("source"), "candidate_id", "score"))
 
 
@@ -98,8 +99,7 @@ def video_aggregate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def diversify(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pool = _candidates(spark, sf_dir).orderBy(F.desc("score"), "candidate_id").limit(200)
-    return ranking.diversify(pool, limit=50, radius=DAY).select(F.col("rank").cast("long").alias("rank"), "candidate_id", "video_id", F.round("utility", 6).alias("utility"))
+    return ranking.diversify(_candidates(spark, sf_dir), limit=50, radius=DAY).select(F.col("rank").cast("long").alias("rank"), "candidate_id", "video_id", F.round("utility", 6).alias("utility"))
 
 
 def kis_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
