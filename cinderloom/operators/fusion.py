@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 
 def weight_of(weights: Mapping[str, float]) -> Column:
+    """The weight of a row's source, 1 for a source without one; negative weights are refused."""
+    if any(not w >= 0 for w in weights.values()):
+        raise ValueError("weights are not negative")
     out = F.lit(1.0)
     for source, w in weights.items():
         out = F.when(F.col("source") == source, float(w)).otherwise(out)

@@ -9,23 +9,31 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.vectors import SCORES
+from ..functions.vectors import SCORES, is_valid
 
 #: Queries of one pass over the index: what is broadcast never exceeds this many vectors.
 QUERY_BLOCK = 4096
 DIGITS = 9
+REFUSED = "a vector is null, of another length than the queries, or not finite"
 
 
 def knn(index: DataFrame, query: list[float], k: int, metric: str = "cosine") -> DataFrame:
-    """(vec_id, score): the k best rows for one query vector, ties to the smaller id."""
+    """(vec_id, score): the k best rows for one query vector, ties to the smaller id.
+    Rows whose vector is null, of another length than the query or not finite are refused with an error."""
+    if not np.isfinite(query).all():
+        raise ValueError("a query has components that are not finite")
     q = F.array(*[F.lit(float(x)) for x in query])
-    return index.select("vec_id", SCORES[metric](F.col("v"), q).alias("score")).orderBy(F.desc("score"), "vec_id").limit(k)
+    score = F.when(is_valid(F.col("v"), len(query)), SCORES[metric](F.col("v"), q)).otherwise(F.raise_error(F.lit(REFUSED)).cast("double"))
+    return index.select("vec_id", score.alias("score")).orderBy(F.desc("score"), "vec_id").limit(k)
 
 
 def knn_batch(index: DataFrame, queries: list[tuple[int, list[float]]], k: int) -> DataFrame:
     """(query_id, rank, vec_id, score) by inner product: matrix products per Arrow batch keep k rows of each batch and
     query, then one ranking per query. Queries go in blocks of ``QUERY_BLOCK``. Scores are rounded to ``DIGITS`` places before
-    they are compared, so that equal vectors tie wherever they lie."""
+    they are compared, so that equal vectors tie wherever they lie. Vectors that are null, of unequal lengths or not finite are refused with an
+    error; no queries or an empty index give an empty result."""
+    if len({len(v) for _, v in queries}) > 1 or not all(np.isfinite(v).all() for _, v in queries):
+        raise ValueError("queries are of unequal lengths or not finite")
     out = None
     for at in range(0, max(1, len(queries)), QUERY_BLOCK):
         part = queries[at : at + QUERY_BLOCK]
@@ -36,10 +44,20 @@ def knn_batch(index: DataFrame, queries: list[tuple[int, list[float]]], k: int)
             for b in batches:
                 if not len(b) or not len(ids):
                     continue
-                s = np.round(matrix @ np.stack(b["v"].to_numpy()).T, DIGITS)
+                if b["v"].isna().any() or any(len(v) != matrix.shape[1] for v in b["v"]):
+                    raise ValueError(REFUSED)
+                s = np.round(matrix @ np.stack(b["v"].to_numpy()).astype(np.float64).T, DIGITS)
+                if not np.isfinite(s).all():
+                    raise ValueError(REFUSED)
                 rows = b["vec_id"].to_numpy()
-                order = np.lexsort((np.broadcast_to(rows, s.shape), -s))[:, :k]
-                yield pd.DataFrame({"query_id": np.repeat(ids, order.shape[1]), "vec_id": rows[order].ravel(), "score": np.take_along_axis(s, order, 1).ravel()})
+                most = min(k, len(rows))
+                least = np.partition(s, len(rows) - most, axis=1)[:, len(rows) - most]
+                query, row = np.nonzero(s >= least[:, None])
+                order = np.lexsort((rows[row], -s[query, row], query))
+                query, row = query[order], row[order]
+                best = np.arange(len(query)) - np.searchsorted(query, query) < most
+                query, row = query[best], row[best]
+                yield pd.DataFrame({"query_id": ids[query], "vec_id": rows[row], "score": s[query, row]})
 
         local = index.select("vec_id", "v").mapInPandas(run, "query_id long, vec_id long, score double")
         out = local if out is None else out.unionByName(local)

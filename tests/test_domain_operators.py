@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cinderloom.functions import text
-from cinderloom.operators import embed, evaluate, gallery, objects, query, tasks, timeline, validate
+from cinderloom.operators import embed, evaluate, fusion, gallery, objects, query, ranking, search, tasks, timeline, validate
 from cinderloom.sources import sinks
 from cinderloom.streaming import ingest
 
@@ -172,3 +172,63 @@ def test_readers(spark, tmp_path):
         hits.fuse(keys, {"a": -1.0})
     fused = spark.createDataFrame([("v", None, 7, None, 1.5), (None, 1, 2, 0.5, 0.5)], "video_id string, frame_idx int, frame_id int, timestamp double, pts_time double")
     assert [(r["frame"], r["at"]) for r in hits.to_candidates(fused).collect()] == [(7, 1.5)]
+
+
+def greedy(rows, limit, same, temporal, radius, most):
+    """(id, utility) of a pool of (id, video, time, score), by choosing the best of all that is left again and again."""
+    low, high = min(r[3] for r in rows), max(r[3] for r in rows)
+    rest, chosen, out = list(rows), [], []
+    while rest and len(out) < limit:
+        keyed = []
+        for r in rest:
+            own = [c for c in chosen if c[1] == r[1]]
+            near = max((max(0.0, 1 - abs(r[2] - c[2]) / radius) for c in own if r[2] is not None and c[2] is not None), default=0.0)
+            relevance = 1.0 if high == low else (r[3] - low) / (high - low)
+            if most is None or len(own) < most:
+                keyed.append((round(relevance - same * len(own) - temporal * near, 9), r[3], r[0], r))
+        if not keyed:
+            break
+        utility, _, key, best = max(keyed, key=lambda x: x[:3])
+        rest.remove(best)
+        chosen.append(best)
+        out.append((key, utility))
+    return out
+
+
+@pytest.mark.parametrize("limit, same, temporal, most", [(10, 0.08, 0.35, None), (40, 0.02, 0.1, None), (12, 0.0, 0.5, 2), (500, 0.08, 0.35, None)])
+def test_diversify_against_greedy(spark, limit, same, temporal, most):
+    rng = random.Random(limit)
+    rows = [(i, rng.choice([1, 1, 1, 2, 3, None]), rng.choice([None, rng.randrange(40) / 2]), float(rng.randrange(30))) for i in range(120)]
+    pool = spark.createDataFrame([(7, *r) for r in rows], "query_id long, candidate_id long, video_id long, ts double, score double")
+    got = ranking.diversify(pool, limit, same, temporal, 2.0, most).orderBy("rank").collect()
+    want = greedy([(i, -1 if v is None else v, t, s) for i, v, t, s in rows], limit, same, temporal, 2.0, most)
+    assert [round(r["utility"], 6) for r in got] == [round(u, 6) for _, u in want]
+    assert sorted(r["candidate_id"] for r in got) == sorted(i for i, _ in want)
+    assert ranking.diversify(pool.limit(0), limit).count() == 0
+
+
+def test_knn_batch_ties_and_refusals(spark):
+    rng = random.Random(3)
+    rows = [(i, [float(rng.randrange(3)) for _ in range(4)]) for i in range(300)]
+    index = spark.createDataFrame(rows, "vec_id long, v array<double>").repartition(5)
+    asked = [(i, v) for i, v in rows if i % 40 == 0]
+    score = lambda a, b: sum(x * y for x, y in zip(a, b, strict=True))
+    want = [(q, rank, i) for q, a in asked for rank, (_, i) in enumerate(sorted((-score(a, b), i) for i, b in rows)[:6], 1)]
+    assert sorted((r[0], r[1], r[2]) for r in search.knn_batch(index, asked, 6).collect()) == want
+    assert search.knn_batch(index.limit(0), asked, 6).count() == 0 and search.knn_batch(index, [], 6).count() == 0
+    for bad in (None, [1.0], [1.0, 2.0, 3.0, float("nan")]):
+        worse = index.unionByName(spark.createDataFrame([(999, bad)], "vec_id long, v array<double>"))
+        with pytest.raises(Exception, match="not finite"):
+            search.knn_batch(worse, asked, 6).collect()
+        with pytest.raises(Exception, match="not finite"):
+            search.knn(worse, rows[0][1], 6).collect()
+    with pytest.raises(ValueError):
+        search.knn_batch(index, [(1, [1.0]), (2, [1.0, 2.0])], 6)
+
+
+def test_negative_weights_are_refused(spark):
+    hits = spark.createDataFrame([(1, "a", 2, 0.5)], "query_id long, source string, candidate_id long, score double")
+    for fuse in (fusion.reciprocal_rank_fusion, fusion.weighted_score_fusion):
+        assert fuse(hits, {"a": 0.0}).count() == 1
+        with pytest.raises(ValueError):
+            fuse(hits, {"a": -0.1})
