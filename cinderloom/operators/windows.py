@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import vectors
+
 
 def grid(durations: DataFrame, length: float, stride: float) -> DataFrame:
     """(video_id, k, start, end): windows from 0 while they start before ``duration``, clipped at it."""
@@ -73,3 +75,18 @@ def attach_text(windows: DataFrame, texts: DataFrame) -> DataFrame:
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"])
     kept = F.array_distinct(F.filter(ordered, lambda x: F.coalesce(F.trim(x), F.lit("")) != ""))
     return rows.groupBy("video_id", "k").agg(F.array_join(kept, "\n").alias("text"))
+
+
+def mean_pool(rows: DataFrame, *by: str, dim: int) -> DataFrame:
+    """(by, v, n_vectors): the normalised mean of the vectors ``v`` of each group, in one aggregate of ``dim`` sums that
+    is combined before the shuffle.
+
+    Vectors that are null, of another length or not finite are refused with an error; a mean of length zero stays zero, a
+    null key is a group of its own, an empty table gives an empty result. Other columns are dropped.
+    """
+    refused = F.raise_error(F.lit(f"a vector is null, not of length {dim}, or not finite")).cast("array<double>")
+    sound = rows.select(*by, F.when(F.coalesce(vectors.is_valid(F.col("v"), dim), F.lit(False)), F.col("v")).otherwise(refused).alias("v"))
+    means = [F.avg(F.get("v", F.lit(i))).alias(f"_mean_{i}") for i in range(dim)]
+    found = sound.groupBy(*by).agg(F.count(F.lit(1)).alias("n_vectors"), *means)
+    mean = F.array(*[F.col(f"_mean_{i}") for i in range(dim)]).cast("array<double>")
+    return found.select(*by, vectors.l2_normalize(mean).alias("v"), "n_vectors")

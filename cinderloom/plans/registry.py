@@ -123,10 +123,10 @@ def window_transcript_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def window_mean_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean vector of each label, normalised, one row per component."""
-    v = tables.vectors(spark, sf_dir).select("label", F.posexplode("v").alias("i", "x"))
-    mean = v.groupBy("label", "i").agg(F.avg("x").alias("x"))
-    length = mean.groupBy("label").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
-    return mean.join(length, "label").select("label", F.col("i").cast("long").alias("i"), F.round(F.col("x") / F.greatest("norm", F.lit(vectors.EPSILON)), 6).alias("x"))
+    v = tables.vectors(spark, sf_dir)
+    first = v.select(F.size("v")).first()
+    pooled = windows.mean_pool(v, "label", dim=first[0] if first else 0)
+    return pooled.select("label", F.posexplode("v").alias("i", "x")).select("label", F.col("i").cast("long").alias("i"), F.round("x", 6).alias("x"))
 
 
 def nearest_keyframe(spark: SparkSession, sf_dir: str) -> DataFrame:

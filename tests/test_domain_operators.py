@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cinderloom.functions import text
-from cinderloom.operators import embed, evaluate, fusion, gallery, objects, query, ranking, search, tasks, timeline, validate
+from cinderloom.operators import embed, evaluate, fusion, gallery, objects, query, ranking, search, tasks, timeline, validate, windows
 from cinderloom.sources import sinks
 from cinderloom.streaming import ingest
 
@@ -232,3 +232,14 @@ def test_negative_weights_are_refused(spark):
         assert fuse(hits, {"a": 0.0}).count() == 1
         with pytest.raises(ValueError):
             fuse(hits, {"a": -0.1})
+
+
+def test_mean_pool(spark):
+    rows = [("a", [3.0, 0.0]), ("a", [3.0, 8.0]), ("b", [0.0, 0.0]), (None, [0.0, 2.0])]
+    v = spark.createDataFrame(rows, "w string, v array<double>")
+    got = {r["w"]: ([round(x, 9) for x in r["v"]], r["n_vectors"]) for r in windows.mean_pool(v, "w", dim=2).collect()}
+    assert got == {"a": ([0.6, 0.8], 2), "b": ([0.0, 0.0], 1), None: ([0.0, 1.0], 1)}
+    assert windows.mean_pool(v.limit(0), "w", dim=2).count() == 0 and windows.mean_pool(v.limit(0), "w", dim=0).count() == 0
+    for bad in (None, [1.0], [1.0, float("inf")], [None, 1.0]):
+        with pytest.raises(Exception, match="not of length 2"):
+            windows.mean_pool(v.unionByName(spark.createDataFrame([("c", bad)], "w string, v array<double>")), "w", dim=2).collect()
