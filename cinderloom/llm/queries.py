@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, knn, licenses, line_dedup, lm, mixing, quality, simhash, suffix_dedup
+from . import bpe, chat, fim, knn, licenses, line_dedup, lm, merkle, mixing, quality, simhash, suffix_dedup
 from .sql import ORACLES
 from .support import table
 
@@ -60,8 +60,24 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, sf_dir, "documents"))
 
 
+def op11_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fim.fill_in_middle(table(spark, sf_dir, "documents"))
+    back = fim.restore(F.col("output"), F.col("form"))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(back, 256).alias("restored_sha256"))
+
+
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The manifest, held against rows of which every seventh (by its id's CRC-32) has a character more in ``n_chars``."""
+    docs = table(spark, sf_dir, "documents")
+    wrong = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    fields = [F.col(c) + 1 if c == "n_chars" else F.col(c) for c in merkle.COLUMNS]
+    made = merkle.manifest(docs, carry=[F.when(wrong, merkle.leaf(fields)).alias("tampered")])
+    made = made.withColumn("folded_root", merkle.fold(F.coalesce("tampered", "leaf"), F.col("path")))
+    return made.select("doc_id", "leaf", "subroot", "root", merkle.proof_digest(F.col("path")).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (op1_mixing, op2_quality, op3_suffix_dedup, op4_chat, op5_simhash, op6_bpe, op7_lm, op8_top_k, op9_line_dedup, op10_licenses)
+    every = (op1_mixing, op2_quality, op3_suffix_dedup, op4_chat, op5_simhash, op6_bpe, op7_lm, op8_top_k, op9_line_dedup, op10_licenses, op11_fim, op12_merkle)
     return {f.__name__: f for f in every}
 
 

@@ -30,5 +30,73 @@ WITH fine AS (
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10
 """
 
+OP11_FIM = """
+WITH docs AS (
+  SELECT doc_id, coalesce(text, '') AS text, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS u
+  FROM documents
+), numbers AS (
+  SELECT doc_id, text, u, len(u) AS n, CAST('0x' || h[1:8] AS BIGINT) AS h1, CAST('0x' || h[9:16] AS BIGINT) AS h2,
+    CAST('0x' || h[17:24] AS BIGINT) AS h3, CAST('0x' || h[25:32] AS BIGINT) AS h4
+  FROM docs
+), formed AS (
+  SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+    CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 90 THEN 'plain'
+      WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form
+  FROM numbers
+), parts AS (
+  SELECT doc_id, text, n, form, array_to_string(u[1:a], '') AS p, array_to_string(u[a + 1:b], '') AS m, array_to_string(u[b + 1:], '') AS s FROM formed
+)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN CAST(length(p) AS BIGINT) END AS prefix_chars,
+  CASE WHEN form <> 'plain' THEN CAST(length(m) AS BIGINT) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+  sha256(text) AS restored_sha256
+FROM parts
+"""
+
+#: CRC-32 of a text, bit by bit.
+CRC32 = """xor(4294967295::BIGINT, list_reduce([4294967295::BIGINT] || list_transform(string_split({0}, ''), lambda c: ascii(c)::BIGINT),
+  lambda a, b: list_reduce([xor(a, b)] || [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[], lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))))"""
+
+_TREE = """
+  SELECT grp, 0 AS level, row_number() OVER (PARTITION BY grp ORDER BY {order}) - 1 AS place, count(*) OVER (PARTITION BY grp) AS width, {h} AS h FROM {rows}
+  UNION ALL
+  SELECT grp, level + 1, place // 2, (width + 1) // 2, sha256(string_agg(h, '' ORDER BY place)) FROM {name} WHERE width > 1 GROUP BY grp, level, place // 2, width
+"""
+
+OP12_MERKLE = f"""
+WITH RECURSIVE leaves AS (
+  SELECT *, sha256(list_aggregate(fields, 'string_agg', '')) AS leaf,
+    CASE WHEN {CRC32.format("CAST(doc_id AS VARCHAR)")} % 7 = 0 THEN sha256(list_aggregate(changed, 'string_agg', '')) END AS tampered
+  FROM (
+    SELECT doc_id, lang AS grp,
+      list_transform([CAST(doc_id AS VARCHAR), source, lang, CAST(n_chars AS VARCHAR), text], lambda v: coalesce(strlen(v) || ':' || v, '-')) AS fields,
+      list_transform([CAST(doc_id AS VARCHAR), source, lang, CAST(n_chars + 1 AS VARCHAR), text], lambda v: coalesce(strlen(v) || ':' || v, '-')) AS changed
+    FROM documents
+  )
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY grp ORDER BY doc_id NULLS FIRST, leaf) - 1 AS rank FROM leaves
+), tree AS ({_TREE.format(order="doc_id NULLS FIRST, leaf", h="leaf", rows="leaves", name="tree")}
+), tops AS (
+  SELECT 1 AS grp, grp AS lang, h, row_number() OVER (ORDER BY grp IS NOT NULL, grp) - 1 AS rank FROM tree WHERE width = 1
+), crown AS ({_TREE.format(order="rank", h="h", rows="tops", name="crown")}
+), ways AS (
+  SELECT p.grp, p.rank, own.level, CASE WHEN own.place % 2 = 1 THEN [coalesce(s.h, ''), ''] ELSE ['', coalesce(s.h, '')] END AS beside
+  FROM placed p JOIN tree own ON own.grp IS NOT DISTINCT FROM p.grp AND own.width > 1 AND own.place = p.rank // CAST(power(2, own.level) AS BIGINT)
+  LEFT JOIN tree s ON s.grp IS NOT DISTINCT FROM own.grp AND s.level = own.level AND s.place = xor(own.place, 1)
+  UNION ALL
+  SELECT p.grp, p.rank, 1000 + own.level, CASE WHEN own.place % 2 = 1 THEN [coalesce(s.h, ''), ''] ELSE ['', coalesce(s.h, '')] END
+  FROM placed p JOIN tops ON tops.lang IS NOT DISTINCT FROM p.grp JOIN crown own ON own.width > 1 AND own.place = tops.rank // CAST(power(2, own.level) AS BIGINT)
+  LEFT JOIN crown s ON s.level = own.level AND s.place = xor(own.place, 1)
+), proofs AS (
+  SELECT grp, rank, list(beside ORDER BY level) AS path FROM ways GROUP BY grp, rank
+), joined AS (
+  SELECT p.doc_id, p.leaf, tops.h AS subroot, (SELECT h FROM crown WHERE width = 1) AS root, coalesce(w.path, []) AS path, coalesce(p.tampered, p.leaf) AS start
+  FROM placed p JOIN tops ON tops.lang IS NOT DISTINCT FROM p.grp LEFT JOIN proofs w ON w.grp IS NOT DISTINCT FROM p.grp AND w.rank = p.rank
+), folded AS (
+  SELECT *, list_reduce([[start]] || path, lambda a, s: [sha256(s[1] || a[1] || s[2])])[1] AS folded_root FROM joined
+)
+SELECT doc_id, leaf, subroot, root, sha256(array_to_string(flatten(path), '')) AS proof_sha256, folded_root, folded_root = root AS verified FROM folded
+"""
+
 #: The mix itself follows hash order, which SQL elsewhere does not share; its targets are held against OP1_MIXING in tests.
-ORACLES = {"op8_top_k": OP8_TOP_K}
+ORACLES = {"op8_top_k": OP8_TOP_K, "op11_fim": OP11_FIM, "op12_merkle": OP12_MERKLE}
