@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, fim, knn, licenses, line_dedup, lm, merkle, mixing, quality, simhash, suffix_dedup
+from . import bpe, chat, fim, knn, licenses, line_dedup, lm, merkle, mil, mixing, quality, simhash, suffix_dedup
 from .sql import ORACLES
 from .support import table
 
@@ -76,8 +76,13 @@ def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", "leaf", "subroot", "root", merkle.proof_digest(F.col("path")).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
 
 
+def op13_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return mil.score_documents(docs, mil.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (op1_mixing, op2_quality, op3_suffix_dedup, op4_chat, op5_simhash, op6_bpe, op7_lm, op8_top_k, op9_line_dedup, op10_licenses, op11_fim, op12_merkle)
+    every = (op1_mixing, op2_quality, op3_suffix_dedup, op4_chat, op5_simhash, op6_bpe, op7_lm, op8_top_k, op9_line_dedup, op10_licenses, op11_fim, op12_merkle, op13_mil)
     return {f.__name__: f for f in every}
 
 
