@@ -188,10 +188,12 @@ def file_stem(path: Column) -> Column:
 
 
 def submission_stem(path: Column) -> Column:
-    """``query-<number>-<task>`` of a query file; the number without leading zeros, null if the name has none."""
-    stem = F.lower(file_stem(path))
-    number, task = F.regexp_extract(stem, r"(\d+)", 1), F.regexp_extract(stem, r"-(kis|qa|trake)$", 1)
-    return F.when(number != "", F.concat_ws("-", F.lit("query"), F.regexp_replace(number, r"^0+(?=\d)", ""), F.when(task != "", task)))
+    """``query-<number>-kis`` of a query file that is named ``query-<number>-kis`` or, in batches, ``query-p<batch>-<number>-kis``;
+    the number without leading zeros. Another name is an error, a null path stays null."""
+    stem = file_stem(path)
+    number = F.regexp_extract(stem, r"(?i)^query(?:-p\d+)?-(\d+)-kis$", 1)
+    stop = F.raise_error(F.concat(F.lit("not the name of a query file: "), stem)).cast("string")
+    return F.when(stem.isNull(), F.lit(None)).when(number == "", stop).otherwise(F.concat(F.lit("query-"), F.regexp_replace(number, r"^0+(?=\d)", ""), F.lit("-kis")))
 
 
 def shifted(spans: Column, offset: Column) -> Column:

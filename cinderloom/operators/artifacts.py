@@ -9,16 +9,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def selected(configured: DataFrame, requested: DataFrame | None, key: str, limit: int | None = None) -> DataFrame:
-    """The configured keys that are asked for, in order, at most ``limit``; a key that is not configured is an error."""
-    rows = configured.select(key).distinct()
+def selected(configured: DataFrame, requested: DataFrame | None, key: str, limit: int | None = None, *, order: str | None = None) -> DataFrame:
+    """(key, place): the configured keys that are asked for, in the order in which they are asked for, at most ``limit``.
+
+    ``order`` names the column that has that order, in both tables; without it keys are in their own order. A key that is
+    asked for twice counts once, where it comes first; one that is not configured, or a limit below 1, is an error.
+    """
+    if limit is not None and limit < 1:
+        raise ValueError("the limit must be positive")
+    place = F.min(F.struct(order, key) if order else F.struct(F.col(key))).alias("place")
+    rows = configured.groupBy(key).agg(place)
     if requested is not None:
-        known = rows.withColumn("_known", F.lit(True))
-        asked = requested.select(key).distinct().join(known, key, "left")
+        known = configured.select(key).distinct().withColumn("_known", F.lit(True))
+        asked = requested.groupBy(key).agg(place).join(known, key, "left")
         stop = F.raise_error(F.concat(F.lit("not configured: "), F.col(key).cast("string")))
-        rows = asked.select(F.when(F.col("_known"), F.col(key)).otherwise(stop.cast(configured.schema[key].dataType)).alias(key))
-    rows = rows.orderBy(key)
-    return rows if limit is None else rows.limit(limit)
+        rows = asked.select(F.when(F.col("_known"), F.col(key)).otherwise(stop.cast(configured.schema[key].dataType)).alias(key), "place")
+    return rows if limit is None else rows.orderBy("place").limit(limit)
 
 
 def shards_in_scope(shards: DataFrame, scope: DataFrame) -> DataFrame:
@@ -41,11 +47,13 @@ def frame_count(duration: Column, fps: Column) -> Column:
     return F.bround(duration * fps).cast("long")
 
 
-def source_signature(files: DataFrame, key: str) -> DataFrame:
-    """(key, signature): SHA-256 over path, size and time of each file of a key, in order of the path."""
-    line = F.concat_ws(":", "path", F.col("length").cast("string"), F.col("mtime").cast("string"))
+def source_signature(files: DataFrame, key: str, scope_hash: Column | str | None = None) -> DataFrame:
+    """(key, signature): SHA-256 over a line for the scope, if one is given, and a line ``path:size:time`` for each file of
+    a key, in order of the path; every line ends in a line feed."""
+    line = F.concat(F.concat_ws(":", "path", F.col("length").cast("string"), F.col("mtime").cast("string")), F.lit("\n"))
     rows = files.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col("path").alias("path"), line.alias("line")))).alias("f"))
-    return rows.select(key, F.sha2(F.array_join(F.transform("f", lambda x: x["line"]), "\n"), 256).alias("signature"))
+    scope = F.lit("") if scope_hash is None else F.concat(F.lit("scope:"), scope_hash if isinstance(scope_hash, Column) else F.lit(scope_hash), F.lit("\n"))
+    return rows.select(key, F.sha2(F.concat(scope, F.array_join(F.transform("f", lambda x: x["line"]), "")), 256).alias("signature"))
 
 
 def content_digests(files: DataFrame) -> DataFrame:
@@ -98,7 +106,12 @@ def confident_items(items: Column, least: float) -> Column:
 
 
 def qa_prompt(requests: DataFrame) -> DataFrame:
-    """(query_id, prompt): the question, then one line per candidate in order of its label."""
-    line = F.concat(F.col("label"), F.lit(": "), F.coalesce("evidence", F.lit("")))
-    rows = requests.groupBy("query_id", "question").agg(F.array_sort(F.collect_list(F.struct("label", line.alias("line")))).alias("c"))
-    return rows.select("query_id", F.concat_ws("\n", F.concat(F.lit("Question: "), "question"), F.array_join(F.transform("c", lambda x: x["line"]), "\n")).alias("prompt"))
+    """(query_id, prompt): the question with its language and description, then what is known of each candidate (label,
+    video_id, frame, at, score, asr, ocr), in order of the label. Blank texts and null scores are said to be missing."""
+    said = lambda c: F.coalesce(F.nullif(F.trim(c), F.lit("")), F.lit("[none]"))
+    score = F.when(F.col("score").isNull(), "unknown").otherwise(F.format_string("%.6f", "score"))
+    place = F.concat_ws("; ", F.concat(F.lit("video="), "video_id"), F.concat(F.lit("frame="), F.col("frame").cast("string")), F.concat(F.lit("time="), F.format_string("%.3f", "at"), F.lit("s")), F.concat(F.lit("score="), score))
+    lines = F.concat_ws("\n", F.concat(F.col("label"), F.lit(": "), place), F.concat(F.lit("speech: "), said("asr")), F.concat(F.lit("text in the frame: "), said("ocr")))
+    head = F.concat_ws("\n", F.concat(F.lit("Question ("), "language", F.lit("): "), "question"), F.when(F.trim("description") != "", F.concat(F.lit("Scene: "), F.trim("description"))))
+    rows = requests.groupBy("query_id", "question", "language", "description").agg(F.array_sort(F.collect_list(F.struct("label", lines.alias("lines")))).alias("c"))
+    return rows.select("query_id", F.concat_ws("\n\n", head, F.array_join(F.transform("c", lambda x: x["lines"]), "\n\n")).alias("prompt"))

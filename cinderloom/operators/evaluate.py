@@ -1,8 +1,13 @@
-"""Scores of ranked predictions and their export."""
+"""Scores of ranked predictions and their export.
+
+Defined results: a null frame, video or answer hits nothing; of predictions that share a rank the best counts; queries
+without predictions score 0, and predictions of unknown queries stop a run. Empty tables give empty results. Columns that
+are not named are dropped.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 CUTOFFS = (1, 5, 20, 50, 100)
@@ -64,5 +69,26 @@ def answer_hits(predictions: DataFrame, accepted: DataFrame, normalize) -> DataF
     return p.select("query_id", "rank", (F.col("score") * F.coalesce("ok", F.lit(0.0))).alias("score"))
 
 
+def evaluate_run(predictions: DataFrame, truth: DataFrame, accepted: DataFrame, normalize, cutoffs: tuple[int, ...] = CUTOFFS) -> DataFrame:
+    """(query_id, task, r.., final, n_predictions) of a run over all three tasks.
+
+    Predictions: (query_id, rank, video_id, frames, answer); truth and accepted answers as ``sources.evaluation.ground_truth``
+    gives them. The first frame counts but for TRAKE, whose events have a frame each. Ranks are counted anew from 1.
+    """
+    queries = truth.select("query_id", "task").distinct()
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy("rank"))
+    p = predictions.select("query_id", place.alias("rank"), "video_id", "frames", "answer").join(queries, "query_id", "left")
+    stop = F.raise_error(F.concat(F.lit("prediction of an unknown query: "), F.col("query_id"))).cast("string")
+    p = p.withColumn("task", F.coalesce("task", stop))
+    first = p.where("task <> 'TRAKE'").select("query_id", "rank", "video_id", F.get("frames", F.lit(0)).alias("frame"))
+    placed = interval_hits(first, truth.where("task <> 'TRAKE'")).join(p.select("query_id", "rank", "task", "answer"), ["query_id", "rank"])
+    scores = placed.where("task = 'KIS'").select("query_id", "rank", "score")
+    scores = scores.unionByName(answer_hits(placed.where("task = 'QA'").select("query_id", "rank", "score", "answer"), accepted, normalize))
+    scores = scores.unionByName(ordered_hits(p.where("task = 'TRAKE'"), truth.where("task = 'TRAKE'")))
+    n = p.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
+    out = recall_at(scores, queries, cutoffs).join(n, "query_id", "left")
+    return out.withColumn("n_predictions", F.coalesce("n", F.lit(0).cast("long"))).drop("n")
+
+
 def unknown_queries(predictions: DataFrame, queries: DataFrame) -> DataFrame:
     return predictions.select("query_id").distinct().join(queries.select("query_id"), "query_id", "left_anti")

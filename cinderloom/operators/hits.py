@@ -74,8 +74,18 @@ def merge_refined(refined: DataFrame, passed: DataFrame) -> DataFrame:
     return both.orderBy(F.desc("score"), "candidate_id")
 
 
-def sampling_grid(spans: DataFrame, fps: float, step: float) -> DataFrame:
-    """(.., at, frame): the frames that are looked at in each span (start, end), every ``step`` seconds from its start."""
-    n = F.floor((F.col("end") - F.col("start")) / step + 1e-9).cast("int")
-    grid = spans.where("end >= start").select("*", F.explode(F.sequence(F.lit(0), n)).alias("k"))
-    return grid.withColumn("at", F.col("start") + F.col("k") * step).withColumn("frame", F.floor(F.col("at") * fps + 0.5).cast("long")).drop("k")
+def sampling_grid(spans: DataFrame, fps: Column | float, sample_fps: float) -> DataFrame:
+    """(.., frame, at): the frames that are looked at in each span (start, end), about ``sample_fps`` a second.
+
+    Start and end are rounded to frames (halves to the even one) and every ``fps / sample_fps``th frame, rounded too, is
+    taken from the first on; ``at`` is the time of the frame. A span that begins before 0 or ends before it begins, and a
+    rate that is not positive, are errors; a null in any of them gives no rows.
+    """
+    if sample_fps <= 0:
+        raise ValueError("sample_fps must be positive")
+    rate = (fps if isinstance(fps, Column) else F.lit(fps)).cast("double")
+    wrong = (F.col("start") < 0) | (F.col("end") < F.col("start")) | (rate <= 0)
+    checked = F.when(wrong, F.raise_error(F.lit("a span is reversed or begins before 0, or its rate is not positive")).cast("double")).otherwise(rate)
+    first = F.rint(F.col("start") * checked).cast("long")
+    last, step = F.greatest(first, F.rint(F.col("end") * checked).cast("long")), F.greatest(F.lit(1).cast("long"), F.rint(checked / sample_fps).cast("long"))
+    return spans.select("*", F.explode(F.sequence(first, last, step)).alias("frame")).withColumn("at", F.col("frame") / rate)

@@ -35,6 +35,12 @@ def above_threshold(detections: DataFrame, thresholds: Mapping[str, float], defa
     """Detections at or above the threshold of their class id, else of their entity, else of their label, else the
     default; boxes clamped to the unit square."""
     table = F.create_map(*[x for k, v in thresholds.items() for x in (F.lit(k), F.lit(float(v)))]) if thresholds else F.create_map().cast("map<string,double>")
-    least = F.coalesce(F.try_element_at(table, "mid"), F.try_element_at(table, "entity"), F.try_element_at(table, F.lower("label")), F.lit(default))
+    least = F.coalesce(F.try_element_at(table, "mid"), F.try_element_at(table, "entity"), F.try_element_at(table, "label"), F.try_element_at(table, F.lower("label")), F.lit(default))
     clamp = {c: F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col(c))) for c in ("x0", "y0", "x1", "y1")}
     return detections.where(F.col("score") >= least).withColumns(clamp)
+
+
+def with_aliases(detections: DataFrame, aliases: Mapping[str, str]) -> DataFrame:
+    """Detections with ``alias``: the name in another language of their class id, else of their entity, else of their label."""
+    table = F.create_map(*[x for k, v in aliases.items() for x in (F.lit(k), F.lit(v))]) if aliases else F.create_map().cast("map<string,string>")
+    return detections.withColumn("alias", F.coalesce(F.try_element_at(table, "mid"), F.try_element_at(table, "entity"), F.try_element_at(table, "label")))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import artifacts, hits
+from ..operators import artifacts, hits, objects
 from ..sources import readers, tables
 
 MODALITIES = {"visual": 1.0, "asr": 0.8, "ocr": 0.5}
@@ -34,13 +34,26 @@ def search_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits.weighted_sources(rows, MODALITIES).select("query_id", "source", F.round("weight", 6).alias("weight"))
 
 
-def natural_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers as query files, half of them with zeros before the number, in natural order by nation."""
+def _query_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as query files of a batch for each nation, half of them with zeros before the number."""
     c = tables.read(spark, sf_dir, "customer")
     number = F.when(F.col("c_custkey") % 2 == 0, F.lpad(F.col("c_custkey").cast("string"), 9, "0")).otherwise(F.col("c_custkey").cast("string"))
-    path = F.concat(F.lit("C:\\queries\\Query-"), number, F.lit("-KIS.txt"))
-    order = Window.partitionBy("c_nationkey").orderBy(text.natural_key(text.file_stem(path)), "c_custkey")
-    return c.select("c_custkey", "c_nationkey", text.submission_stem(path).alias("stem"), F.row_number().over(order).cast("long").alias("place"))
+    path = F.concat(F.lit("C:\\queries\\Query-p"), "c_nationkey", F.lit("-"), number, F.lit("-KIS.txt"))
+    return c.select("c_custkey", "c_nationkey", text.file_stem(path).alias("stem"))
+
+
+def natural_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of submissions, and the natural order of the query files of a batch."""
+    order = Window.partitionBy("c_nationkey").orderBy(text.natural_key(F.col("stem")), "c_custkey")
+    named = readers.submissions(_query_names(spark, sf_dir))
+    return named.select("c_custkey", "c_nationkey", F.col("submission").alias("stem"), F.row_number().over(order).cast("long").alias("place"))
+
+
+def submission_collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers as query files numbered by their nation in two batches: names that several files would share."""
+    s = tables.read(spark, sf_dir, "supplier")
+    files = s.select(F.concat(F.lit("query-p"), F.col("s_suppkey") % 2, F.lit("-"), "s_nationkey", F.lit("-kis")).alias("stem"))
+    return readers.name_collisions(files).select("submission", F.array_join("stems", ",").alias("stems"))
 
 
 def _detection_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,36 +62,21 @@ def _detection_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = d.groupBy("frame").agg(F.array_sort(F.collect_list(item)).alias("d"))
     text_of = lambda name: F.transform("d", lambda x: x[name].cast("string"))
     boxes = F.transform("d", lambda x: F.array(*[x[k].cast("string") for k in ("y0", "x0", "y1", "x1")]))
-    names = F.when(F.col("frame") % 10 == 0, F.slice(text_of("label"), 1, 1)).otherwise(text_of("label"))  # some files are not whole
+    mids = F.transform("d", lambda x: F.concat(F.lit("/m/"), F.when(x["label"] == "N", "n").otherwise(x["label"])))
+    names = F.when(F.col("frame") % 10 == 0, F.slice(mids, 1, 1)).otherwise(mids)  # some files are not whole
     made = F.struct(text_of("score").alias("detection_scores"), names.alias("detection_class_names"), text_of("label").alias("detection_class_entities"), boxes.alias("detection_boxes"))
     return rows.select("frame", F.to_json(made).alias("value"))
 
 
 def detection_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Line items written as detection files and read again."""
-    rows = readers.detections(_detection_files(spark, sf_dir))
-    return rows.select("frame", F.col("pos").cast("long").alias("pos"), "label", *[F.round(c, 6).alias(c) for c in ("score", "x0", "y0", "x1", "y1")])
+    """Line items written as detection files and read again; one class has a lower threshold by its id, one by its entity."""
+    rows, _ = readers.detections(_detection_files(spark, sf_dir))
+    kept = objects.with_aliases(objects.above_threshold(rows, {"/m/n": 0.05, "A": 0.5}), {"/m/R": "retour"})
+    return kept.select("frame", F.col("pos").cast("long").alias("pos"), "mid", "label", "alias", *[F.round(c, 6).alias(c) for c in ("score", "x0", "y0", "x1", "y1")])
 
 
-def _transcript_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = tables.read(spark, sf_dir, "conversations")
-    start = F.col("turn") * 10.0
-    end = F.when((F.col("conv_id") + F.col("turn")) % 7 == 0, start - 1).otherwise(start + F.length("text") / 16)
-    word = F.struct(F.substring_index("text", " ", 1).alias("word"), start.alias("start"), (start + 0.5).alias("end"), F.lit(0.5).alias("probability"))
-    segment = F.struct("turn", "text", start.alias("start"), end.alias("end"), F.array(word).alias("words"))
-    rows = c.groupBy("conv_id").agg(F.array_sort(F.collect_list(segment)).alias("segments"))
-    return rows.select("conv_id", F.to_json(F.struct(F.col("conv_id").cast("string").alias("video_id"), "segments")).alias("value"))
-
-
-def transcript_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conversations written as transcripts and read again: segments that are whole."""
-    good, _ = readers.transcripts(_transcript_files(spark, sf_dir))
-    return good.select("conv_id", F.col("segment").cast("long").alias("segment"), F.md5("text").alias("text_md5"), "start", F.round("end", 6).alias("end"), F.get("words", F.lit(0))["text"].alias("word"))
-
-
-def transcript_file_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, bad = readers.transcripts(_transcript_files(spark, sf_dir))
-    return bad.select("conv_id", F.col("segment").cast("long").alias("segment"), "code")
+def detection_file_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return readers.detections(_detection_files(spark, sf_dir))[1].select("frame", "code")
 
 
 def media_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -108,12 +106,15 @@ def refine_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 def sampling_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = tables.read(spark, sf_dir, "conversations")
     spans = c.select("conv_id", "turn", F.col("turn").cast("double").alias("start"), (F.col("turn") + F.length("text") / 64).alias("end"))
-    return hits.sampling_grid(spans, 25.0, 0.5).select("conv_id", "turn", "frame")
+    return hits.sampling_grid(spans, F.when(F.col("conv_id") % 2 == 0, 25.0).otherwise(29.97), 2.0).select("conv_id", "turn", "frame", F.round("at", 6).alias("at"))
 
 
 def scope_selected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers of one nation, asked for from the greatest balance down, a few of them twice; the first ten."""
     c = tables.read(spark, sf_dir, "customer")
-    return artifacts.selected(c, c.where("c_nationkey = 3"), "c_custkey")
+    asked = c.where("c_nationkey = 3").select("c_custkey", (-F.col("c_acctbal")).alias("at"))
+    asked = asked.unionByName(asked.where("c_custkey % 5 = 0").withColumn("at", F.col("at") + 100_000))
+    return artifacts.selected(c.select("c_custkey", F.lit(0.0).alias("at")), asked, "c_custkey", 10, order="at").select("c_custkey", F.round("place.at", 2).alias("at"))
 
 
 def shard_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -138,12 +139,17 @@ def file_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def source_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = tables.read(spark, sf_dir, "pages").select((F.col("page_id") % 10).alias("shard"), F.concat("url", F.lit("#"), "page_id").alias("path"), F.length("html").alias("length"), (F.col("page_id") * 7).alias("mtime"))
-    return artifacts.source_signature(files, "shard")
+    return artifacts.source_signature(files, "shard", F.concat(F.lit("h"), F.col("shard").cast("string")))
 
 
 def qa_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = tables.read(spark, sf_dir, "conversations")
-    rows = c.select(F.col("conv_id").alias("query_id"), F.concat(F.lit("which "), "conv_id").alias("question"), F.format_string("C%02d", "turn").alias("label"), F.when(F.col("turn") % 3 > 0, F.col("text")).alias("evidence"))
+    """Turns of conversations as candidates of a question, some without speech, text or score."""
+    c, turn = tables.read(spark, sf_dir, "conversations"), F.col("turn")
+    rows = c.select(
+        F.col("conv_id").alias("query_id"), F.concat(F.lit("which "), "conv_id").alias("question"), F.lit("en").alias("language"), F.when(F.col("conv_id") % 2 == 0, " a scene ").alias("description"),
+        F.format_string("C%02d", turn).alias("label"), F.col("conv_id").cast("string").alias("video_id"), (turn * 25).alias("frame"), (turn / 4).alias("at"), F.when(turn % 4 > 0, turn / 64).alias("score"),
+        F.when(turn % 3 > 0, F.col("text")).alias("asr"), F.when(turn % 2 == 0, " ").otherwise(F.col("role")).alias("ocr"),
+    )
     return artifacts.qa_prompt(rows).select("query_id", F.md5("prompt").alias("prompt_md5"))
 
 
@@ -164,13 +170,11 @@ def retry_delays(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        fusion_ids, search_sources, natural_order, detection_files, transcript_files, transcript_file_problems, media_text, frames_out_of_bounds, run_counters, refine_merge, sampling_grid,
+        fusion_ids, search_sources, natural_order, submission_collisions, detection_files, detection_file_problems, media_text, frames_out_of_bounds, run_counters, refine_merge, sampling_grid,
         scope_selected, shard_problems, source_scores, file_counts, source_signatures, qa_prompts, recognised_texts, retry_delays,
     )
 }
 
-SEGMENTS = """SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, text) - 1 AS segment, text, turn * 10.0::DOUBLE AS s,
-  CASE WHEN (conv_id + turn) % 7 = 0 THEN turn * 10.0::DOUBLE - 1 ELSE turn * 10.0::DOUBLE + length(text) / 16.0::DOUBLE END AS e FROM conversations"""
 BOXES = """SELECT l_orderkey AS frame, l_linenumber, l_quantity / 50 AS score, l_returnflag AS label, l_discount * 5 AS x0, (l_extendedprice % 1000) / 2000 AS y0, l_tax FROM lineitem"""
 SOURCES = {
     "fusion_ids": """SELECT coalesce(CASE WHEN event_id % 5 = 0 THEN 'r' || user_id END, CASE WHEN event_id % 3 > 0 THEN event_type END, CAST(event_id AS VARCHAR)) AS candidate_id,
@@ -181,23 +185,39 @@ h AS (SELECT item_id, CASE WHEN regexp_matches(t, 'ghi gì|viết gì|dòng ch
 SELECT item_id AS query_id, 'visual:original:0' AS source, 1.0::DOUBLE AS weight FROM h UNION ALL SELECT item_id, 'asr:original:0', round(0.8::DOUBLE * asr, 6) FROM h
 UNION ALL SELECT item_id, 'ocr:original:0', round(0.5::DOUBLE * ocr, 6) FROM h UNION ALL SELECT item_id, 'asr:spoken:1', round(0.8::DOUBLE * asr * 0.75, 6) FROM h""",
     "natural_order": """SELECT c_custkey, c_nationkey, 'query-' || c_custkey || '-kis' AS stem, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS place FROM customer""",
+    "submission_collisions": """SELECT 'query-' || s_nationkey || '-kis' AS submission, string_agg(DISTINCT 'query-p' || s_suppkey % 2 || '-' || s_nationkey || '-kis', ',' ORDER BY 'query-p' || s_suppkey % 2 || '-' || s_nationkey || '-kis') AS stems
+FROM supplier GROUP BY s_nationkey HAVING count(DISTINCT s_suppkey % 2) > 1""",
+    "detection_file_problems": """SELECT l_orderkey AS frame, 'lengths_differ' AS code FROM lineitem WHERE l_orderkey % 10 = 0 GROUP BY l_orderkey HAVING count(*) > 1""",
     "detection_files": f"""WITH d AS ({BOXES}), n AS (SELECT *, row_number() OVER (PARTITION BY frame ORDER BY l_linenumber, score, label, x0, y0, l_tax) - 1 AS pos, count(*) OVER (PARTITION BY frame) AS c FROM d)
-SELECT frame, pos, label, round(score, 6) AS score, round(x0, 6) AS x0, round(y0, 6) AS y0, round(x0 + 0.25 + l_tax, 6) AS x1, round(y0 + 0.3, 6) AS y1 FROM n WHERE score >= 0.2 AND (frame % 10 > 0 OR c = 1)""",
-    "transcript_files": f"""SELECT conv_id, segment, md5(text) AS text_md5, s AS start, round(e, 6) AS end, split_part(text, ' ', 1) AS word FROM ({SEGMENTS}) WHERE e >= s""",
-    "transcript_file_problems": f"""SELECT conv_id, segment, 'reversed_time' AS code FROM ({SEGMENTS}) WHERE e < s""",
+SELECT frame, pos, '/m/' || CASE label WHEN 'N' THEN 'n' ELSE label END AS mid, lower(label) AS label, CASE WHEN label = 'R' THEN 'retour' END AS alias, round(score, 6) AS score,
+  round(least(1, x0), 6) AS x0, round(least(1, y0), 6) AS y0, round(least(1, x0 + 0.25 + l_tax), 6) AS x1, round(least(1, y0 + 0.3), 6) AS y1
+FROM n WHERE score >= CASE label WHEN 'N' THEN 0.05 WHEN 'A' THEN 0.5 ELSE 0.2 END AND (frame % 10 > 0 OR c = 1)""",
     "media_text": """SELECT user_id AS video_id, event_id, CASE WHEN c_custkey IS NOT NULL THEN concat_ws(' ', c_name, nullif(c_mktsegment, 'FURNITURE'), CASE WHEN c_custkey % 2 = 1 THEN 'me' END) END AS media_text
 FROM events LEFT JOIN customer ON c_custkey = user_id""",
     "frames_out_of_bounds": """WITH r AS (SELECT event_id, user_id, event_id % 300 - 5 AS frame FROM events), c AS (SELECT c_custkey, CAST(round_even(abs(c_acctbal) / 64 * 2.5, 0) AS BIGINT) AS frames FROM customer WHERE c_custkey % 4 > 0)
 SELECT event_id, frame, CASE WHEN frames IS NULL THEN 'unknown_video' WHEN frame < 0 THEN 'negative_frame' ELSE 'beyond_end' END AS code FROM r LEFT JOIN c ON c_custkey = user_id WHERE frames IS NULL OR frame < 0 OR frame >= frames""",
     "run_counters": """SELECT count(*) AS queries, count(DISTINCT text) AS texts, count_if(doc_id % 3 = 0) AS reused, count_if(lang = 'fr') AS overridden, count_if(n_chars > 1000) AS reviewed FROM documents""",
     "refine_merge": """SELECT event_id AS candidate_id, CASE WHEN event_id % 4 = 0 THEN value / 2 ELSE value END AS score, event_id % 4 = 0 AS refined FROM events""",
-    "sampling_grid": """SELECT conv_id, turn, CAST(floor((turn + k * 0.5::DOUBLE) * 25 + 0.5) AS BIGINT) AS frame FROM (SELECT conv_id, turn, unnest(range(0, CAST(floor(length(text) / 64.0::DOUBLE / 0.5 + 1e-9) AS BIGINT) + 1)) AS k FROM conversations)""",
-    "scope_selected": """SELECT c_custkey FROM customer WHERE c_nationkey = 3""",
+    "sampling_grid": """WITH s AS (
+  SELECT conv_id, turn, CASE WHEN conv_id % 2 = 0 THEN 25.0::DOUBLE ELSE 29.97::DOUBLE END AS fps, turn::DOUBLE AS a, turn + length(text) / 64.0::DOUBLE AS z FROM conversations
+), f AS (
+  SELECT conv_id, turn, fps, CAST(round_even(a * fps, 0) AS BIGINT) AS first, unnest(range(CAST(round_even(a * fps, 0) AS BIGINT), CAST(round_even(z * fps, 0) AS BIGINT) + 1)) AS frame FROM s
+)
+SELECT conv_id, turn, frame, round(frame / fps, 6) AS at FROM f WHERE (frame - first) % CASE fps WHEN 25 THEN 12 ELSE 15 END = 0""",
+    "scope_selected": """SELECT c_custkey, round(-max(c_acctbal), 2) AS at FROM customer WHERE c_nationkey = 3 GROUP BY c_custkey ORDER BY max(c_acctbal) DESC, c_custkey LIMIT 10""",
     "shard_problems": """SELECT CAST(n_nationkey AS BIGINT) AS video_id, CASE WHEN count(s_suppkey) = 0 THEN 'missing_shard' ELSE 'duplicate_shard' END AS code FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey GROUP BY 1 HAVING count(s_suppkey) <> 1""",
     "source_scores": """SELECT p_partkey, p_size * 3.0::DOUBLE AS visual, p_size * 2.0::DOUBLE AS asr, p_size::DOUBLE AS a, p_size + 2.0::DOUBLE AS b FROM part""",
     "file_counts": """SELECT regexp_replace(url, '[?#].*$', '') AS folder, CASE WHEN page_id % 3 = 0 THEN 'htm' ELSE 'html' END AS suffix, count(*) AS n, CAST(sum(length(html)) AS BIGINT) AS bytes FROM pages GROUP BY ALL""",
-    "source_signatures": """SELECT page_id % 10 AS shard, sha256(string_agg(url || '#' || page_id || ':' || length(html) || ':' || page_id * 7, chr(10) ORDER BY url || '#' || page_id)) AS signature FROM pages GROUP BY ALL""",
-    "qa_prompts": """SELECT conv_id AS query_id, md5('Question: which ' || conv_id || chr(10) || string_agg(printf('C%02d', turn) || ': ' || CASE WHEN turn % 3 > 0 THEN text ELSE '' END, chr(10) ORDER BY printf('C%02d', turn), text)) AS prompt_md5 FROM conversations GROUP BY conv_id""",
+    "source_signatures": """SELECT page_id % 10 AS shard, sha256('scope:h' || page_id % 10 || chr(10) || string_agg(url || '#' || page_id || ':' || length(html) || ':' || page_id * 7 || chr(10), '' ORDER BY url || '#' || page_id)) AS signature
+FROM pages GROUP BY page_id % 10""",
+    "qa_prompts": """WITH c AS (
+  SELECT conv_id, printf('C%02d', turn) AS label, printf('C%02d', turn) || ': video=' || conv_id || '; frame=' || turn * 25 || printf('; time=%.3fs', turn / 4.0::DOUBLE) || '; score='
+    || CASE WHEN turn % 4 > 0 THEN printf('%.6f', turn / 64.0::DOUBLE) ELSE 'unknown' END || chr(10) || 'speech: ' || CASE WHEN turn % 3 > 0 AND trim(text) <> '' THEN trim(text) ELSE '[none]' END || chr(10)
+    || 'text in the frame: ' || CASE WHEN turn % 2 = 1 THEN role ELSE '[none]' END AS lines
+  FROM conversations
+)
+SELECT conv_id AS query_id, md5('Question (en): which ' || conv_id || CASE WHEN conv_id % 2 = 0 THEN chr(10) || 'Scene: a scene' ELSE '' END || chr(10) || chr(10) || string_agg(lines, chr(10) || chr(10) ORDER BY label, lines)) AS prompt_md5
+FROM c GROUP BY conv_id""",
     "recognised_texts": """SELECT conv_id, count_if(ok) AS n, coalesce(string_agg(role || ' x', ' , ' ORDER BY turn) FILTER (ok), '') AS labels FROM (SELECT *, turn % 4 >= 2 AND turn % 5 <> 4 AND trim(text) <> '' AS ok FROM conversations) GROUP BY conv_id""",
     "retry_delays": """SELECT DISTINCT CAST(l_linenumber AS BIGINT) AS attempt, least(8.0::DOUBLE, 0.5 * pow(2, l_linenumber - 1)) AS seconds FROM lineitem""",
 }

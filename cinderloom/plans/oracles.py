@@ -192,7 +192,7 @@ SELECT id, coalesce(list_aggregate(list_sort(list_filter(['customer', 'nation',
     "eval_macro": f"""WITH {PREDICTIONS}, t AS (SELECT CASE WHEN length(query_id) = 4 THEN 'KIS' ELSE 'QA' END AS task, (r1 + r5 + r20 + r50 + r100) / 5 AS final FROM recall)
 SELECT coalesce(task, 'all') AS task, round(avg(final), 6) AS final, count(*) AS n FROM t GROUP BY GROUPING SETS ((task), ())""",
     "submission_rows": r"""WITH a AS (SELECT conv_id, turn, text AS answer, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS rank FROM conversations WHERE role = 'assistant')
-SELECT conv_id AS query_id, rank, conv_id || ',' || turn || ',' || CASE WHEN regexp_matches(answer, '[",\n\r]') THEN '"' || replace(answer, '"', '""') || '"' ELSE answer END AS line FROM a WHERE rank <= 100""",
+SELECT conv_id AS query_id, rank, conv_id || ',' || turn || ',' || CASE WHEN regexp_matches(answer, '[",\n\r]') THEN '"' || replace(answer, '"', '""') || '"' ELSE answer END AS line FROM a""",
     "json_props": """SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k,
   (CASE WHEN ms >= 3600000 THEN printf('%02d:', ms // 3600000) ELSE '' END) || printf('%02d:%02d.%03d', ms // 60000 % 60, ms // 1000 % 60, ms % 1000) AS clock
 FROM (SELECT *, (event_id % 100000) * 125 AS ms FROM events)""",

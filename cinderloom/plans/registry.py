@@ -12,7 +12,7 @@ from ..functions import text, vectors
 from ..operators import embed, evaluate, fusion, gallery, objects, query, ranking, search, tasks, timeline, validate, windows
 from ..sources import tables
 from ..streaming import ingest
-from . import assembly
+from . import assembly, formats
 from .oracles import ORACLES
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -252,7 +252,7 @@ def eval_macro(spark: SparkSession, sf_dir: str) -> DataFrame:
 def submission_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = tables.read(spark, sf_dir, "conversations").where("role = 'assistant'")
     rank = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn"))
-    a = c.select(F.col("conv_id").alias("query_id"), rank.alias("rank"), F.col("conv_id").alias("video_id"), F.col("turn").alias("frame"), F.col("text").alias("answer")).where("rank <= 100")
+    a = c.select(F.col("conv_id").alias("query_id"), rank.alias("rank"), F.col("conv_id").alias("video_id"), F.col("turn").alias("frame"), F.col("text").alias("answer"))
     return evaluate.submission_lines(a).select("query_id", F.col("rank").cast("long").alias("rank"), "line")
 
 
@@ -425,8 +425,8 @@ def queries() -> dict[str, Query]:
     out: dict[str, Query] = {f"knn_{m}": _knn(m) for m in vectors.SCORES}
     out |= {"weighted_fusion_minmax": _weighted("minmax"), "weighted_fusion_rank": _weighted("rank")}
     out |= {"ordered_alignment": _align(None, 0.0), "ordered_alignment_gap": _align(5 * DAY, 0.0), "ordered_alignment_penalty": _align(None, 0.5)}
-    return out | {f.__name__: f for f in plain} | assembly.QUERIES
+    return out | {f.__name__: f for f in plain} | assembly.QUERIES | formats.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return ORACLES | assembly.SOURCES
+    return ORACLES | assembly.SOURCES | formats.SOURCES

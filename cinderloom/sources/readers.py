@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions import variants as V
 
 
 def whole_files(spark: SparkSession, path: str) -> DataFrame:
@@ -28,42 +29,25 @@ def media_info(files: DataFrame) -> DataFrame:
 DETECTIONS = "detection_scores array<string>, detection_class_names array<string>, detection_class_entities array<string>, detection_boxes array<array<string>>"
 
 
-def detections(files: DataFrame, *, min_score: float = 0.2) -> DataFrame:
-    """(.., pos, label, score, x0, y0, x1, y1) from four parallel arrays of strings, boxes as y0, x0, y1, x1. Files whose
-    arrays differ in length give no rows."""
-    d = files.withColumn("d", F.from_json("value", DETECTIONS))
-    scores, entities, boxes = F.col("d.detection_scores"), F.col("d.detection_class_entities"), F.col("d.detection_boxes")
-    whole = (F.size(scores) == F.size(entities)) & (F.size(scores) == F.size(boxes)) & (F.size(scores) == F.size("d.detection_class_names"))
-    rows = d.where(F.coalesce(whole, F.lit(False))).select(*[c for c in files.columns if c != "value"], F.posexplode(F.arrays_zip(scores.alias("score"), entities.alias("label"), boxes.alias("box"))).alias("pos", "x"))
-    number = lambda c: c.try_cast("double")
-    box = [number(F.get("x.box", F.lit(k))).alias(n) for k, n in ((1, "x0"), (0, "y0"), (3, "x1"), (2, "y1"))]
-    out = rows.select(*[c for c in rows.columns if c != "x"], F.col("x.label").alias("label"), number(F.col("x.score")).alias("score"), *box)
-    return out.where((F.col("score") >= min_score) & F.col("x0").isNotNull() & F.col("y0").isNotNull() & F.col("x1").isNotNull() & F.col("y1").isNotNull())
-
-
-SEGMENT = "struct<text:string,start:double,end:double,avg_logprob:double,words:array<struct<text:string,word:string,start:double,end:double,probability:double>>>"
-TRANSCRIPT = f"video_id string, language string, segments array<{SEGMENT}>"
-
-
-def transcripts(files: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Segments (.., segment, text, start, end, words) of transcript files, words as text, start, end and probability under
-    either of the two names that files use; and the problems (.., segment, code) of segments that are not whole."""
-    t = files.withColumn("t", F.from_json("value", TRANSCRIPT))
+def detections(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(.., pos, mid, entity, label, score, x0, y0, x1, y1) from four parallel arrays of strings, boxes as y0, x0, y1, x1: all
+    of them, as they are; ``objects.above_threshold`` chooses and clamps. The entity is the class id where it is blank, the
+    label its folded form. And (.., code) of files that are not whole: those give no rows."""
     keys = [c for c in files.columns if c != "value"]
-    rows = t.select(*keys, "t.video_id", "t.language", F.posexplode("t.segments").alias("segment", "s"))
-    s = F.col("s")
-    finite = lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(float("inf")))
-    bad_word = F.exists(F.coalesce(s["words"], F.array()), lambda w: ~(finite(w["start"]) & finite(w["end"])) | (w["end"] < w["start"]) | ~F.coalesce(w["probability"].between(0, 1), F.lit(True)))
-    code = (
-        F.when(s["text"].isNull(), "missing_text").when(~finite(s["start"]) | ~finite(s["end"]), "bad_time").when(s["start"] < 0, "negative_time")
-        .when(s["end"] < s["start"], "reversed_time").when(bad_word, "bad_word")
-    )
-    rows = rows.withColumn("code", code)
-    words = F.transform(F.coalesce(s["words"], F.array()), lambda w: F.struct(F.coalesce(w["text"], w["word"]).alias("text"), w["start"].alias("start"), w["end"].alias("end"), w["probability"].alias("probability")))
-    probability = F.when(s["avg_logprob"].isNotNull(), T.probability(s["avg_logprob"]))
-    good = rows.where("code IS NULL").select(*keys, "video_id", "language", "segment", s["text"].alias("text"), s["start"].alias("start"), s["end"].alias("end"), probability.alias("probability"), words.alias("words"))
-    unread = t.where("t IS NULL OR t.segments IS NULL").select(*keys, F.lit(-1).alias("segment"), F.lit("not_a_transcript").alias("code"))
-    return good, rows.where("code IS NOT NULL").select(*keys, "segment", "code").unionByName(unread)
+    d = V.computed(files, {"d": F.from_json("value", DETECTIONS), "_m": V.members(F.try_parse_json("value"))})
+    names = ("detection_scores", "detection_class_names", "detection_class_entities", "detection_boxes")
+    scores, mids, entities, boxes = (F.coalesce(F.col(f"d.{n}"), F.array()) for n in names)
+    read = F.transform(F.arrays_zip(scores.alias("score"), mids.alias("mid"), entities.alias("entity"), boxes.alias("box")), lambda x: F.struct(
+        x["score"].try_cast("double").alias("score"), F.trim(x["mid"]).alias("mid"), T.collapse(x["entity"]).alias("entity"), F.transform(x["box"], lambda v: v.try_cast("double")).alias("box")
+    ))
+    d = d.select(*keys, "_m", read.alias("r"), *[F.size(c).alias(f"_n{k}") for k, c in enumerate((scores, mids, entities, boxes))])
+    wrong = F.exists("r", lambda x: x["score"].isNull() | (F.coalesce(F.size(x["box"]), F.lit(0)) != 4) | F.exists(x["box"], lambda v: v.isNull()))
+    code = F.when(F.col("_m").isNull(), "not_json").when((F.col("_n0") != F.col("_n1")) | (F.col("_n0") != F.col("_n2")) | (F.col("_n0") != F.col("_n3")), "lengths_differ").when(wrong, "bad_number")
+    d = d.withColumn("code", code)
+    rows = d.where("code IS NULL").select(*keys, F.posexplode("r").alias("pos", "x"))
+    box = [F.get("x.box", F.lit(k)).alias(n) for k, n in ((1, "x0"), (0, "y0"), (3, "x1"), (2, "y1"))]
+    rows = rows.select(*keys, "pos", "x.mid", F.coalesce(F.nullif(F.col("x.entity"), F.lit("")), F.col("x.mid")).alias("entity"), F.col("x.score").alias("score"), *box)
+    return rows.withColumn("label", T.fold(F.col("entity"))), d.where("code IS NOT NULL").select(*keys, "code")
 
 
 def query_files(files: DataFrame, suffix: str = "-kis") -> DataFrame:
@@ -73,15 +57,19 @@ def query_files(files: DataFrame, suffix: str = "-kis") -> DataFrame:
     return rows.select("stem", text.alias("text"), T.natural_key(F.col("stem")).alias("position")).orderBy("position")
 
 
-PREDICTION = "query_id string, task string, predictions array<struct<video_id:string,frame_idx:bigint,frame_id:bigint,frames:array<bigint>,answer:string>>"
+def name_collisions(files: DataFrame) -> DataFrame:
+    """(submission, stems): names of submissions that more than one query file would be written under."""
+    named = files.select("stem", T.submission_stem(F.col("stem")).alias("submission")).distinct()
+    many = named.groupBy("submission").agg(F.array_sort(F.collect_list("stem")).alias("stems"))
+    return many.where(F.size("stems") > 1)
 
 
-def predictions(files: DataFrame) -> DataFrame:
-    """(query_id, task, rank, video_id, frames, answer): predictions with one frame, under either name, or several."""
-    rows = files.select(F.explode(F.from_json("value", f"array<struct<{PREDICTION.replace(' ', ':').replace(',:', ',')}>>")).alias("q")).select("q.query_id", "q.task", F.posexplode("q.predictions").alias("k", "p"))
-    one = F.coalesce(F.col("p.frame_idx"), F.col("p.frame_id"))
-    frames = F.coalesce(F.col("p.frames"), F.when(one.isNotNull(), F.array(one)), F.array().cast("array<bigint>"))
-    return rows.select("query_id", F.upper("task").alias("task"), (F.col("k") + 1).alias("rank"), "p.video_id", frames.alias("frames"), "p.answer")
+def submissions(queries: DataFrame) -> DataFrame:
+    """Query files (stem, ..) with the name of their ``submission``; two files with one name are an error."""
+    known = name_collisions(queries).select("submission", F.lit(True).alias("_many"))
+    named = queries.withColumn("submission", T.submission_stem(F.col("stem"))).join(known, "submission", "left")
+    stop = F.raise_error(F.concat(F.lit("several query files for the submission "), F.col("submission"))).cast("string")
+    return named.withColumn("submission", F.when(F.col("_many"), stop).otherwise(F.col("submission"))).drop("_many")
 
 
 def sidecar(rows: DataFrame, key: str, value: Column, order: str) -> DataFrame:
