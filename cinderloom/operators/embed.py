@@ -7,7 +7,7 @@ from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,19 +32,20 @@ def hash_embed(rows: DataFrame, key: str, text: str, *, dim: int = DIMENSION, pl
     """(vec_id, v): unit vectors of the texts' tokens; a text without tokens has the zero vector. Tokens are cut in the
     JVM; Python only hashes each new one."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, tuple[int, int]] = {}
         for b in batches:
             out = np.zeros((len(b), dim))
-            for i, tokens in enumerate(b["tokens"]):
-                for token, n in Counter(() if tokens is None else tokens).items():
+            for i, tokens in enumerate(b.column(1).to_pylist()):
+                for token, n in Counter(tokens or ()).items():
                     if (at := known.get(token)) is None:
                         if len(known) > 1_000_000:
                             known.clear()
                         at = known[token] = place(token, dim)
                     out[i, at[0]] += at[1] * n
             out /= np.maximum(np.sqrt((out * out).sum(axis=1)), EPSILON)[:, None]
-            yield pd.DataFrame({"vec_id": b["vec_id"], "v": list(out)})
+            v = pa.ListArray.from_arrays(np.arange(len(b) + 1, dtype=np.int32) * dim, out.ravel())
+            yield pa.RecordBatch.from_arrays([b.column(0), v], names=["vec_id", "v"])
 
     asked = rows.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("vec_id"), unicode_tokens(F.lower(F.col(text))).alias("tokens"))
-    return asked.mapInPandas(run, "vec_id long, v array<double>")
+    return asked.mapInArrow(run, "vec_id long, v array<double>")

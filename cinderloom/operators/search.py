@@ -1,25 +1,30 @@
-"""Exact nearest-neighbour search."""
+"""Exact nearest-neighbour search.
+
+Defined results: rows whose vector is null, of another length than the queries or not finite are refused with an error;
+a null id of either side is refused too; no queries or an empty index give an empty result; equal scores go to the smaller id.
+Ids of queries are unique; those of the index may repeat. Other columns are dropped.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import SCORES, is_valid
 
-#: Queries of one pass over the index: what is broadcast never exceeds this many vectors.
-QUERY_BLOCK = 4096
+#: Bytes of a block of vectors, and of all queries' blocks up to which they are broadcast.
+BLOCK_BYTES, BROADCAST_BYTES = 4 << 20, 64 << 20
 DIGITS = 9
 REFUSED = "a vector is null, of another length than the queries, or not finite"
+BLOCK = "ids array<bigint>, width int, matrix binary"
 
 
 def knn(index: DataFrame, query: list[float], k: int, metric: str = "cosine") -> DataFrame:
-    """(vec_id, score): the k best rows for one query vector, ties to the smaller id.
-    Rows whose vector is null, of another length than the query or not finite are refused with an error."""
+    """(vec_id, score): the k best rows for one query vector."""
     if not np.isfinite(query).all():
         raise ValueError("a query has components that are not finite")
     q = F.array(*[F.lit(float(x)) for x in query])
@@ -27,39 +32,92 @@ def knn(index: DataFrame, query: list[float], k: int, metric: str = "cosine") ->
     return index.select("vec_id", score.alias("score")).orderBy(F.desc("score"), "vec_id").limit(k)
 
 
-def knn_batch(index: DataFrame, queries: list[tuple[int, list[float]]], k: int) -> DataFrame:
-    """(query_id, rank, vec_id, score) by inner product: matrix products per Arrow batch keep k rows of each batch and
-    query, then one ranking per query. Queries go in blocks of ``QUERY_BLOCK``. Scores are rounded to ``DIGITS`` places before
-    they are compared, so that equal vectors tie wherever they lie. Vectors that are null, of unequal lengths or not finite are refused with an
-    error; no queries or an empty index give an empty result."""
-    if len({len(v) for _, v in queries}) > 1 or not all(np.isfinite(v).all() for _, v in queries):
-        raise ValueError("queries are of unequal lengths or not finite")
-    out = None
-    for at in range(0, max(1, len(queries)), QUERY_BLOCK):
-        part = queries[at : at + QUERY_BLOCK]
-        ids = np.array([i for i, _ in part], dtype=np.int64)
-        matrix = np.array([v for _, v in part], dtype=np.float64)
-
-        def run(batches: Iterator[pd.DataFrame], ids=ids, matrix=matrix) -> Iterator[pd.DataFrame]:
-            for b in batches:
-                if not len(b) or not len(ids):
-                    continue
-                if b["v"].isna().any() or any(len(v) != matrix.shape[1] for v in b["v"]):
-                    raise ValueError(REFUSED)
-                s = np.round(matrix @ np.stack(b["v"].to_numpy()).astype(np.float64).T, DIGITS)
-                if not np.isfinite(s).all():
+def blocks(vectors: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """(ids, width, matrix): the rows of ``vectors`` (vec_id, v) packed, about ``block_bytes`` of doubles at a time, where they
+    lie; nothing is shuffled."""
+
+    def packed(ids: list[pa.Array], rows: list[np.ndarray]) -> pa.RecordBatch:
+        matrix = np.concatenate(rows)
+        held = pa.array([pa.concat_arrays(ids).to_pylist()], pa.list_(pa.int64()))
+        return pa.RecordBatch.from_arrays([held, pa.array([matrix.shape[1]], pa.int32()), pa.array([matrix.tobytes()], pa.binary())], names=["ids", "width", "matrix"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, rows, size, width = [], [], 0, None
+        for b in batches:
+            v = b.column(1)
+            lengths = np.unique(v.value_lengths().to_numpy(zero_copy_only=False)) if len(v) else []
+            flat = v.flatten()
+            if b.column(0).null_count or v.null_count or flat.null_count or len(lengths) > 1 or (len(lengths) and width not in (None, lengths[0])):
+                raise ValueError(REFUSED)
+            if not len(v):
+                continue
+            width = int(lengths[0])
+            matrix = flat.to_numpy().astype(np.float64).reshape(len(v), width)
+            if not np.isfinite(matrix).all():
+                raise ValueError(REFUSED)
+            step = max(1, block_bytes // max(1, 8 * width))
+            for lo in range(0, len(v), step):
+                ids.append(b.column(0).slice(lo, step))
+                rows.append(matrix[lo : lo + step])
+                size += rows[-1].nbytes
+                if size >= block_bytes:
+                    yield packed(ids, rows)
+                    ids, rows, size = [], [], 0
+        if ids:
+            yield packed(ids, rows)
+
+    return vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "v").mapInArrow(run, BLOCK)
+
+
+def _best(rows: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Query (a row of ``scores``), row id and score of the ``k`` best rows of each query."""
+    most = min(k, len(rows))
+    least = np.partition(scores, len(rows) - most, axis=1)[:, len(rows) - most]
+    query, row = np.nonzero(scores >= least[:, None])
+    order = np.lexsort((rows[row], -scores[query, row], query))
+    query, row = query[order], row[order]
+    best = np.arange(len(query)) - np.searchsorted(query, query) < most
+    query, row = query[best], row[best]
+    return query, rows[row], scores[query, row]
+
+
+def knn_batch(index: DataFrame, queries: DataFrame, k: int, *, block_bytes: int = BLOCK_BYTES, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """(query_id, rank, vec_id, score) by inner product of the rows of ``index`` with those of ``queries`` (both vec_id, v).
+
+    Both are packed into blocks. Queries of up to ``broadcast_bytes`` together are broadcast, so that the index is read once
+    where it lies. More of them form a grid with the index: a block of queries goes to every row of the grid and a block
+    of the index to every column, and each pair of blocks meets in one cell by an equi-join. A pair gives its k best rows
+    per query, and one ranking per query follows. Scores are rounded to ``DIGITS`` places before they are compared, so
+    that equal vectors tie wherever they lie.
+    """
+    sample = queries.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("v")).alias("width")).first()
+    size = 8 * sample["n"] * max(1, sample["width"] or 1)
+    asked = blocks(queries, block_bytes).select(F.col("ids").alias("asked"), F.col("width").alias("w"), F.col("matrix").alias("q"))
+    held = blocks(index, block_bytes)
+    if size <= broadcast_bytes:
+        pairs = held.withColumn("cell", F.lit(0)).join(F.broadcast(asked.withColumn("cell", F.lit(0))), "cell")
+    else:
+        columns = -(-size // broadcast_bytes)
+        lines = max(1, 4 * index.sparkSession.sparkContext.defaultParallelism // columns)
+        line, column = F.pmod(F.xxhash64("ids"), F.lit(lines)), F.pmod(F.xxhash64("asked"), F.lit(columns))
+        spread = F.explode(F.sequence(F.lit(0), F.lit(columns - 1))).alias("column")
+        held = held.select("*", line.cast("int").alias("line")).select("*", spread)
+        asked = asked.select("*", column.cast("int").alias("column")).select("*", F.explode(F.sequence(F.lit(0), F.lit(lines - 1))).alias("line"))
+        pairs = held.join(asked, ["line", "column"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(len(b)):
+                rows, width, matrix, asked, w, q = (b.column(c)[i] for c in range(6))
+                if width.as_py() != w.as_py():
                     raise ValueError(REFUSED)
-                rows = b["vec_id"].to_numpy()
-                most = min(k, len(rows))
-                least = np.partition(s, len(rows) - most, axis=1)[:, len(rows) - most]
-                query, row = np.nonzero(s >= least[:, None])
-                order = np.lexsort((rows[row], -s[query, row], query))
-                query, row = query[order], row[order]
-                best = np.arange(len(query)) - np.searchsorted(query, query) < most
-                query, row = query[best], row[best]
-                yield pd.DataFrame({"query_id": ids[query], "vec_id": rows[row], "score": s[query, row]})
-
-        local = index.select("vec_id", "v").mapInPandas(run, "query_id long, vec_id long, score double")
-        out = local if out is None else out.unionByName(local)
+                m, a = (np.frombuffer(x.as_buffer(), np.float64).reshape(-1, width.as_py()) for x in (matrix, q))
+                rows, ids = (x.values.to_numpy(zero_copy_only=False) for x in (rows, asked))
+                step = max(1, (32 << 20) // max(1, 8 * len(m)))  # scores of a few queries at a time
+                for lo in range(0, len(a), step):
+                    query, row, score = _best(rows, np.round(a[lo : lo + step] @ m.T, DIGITS), k)
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[lo + query]), pa.array(row), pa.array(score)], names=["query_id", "vec_id", "score"])
+
+    local = pairs.select("ids", "width", "matrix", "asked", "w", "q").mapInArrow(run, "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return out.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return local.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -105,6 +105,10 @@ o AS (SELECT video_id, frames, s / 3 + 0.2 * coalesce(whole, 0) AS score FROM al
 SELECT * FROM z WHERE rank <= 100""",
     "ordered_viterbi": f"""WITH k AS (SELECT *, score AS s0, CASE WHEN label = 'click' THEN score * 2 ELSE score / 2 END AS s1, score + n / 100 AS s2, CAST(round(pts * 1000000) AS BIGINT) AS us FROM ({KEYFRAMES}))
 SELECT a.video_id, round(max(a.s0 + b.s1 + c.s2), 6) AS score FROM k a JOIN k b ON a.video_id = b.video_id AND b.us > a.us AND b.us - a.us <= 432000000000 JOIN k c ON c.video_id = b.video_id AND c.us > b.us AND c.us - b.us <= 432000000000 GROUP BY a.video_id""",
+    "ordered_viterbi_penalty": f"""WITH k AS (SELECT *, score AS s0, CASE WHEN label = 'click' THEN score * 2 ELSE score / 2 END AS s1, score + n / 100 AS s2 FROM ({KEYFRAMES})),
+one AS (SELECT b.video_id, b.pts, max(a.s0 - 4 * ln(1 + b.pts - a.pts)) + any_value(b.s1) AS total FROM k a JOIN k b ON a.video_id = b.video_id AND b.pts - a.pts >= 60 GROUP BY b.video_id, b.event_id, b.pts),
+two AS (SELECT b.video_id, max(a.total - 4 * ln(1 + b.pts - a.pts)) + any_value(b.s2) AS total FROM one a JOIN k b ON a.video_id = b.video_id AND b.pts - a.pts >= 60 GROUP BY b.video_id, b.event_id)
+SELECT video_id, round(max(total), 6) AS score FROM two GROUP BY video_id""",
     "dense_refine": f"""WITH k AS ({KEYFRAMES}), c AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY score DESC, event_id) AS r FROM k) WHERE r <= 3),
 f AS (SELECT * FROM (SELECT c.video_id, c.event_id, c.score AS coarse, k.frame_idx, k.n % 7 / 7.0::DOUBLE AS m, row_number() OVER (PARTITION BY c.event_id ORDER BY k.n % 7 DESC, k.frame_idx) AS fr FROM c JOIN k ON k.video_id = c.video_id AND abs(k.pts - c.pts) <= 43200) WHERE fr <= 5)
 SELECT video_id, frame_idx AS frame, round(max(0.2 * coarse + 0.8 * m), 6) AS score, true AS refined FROM f GROUP BY video_id, frame_idx""",

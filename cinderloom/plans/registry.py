@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .. import storage
 from ..functions import text, vectors
-from ..operators import embed, evaluate, fusion, gallery, objects, query, ranking, search, tasks, timeline, validate, windows
+from ..operators import embed, evaluate, fusion, gallery, objects, penalised, query, ranking, search, tasks, timeline, validate, windows
 from ..sources import tables
 from ..streaming import ingest
 from . import assembly, formats
@@ -32,15 +33,10 @@ def _knn(metric: str) -> Query:
     return run
 
 
-def _asked(rows: DataFrame) -> list[tuple[int, list[float]]]:
-    """The vectors of a batch of queries, which the driver deals out in blocks."""
-    return [(r[0], r[1]) for r in rows.select("vec_id", "v").toLocalIterator()]
-
-
 def knn_batch_topk_per_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every hundredth vector against all."""
     v = tables.vectors(spark, sf_dir)
-    return search.knn_batch(v, _asked(v.where("vec_id % 100 = 0")), 10).select("query_id", F.col("rank").cast("long").alias("rank"), "vec_id", F.round("score", 6).alias("score"))
+    return search.knn_batch(v, v.where("vec_id % 100 = 0"), 10).select("query_id", F.col("rank").cast("long").alias("rank"), "vec_id", F.round("score", 6).alias("score"))
 
 
 def _embedded(rows: DataFrame, key: str) -> DataFrame:
@@ -49,7 +45,7 @@ def _embedded(rows: DataFrame, key: str) -> DataFrame:
 
 def _text_hits(spark: SparkSession, sf_dir: str, asked: DataFrame, k: int) -> DataFrame:
     """Documents nearest to the texts (vec_id, text)."""
-    found = search.knn_batch(_embedded(tables.read(spark, sf_dir, "documents"), "doc_id"), _asked(_embedded(asked, "vec_id")), k)
+    found = search.knn_batch(_embedded(tables.read(spark, sf_dir, "documents"), "doc_id"), _embedded(asked, "vec_id"), k)
     return found.select("query_id", "rank", F.col("vec_id").alias("candidate_id"), "score")
 
 
@@ -61,7 +57,7 @@ def hash_embed_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 def hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For every benchmark item, the vectors nearest to the one of its id and the documents nearest to its text."""
     v, b = tables.vectors(spark, sf_dir), tables.read(spark, sf_dir, "benchmark")
-    visual = search.knn_batch(v, _asked(v.join(b, F.col("vec_id") == F.col("item_id"), "left_semi")), PER_SOURCE)
+    visual = search.knn_batch(v, v.join(b, F.col("vec_id") == F.col("item_id"), "left_semi"), PER_SOURCE)
     visual = visual.select("query_id", F.lit("visual").alias("source"), F.col("vec_id").alias("candidate_id"), "score")
     asr = _text_hits(spark, sf_dir, b.select(F.col("item_id").alias("vec_id"), "text"), PER_SOURCE)
     return visual.unionByName(asr.select("query_id", F.lit("asr").alias("source"), "candidate_id", "score"))
@@ -175,6 +171,14 @@ def ordered_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
     return timeline.viterbi(p, 3, max_gap=5 * DAY).select("video_id", F.round("score", 6).alias("score"))
 
 
+def ordered_viterbi_penalty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As ordered_viterbi, with a price on the gaps and no upper limit; a slice is five days."""
+    k = tables.keyframes(spark, sf_dir)
+    second = F.when(F.col("label") == "click", F.col("score") * 2).otherwise(F.col("score") / 2)
+    p = k.select("video_id", F.col("pts_time").alias("ts"), F.col("score").alias("s0"), second.alias("s1"), (F.col("score") + F.col("n") / 100).alias("s2"))
+    return penalised.viterbi(p, 3, lambda gap: 4 * math.log1p(gap), min_gap=60.0, slice_length=5 * DAY).select("video_id", F.round("score", 6).alias("score"))
+
+
 def dense_refine(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The three best keyframes of each video, refined among its keyframes within half a day."""
     k = tables.keyframes(spark, sf_dir)
@@ -418,7 +422,7 @@ def queries() -> dict[str, Query]:
     plain = (
         knn_batch_topk_per_query, rrf_fusion, video_aggregate, diversify, kis_topk, sliding_windows, window_transcript_overlap, window_mean_pool, nearest_keyframe, timeline_violations,
         nms_classwise, object_counts, manifest_outer_join, scope_hash, scope_diff, parse_queries, normalize_answer, eval_recall_at_k, eval_macro, submission_rows, json_props,
-        hash_embed_search, variant_max_merge, trake_topk, ordered_viterbi, dense_refine, window_word_midpoint, window_texts, nearest_frame_fallback, gallery_rows, manifest_issues,
+        hash_embed_search, variant_max_merge, trake_topk, ordered_viterbi, ordered_viterbi_penalty, dense_refine, window_word_midpoint, window_texts, nearest_frame_fallback, gallery_rows, manifest_issues,
         issue_summary, artifact_problems, index_problems, map_summary, transcript_problems, submission_violations, record_hashes, normalize_ocr, eval_interval_hits, eval_trake_partial,
         reviewed_override, qa_batches, qa_blend, cache_misses, dedup_query_reuse, stream_windows,
     )

@@ -198,23 +198,34 @@ def test_diversify_against_greedy(spark, limit, same, temporal, most):
     assert ranking.diversify(pool.limit(0), limit).count() == 0
 
 
-def test_knn_batch_ties_and_refusals(spark):
+@pytest.mark.parametrize("sizes", [{}, {"block_bytes": 320}, {"block_bytes": 320, "broadcast_bytes": 100}])
+def test_knn_batch_ties(spark, sizes):
     rng = random.Random(3)
     rows = [(i, [float(rng.randrange(3)) for _ in range(4)]) for i in range(300)]
     index = spark.createDataFrame(rows, "vec_id long, v array<double>").repartition(5)
     asked = [(i, v) for i, v in rows if i % 40 == 0]
+    queries = spark.createDataFrame(asked, "vec_id long, v array<double>")
     score = lambda a, b: sum(x * y for x, y in zip(a, b, strict=True))
     want = [(q, rank, i) for q, a in asked for rank, (_, i) in enumerate(sorted((-score(a, b), i) for i, b in rows)[:6], 1)]
-    assert sorted((r[0], r[1], r[2]) for r in search.knn_batch(index, asked, 6).collect()) == want
-    assert search.knn_batch(index.limit(0), asked, 6).count() == 0 and search.knn_batch(index, [], 6).count() == 0
-    for bad in (None, [1.0], [1.0, 2.0, 3.0, float("nan")]):
-        worse = index.unionByName(spark.createDataFrame([(999, bad)], "vec_id long, v array<double>"))
-        with pytest.raises(Exception, match="not finite"):
-            search.knn_batch(worse, asked, 6).collect()
-        with pytest.raises(Exception, match="not finite"):
-            search.knn(worse, rows[0][1], 6).collect()
-    with pytest.raises(ValueError):
-        search.knn_batch(index, [(1, [1.0]), (2, [1.0, 2.0])], 6)
+    assert sorted((r[0], r[1], r[2]) for r in search.knn_batch(index, queries, 6, **sizes).collect()) == want
+    assert search.knn_batch(index.limit(0), queries, 6, **sizes).count() == 0 and search.knn_batch(index, queries.limit(0), 6, **sizes).count() == 0
+    plan = search.knn_batch(index, queries, 6, **sizes)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Cartesian" not in plan and ("broadcast" in plan) == ("broadcast_bytes" not in sizes)
+
+
+def test_knn_refusals(spark):
+    index = spark.createDataFrame([(i, [float(i), 1.0, 2.0, 3.0]) for i in range(20)], "vec_id long, v array<double>")
+    queries = index.limit(2)
+    for bad in ((999, None), (999, [1.0]), (999, [1.0, 2.0, 3.0, float("nan")]), (999, [1.0, None, 3.0, 4.0]), (None, [1.0, 2.0, 3.0, 4.0])):
+        worse = index.unionByName(spark.createDataFrame([bad], "vec_id long, v array<double>")).coalesce(1)
+        for found in (search.knn_batch(worse, queries, 6), search.knn_batch(index, worse, 6)):
+            with pytest.raises(Exception, match="not finite"):
+                found.collect()
+        if bad[0]:
+            with pytest.raises(Exception, match="not finite"):
+                search.knn(worse, [1.0] * 4, 6).collect()
+    with pytest.raises(Exception, match="not finite"):
+        search.knn_batch(index, spark.createDataFrame([(1, [1.0])], "vec_id long, v array<double>"), 6).collect()
 
 
 def test_negative_weights_are_refused(spark):
