@@ -1,34 +1,14 @@
-"""Writers: JSONL, vector indexes with their manifest, submissions, and an append-only cache."""
+"""Writers: JSON lines, submissions, and an append-only cache."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-BUILDER_VERSION = 1
+from pyspark.sql import DataFrame
 
 
 def write_jsonl(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").json(path)
 
 
-def write_index(index: DataFrame, path: str, *, encoder: str, scope_hash: str) -> None:
-    """Vectors as 32-bit floats, and beside them one row that says what they were built from."""
-    spark = index.sparkSession
-    index.withColumn("v", F.col("v").cast("array<float>")).write.mode("overwrite").parquet(f"{path}/vectors")
-    made = spark.read.parquet(f"{path}/vectors").agg(F.count(F.lit(1)).alias("rows"), F.max(F.size("v")).alias("dimension"))
-    made.select("*", F.lit(BUILDER_VERSION).alias("version"), F.lit(encoder).alias("encoder"), F.lit(scope_hash).alias("scope_hash")).write.mode("overwrite").json(f"{path}/manifest")
-
-
-def open_index(spark: SparkSession, path: str, *, encoder: str, scope_hash: str) -> DataFrame:
-    """The vectors, in doubles; an error if they were built by another version, encoder or scope."""
-    m = spark.read.json(f"{path}/manifest").first()
-    for name, want in (("version", BUILDER_VERSION), ("encoder", encoder), ("scope_hash", scope_hash)):
-        if m[name] != want:
-            raise ValueError(f"{path}: {name} is {m[name]!r}, not {want!r}; build the index anew")
-    return spark.read.parquet(f"{path}/vectors").withColumn("v", F.col("v").cast("array<double>"))
-
-
 def write_submissions(lines: DataFrame, path: str) -> None:
     """One folder of text per query, its lines in rank order."""
     lines.repartition("query_id").sortWithinPartitions("query_id", "rank").select("query_id", "line").write.mode("overwrite").partitionBy("query_id").text(path)

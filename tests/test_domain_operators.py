@@ -88,12 +88,14 @@ def test_evaluation_of_answers(spark):
     assert evaluate.unknown_queries(p, a.where("false")).count() == 1
 
 
-def test_index_and_sinks(spark, tmp_path):
-    v = spark.createDataFrame([(1, [0.5, 0.5]), (2, [1.0, 0.0])], "vec_id long, v array<double>")
-    sinks.write_index(v, f"{tmp_path}/i", encoder="hash", scope_hash="s")
-    assert sinks.open_index(spark, f"{tmp_path}/i", encoder="hash", scope_hash="s").count() == 2
-    with pytest.raises(ValueError, match="scope_hash"):
-        sinks.open_index(spark, f"{tmp_path}/i", encoder="hash", scope_hash="other")
+def test_sinks(spark, tmp_path):
+    rows = spark.createDataFrame([("a", 1)], "k string, n long")
+    sinks.write_jsonl(rows, f"{tmp_path}/j")
+    sinks.write_jsonl(rows, f"{tmp_path}/j")
+    assert [tuple(r) for r in spark.read.schema(rows.schema).json(f"{tmp_path}/j").collect()] == [("a", 1)]
+    for _ in range(2):
+        sinks.append(rows, f"{tmp_path}/a")
+    assert spark.read.parquet(f"{tmp_path}/a").count() == 2
     lines = spark.createDataFrame([(7, 2, "b"), (7, 1, "a")], "query_id long, rank int, line string")
     sinks.write_submissions(lines, f"{tmp_path}/s")
     assert [r["value"] for r in spark.read.text(f"{tmp_path}/s/query_id=7").collect()] == ["a", "b"]
