@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from .. import storage
+from ..operators import artifact_graph as graph
 from ..operators import embed, index_build, search, windows
 from ..sources import files, shards, tables
+from ..streaming import ingest
 from . import batch
 
 DAY = 86_400.0
@@ -126,7 +128,39 @@ def batch_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (vector_shards, vector_shard_issues, jsonl_counts, visual_window_index, text_window_indexes, stale_indexes, records_hash, batch_manifest)}
+def ingest_without_checkpoint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events taken in by the day they happened on, then all again with the checkpoint lost: the first row of each key stays."""
+    out = storage.new_path(spark, "events")
+    schema, by_user = tables.read(spark, sf_dir, "events").schema, lambda d: d.withColumn("day", F.to_date("ts"))
+    for _ in range(2):
+        ingest.ingest_missing(spark, f"{sf_dir}/event[s].parquet", schema, out, storage.new_path(spark, "seen"), ["event_id"], by_user)
+    rows = spark.read.parquet(out)
+    return rows.groupBy(F.date_format("day", "yyyy-MM-dd").alias("day")).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("event_id").alias("n_events"), F.round(F.sum("value"), 3).alias("total"))
+
+
+def artifact_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers as a scope of videos, and artifacts of which some are missing, wrong, elsewhere or stale."""
+    s = tables.read(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("long").alias("video_id"))
+    one = spark.range(1)
+    found = s.where("video_id % 5 > 0").select(F.col("video_id").alias("file_video"), F.when(F.col("video_id") % 7 == 0, F.col("video_id") + 1_000_000).otherwise(F.col("video_id")).alias("video_id"), F.when(F.col("video_id") % 11 == 0, "not_json").alias("code"))
+    ocr = s.where("video_id % 4 > 0").select(F.col("video_id").alias("file_video"), "video_id", F.lit(None).cast("string").alias("code"))
+    rows = s.select("video_id", F.explode(F.sequence(F.lit(1), (F.col("video_id") % 3 + 1).cast("int"))).alias("k"))
+    records = rows.select(F.concat_ws("_", F.col("video_id").cast("string"), F.col("k").cast("string")).alias("window_id"), "video_id").unionByName(one.select(F.lit("1_1").alias("window_id"), F.lit(-1).cast("long").alias("video_id")))
+    stated = one.select(F.lit("h").alias("records_hash"), F.lit(3).alias("rows"))
+    seen = one.select(F.lit("other").alias("records_hash"), F.lit(3).alias("rows"))
+    names = F.when(F.col("id") == 0, "visual_keyframes").when(F.col("id") == 1, "visual_windows").otherwise("asr_windows")
+    indexes = spark.range(3).select(names.alias("name"), F.when(F.col("id") == 2, "../x.npy").otherwise(F.concat(names, F.lit(".npy"))).alias("path"), F.lit(64).alias("dimension"))
+    probed = indexes.where("name <> 'asr_windows'").select("name", F.when(F.col("name") == "visual_windows", 99).otherwise(64).alias("dimension"))
+    inventory = spark.createDataFrame([("indexes/visual_keyframes.npy",), ("indexes/visual_keyframes.manifest.json",), ("indexes/old.npy",), ("captions/a.jsonl",)], "path string")
+    return graph.report(
+        graph.scope_issues(s), graph.same_videos(s.where("video_id % 9 > 0"), s, "dataset_manifest"), graph.per_video_files(found, s, "transcript"),
+        graph.per_video_files(ocr, s, "ocr", severity=graph.WARNING), graph.row_counts(rows.where("NOT (video_id % 13 = 0 AND k = 1)"), s.select("video_id", (F.col("video_id") % 3 + 1).alias("n")), "timeline"),
+        graph.rows_in_scope(records, s, "window_id", "window"), graph.stated_values(stated, seen, "window", ["records_hash", "rows"]), graph.stated_values(indexes, probed, "index", ["dimension"], "name"),
+        graph.index_paths(indexes, inventory, "indexes"), graph.required_indexes(indexes), graph.forbidden(inventory),
+    )
+
+
+QUERIES = {f.__name__: f for f in (ingest_without_checkpoint, artifact_issues, vector_shards, vector_shard_issues, jsonl_counts, visual_window_index, text_window_indexes, stale_indexes, records_hash, batch_manifest)}
 
 _WINDOWS = """k AS (
   SELECT user_id AS video_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n, (epoch_us(ts) - 1704067200000000) / 1e6 AS pts, event_type AS label FROM events
@@ -158,6 +192,20 @@ _EMBEDDED = """asked AS (
   FROM asked a CROSS JOIN documents c LEFT JOIN dots ON dots.text = a.text AND dots.doc = CAST(c.doc_id AS VARCHAR)
 )"""
 SOURCES = {
+    "ingest_without_checkpoint": "SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) AS n, count(DISTINCT event_id) AS n_events, round(sum(value), 3) AS total FROM events GROUP BY 1",
+    "artifact_issues": """WITH s AS (
+  SELECT CAST(s_suppkey AS BIGINT) AS v FROM supplier
+)
+SELECT 'error' AS severity, 'dataset_manifest_scope_mismatch' AS code, CAST(v AS VARCHAR) AS subject, 'missing' AS detail FROM s WHERE v % 9 = 0
+UNION ALL SELECT 'error', CASE WHEN v % 5 = 0 THEN 'missing_transcript' WHEN v % 11 = 0 THEN 'invalid_transcript' ELSE 'transcript_video_id_mismatch' END, CAST(v AS VARCHAR),
+  CASE WHEN v % 5 = 0 THEN '' WHEN v % 11 = 0 THEN 'not_json' ELSE CAST(v + 1000000 AS VARCHAR) END FROM s WHERE v % 5 = 0 OR v % 7 = 0 OR v % 11 = 0
+UNION ALL SELECT 'warning', 'missing_ocr', CAST(v AS VARCHAR), '' FROM s WHERE v % 4 = 0
+UNION ALL SELECT 'error', 'timeline_count_mismatch', CAST(v AS VARCHAR), v % 3 || '/' || (v % 3 + 1) FROM s WHERE v % 13 = 0
+UNION ALL SELECT * FROM (VALUES
+  ('error', 'window_row_scope_mismatch', '1_1', '-1'), ('error', 'duplicate_window_window_id', '1_1', '2'), ('error', 'window_records_hash_mismatch', 'window', 'other/h'),
+  ('error', 'missing_index', 'asr_windows', ''), ('error', 'index_dimension_mismatch', 'visual_windows', '99/64'), ('error', 'index_path_escape', 'asr_windows', '../x.npy'),
+  ('error', 'missing_index_vectors', 'visual_windows', 'visual_windows.npy'), ('error', 'orphan_index_file', 'indexes/old.npy', ''), ('error', 'missing_required_index', 'objects_windows', ''),
+  ('error', 'caption_artifacts_forbidden', 'captions/a.jsonl', ''))""",
     "vector_shards": """SELECT 'l' || label AS name, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS row, len(embedding) AS width,
   round(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE))), 4) AS total FROM embeddings""",
     "vector_shard_issues": """SELECT DISTINCT 'l3_' || (row_number() OVER (ORDER BY vec_id) - 1) // 64 AS shard, 'other_width' AS code FROM embeddings WHERE label = 3""",
