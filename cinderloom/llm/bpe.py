@@ -40,6 +40,7 @@ from .support import let, materialize
 LONG_WORD = 256
 TABLE_WORDS, TABLE_IDS = 4_000_000, 64
 WORDS_A_TASK = 50_000
+PLAN_CHARS = 100_000
 #: Chunks that a worker counts, and those whose ids it keeps, before it begins anew.
 COUNTED, CACHED = 600_000, 500_000
 #: A space before white space or the end: there, cutting at every space would cut a match.
@@ -233,6 +234,9 @@ def distinct_words(docs: DataFrame, text_col: str, pattern: str) -> DataFrame:
 def word_table(docs: DataFrame, text_col: str, ranks: dict[bytes, int], pattern: str) -> DataFrame:
     """(word, c, ids) of every distinct word, written to the shared folder."""
     spark = docs.sparkSession
+    # the literal rank map would stand in the description of every plan, which the driver keeps
+    if spark.conf.get("spark.sql.maxPlanStringLength", None) is None:
+        spark.conf.set("spark.sql.maxPlanStringLength", str(PLAN_CHARS))
     words = materialize(distinct_words(docs, text_col, pattern))
     short = words.where(F.length("word") <= LONG_WORD)
     parts = max(spark.sparkContext.defaultParallelism * 2, words.count() // WORDS_A_TASK)

@@ -23,7 +23,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .support import SPACE_RUN, document_key, materialize
+from .support import SPACE_RUN, document_key, drop_paths, materialize, recorded
 
 MIN_WORDS = 3
 SPACES = " \t\n\x0b\x0c\r"
@@ -107,7 +107,10 @@ def removed_lines(docs: DataFrame, *, min_words: int = MIN_WORDS, near_min_words
     lines = materialize(line_table(docs, min_words, near_min_words))
     firsts = lines.groupBy("h1", "h2").agg(F.min(F.struct("_doc", "_th", "no")).alias("at"), F.first("keys").alias("keys"), F.count(F.lit(1)).alias("c"))
     firsts = materialize(firsts)
-    near = materialize(near_partners(docs, firsts))
+    with recorded() as made:
+        found = near_partners(docs, firsts)
+    near = materialize(found)
+    drop_paths(docs.sparkSession, made)
     # first occurrences of near lines, and all but the first of repeated ones
     once = firsts.where("c = 1").join(near, ["h1", "h2"], "left_semi").select("at._doc", "at._th", "at.no", F.lit(True).alias("near"))
     many = firsts.where("c > 1").join(near.withColumn("is_near", F.lit(True)), ["h1", "h2"], "left").select("h1", "h2", "at", F.coalesce("is_near", F.lit(False)).alias("is_near"))

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,20 +41,40 @@ def shared_folder(spark: SparkSession) -> str:
 WRITE = {"compression": "zstd", "parquet.block.size": str(16 << 20), "parquet.compression.codec.zstd.level": "1"}
 
 
+#: Of each thread: for every ``recorded`` block that is open, the paths of the tables written in it.
+_open = threading.local()
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it again: lineage ends there, and a lost executor loses nothing."""
     spark = settle(df.sparkSession)
     path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
     df.write.options(**WRITE).parquet(path)
+    if blocks := getattr(_open, "blocks", None):
+        blocks[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def recorded() -> Iterator[list[str]]:
+    """The paths of the tables that ``materialize`` writes inside the block, for ``drop_paths`` once nothing reads them."""
+    _open.blocks = [*getattr(_open, "blocks", []), []]
+    try:
+        yield _open.blocks[-1]
+    finally:
+        _open.blocks.pop()
+
+
+def drop_paths(spark: SparkSession, paths: Sequence[str]) -> None:
+    sc = spark.sparkContext
+    for p in paths:
+        path = sc._jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def drop_table(df: DataFrame) -> None:
     """Remove a table that ``materialize`` wrote and nothing reads any more."""
-    sc = df.sparkSession.sparkContext
-    for file in df.inputFiles()[:1]:
-        path = sc._jvm.org.apache.hadoop.fs.Path(file).getParent()
-        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+    drop_paths(df.sparkSession, [file.rpartition("/")[0] for file in df.inputFiles()[:1]])
 
 
 def words(text: Column, pattern: str = SPACE_RUN) -> Column:
