@@ -1,4 +1,10 @@
-"""Fusion of ranked lists. Hits: (query_id, source, candidate_id, score)."""
+"""Fusion of ranked lists. Hits: (query_id, source, candidate_id, score).
+
+Weights are a mapping from sources, or a table (query_id, source, weight) where they differ by query; a source without one has 1.
+
+Defined results: candidates that a source names twice count with their better score; hits without a score come last in their
+source; of equal scores the smaller id ranks first. Empty tables give empty results. Other columns are dropped.
+"""
 
 from __future__ import annotations
 
@@ -18,6 +24,16 @@ def weight_of(weights: Mapping[str, float]) -> Column:
     return out
 
 
+def _weighed(ranked: DataFrame, weights: Mapping[str, float] | DataFrame) -> DataFrame:
+    """Ranked hits with their ``weight``."""
+    if not isinstance(weights, DataFrame):
+        return ranked.withColumn("weight", weight_of(weights))
+    refused = F.raise_error(F.lit("weights are not negative")).cast("double")
+    checked = F.when(F.col("weight") >= 0, F.col("weight").cast("double")).otherwise(F.when(F.col("weight").isNotNull(), refused))
+    table = weights.select("query_id", "source", checked.alias("weight"))
+    return ranked.join(table, ["query_id", "source"], "left").withColumn("weight", F.coalesce("weight", F.lit(1.0)))
+
+
 def best_hits(hits: DataFrame) -> DataFrame:
     """The best score of each candidate in each source, and its rank there."""
     best = hits.groupBy("query_id", "source", "candidate_id").agg(F.max("score").alias("score"))
@@ -25,19 +41,20 @@ def best_hits(hits: DataFrame) -> DataFrame:
     return best.withColumn("rank", rank)
 
 
-def reciprocal_rank_fusion(hits: DataFrame, weights: Mapping[str, float], rank_constant: int = 60) -> DataFrame:
-    r = best_hits(hits).withColumn("part", weight_of(weights) / (F.col("rank") + rank_constant))
+def reciprocal_rank_fusion(hits: DataFrame, weights: Mapping[str, float] | DataFrame, rank_constant: float = 60) -> DataFrame:
+    r = _weighed(best_hits(hits), weights)
+    r = r.withColumn("part", F.col("weight") / (F.col("rank") + rank_constant))
     ranks = F.map_from_entries(F.collect_list(F.struct("source", "rank")))
     return r.groupBy("query_id", "candidate_id").agg(F.sum("part").alias("score"), F.count(F.lit(1)).alias("n_sources"), ranks.alias("ranks"))
 
 
-def weighted_score_fusion(hits: DataFrame, weights: Mapping[str, float], normalization: str = "minmax") -> DataFrame:
+def weighted_score_fusion(hits: DataFrame, weights: Mapping[str, float] | DataFrame, normalization: str = "minmax") -> DataFrame:
     """``minmax`` maps constant scores to 1; ``rank`` takes 1 / rank; ``none`` the scores as they are."""
     r = best_hits(hits)
     w = Window.partitionBy("query_id", "source")
     low, high = F.min("score").over(w), F.max("score").over(w)
     norm = {"none": F.col("score"), "rank": 1.0 / F.col("rank"), "minmax": F.when(high == low, 1.0).otherwise((F.col("score") - low) / (high - low))}[normalization]
-    r = r.withColumn("norm", norm).withColumn("part", F.col("norm") * weight_of(weights))
+    r = _weighed(r.withColumn("norm", norm), weights).withColumn("part", F.col("norm") * F.col("weight"))
     return r.groupBy("query_id", "candidate_id").agg(F.sum("part").alias("score"), F.count(F.lit(1)).alias("n_sources"))
 
 

@@ -68,10 +68,11 @@ def first_writer(maps: Column) -> Column:
     return F.map_from_entries(first)
 
 
-def merge_refined(refined: DataFrame, passed: DataFrame) -> DataFrame:
-    """Refined candidates and those that were not refined, by score; ``refined`` tells them apart."""
+def merge_refined(refined: DataFrame, passed: DataFrame, *, order: str | None = "candidate_id") -> DataFrame:
+    """Refined candidates and those that were not refined; ``refined`` tells them apart. In order of score and then ``order``,
+    or in none where a ranking follows."""
     both = refined.withColumn("refined", F.lit(True)).unionByName(passed.withColumn("refined", F.lit(False)))
-    return both.orderBy(F.desc("score"), "candidate_id")
+    return both.orderBy(F.desc("score"), order) if order else both
 
 
 def sampling_grid(spans: DataFrame, fps: Column | float, sample_fps: float) -> DataFrame:

@@ -1,4 +1,8 @@
-"""Sliding windows over a video's timeline, and what belongs to them."""
+"""Sliding windows over a video's timeline, and what belongs to them.
+
+Defined results: videos without a positive duration have no windows; keyframes, words and segments without a time lie in none;
+a null text counts as empty. Empty tables give empty results. Columns that are not named are dropped.
+"""
 
 from __future__ import annotations
 
@@ -38,6 +42,71 @@ def windows(keyframes: DataFrame, length: float, stride: float, fps: float) -> D
     ).withColumn("start_frame", F.greatest(F.lit(0).cast("long"), F.floor(F.col("start") * fps))).withColumn("end_frame", F.greatest(F.lit(0).cast("long"), F.ceil(F.col("end") * fps) - 1))
 
 
+def temporal_windows(
+    keyframes: DataFrame, length: float, stride: float, *, durations: DataFrame | None = None, include_empty: bool = False, default_fps: float = 25.0
+) -> DataFrame:
+    """(window_id, video_id, k, start, end, start_frame, end_frame, representative_keyframe_uid, frame_idx, pts_time, fps,
+    keyframe_uids) of keyframes (video_id, n, keyframe_uid, pts_time, frame_idx, fps).
+
+    A video lasts as long as ``durations`` (video_id, duration) says, but never ends before its last keyframe does; without an
+    entry it ends there. The last window holds a keyframe at its very end. The representative is nearest to the middle,
+    of equal ones the first. Windows without keyframes are left out unless ``include_empty``; a negative duration is an error.
+    """
+    first = F.min(F.struct("pts_time", "n", "fps"))["fps"]
+    last = keyframes.groupBy("video_id").agg(F.max("pts_time").alias("last"), first.alias("rate"))
+    if durations is not None:
+        wrong = F.raise_error(F.concat(F.lit("a negative duration: "), F.col("video_id").cast("string"))).cast("double")
+        said = durations.select("video_id", F.when(F.col("duration") < 0, wrong).otherwise(F.col("duration")).alias("said"))
+        last = last.join(said, "video_id", "full")
+    else:
+        last = last.withColumn("said", F.lit(None).cast("double"))
+    fps = F.coalesce("rate", F.lit(default_fps))
+    span = last.select("video_id", fps.alias("fps"), F.greatest(F.coalesce("said", F.lit(0.0)), F.coalesce(F.col("last") + 1 / fps, F.lit(0.0))).alias("duration"))
+    w = grid(span, length, stride).join(span, "video_id")
+    points = keyframes.select("video_id", "n", "keyframe_uid", "pts_time", "frame_idx")
+    held = place(points, "pts_time", length, stride).join(w.select("video_id", "k", "start", "end", "duration"), ["video_id", "k"])
+    held = held.where((F.col("pts_time") >= F.col("start")) & ((F.col("pts_time") < F.col("end")) | ((F.col("end") >= F.col("duration")) & (F.col("pts_time") == F.col("end")))))
+    nearest = F.min(F.struct(F.abs(F.col("pts_time") - (F.col("start") + F.col("end")) / 2).alias("d"), "n", F.struct("keyframe_uid", "frame_idx", "pts_time").alias("at")))["at"].alias("best")
+    uids = F.transform(F.array_sort(F.collect_list(F.struct("n", "keyframe_uid"))), lambda x: x["keyframe_uid"])
+    members = held.groupBy("video_id", "k").agg(uids.alias("keyframe_uids"), nearest)
+    rows = w.join(members, ["video_id", "k"], "left" if include_empty else "inner")
+    return rows.select(
+        F.format_string("%s_W%06d", F.col("video_id").cast("string"), "k").alias("window_id"), "video_id", "k", "start", "end",
+        F.greatest(F.lit(0).cast("long"), F.floor(F.col("start") * F.col("fps"))).alias("start_frame"), F.greatest(F.lit(0).cast("long"), F.ceil(F.col("end") * F.col("fps")) - 1).alias("end_frame"),
+        F.col("best.keyframe_uid").alias("representative_keyframe_uid"), F.col("best.frame_idx").alias("frame_idx"), F.col("best.pts_time").alias("pts_time"), "fps",
+        F.coalesce("keyframe_uids", F.array().cast("array<string>")).alias("keyframe_uids"),
+    )
+
+
+def aligned_text(windows: DataFrame, segments: DataFrame, length: float, stride: float, least: float = 0.2) -> DataFrame:
+    """(video_id, k, asr_text, asr_segment_ids) of the windows (video_id, k, start, end) of a grid that segments (video_id, position,
+    segment_id, start, end, text, words of text, start and end) speak in.
+
+    Words count where their middle lies, also if that leaves out most of a segment; a segment without a word that is not
+    blank counts with its whole text where at least ``least`` of it lies. Texts are joined in order of the segments and
+    words. A segment or word that ends before it begins is an error.
+    """
+    if not 0 <= least <= 1:
+        raise ValueError("the least share is between 0 and 1")
+    reversed_one = (F.col("end") < F.col("start")) | F.exists(F.coalesce("words", F.array()), lambda w: w["end"] < w["start"])
+    stop = F.raise_error(F.concat(F.lit("a segment or word ends before it begins: "), F.col("video_id").cast("string")))
+    s = segments.withColumn("video_id", F.when(reversed_one, stop.cast(segments.schema["video_id"].dataType)).otherwise(F.col("video_id")))
+    spoken = F.filter(F.coalesce("words", F.array()), lambda w: F.coalesce(F.trim(w["text"]), F.lit("")) != "")
+    s = s.withColumn("spoken", F.transform(spoken, lambda w: F.struct(F.trim(w["text"]).alias("text"), ((w["start"] + w["end"]) / 2).alias("middle"))))
+    g = windows.select("video_id", "k", F.col("start").alias("w_start"), F.col("end").alias("w_end"))
+    words = s.where(F.size("spoken") > 0).select("video_id", "position", "segment_id", F.posexplode("spoken").alias("at", "w")).select("video_id", "position", "segment_id", "at", "w.text", "w.middle")
+    said = place(words, "middle", length, stride).join(g, ["video_id", "k"]).where("middle >= w_start AND middle < w_end").select("video_id", "k", "position", "segment_id", "at", "text")
+    whole = s.where(F.size("spoken") == 0).select("video_id", "position", "segment_id", F.lit(0).alias("at"), F.trim(F.coalesce("text", F.lit(""))).alias("text"), "start", "end")
+    first = F.greatest(F.lit(0).cast("long"), F.floor((F.col("start") - length) / stride) + 1)
+    spread = whole.withColumn("k", F.explode(F.sequence(first, F.greatest(first, F.floor(F.col("end") / stride)))))
+    shared = F.least("end", "w_end") - F.greatest("start", "w_start")
+    heard = spread.join(g, ["video_id", "k"]).where((shared > 0) & (shared / F.greatest(F.lit(1e-9), F.col("end") - F.col("start")) >= least))
+    rows = said.unionByName(heard.select("video_id", "k", "position", "segment_id", "at", "text"))
+    ordered = rows.groupBy("video_id", "k").agg(F.array_sort(F.collect_list(F.struct("position", "at", "text", "segment_id"))).alias("p"))
+    texts = F.filter(F.transform("p", lambda x: x["text"]), lambda t: t != "")
+    return ordered.select("video_id", "k", F.array_join(texts, " ").alias("asr_text"), F.array_distinct(F.transform("p", lambda x: x["segment_id"])).alias("asr_segment_ids"))
+
+
 def overlapping_text(segments: DataFrame, length: float, stride: float, least: float = 0.2) -> DataFrame:
     """Texts of the segments of which at least ``least`` lies in a window, in order."""
     span = segments.groupBy("video_id").agg(F.max("end").alias("duration"))

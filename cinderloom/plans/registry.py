@@ -13,7 +13,7 @@ from ..functions import text, vectors
 from ..operators import embed, evaluate, fusion, gallery, objects, penalised, query, ranking, search, tasks, timeline, validate, windows
 from ..sources import tables
 from ..streaming import ingest
-from . import assembly, boundary, formats, stores
+from . import assembly, boundary, formats, searches, stores
 from .oracles import ORACLES
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -429,8 +429,8 @@ def queries() -> dict[str, Query]:
     out: dict[str, Query] = {f"knn_{m}": _knn(m) for m in vectors.SCORES}
     out |= {"weighted_fusion_minmax": _weighted("minmax"), "weighted_fusion_rank": _weighted("rank")}
     out |= {"ordered_alignment": _align(None, 0.0), "ordered_alignment_gap": _align(5 * DAY, 0.0), "ordered_alignment_penalty": _align(None, 0.5)}
-    return out | {f.__name__: f for f in plain} | assembly.QUERIES | formats.QUERIES | stores.QUERIES | boundary.QUERIES
+    return out | {f.__name__: f for f in plain} | assembly.QUERIES | formats.QUERIES | stores.QUERIES | boundary.QUERIES | searches.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return ORACLES | assembly.SOURCES | formats.SOURCES | stores.SOURCES | boundary.SOURCES
+    return ORACLES | assembly.SOURCES | formats.SOURCES | stores.SOURCES | boundary.SOURCES | searches.SOURCES
