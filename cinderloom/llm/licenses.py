@@ -6,8 +6,10 @@ many more as stand in over ``1 - min_coverage`` of its places, so that every mat
 file; of a base phrase it is the rarest. A posting and a place in the file together name a start of the
 template in the file, so that hits agreeing on a relative position name the same start. Postings are intersected by that
 start: it stands if as many hits agree on it as a match must have (the looked-up places less the places that may
-differ). There the template's words are compared place by place; it counts if ``min_coverage`` of them match and all
-its key phrases stand in that stretch. Base phrases are templates of their own that must match whole.
+differ), where starts up to the template's slack apart agree: words put in or left out in the middle shift what follows. There
+the template's words are looked for at their places, or up to the slack beside them; it counts if ``min_coverage`` of
+them are there and all its key phrases stand in that stretch. The slack is a word for every eight of the template, four at
+most. Base phrases are templates of their own that must match whole, without slack.
 
 Words are runs of digits, ASCII letters in lower case, and characters beyond ASCII.
 
@@ -36,6 +38,9 @@ class Template:
     keys: tuple[str, ...]
 
 
+#: Words of a template for each word of slack, the greatest slack, and words after a template in which a key phrase may end.
+WORDS_A_SLACK, MOST_SLACK, AFTER = 8, 4, 4
+
 # Phrases and labels that always count.
 BASE = (Template("mit", "mit license", ()), Template("apache", "apache license", ()), Template("gpl", "general public license", ()))
 
@@ -98,8 +103,9 @@ def scan_licenses(docs: DataFrame, *, templates: Sequence[Template] = TEMPLATES,
 
     posting = lambda word: F.array(*[F.lit((t << 40) - at + (1 << 20)).cast("long") for t, p in enumerate(parts) for at, x in enumerate(p) if x == word and x in chosen[t]])
     postings = F.create_map(*[x for word in look for x in (F.lit(word), posting(word))])
+    slack = [0 if k < len(base) else min(MOST_SLACK, len(p) // WORDS_A_SLACK) for k, p in enumerate(parts)]
     forms = F.array(*[
-        F.struct(F.lit(t.label).alias("label"), F.lit(k < len(base)).alias("is_base"), F.lit(1.0 if k < len(base) else min_coverage).alias("least"), _array(parts[k]).alias("words"), _array([f" {x} " for x in t.keys]).alias("keys"))
+        F.struct(F.lit(t.label).alias("label"), F.lit(k < len(base)).alias("is_base"), F.lit(slack[k]).alias("slack"), F.lit(1.0 if k < len(base) else min_coverage).alias("least"), _array(parts[k]).alias("words"), _array([f" {x} " for x in t.keys]).alias("keys"))
         for k, t in enumerate(every)
     ])
 
@@ -111,8 +117,11 @@ def scan_licenses(docs: DataFrame, *, templates: Sequence[Template] = TEMPLATES,
     at = F.filter(F.transform("w", lambda v, i: F.when(F.array_contains("look", v), i)), lambda i: i.isNotNull())
     named = F.array_sort(F.flatten(F.transform(at, lambda i: F.transform(F.element_at(postings, F.get("w", i)), lambda s: s + i))))
 
-    def agreed(every: Column) -> Column:  # equal starts lie together: the first of enough of them
-        enough = lambda s, i: (F.get(every, i + F.get(agree, F.shiftright(s, 40).cast("int")) - 1) == s) & ~F.coalesce(F.get(every, i - 1) == s, F.lit(False))
+    loose = F.array(*[F.lit(x) for x in slack])
+
+    def agreed(every: Column) -> Column:  # starts that agree lie together: the first of enough of them, each once
+        template = lambda s: F.shiftright(s, 40).cast("int")
+        enough = lambda s, i: (F.get(every, i + F.get(agree, template(s)) - 1) <= s + F.get(loose, template(s))) & ~F.coalesce(F.get(every, i - 1) == s, F.lit(False))
         return F.filter(F.transform(every, lambda s, i: F.when(enough(s, i), s)), lambda s: s.isNotNull())
 
     starts = let(named, agreed)
@@ -122,9 +131,10 @@ def scan_licenses(docs: DataFrame, *, templates: Sequence[Template] = TEMPLATES,
         number, start = F.shiftright(code, 40).cast("int"), (code.bitwiseAND(F.lit((1 << 40) - 1)) - (1 << 20)).cast("int")
 
         def against(form: Column) -> Column:
-            same = F.size(F.filter(F.transform(form["words"], lambda v, j: (start + j >= 0) & (F.get("w", start + j) == v)), lambda ok: ok))
-            size = F.size(form["words"])
-            near = F.concat(F.lit(" "), F.array_join(F.slice("w", F.greatest(start, F.lit(0)) + 1, size + 4), " "), F.lit(" "))
+            size, beside = F.size(form["words"]), form["slack"]
+            there = lambda v, j: F.exists(F.sequence(-beside, beside), lambda d: F.coalesce((start + j + d >= 0) & (F.get("w", start + j + d) == v), F.lit(False)))
+            same = F.size(F.filter(F.transform(form["words"], there), lambda ok: ok))
+            near = F.concat(F.lit(" "), F.array_join(F.slice("w", F.greatest(start - beside, F.lit(0)) + 1, size + 2 * beside + AFTER), " "), F.lit(" "))
             return F.struct(
                 form["label"].alias("label"), form["is_base"].alias("is_base"), start.alias("start"), (same / size).alias("coverage"),
                 ((same / size >= form["least"]) & F.forall(form["keys"], lambda key: F.contains(near, key))).alias("ok"),
