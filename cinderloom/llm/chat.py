@@ -1,16 +1,21 @@
 """Chat formatting in budgeted windows, DataFrame operations only.
 
 Turns are laid out in a template whose control strings cannot occur inside texts: a backslash is doubled and ``<|``
-becomes ``<\\|``, which ``unescape`` reverts. Prefix sums of turn tokens cut a conversation into turn-aligned spans.
+becomes ``<\\|``, which ``unescape`` reverts. Sums of turn tokens cut a conversation into turn-aligned spans.
 A span becomes one window: the conversation's opening system turn, up to ``history_turns`` turns from the end of the
 span before, then the span's own turns. The loss mask of a window covers the texts of its own assistant turns;
 what is repeated (system turn, history) is masked out.
 
 A window stays within ``budget`` tokens (words plus a fixed cost per turn). What the system turn leaves is the room; a
-system turn of over half the budget is not repeated. Prefix sums fall into cells of a third of the room, and a span is the
-turns that end in one cell, so that it holds under two thirds; history takes at most the last third. A turn that is
-larger than a cell stands alone; if it is larger than two thirds of the room, nothing but the system turn is put before it,
-and only such a turn can make a window exceed the budget.
+system turn of over half the budget is not repeated. Spans are filled greedily: a turn joins the span as long as the running sum,
+history included, stays within the room, else it opens the next one. History is as many turns as ``history_turns`` allows that
+together take at most a third of the room and leave the turn its place. Only a turn that is larger than the room makes a
+window exceed the budget, and it stands alone behind the system turn, which has a window of its own if such a turn is first. A conversation that fits is one window, and of two neighbours the first
+has no room for the second's first turn.
+
+Turns are numbered in order, and every ``segment`` of them is folded by itself (an array of tokens, bounded by that parameter),
+so that a conversation of any length is many groups; a segment begins with a span of its own, without history. Windows
+are numbered by segment and span: a window's number is the number of turns in the segments before plus its place in its own.
 
 Defined results: null texts and roles are empty; turns sort by (turn, role, text), null turns first; rows that
 repeat are turns of their own; a null conversation id is a conversation of its own. An empty table gives an empty
@@ -48,59 +53,63 @@ def unescape_role(role: Column) -> Column:
     return F.array_join(parts, "\\")
 
 
-def windows(conversations: DataFrame, *, budget: int = 512, history_turns: int = 2) -> DataFrame:
-    """One row per window: conv_id, window (from 0), n_context (leading turns that repeat), n_turns (its own),
+def spans(tokens: str, room: str, history_turns: int) -> str:
+    """SQL for an array of (start, n, history): spans of the array ``tokens``, from 0, filled up to ``room``."""
+    none = "cast(array() AS array<struct<start:int,n:int,history:int>>)"
+    # last: the latest turns of the span so far, newest first; sums of 0, 1, .. of them
+    sums = f"transform(sequence(0, size(acc.last)), m -> struct(aggregate(slice(acc.last, 1, m), 0L, (a, b) -> a + b) AS tokens, m))"
+    kept = f"array_max(transform(filter({sums}, x -> x.m = 0 OR (x.tokens <= {room} div 3 AND x.tokens + t <= {room})), x -> struct(x.m, x.tokens)))"
+    joined = f"""named_struct('at', acc.at + 1, 'used', acc.used + t, 'start', acc.start, 'history', acc.history, 'last', slice(concat(array(t), acc.last), 1, {history_turns}), 'out', acc.out)"""
+    opened = f"""element_at(transform(array({kept}), h -> named_struct('at', acc.at + 1, 'used', h.tokens + t, 'start', acc.at, 'history', h.m, 'last', slice(array(t), 1, {history_turns}),
+        'out', concat(acc.out, array(struct(acc.start AS start, acc.at - acc.start AS n, acc.history AS history))))), 1)"""
+    start = f"named_struct('at', 0, 'used', 0L, 'start', 0, 'history', 0, 'last', cast(array() AS array<bigint>), 'out', {none})"
+    return f"""aggregate({tokens}, {start}, (acc, t) -> CASE WHEN acc.at = acc.start OR acc.used + t <= {room} THEN {joined} ELSE {opened} END,
+        acc -> CASE WHEN acc.at = 0 THEN acc.out ELSE concat(acc.out, array(struct(acc.start AS start, acc.at - acc.start AS n, acc.history AS history))) END)"""
+
+
+def windows(conversations: DataFrame, *, budget: int = 512, history_turns: int = 2, segment: int = 1024) -> DataFrame:
+    """One row per window: conv_id, window (ascending from 0), n_context (leading turns that repeat), n_turns (its own),
     formatted, and loss, an array of (start, length) in code points of ``formatted``, from 1."""
+    if budget < 1 or history_turns < 0 or segment < 1:
+        raise ValueError("the budget and the segment are positive, and the history is not negative")
     rows = conversations.select(
         "conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")
-    ).withColumn("tokens", F.regexp_count("text", F.lit(WORD)) + TURN_COST)
+    ).withColumn("tokens", (F.regexp_count("text", F.lit(WORD)) + TURN_COST).cast("long"))
     order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
     so_far = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    opening = F.when((F.col("role") == "system") & (2 * F.col("tokens") <= budget), F.col("tokens")).otherwise(0)
-    rows = rows.withColumn("no", F.row_number().over(order)).withColumn("system_tokens", F.first(opening).over(so_far))
-    rows = rows.withColumn("cell_size", F.floor((budget - F.col("system_tokens")) / 3))
-    rows = rows.withColumn("is_system", (F.col("no") == 1) & (F.col("system_tokens") > 0))
-    rows = rows.withColumn("weight", F.when(F.col("is_system"), 0).otherwise(F.col("tokens")))
-    rows = rows.withColumn("end", F.sum("weight").over(so_far))
-    large = F.col("weight") > F.col("cell_size")
-    rows = rows.withColumn("larges", F.sum(large.cast("int")).over(so_far))
-    rows = rows.withColumn("cell", F.struct("larges", large.alias("alone"), F.floor(F.greatest(F.col("end") - 1, F.lit(0)) / F.col("cell_size")).alias("k")))
-    rows = rows.withColumn("opens", F.coalesce((F.col("cell") != F.lag("cell").over(order)), F.lit(False)).cast("int"))
-    rows = rows.withColumn("span", F.sum("opens").over(so_far))
-    system = F.col("is_system")
-    # how many turns and tokens follow inside the span, this one included; and whether a turn too large for history comes next
-    rows = rows.withColumn("huge_next", F.coalesce(F.lead("weight").over(order) > 2 * F.col("cell_size"), F.lit(False)))
-    back = Window.partitionBy("conv_id", "span").orderBy(F.desc("no"))
-    tail = back.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = rows.withColumn("from_end", F.row_number().over(back)).withColumn("tail_tokens", F.sum("tokens").over(tail)).withColumn("huge_next", F.first("huge_next").over(tail))
-    last_span = F.max("span").over(Window.partitionBy("conv_id").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    rows = rows.withColumn("last_span", last_span)
-    remembered = ~system & (F.col("from_end") <= history_turns) & (F.col("tail_tokens") <= F.col("cell_size")) & (F.col("span") < F.col("last_span")) & ~F.col("huge_next")
-    # kind 0: repeated system turn, 1: history, 2: own
-    places = F.concat(
-        F.array(F.struct(F.col("span").alias("window"), F.lit(2).alias("kind"))),
-        F.when(remembered, F.array(F.struct((F.col("span") + 1).alias("window"), F.lit(1).alias("kind")))).otherwise(F.array().cast("array<struct<window:bigint,kind:int>>")),
-        F.when(
-            system & (F.col("last_span") > 0), F.transform(F.sequence(F.lit(1).cast("long"), F.greatest("last_span", F.lit(1))), lambda s: F.struct(s.alias("window"), F.lit(0).alias("kind")))
-        ).otherwise(F.array().cast("array<struct<window:bigint,kind:int>>")),
-    )
-    placed = rows.select("conv_id", "no", "role", "text", F.explode(places).alias("place")).select("conv_id", "no", "role", "text", "place.*")
     head = F.concat(F.lit(START), escape_role(F.col("role")), F.lit("\n"))
-    piece = F.struct("kind", "no", head.alias("head"), escape(F.col("text")).alias("body"), ((F.col("kind") == 2) & (F.col("role") == "assistant")).alias("learn"))
-    grouped = placed.groupBy("conv_id", "window").agg(F.array_sort(F.collect_list(piece)).alias("pieces"))
+    piece = F.struct(head.alias("head"), escape(F.col("text")).alias("body"), (F.col("role") == "assistant").alias("assistant"), "tokens")
+    opening = F.when((F.col("role") == "system") & (2 * F.col("tokens") <= budget), piece)
+    rows = rows.withColumn("no", F.row_number().over(order) - 1).withColumn("piece", piece).withColumn("system", F.first(opening).over(so_far))
+    first = F.col("no") % segment == 0  # the system turn travels with the first turn of a segment
+    rows = rows.select("conv_id", F.floor(F.col("no") / segment).alias("segment"), "no", "piece", F.when(first, F.col("system")).alias("system"))
+    grouped = rows.groupBy("conv_id", "segment").agg(F.array_sort(F.collect_list(F.struct("no", "piece"))).alias("turns"), F.first("system", ignorenulls=True).alias("system"))
+    # the opening system turn stands before its first window as a turn of its own, and is no part of a span
+    own_system = F.col("system").isNotNull() & (F.col("segment") == 0)
+    grouped = grouped.select(
+        "conv_id", "segment", "system", own_system.alias("opens"), F.transform(F.when(own_system, F.slice("turns", F.lit(2), F.lit(segment))).otherwise(F.col("turns")), lambda x: x["piece"]).alias("turns"),
+        (F.lit(budget) - F.coalesce("system.tokens", F.lit(0))).cast("long").alias("room"),
+    ).withColumn("tokens", F.transform("turns", lambda x: x["tokens"]))
+    cut = grouped.withColumn("spans", F.expr(spans("tokens", "room", history_turns)))
+    lone = F.expr("array(struct(0 AS start, 0 AS n, 0 AS history))")  # the system turn by itself: nothing follows, or a turn that no room holds
+    alone = (F.size("spans") == 0) | (F.col("opens") & (F.get("tokens", F.lit(0)) > F.col("room")))
+    cut = cut.select("conv_id", "segment", "system", "opens", "turns", F.posexplode(F.when(alone, F.concat(lone, "spans")).otherwise(F.col("spans"))).alias("k", "span"))
+    start, n, history = F.col("span.start"), F.col("span.n"), F.col("span.history")
+    headed, opened = F.col("system").isNotNull(), F.col("opens") & (F.col("k") == 0)
+    system = F.when(headed, F.array("system")).otherwise(F.array().cast(grouped.schema["turns"].dataType))
+    kind = lambda array, learn: F.transform(array, lambda p: F.struct(p["head"].alias("head"), p["body"].alias("body"), (F.lit(learn) & p["assistant"]).alias("learn")))
+    pieces = F.concat(kind(system, False), kind(F.slice("turns", start - history + 1, history), False), kind(F.slice("turns", start + 1, n), True))
     loss = F.expr(
         f"""aggregate(pieces, struct(1 AS at, cast(array() AS array<struct<start:int,length:int>>) AS spans),
             (acc, p) -> struct(acc.at + length(p.head) + length(p.body) + {len(END)} AS at,
                 CASE WHEN p.learn THEN concat(acc.spans, array(struct(acc.at + length(p.head) AS start, length(p.body) AS length))) ELSE acc.spans END AS spans),
             acc -> acc.spans)"""
     )
-    return grouped.select(
-        "conv_id", "window",
-        F.size(F.filter("pieces", lambda p: p["kind"] < 2)).alias("n_context"),
-        F.size(F.filter("pieces", lambda p: p["kind"] == 2)).alias("n_turns"),
-        F.array_join(F.transform("pieces", lambda p: F.concat(p["head"], p["body"], F.lit(END))), "").alias("formatted"),
-        loss.alias("loss"),
+    out = cut.select(
+        "conv_id", (F.col("segment") * segment + F.col("k")).alias("window"), (F.when(headed & ~opened, 1).otherwise(0) + history).alias("n_context"),
+        (F.when(opened, 1).otherwise(0) + n).alias("n_turns"), pieces.alias("pieces"),
     )
+    return out.select("conv_id", "window", "n_context", "n_turns", F.array_join(F.transform("pieces", lambda p: F.concat(p["head"], p["body"], F.lit(END))), "").alias("formatted"), loss.alias("loss"))
 
 
 def read_back(formatted: DataFrame) -> DataFrame:

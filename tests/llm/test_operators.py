@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import math
+import random
 import zlib
 
 import numpy as np
@@ -332,3 +333,55 @@ def test_licenses(docs, none):
         assert r["base_labels"] == ",".join(sorted({k for _, k in places})) and set(r["base_labels"].split(",")) <= set(r["labels"].split(",")) | {""}
         assert 0 <= r["score"] <= 1
     assert licenses.scan_licenses(none).count() == 0
+
+
+def spans_of(turns, budget, history_turns):
+    """(own turns, repeated turns) of each window, filled greedily; turns: (role, text)."""
+    tokens = [len(t.split()) + chat.TURN_COST for _, t in turns]
+    head = turns[0][0] == "system" and 2 * tokens[0] <= budget
+    room, out, k = budget - (tokens[0] if head else 0), [], int(head)
+    own, used, history = [], 0, 0
+    for i in range(k, len(turns)):
+        if own and used + tokens[i] > room:
+            out.append((len(own), history))
+            last, own = own, []
+            fits = [m for m in range(min(history_turns, len(last)) + 1) if m == 0 or (sum(tokens[j] for j in last[len(last) - m :]) <= room // 3 and sum(tokens[j] for j in last[len(last) - m :]) + tokens[i] <= room)]
+            history = max(fits)
+            used = sum(tokens[j] for j in last[len(last) - history :])
+        own.append(i)
+        used += tokens[i]
+    if own or not out:
+        out.append((len(own), history))
+    if head and len(tokens) > 1 and tokens[1] > room:
+        out.insert(0, (0, 0))
+    return [(n + (head and j == 0), h + (head and j > 0)) for j, (n, h) in enumerate(out)]
+
+
+@pytest.mark.parametrize(("budget", "history"), [(40, 2), (40, 0), (64, 3), (512, 2)])
+def test_chat_fills_its_budget(spark, budget, history):
+    rng, rows, turns = random.Random(budget), [], {}
+    for c in range(40):
+        turns[c] = [("system" if i == 0 and c % 2 else "user" if i % 2 else "assistant", " ".join(["word"] * rng.choice([0, 1, 3, 8, 20, 50]))) for i in range(rng.randrange(1, 30))]
+        rows += [(c, i, r, t) for i, (r, t) in enumerate(turns[c])]
+    table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("window", F.lit("clash")).withColumn("segment", F.lit("clash"))
+    got = collections.defaultdict(list)
+    for w in chat.windows(table, budget=budget, history_turns=history).orderBy("conv_id", "window").collect():
+        got[w["conv_id"]].append((w["n_turns"], w["n_context"]))
+    assert got == {c: spans_of(t, budget, history) for c, t in turns.items()}
+    if budget == 512:
+        small = [c for c, t in turns.items() if sum(len(x.split()) + chat.TURN_COST for _, x in t) <= budget]
+        assert small and all(len(got[c]) == 1 for c in small)
+
+
+def test_chat_in_segments(spark):
+    """A conversation over many segments says the same, and each keeps its system turn."""
+    rows = [(1, 0, "system", "be kind")] + [(1, i, "user" if i % 2 else "assistant", f"turn {i} " + "x " * (i % 7)) for i in range(1, 500)] + [(2, None, None, None), (None, 1, "user", "y")]
+    table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    whole, cut = chat.windows(table, budget=60), chat.windows(table, budget=60, segment=16)
+    same = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256"]
+    read = lambda w: sorted(map(repr, (tuple(r) for r in chat.read_back(w).select(*same).collect())))
+    assert read(whole) == read(cut)
+    assert all(w["n_context"] >= 1 and w["formatted"].startswith("<|im_start|>system\nbe kind<|im_end|>\n") for w in cut.where("conv_id = 1 AND window > 0").collect())
+    long = spark.createDataFrame([(5, 0, "user", "w " * 300_000), (5, 1, "assistant", "é<|" * 200_000)], "conv_id long, turn long, role string, text string")
+    r = chat.read_back(chat.windows(long)).first()
+    assert (r["n_turns"], r["loss_chars"], r["n_windows"]) == (2, 600_000, 2)
