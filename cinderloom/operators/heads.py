@@ -138,7 +138,7 @@ def known_items(
     if options.refine_top and frames is not None and semantic is not None:
         c = storage.stored(c, "candidates")
         chosen = (F.col("rank") <= options.refine_top) & F.col("ts").isNotNull()
-        refined = tasks.refine(c.where(chosen), frames, semantic, radius=options.radius).drop("refined")
+        refined = tasks.refine(c.where(chosen), frames, semantic, radius=options.radius).drop("refined", "ts")
         passed = c.where(~chosen).select("query_id", "video_id", "frame", "score")
         both = hits.merge_refined(refined, passed, order=None)
         c = fusion.top(both.withColumn("candidate_id", F.struct("video_id", "frame")), 2 * options.pool + options.refine_top * 5)

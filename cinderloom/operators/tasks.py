@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .. import storage
 from .timeline import align
 
 #: Candidates per model call, and the parts of confidence and retrieval in an answer's score.
@@ -22,7 +25,7 @@ def frame_answers(ranked: DataFrame, top_k: int = 100) -> DataFrame:
 
 
 def refine(candidates: DataFrame, frames: DataFrame, semantic: Column, *, radius: float = 2.0, keep: int = 5, coarse: float = 0.2, fine: float = 0.8) -> DataFrame:
-    """(query_id, video_id, frame, score, refined): frames within ``radius`` seconds of a candidate, scored again.
+    """(query_id, video_id, frame, ts, score, refined): frames within ``radius`` seconds of a candidate, scored again.
 
     Candidates: (query_id, candidate_id, video_id, frame, ts, score); frames: (video_id, frame, ts, ...), over whose columns
     ``semantic`` is written. Each candidate keeps its ``keep`` best frames; a frame keeps its best score; a candidate
@@ -35,18 +38,19 @@ def refine(candidates: DataFrame, frames: DataFrame, semantic: Column, *, radius
     near = asked.join(scored, ["video_id", "cell"]).where(F.abs(F.col("ts") - F.col("c_ts")) <= radius)
     r = F.row_number().over(Window.partitionBy("query_id", "candidate_id").orderBy(F.desc("semantic"), "frame"))
     found = near.withColumn("r", r).where(F.col("r") <= keep)
-    fresh = found.select("query_id", "candidate_id", "video_id", "frame", (coarse * F.col("c_score") + fine * F.col("semantic")).alias("score"), F.lit(True).alias("refined"))
+    fresh = found.select("query_id", "candidate_id", "video_id", "frame", "ts", (coarse * F.col("c_score") + fine * F.col("semantic")).alias("score"), F.lit(True).alias("refined"))
     bare = c.join(found.select("query_id", "candidate_id").distinct(), ["query_id", "candidate_id"], "left_anti")
-    stay = bare.select("query_id", "candidate_id", "video_id", F.col("c_frame").alias("frame"), F.col("c_score").alias("score"), F.lit(False).alias("refined"))
-    best = fresh.unionByName(stay).groupBy("query_id", "video_id", "frame").agg(F.max(F.struct("score", "refined")).alias("b"))
-    return best.select("query_id", "video_id", "frame", "b.score", "b.refined")
+    stay = bare.select("query_id", "candidate_id", "video_id", F.col("c_frame").alias("frame"), F.col("c_ts").alias("ts"), F.col("c_score").alias("score"), F.lit(False).alias("refined"))
+    best = fresh.unionByName(stay).groupBy("query_id", "video_id", "frame").agg(F.max(F.struct("score", "refined", "ts")).alias("b"))
+    return best.select("query_id", "video_id", "frame", "b.ts", "b.score", "b.refined")
 
 
-def trake(candidates: DataFrame, video_scores: DataFrame, events: int, *, per_event: int = 30, top_videos: int = 100, top_k: int = 100, global_weight: float = 0.2, **alignment) -> DataFrame:
+def trake(candidates: DataFrame, video_scores: DataFrame, events: int, *, per_event: int = 30, top_videos: int = 100, top_k: int = 100, global_weight: float = 0.2, frames: DataFrame | None = None, semantics: Sequence[Column] = (), radius: float = 2.0, **alignment) -> DataFrame:
     """(query_id, rank, video_id, score, frames): the best ordered frames of each video that has all events.
 
     Candidates: (query_id, event, video_id, ts, frame, score); video_scores: (query_id, video_id, score). The ``top_videos``
-    best videos are preferred: others of a query count only if none of them has all events.
+    best videos are preferred: others of a query count only if none of them has all events. With ``frames`` and a column
+    of ``semantics`` over them for each event, each video's best path is refined within ``radius`` seconds and aligned again.
     """
     key = ["query_id", "video_id"]
     best = F.row_number().over(Window.partitionBy(*key, "event").orderBy(F.desc("score"), "ts", "frame"))
@@ -57,12 +61,35 @@ def trake(candidates: DataFrame, video_scores: DataFrame, events: int, *, per_ev
     top = F.coalesce(F.col("place") <= top_videos, F.lit(False))
     some = F.max(top).over(Window.partitionBy("query_id"))
     chosen = whole.withColumn("top", top).withColumn("some", some).where("top OR NOT some").select(*key, F.coalesce("whole", F.lit(0.0)).alias("whole"))
-    aligned = align(c.join(chosen.select(*key), key, "left_semi"), events, keys=key, **alignment)
+    held = c.join(chosen.select(*key), key, "left_semi")
+    if frames is None:
+        aligned = align(held, events, keys=key, **alignment)
+    else:
+        # events may share a coarse time; the frames around them decide, in strict order
+        held = storage.stored(held, "events")
+        coarse = align(held, events, keys=key, **alignment | {"strict": False})
+        aligned = align(refined_path(coarse, held, frames, semantics, radius=radius), events, keys=key, **alignment)
     out = aligned.join(chosen, key).select(*key, (F.col("score") / events + global_weight * F.col("whole")).alias("score"), F.transform("path", lambda p: p["frame"]).alias("frames"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "video_id"))
     return out.withColumn("rank", rank).where(F.col("rank") <= top_k)
 
 
+def refined_path(aligned: DataFrame, candidates: DataFrame, frames: DataFrame, semantics: Sequence[Column], *, radius: float = 2.0, keep: int = 5) -> DataFrame:
+    """(query_id, video_id, event, ts, frame, score): the frames around each chosen candidate of an alignment, scored again by the
+    event's own column of ``semantics``; an event without frames nearby keeps its candidate."""
+    key = ["query_id", "video_id"]
+    chosen = aligned.select(*key, F.posexplode("path").alias("event", "p")).select(*key, "event", "p.ts", "p.frame")
+    scored = candidates.groupBy(*key, "event", "ts", "frame").agg(F.max("score").alias("score"))
+    chosen = chosen.join(scored, [*key, "event", "ts", "frame"])
+    out = None
+    for event, semantic in enumerate(semantics):
+        own = chosen.where(F.col("event") == event).select(*key, F.col("video_id").alias("candidate_id"), "frame", "ts", "score")
+        found = refine(own, frames, semantic, radius=radius, keep=keep)
+        found = found.select(*key, F.lit(event).alias("event"), "ts", "frame", "score")
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
 def qa_requests(candidates: DataFrame, batch: int = BATCH) -> DataFrame:
     """Candidates (query_id, candidate_id, rank, score) with the batch each goes to, its name there (C01, C02, ..) and
     its score between 0 and 1 (1 where all scores are equal)."""

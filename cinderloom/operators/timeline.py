@@ -1,4 +1,9 @@
-"""Checks and nearest joins on keyframe timelines, and ordered alignment of events."""
+"""Checks and nearest joins on keyframe timelines, and ordered alignment of events.
+
+Defined results: a null time is near nothing and aligns with nothing; a null score cannot be chosen; a video without a
+candidate for some event has no alignment. Of equal alignments that with the earlier positions is taken. Empty tables
+give empty results.
+"""
 
 from __future__ import annotations
 
@@ -32,8 +37,11 @@ def nearest(asked: DataFrame, keyframes: DataFrame) -> DataFrame:
     return both.where("side = 1").select("video_id", "at", F.when(F.col("right").isNull() | left_near, F.col("left.n")).otherwise(F.col("right.n")).alias("n"))
 
 
-def align(candidates: DataFrame, events: int, min_gap: float = 0.0, max_gap: float | None = None, penalty=None, keys: Sequence[str] = ("video_id",)) -> DataFrame:
-    """(keys, score, path): the best strictly ordered choice of one candidate per event for each value of ``keys``.
+def align(
+    candidates: DataFrame, events: int, min_gap: float = 0.0, max_gap: float | None = None, penalty=None, keys: Sequence[str] = ("video_id",), *, strict: bool = True
+) -> DataFrame:
+    """(keys, score, path): the best ordered choice of one candidate per event for each value of ``keys``; events follow
+    each other strictly, or may fall together if not ``strict``.
 
     Candidates: (keys, event, ts, frame, score). A chain of joins, one per event; each keeps the best predecessor. ``path``
     holds the (ts, frame) chosen for each event.
@@ -44,7 +52,7 @@ def align(candidates: DataFrame, events: int, min_gap: float = 0.0, max_gap: flo
     for e in range(1, events):
         step = c.where(F.col("event") == e).select(*keys, F.col("ts").alias("t"), F.col("frame").alias("f"), F.col("pos").alias("p"), F.col("score").alias("s"))
         gap: Column = F.col("t") - F.col("ts")
-        ok = (gap > 0) & (gap >= min_gap)
+        ok = ((gap > 0) if strict else (gap >= 0)) & (gap >= min_gap)
         if max_gap is not None:
             ok = ok & (gap <= max_gap)
         cost = penalty(gap) if penalty else F.lit(0.0)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import storage
-from ..operators import embed, heads, search, windows
+from ..operators import embed, heads, search, tasks, windows
 from ..sources import tables
 from . import oracles
 
@@ -75,7 +75,18 @@ def window_aligned_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return w.select("video_id", "k", F.md5("asr_text").alias("text_md5"), F.array_join(F.col("asr_segment_ids").cast("array<string>"), ",").alias("segments"))
 
 
-QUERIES = {f.__name__: f for f in (engine_search, engine_source_counts, known_item_search, temporal_windows, window_aligned_text)}
+def trake_refined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keyframes as candidates of three events, their paths refined among keyframes within half a day and aligned again."""
+    k = tables.keyframes(spark, sf_dir)
+    event = F.when(F.col("label") == "click", 0).when(F.col("label") == "purchase", 1).when(F.col("label") == "view", 2)
+    c = k.select(F.lit(0).cast("long").alias("query_id"), "video_id", event.alias("event"), F.floor("pts_time").cast("double").alias("ts"), F.col("frame_idx").alias("frame"), "score").where("event IS NOT NULL")
+    whole = k.groupBy("video_id").agg(F.max("score").alias("score")).select(F.lit(0).cast("long").alias("query_id"), "video_id", "score")
+    frames = k.select("video_id", F.col("frame_idx").alias("frame"), F.col("pts_time").alias("ts"), "n")
+    found = tasks.trake(c, whole, 3, frames=frames, semantics=[F.col("n") * (e + 2) % 7 / 7.0 for e in range(3)], radius=43_200.0)
+    return found.select(F.col("rank").cast("long").alias("rank"), "video_id", F.round("score", 6).alias("score"), F.size("frames").cast("long").alias("n_frames"))
+
+
+QUERIES = {f.__name__: f for f in (trake_refined, engine_search, engine_source_counts, known_item_search, temporal_windows, window_aligned_text)}
 
 _FOUND = oracles.VARIANTS.replace(oracles.ITEMS, "SELECT item_id AS id, text || CASE WHEN item_id % 2 = 0 THEN ' Logo?' ELSE '' END AS text FROM benchmark") + f""",
 held AS (
@@ -105,6 +116,36 @@ _KEYFRAMES = """k AS (
   SELECT user_id AS video_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n, (epoch_us(ts) - 1704067200000000) / 1e6 AS pts FROM events
 )"""
 SOURCES = {
+    "trake_refined": """WITH k AS (
+  SELECT user_id AS video_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n, (epoch_us(ts) - 1704067200000000) / 1e6 AS pts, event_type AS label, value AS score,
+    CAST(floor((epoch_us(ts) - 1704067200000000) / 1e6 * 25) AS BIGINT) AS frame FROM events
+), c AS (
+  SELECT *, CASE label WHEN 'click' THEN 0 WHEN 'purchase' THEN 1 WHEN 'view' THEN 2 END AS e, floor(pts) AS near_at FROM k WHERE label IN ('click', 'purchase', 'view')
+), best AS (
+  SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY video_id, e ORDER BY score DESC, near_at, frame) <= 30
+), whole AS (
+  SELECT video_id, max(score) AS whole, row_number() OVER (ORDER BY max(score) DESC, video_id) AS place FROM k GROUP BY video_id
+), able AS (
+  SELECT video_id, whole, place <= 100 AS top FROM (SELECT video_id FROM best GROUP BY video_id HAVING count(DISTINCT e) = 3) JOIN whole USING (video_id)
+), chosen AS (
+  SELECT * FROM able WHERE top OR NOT (SELECT bool_or(top) FROM able)
+), coarse AS (
+  SELECT a.video_id, arg_max([{'t': a.near_at, 's': a.score}, {'t': b.near_at, 's': b.score}, {'t': c.near_at, 's': c.score}], a.score + b.score + c.score) AS p
+  FROM best a JOIN best b ON a.video_id = b.video_id AND b.near_at >= a.near_at JOIN best c ON c.video_id = b.video_id AND c.near_at >= b.near_at
+  WHERE a.e = 0 AND b.e = 1 AND c.e = 2 AND a.video_id IN (SELECT video_id FROM chosen) GROUP BY a.video_id
+), events3 AS (
+  SELECT video_id, unnest([0, 1, 2]) AS e, unnest(p) AS p FROM coarse
+), fine AS (
+  SELECT x.video_id, x.e, k.frame, k.pts, 0.2 * x.p.s + 0.8 * (k.n * (x.e + 2) % 7 / 7.0::DOUBLE) AS score
+  FROM events3 x JOIN k ON k.video_id = x.video_id AND abs(k.pts - x.p.t) <= 43200
+  QUALIFY row_number() OVER (PARTITION BY x.video_id, x.e ORDER BY k.n * (x.e + 2) % 7 DESC, k.frame) <= 5
+), again AS (
+  SELECT a.video_id, max(a.score + b.score + c.score) / 3 AS s FROM fine a JOIN fine b ON a.video_id = b.video_id AND b.pts > a.pts JOIN fine c ON c.video_id = b.video_id AND c.pts > b.pts
+  WHERE a.e = 0 AND b.e = 1 AND c.e = 2 GROUP BY a.video_id
+), scored AS (
+  SELECT video_id, s + 0.2 * whole AS score FROM again JOIN chosen USING (video_id)
+)
+SELECT row_number() OVER (ORDER BY score DESC, video_id) AS rank, video_id, round(score, 6) AS score, 3::BIGINT AS n_frames FROM scored QUALIFY rank <= 100""",
     "engine_search": f"""{_FOUND}, fused AS (
   SELECT query_id, doc_id, sum(weight / (60 + r)) AS score
   FROM (SELECT *, row_number() OVER (PARTITION BY query_id, m ORDER BY score DESC, doc_id) AS r FROM merged) JOIN base USING (query_id, m) GROUP BY query_id, doc_id

@@ -116,3 +116,21 @@ def test_weights_by_query(spark):
     assert got == {(1, 7): round(2 / 61, 9), (1, 8): 0.0, (2, 7): round(1 / 61, 9)}
     with pytest.raises(Exception, match="not negative"):
         fusion.weighted_score_fusion(hits, weights.withColumn("weight", -F.col("weight") - 1)).collect()
+
+
+def test_ordered_events_share_a_coarse_time(spark):
+    """Two events in one coarse window are told apart by the frames around it; without that they cannot be in order."""
+    from cinderloom.operators import tasks, timeline
+
+    rows = [(1, 0, 7, 10.0, 250, 0.9), (1, 1, 7, 10.0, 250, 0.8), (1, 0, 8, 10.0, 250, 0.5), (1, 1, 8, 20.0, 500, 0.5)]
+    c = spark.createDataFrame(rows, "query_id long, event int, video_id long, ts double, frame long, score double")
+    whole = spark.createDataFrame([(1, 7, 1.0), (1, 8, 0.5)], "query_id long, video_id long, score double")
+    frames = spark.createDataFrame([(7, 225, 9.0, 1.0, 0.0), (7, 250, 10.0, 0.1, 0.2), (7, 275, 11.0, 0.0, 1.0), (7, 999, 40.0, 9.0, 9.0)], "video_id long, frame long, ts double, one double, two double")
+    plain = tasks.trake(c, whole, 2).collect()
+    assert [(r["video_id"], r["frames"]) for r in plain] == [(8, [250, 500])]
+    fine = tasks.trake(c, whole, 2, frames=frames, semantics=[F.col("one"), F.col("two")]).orderBy("rank").collect()
+    assert [(r["video_id"], r["frames"]) for r in fine] == [(7, [225, 275]), (8, [250, 500])]
+    assert abs(fine[0]["score"] - ((0.2 * 0.9 + 0.8 + 0.2 * 0.8 + 0.8) / 2 + 0.2)) < 1e-9
+    swapped = tasks.trake(c, whole, 2, frames=frames, semantics=[F.col("two"), F.col("one")]).collect()
+    assert 7 not in {r["video_id"] for r in swapped} or all(a < b for r in swapped for a, b in zip(r["frames"], r["frames"][1:], strict=False))
+    assert timeline.align(c, 2, strict=False).where("video_id = 7").count() == 1 and timeline.align(c, 2).where("video_id = 7").count() == 0
