@@ -2,8 +2,8 @@
 
 Inner products become distances by one more coordinate: with R the largest squared norm, |q - (x, sqrt(R - |x|^2))|^2
 = |q|^2 + R - 2 q.x. A bounded sample of vectors gives pivots, about as many as the square root of the rows; every vector
-belongs to its nearest pivot. Pivots of queries are put together in groups of about ``group_queries`` queries, near pivots
-first, since each group is sent its data once.
+belongs to its nearest pivot. Near pivots are put together in groups of ``group_pivots``, at every size of the tables, or of
+about ``group_queries`` queries where that is fewer pivots; a group is sent its data once.
 
 First every group is solved against the data of its own cells. That gives each query a k-th score that the true one
 cannot be below, so a distance bound. Summaries (per group and cell, the least and the greatest distance from the pivot
@@ -33,8 +33,8 @@ from pyspark.sql import functions as F
 from .support import materialize
 
 #: Rows of a part of a query cell, at most about: bounds what one task holds.
-PART_ROWS, PART_QUERIES = 20_000, 1_000
-MIN_PIVOTS, MAX_PIVOTS = 8, 512
+PART_ROWS, PART_QUERIES = 20_000, 8_000
+MIN_PIVOTS, MAX_PIVOTS, GROUP_PIVOTS = 8, 512, 8
 MARGIN = 1e-6
 
 
@@ -65,31 +65,34 @@ def top_k_search(
     id_col: str = "vec_id",
     vec_col: str = "embedding",
     dim: int | None = None,
+    group_pivots: int = GROUP_PIVOTS,
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): the k best of all other rows for every row whose id ``query_modulus`` divides."""
-    _, _, local = _plan(vectors, k, query_modulus, scale, pivots, group_queries, sample, id_col, vec_col, dim)
+    _, _, local = _plan(vectors, k, query_modulus, scale, pivots, group_queries, sample, id_col, vec_col, dim, group_pivots)
     if local is None:
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return local.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def pivot_groups(centre: np.ndarray, queries: dict[int, int], most: int) -> list[int]:
-    """Group of each pivot: a walk from pivot to nearest pivot, cut where a group would have over ``most`` queries."""
+def pivot_groups(centre: np.ndarray, queries: dict[int, int], most: int, wide: int) -> list[int]:
+    """Group of each pivot: a walk from pivot to nearest pivot, cut where a group has ``wide`` pivots or would have over ``most``
+    queries."""
     left, at = set(range(1, len(centre))), 0
-    group, held, number = [0] * len(centre), queries.get(0, 0), 0
+    group, held, number, size = [0] * len(centre), queries.get(0, 0), 0, 1
     while left:
         near = np.fromiter(left, np.int64)
         at = int(near[((centre[near] - centre[at]) ** 2).sum(1).argmin()])
         left.discard(at)
-        if held and held + queries.get(at, 0) > most:
-            number, held = number + 1, 0
+        if size >= wide or (held and held + queries.get(at, 0) > most):
+            number, held, size = number + 1, 0, 0
         group[at] = number
         held += queries.get(at, 0)
+        size += 1
     return group
 
 
-def _plan(vectors: DataFrame, k: int, query_modulus: int, scale: float, pivots: int | None, group_queries: int, sample: int, id_col: str, vec_col: str, dim: int | None):
+def _plan(vectors: DataFrame, k: int, query_modulus: int, scale: float, pivots: int | None, group_queries: int, sample: int, id_col: str, vec_col: str, dim: int | None, group_pivots: int = GROUP_PIVOTS):
     """Placed vectors, the rows (cell, grp, lo, hi) that other groups need, and (query_id, vec_id, score) of all parts."""
     spark = vectors.sparkSession
     rows = integer_vectors(vectors, id_col, vec_col, scale, dim)
@@ -131,7 +134,7 @@ def _plan(vectors: DataFrame, k: int, query_modulus: int, scale: float, pivots:
     asked = {r["q_cell"]: r["n"] for r in placed.where("is_query").groupBy("q_cell").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a pivot
     if not asked:
         return None, None, None
-    of_pivot = pivot_groups(centre, asked, group_queries)
+    of_pivot = pivot_groups(centre, asked, group_queries, group_pivots)
     sizes = [sum(n for c, n in asked.items() if of_pivot[c] == g) for g in range(max(of_pivot) + 1)]
     q_parts = [max(1, -(-n // PART_QUERIES)) for n in sizes]
     number = lambda values, at: F.get(F.array(*[F.lit(x) for x in values]), F.col(at))

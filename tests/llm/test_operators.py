@@ -385,3 +385,26 @@ def test_chat_in_segments(spark):
     long = spark.createDataFrame([(5, 0, "user", "w " * 300_000), (5, 1, "assistant", "é<|" * 200_000)], "conv_id long, turn long, role string, text string")
     r = chat.read_back(chat.windows(long)).first()
     assert (r["n_turns"], r["loss_chars"], r["n_windows"]) == (2, 600_000, 2)
+
+
+def test_top_k_prunes_by_default(spark):
+    """On 50,000 clustered vectors, with the registered parameters, rows are sent between groups, and fewer than half of all
+    pairs are compared."""
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(200, 16))
+    v = centres[np.arange(50_000) % 200] + 0.05 * rng.normal(size=(50_000, 16))
+    v /= np.sqrt((v**2).sum(1))[:, None]
+    order = rng.permutation(50_000)
+    table = spark.createDataFrame(list(zip(range(50_000), v[order].tolist(), strict=True)), "vec_id long, embedding array<double>").repartition(8)
+    placed, need, _ = knn._plan(table, 10, 100, 1024.0, None, knn.PART_QUERIES, 4096, "vec_id", "embedding", None)
+    sent = placed.join(need, "cell").where("dist BETWEEN lo AND hi").groupBy("grp").count().collect()
+    groups = {r["grp"]: r["count"] for r in sent}
+    asking = 500 / len(set(groups) | {0})  # queries a group, about
+    assert 0 < sum(groups.values()) * asking < 0.5 * 500 * 50_000 and len(groups) > 10
+    got = {tuple(r) for r in knn.top_k_search(table).collect()}
+    w = np.floor(1024 * v[order]).astype(int)
+    for q in range(0, 50_000, 5_000):
+        s = w @ w[q]
+        s[q] = -(2**62)
+        best = np.lexsort((np.arange(50_000), -s))[:10]
+        assert all((q, rank + 1, int(j), int(s[j])) in got for rank, j in enumerate(best))
