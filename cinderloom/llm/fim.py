@@ -34,7 +34,7 @@ def machine(sentinels: tuple[str, ...]) -> tuple[np.ndarray, np.ndarray, int]:
     marks = [s.encode() for s in sentinels]
     if any(len(m) < 2 or not s.isascii() for m, s in zip(marks, sentinels, strict=True)):
         raise ValueError("sentinels have two ASCII characters or more")
-    if len(marks) != 3 or any(a[-k:] == b[:k] for a in marks for b in marks for k in range(1, min(len(a), len(b)) + (a != b))):
+    if len(marks) != 3 or len(set(marks)) != 3 or any(a[-k:] == b[:k] for a in marks for b in marks for k in range(1, min(len(a), len(b)) + (a != b))):
         raise ValueError("three sentinels are needed of which none begins as one ends")
     heads = {m[:k] for m in marks for k in range(len(m) + 1)}
     states, following, emitted = [(False, b"")], [], []

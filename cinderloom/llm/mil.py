@@ -218,17 +218,20 @@ def fit(
             parts = np.split(x, np.cumsum(number)[:-1])
             yield pa.RecordBatch.from_arrays([*(c.slice(at, n) for c in b.columns[:2]), pa.array([p.tobytes() for p in parts], pa.binary())], names=["id", "y", "x"])
 
+    def neutral() -> GatedAttention:
+        model = GatedAttention()
+        model.p["c"] = np.zeros(HIDDEN)
+        return model
+
     def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = sorted({(r["id"], r["x"], r["y"]) for b in batches for r in b.to_pylist()})
-        y, model = np.array([r[2] for r in rows], np.float64), GatedAttention()
-        if len(set(y)) == 2:
-            model.fit([np.frombuffer(r[1], np.float32).reshape(-1, FEATURES) for r in rows], y)
-        else:
-            model.p["c"] = np.zeros(HIDDEN)
+        y = np.array([r[2] for r in rows], np.float64)
+        model = GatedAttention().fit([np.frombuffer(r[1], np.float32).reshape(-1, FEATURES) for r in rows], y) if len(set(y)) == 2 else neutral()
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
 
     sample = rows.mapInArrow(encoded, "id long, y int, x binary").limit(2 * max_docs)
-    return pickle.loads(sample.repartition(1).mapInArrow(fitted, "model binary").first()["model"])
+    made = sample.repartition(1).mapInArrow(fitted, "model binary").first()  # none if there is no row at all
+    return pickle.loads(made["model"]) if made else neutral()
 
 
 def score_documents(docs: DataFrame, model: GatedAttention, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.7) -> DataFrame:

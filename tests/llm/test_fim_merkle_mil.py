@@ -156,7 +156,7 @@ def test_gradient():
 
     g = model.gradient(model.forward(x, first, owner), y, first, owner)
     for name, at in (("W", (3, 2)), ("b", (1,)), ("V", (0, 5)), ("U", (7, 1)), ("w", (4,)), ("c", (2,)), ("d", ())):
-        keep = model.p[name].copy()
+        keep = np.array(model.p[name])
         sides = []
         for step in (1e-5, -1e-5):
             model.p[name] = keep.copy()
