@@ -48,6 +48,17 @@ def submission_lines(answers: DataFrame) -> DataFrame:
     return answers.select("query_id", "rank", F.when(F.col("rank") > MAX_ROWS, F.raise_error(F.lit("more than 100 rows for a query"))).otherwise(line).alias("line"))
 
 
+def ordered_lines(answers: DataFrame) -> DataFrame:
+    """(query_id, rank, line): CSV lines of ordered events, a video and its frames (query_id, rank, video_id, frames); a line
+    without frames, a null or negative frame, and more than ``MAX_ROWS`` rows of a query are errors."""
+    frames = F.col("frames").cast("array<string>")
+    wrong = F.coalesce(F.size("frames"), F.lit(0)) <= 0
+    bad = F.exists("frames", lambda f: f.isNull() | (f < 0))
+    stop = lambda message: F.raise_error(F.lit(message)).cast("string")
+    line = F.when(F.col("rank") > MAX_ROWS, stop("more than 100 rows for a query")).when(wrong, stop("an answer without frames")).when(bad, stop("a frame is null or negative"))
+    return answers.select("query_id", "rank", line.otherwise(F.concat_ws(",", F.col("video_id").cast("string"), frames)).alias("line"))
+
+
 def ordered_hits(predictions: DataFrame, truth: DataFrame) -> DataFrame:
     """Share of a query's events whose frame lies in one of the event's intervals; 0 in another video.
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import storage
-from ..operators import embed, heads, search, tasks, windows
+from ..operators import embed, evaluate, heads, search, tasks, windows
 from ..sources import tables
 from . import oracles
 
@@ -86,7 +86,16 @@ def trake_refined(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("rank").cast("long").alias("rank"), "video_id", F.round("score", 6).alias("score"), F.size("frames").cast("long").alias("n_frames"))
 
 
-QUERIES = {f.__name__: f for f in (trake_refined, engine_search, engine_source_counts, known_item_search, temporal_windows, window_aligned_text)}
+def ordered_submission(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first frame of each label in every video, in time, as lines of a submission; a video is a query."""
+    k = tables.keyframes(spark, sf_dir)
+    first = k.groupBy("video_id", "label").agg(F.min(F.struct("n", "frame_idx")).alias("f"))
+    frames = F.transform(F.array_sort(F.collect_list("f")), lambda x: x["frame_idx"])
+    answers = first.groupBy("video_id").agg(frames.alias("frames")).select(F.col("video_id").alias("query_id"), F.lit(1).alias("rank"), "video_id", "frames")
+    return evaluate.ordered_lines(answers).select("query_id", F.col("rank").cast("long").alias("rank"), "line")
+
+
+QUERIES = {f.__name__: f for f in (ordered_submission, trake_refined, engine_search, engine_source_counts, known_item_search, temporal_windows, window_aligned_text)}
 
 _FOUND = oracles.VARIANTS.replace(oracles.ITEMS, "SELECT item_id AS id, text || CASE WHEN item_id % 2 = 0 THEN ' Logo?' ELSE '' END AS text FROM benchmark") + f""",
 held AS (
@@ -116,6 +125,12 @@ _KEYFRAMES = """k AS (
   SELECT user_id AS video_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n, (epoch_us(ts) - 1704067200000000) / 1e6 AS pts FROM events
 )"""
 SOURCES = {
+    "ordered_submission": """WITH k AS (
+  SELECT user_id AS v, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n, event_type AS label, CAST(floor((epoch_us(ts) - 1704067200000000) / 1e6 * 25) AS BIGINT) AS frame FROM events
+), f AS (
+  SELECT v, label, min(n) AS n, arg_min(frame, n) AS frame FROM k GROUP BY v, label
+)
+SELECT v AS query_id, 1::BIGINT AS rank, v || ',' || string_agg(CAST(frame AS VARCHAR), ',' ORDER BY n) AS line FROM f GROUP BY v""",
     "trake_refined": """WITH k AS (
   SELECT user_id AS video_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n, (epoch_us(ts) - 1704067200000000) / 1e6 AS pts, event_type AS label, value AS score,
     CAST(floor((epoch_us(ts) - 1704067200000000) / 1e6 * 25) AS BIGINT) AS frame FROM events

@@ -134,3 +134,13 @@ def test_ordered_events_share_a_coarse_time(spark):
     swapped = tasks.trake(c, whole, 2, frames=frames, semantics=[F.col("two"), F.col("one")]).collect()
     assert 7 not in {r["video_id"] for r in swapped} or all(a < b for r in swapped for a, b in zip(r["frames"], r["frames"][1:], strict=False))
     assert timeline.align(c, 2, strict=False).where("video_id = 7").count() == 1 and timeline.align(c, 2).where("video_id = 7").count() == 0
+
+
+def test_lines_of_ordered_events(spark):
+    from cinderloom.operators import evaluate
+
+    rows = lambda *r: spark.createDataFrame(list(r), "query_id string, rank int, video_id string, frames array<long>")
+    assert [r["line"] for r in evaluate.ordered_lines(rows(("q", 1, "L01_V001", [3, 20]), ("q", 2, "L02_V001", [0]))).orderBy("rank").collect()] == ["L01_V001,3,20", "L02_V001,0"]
+    for wrong, message in ((("q", 101, "v", [1]), "more than 100"), (("q", 1, "v", []), "without frames"), (("q", 1, "v", None), "without frames"), (("q", 1, "v", [1, -1]), "negative"), (("q", 1, "v", [None]), "null")):
+        with pytest.raises(Exception, match=message):
+            evaluate.ordered_lines(rows(wrong)).collect()
