@@ -227,7 +227,7 @@ SELECT CASE WHEN code IS NULL THEN user_id END AS video, code, count(*) AS n, co
 ), placed AS (
   SELECT o.*, p.p, row_number() OVER (PARTITION BY o.window_id ORDER BY round(list_inner_product(o.v, p.p), 9) DESC, o.n) AS place FROM own o JOIN pooled p USING (window_id)
 )
-SELECT window_id, video_id, printf('%d_K%06d', video_id, n) AS representative_keyframe_uid, CAST(floor(pts * 25) AS BIGINT) AS frame_idx, round(p[1], 4) AS x0, round(p[2], 4) AS x1 FROM placed WHERE place = 1""",
+SELECT window_id, video_id, printf('%d_K%06d', video_id, n) AS representative_keyframe_uid, CAST(floor(pts * 25) AS BIGINT) AS frame_idx, round(CAST(CAST(p[1] AS FLOAT) AS DOUBLE), 4) AS x0, round(CAST(CAST(p[2] AS FLOAT) AS DOUBLE), 4) AS x1 FROM placed WHERE place = 1""",
     "text_window_indexes": f"{_TEXTS} SELECT modality, window_id, md5(text) AS text_md5, source_field, 1.0::DOUBLE AS norm FROM texts",
     "stale_indexes": f"{_TEXTS} SELECT DISTINCT modality, 'other_window_records_hash' AS code FROM texts",
     "records_hash": """WITH d AS (
