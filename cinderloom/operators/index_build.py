@@ -147,7 +147,11 @@ def opened(spark: SparkSession, path: str, made_from: Mapping[str, str], *, by:
 
 
 def build_text_index(windows: DataFrame, path: str, encoder: Encoder, made_from: Mapping[str, str], *, fields: Sequence[str] = TEXTS) -> None:
-    """One text index, a folder a modality. ``encoder`` gives (vec_id, v) for rows with a key and a text."""
+    """One text index, a folder a modality. ``encoder`` gives (vec_id, v) for rows with a key and a text.
+
+    Vectors are many times as large as Spark guesses from the texts that they are made of, so both sides are merged; left
+    to the guess, it broadcasts them.
+    """
     rows = storage.stored(text_rows(windows, fields).withColumn("_key", F.monotonically_increasing_id()), "texts")
-    encoded = encoder(rows, "_key", "text").withColumnRenamed("vec_id", "_key")
-    write(rows.join(encoded, "_key").drop("_key"), path, made_from, by=["modality"])
+    encoded = encoder(rows, "_key", "text").select(F.col("vec_id").alias("_key"), F.col("v").cast("array<float>").alias("v"))
+    write(rows.join(encoded.hint("merge"), "_key").drop("_key"), path, made_from, by=["modality"])

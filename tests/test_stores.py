@@ -125,6 +125,15 @@ def test_text_rows_and_index(spark, small, tmp_path):
         index_build.build_text_index(windows.where("false"), f"{tmp_path}/u", encoder, {"encoder": "length"})
 
 
+def test_vectors_of_a_text_index_are_not_broadcast(spark, small, tmp_path, monkeypatch):
+    written = []
+    monkeypatch.setattr(index_build, "write", lambda index, *_, **__: written.append(index))
+    encoder = lambda d, key, text: d.select(F.col(key).alias("vec_id"), F.array(F.length(text).cast("double")).alias("v"))
+    index_build.build_text_index(small[0], str(tmp_path), encoder, {})
+    plan = written[0]._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_records_hash(spark):
     rows = spark.createDataFrame([("b", 1, {"y": 1.0, "x": 2.0}), ("a", None, None)], "id string, n long, m map<string,double>")
     value = lambda d: d.first()["records_hash"]
