@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import hashlib
-from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,6 +15,8 @@ from ..functions.text import unicode_tokens
 from ..functions.vectors import EPSILON
 
 DIMENSION = 512
+#: Tokens of a batch that are taken at a time, and tokens whose places are remembered.
+PART_TOKENS, KNOWN_TOKENS = 200_000, 200_000
 
 
 def blake2b_place(token: str, dim: int) -> tuple[int, int]:
@@ -30,22 +32,39 @@ def md5_place(token: str, dim: int) -> tuple[int, int]:
 
 def hash_embed(rows: DataFrame, key: str, text: str, *, dim: int = DIMENSION, place: Callable[[str, int], tuple[int, int]] = blake2b_place) -> DataFrame:
     """(vec_id, v): unit vectors of the texts' tokens; a text without tokens has the zero vector. Tokens are cut in the
-    JVM; Python only hashes each new one."""
+    JVM; Python only hashes each new one. A batch is taken ``PART_TOKENS`` tokens at a time, and only the distinct ones of
+    a part become Python strings."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, tuple[int, int]] = {}
         for b in batches:
-            out = np.zeros((len(b), dim))
-            for i, tokens in enumerate(b.column(1).to_pylist()):
-                for token, n in Counter(tokens or ()).items():
+            for ids, lists in parts(b, dim):
+                coded = lists.flatten().dictionary_encode()
+                distinct = coded.dictionary.to_pylist()
+                if len(known) + len(distinct) > KNOWN_TOKENS:
+                    known.clear()
+                places = np.zeros((len(distinct), 2), np.int64)
+                for i, token in enumerate(distinct):
                     if (at := known.get(token)) is None:
-                        if len(known) > 1_000_000:
-                            known.clear()
                         at = known[token] = place(token, dim)
-                    out[i, at[0]] += at[1] * n
-            out /= np.maximum(np.sqrt((out * out).sum(axis=1)), EPSILON)[:, None]
-            v = pa.ListArray.from_arrays(np.arange(len(b) + 1, dtype=np.int32) * dim, out.ravel())
-            yield pa.RecordBatch.from_arrays([b.column(0), v], names=["vec_id", "v"])
+                    places[i] = at
+                held = pc.fill_null(lists.value_lengths(), 0).to_numpy(zero_copy_only=False)
+                row, token = np.repeat(np.arange(len(lists)), held), coded.indices.to_numpy(zero_copy_only=False)
+                out = np.bincount(row * dim + places[token, 0], places[token, 1], len(lists) * dim).astype(float).reshape(len(lists), dim)
+                out /= np.maximum(np.sqrt((out * out).sum(axis=1)), EPSILON)[:, None]
+                v = pa.ListArray.from_arrays(np.arange(len(lists) + 1, dtype=np.int32) * dim, out.ravel())
+                yield pa.RecordBatch.from_arrays([ids, v], names=["vec_id", "v"])
 
     asked = rows.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("vec_id"), unicode_tokens(F.lower(F.col(text))).alias("tokens"))
     return asked.mapInArrow(run, "vec_id long, v array<double>")
+
+
+def parts(batch: pa.RecordBatch, dim: int) -> Iterator[tuple[pa.Array, pa.ListArray]]:
+    """A batch of (key, tokens) in runs of rows with about ``PART_TOKENS`` tokens and as many components of vectors at most."""
+    weight = np.cumsum(pc.fill_null(batch.column(1).value_lengths(), 0).to_numpy(zero_copy_only=False).astype(np.int64) + dim)
+    lo = 0
+    while lo < len(batch):
+        before = weight[lo - 1] if lo else 0
+        hi = max(lo + 1, int(np.searchsorted(weight, before + PART_TOKENS, "right")))
+        yield batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo)
+        lo = hi

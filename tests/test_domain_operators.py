@@ -1,7 +1,9 @@
 """Operators on small hand-made rows."""
 
+import math
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -34,6 +36,23 @@ def test_unicode_and_embedding(spark):
     assert abs(sum(x * x for x in v[1]) - 1) < 1e-9 and not any(v[2]) and not any(v[3])
 
 
+def test_embedding_takes_batches_in_parts(spark):
+    texts = [(k, " ".join(f"w{(k * j) % 997}" for j in range(k % 50 * 40))) for k in range(2000)] + [(2000, None), (2001, "x " * 300_000)]
+    d = spark.createDataFrame(texts, "doc_id long, text string").coalesce(1)
+    got = {r["vec_id"]: r["v"] for r in embed.hash_embed(d, "doc_id", "text", dim=16, place=embed.md5_place).collect()}
+    for k, text in texts:
+        want = [0.0] * 16
+        for token in (text or "").split():
+            at, sign = embed.md5_place(token, 16)
+            want[at] += sign
+        size = math.sqrt(sum(x * x for x in want))
+        assert all(abs(x - y / max(size, 1e-12)) < 1e-9 for x, y in zip(got[k], want, strict=True))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(2002)), pa.array([t.split() if t is not None else None for _, t in texts], pa.list_(pa.string()))], names=["k", "tokens"])
+    cut = list(embed.parts(batch, 16))
+    assert pa.concat_arrays([ids for ids, _ in cut]).to_pylist() == list(range(2002)) and len(cut) > 5
+    assert all(len(ids) == 1 or len(lists.flatten()) + 16 * len(ids) <= embed.PART_TOKENS for ids, lists in cut)
+
+
 def test_viterbi_against_all_paths(spark):
     rng = random.Random(5)
     rows = [(v, float(rng.randrange(12)), *[None if rng.random() < 0.2 else rng.randrange(9) + 0.5 for _ in range(3)]) for v in range(4) for _ in range(10)]
