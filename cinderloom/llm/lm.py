@@ -6,15 +6,17 @@ the highest level stored. The filter lies in blocks by n-gram hash. Their number
 ``BLOCK_BYTES``) and a block has ``LEVEL_BITS`` bits for each level that it holds, so the error rate is the same at every
 size, and a task that builds blocks holds one at a time.
 
-Workers get the filter by broadcast if it has at most ``broadcast_bytes``; a larger one stays where it is, and the
-documents' distinct n-grams meet its blocks by a join. Both give the same levels.
+Workers get the filter by broadcast if it can be expected to have at most ``broadcast_bytes``. A larger one stays where it
+is built: documents are dealt into chunks of about ``CHUNK_BYTES``; a chunk sends its distinct n-grams, in order and with
+their training counts, to the blocks they belong to, once. Where a block's n-grams meet, it is built, and every chunk
+gets back a level (and a word its count) for each n-gram it sent, in the same order. Both ways give the same levels.
 
 The probability of word w after v is (low(v w) + k * p(w)) / (high(v) + k), where low and high are the ends of a
 level and p(w) = (low(w) + 0.5) / (N + 0.5 (V + 1)); sums over w stay at or below one but for the filter's errors. A
 text begins after an end token and ends with one.
 
-The base score needs exact word counts. The ``table_words`` most frequent words are broadcast with their counts; the
-rest reach their documents by a join. Words are told apart by 64-bit hashes.
+The base score needs exact word counts. Beside a filter that is broadcast, the ``table_words`` most frequent words are
+broadcast with their counts; the rest reach their documents by a join. Words are told apart by 64-bit hashes.
 
 Defined results: a null text is empty and scores its end token; a null id has crc32 0, so it trains. Rows that repeat
 count as often as they occur and score alike. Without training documents all counts are 0. An empty table gives an
@@ -32,11 +34,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .support import document_key, materialize
+from .support import document_key, drop_table, materialize
 
 #: Training text per block of the filter; bits per stored level; probes per level.
 BLOCK_BYTES, LEVEL_BITS, PROBES = 1 << 19, 10, 4
 BROADCAST_BYTES = 1 << 27
+#: Bytes of a filter for a byte of training text (0.17 and 0.18 on sf0.1 and twice as much); decides which way to try first.
+FILTER_SHARE = 0.25
+#: Text of a chunk, and blocks of the filter (as a power of two) that are built together; tasks take four such sets, or two chunks.
+CHUNK_BYTES, SHARD_BLOCKS = 8 << 20, 3
 #: Tokens that are counted, n-grams that are held, and bytes of text that are scored at a time.
 COUNT_TOKENS, HELD_NGRAMS, SCORE_BYTES, CACHED_WORDS = 1_000_000, 3_000_000, 2_000_000, 200_000
 END = np.uint64(xxhash.xxh3_64_intdigest(b"\n"))
@@ -158,15 +164,16 @@ def build_block(h: np.ndarray, counts: np.ndarray) -> tuple[bytes, int]:
 
 
 class LogFrequencyFilter:
-    """Blocks by the highest bits of an n-gram's hash, one after the other in ``data``."""
+    """Blocks (number, bits, highest level) by the highest bits of an n-gram's hash, one after the other in ``data``."""
 
-    def __init__(self, blocks: Iterator[tuple[int, bytes]], shift: int, top: int) -> None:
-        self.shift, self.top = np.uint64(shift), top
+    def __init__(self, blocks: Iterator[tuple[int, bytes, int]], shift: int) -> None:
+        self.shift = np.uint64(shift)
+        self.top = np.zeros(1 << (64 - shift), dtype=np.uint8)
         self.size = np.full(1 << (64 - shift), 64, dtype=np.uint64)
         self.start = np.zeros(1 << (64 - shift), dtype=np.uint64)
         data = bytearray(8)  # blocks that are not there share eight empty bytes
-        for k, part in blocks:
-            self.size[k], self.start[k] = len(part) * 8, len(data)
+        for k, part, top in blocks:
+            self.size[k], self.start[k], self.top[k] = len(part) * 8, len(data), top
             data += part
         self.data = np.frombuffer(data, np.uint8)
 
@@ -174,7 +181,8 @@ class LogFrequencyFilter:
         """Level of each n-gram hash, 0 if it is not there."""
         block = (h >> self.shift).astype(np.int64) if self.shift < 64 else np.zeros(len(h), np.int64)
         out, alive = np.zeros(len(h), np.int64), np.arange(len(h))
-        for level in range(1, self.top + 1):
+        for level in range(1, int(self.top.max()) + 1):
+            alive = alive[self.top[block[alive]] >= level]
             if not len(alive):
                 break
             bits, start = self.size[block[alive]], self.start[block[alive]]
@@ -231,27 +239,196 @@ def train(docs: DataFrame, shift: int) -> DataFrame:
     return materialize(dealt.mapInArrow(run, "block long, bits binary, top int, h long, c long"))
 
 
-def levels_by_join(asked: DataFrame, model: DataFrame, shift: int, top: int) -> DataFrame:
-    """(h, q): levels of distinct n-gram hashes, looked up where the blocks lie."""
-    blocks = model.where("block IS NOT NULL").select("block", F.lit(0).alias("kind"), "bits", F.lit(None).cast("long").alias("h"))
-    wanted = asked.select("h").distinct().select(_block(shift), F.lit(1).alias("kind"), F.lit(None).cast("binary").alias("bits"), "h")
+def _planes(x: np.ndarray) -> np.ndarray:
+    """64-bit numbers as eight planes of bytes: the high bytes of small numbers are runs of zeros, which shuffles compress."""
+    return np.ascontiguousarray(x.astype(np.uint64).view(np.uint8).reshape(-1, 8).T).ravel()
+
+
+def _numbers(planes: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(planes.reshape(8, -1).T).view(np.uint64).ravel()
+
+
+def pack(h: np.ndarray, counts: np.ndarray) -> bytes:
+    """Hashes in order, as differences, and their counts."""
+    return np.concatenate((_planes(np.diff(h, prepend=np.uint64(0))), _planes(counts))).tobytes()
+
+
+def unpack(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    steps, counts = np.frombuffer(data, np.uint8).reshape(2, -1)
+    return np.cumsum(_numbers(steps), dtype=np.uint64), _numbers(counts).astype(np.int64)
+
+
+def in_parts(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[pa.RecordBatch]:
+    """Rows with about ``SCORE_BYTES`` of text at a time."""
+    for b in batches:
+        size = np.cumsum(pc.fill_null(pc.binary_length(b.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64)) // SCORE_BYTES
+        cuts = [0, *(np.flatnonzero(np.diff(size)) + 1).tolist(), len(b)]
+        for lo, hi in zip(cuts, cuts[1:], strict=False):
+            if hi > lo:
+                yield b.slice(lo, hi - lo)
+
+
+def by_value(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:
+    """Rows in order of their first column, cut where it changes: (value, rows); a value's rows may come in several pieces."""
+    for b in batches:
+        key = b.column(0).to_numpy()
+        cuts = [0, *(np.flatnonzero(key[1:] != key[:-1]) + 1).tolist(), len(b)]
+        for lo, hi in zip(cuts, cuts[1:], strict=False):
+            if hi > lo:
+                yield int(key[lo]), b.slice(lo, hi - lo)
+
+
+def ngrams(h: np.ndarray) -> np.ndarray:
+    """The words and then the bigrams of texts that each end with the end token."""
+    return np.concatenate((single(h), bigram(np.concatenate(([END & ~np.uint64(1)], h[:-1])), h)))
+
+
+def hashes_of(texts: list[str | None], words: Words) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of the texts' tokens, and the number of tokens of each text."""
+    numbers = [words.numbers(text) for text in texts]
+    h = np.array(words.list, dtype=np.uint64)[np.concatenate(numbers)]
+    if len(words) > CACHED_WORDS:
+        words.empty()
+    return h, np.fromiter(map(len, numbers), np.int64, len(numbers))
+
+
+def requests(chunked: DataFrame, shard_shift: int) -> DataFrame:
+    """(shard, chunk, data): each chunk's distinct n-grams with how often training texts in it have them, by shard."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, lfbf = None, None
-        for b in batches:
-            block, kind = b.column(0).to_numpy(), b.column(1).to_numpy()
-            cuts = [0, *(np.flatnonzero((block[1:] != block[:-1]) | (kind[1:] != kind[:-1])) + 1).tolist(), len(b)]
+        words, own, runs = Words(), None, []
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            keys, counts = summed(*map(np.concatenate, zip(*runs, strict=True)))
+            shard = (keys >> np.uint64(shard_shift)).astype(np.int64)
+            cuts = [0, *(np.flatnonzero(shard[1:] != shard[:-1]) + 1).tolist(), len(keys)]
             for lo, hi in zip(cuts, cuts[1:], strict=False):
-                if lo == hi:
-                    continue
-                if kind[lo] == 0:
-                    own, lfbf = block[lo], LogFrequencyFilter(iter([(0, b.column(2)[lo].as_py())]), 64, top)
-                    continue
-                h = b.column(3).slice(lo, hi - lo).to_numpy().view(np.uint64)
-                q = lfbf.level(h) if own == block[lo] else np.zeros(len(h), np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(q)], names=["h", "q"])
+                yield pa.RecordBatch.from_arrays([pa.array([int(shard[lo])]), pa.array([own]), pa.array([pack(keys[lo:hi], counts[lo:hi])], pa.binary())], names=["shard", "chunk", "data"])
+
+        for chunk, rows in by_value(in_parts(batches, 2)):
+            if runs and chunk != own:
+                yield from flush()
+                runs = []
+            own = chunk
+            h, size = hashes_of(rows.column(2).to_pylist(), words)
+            weight = np.repeat((~rows.column(1).to_numpy(zero_copy_only=False).astype(bool)).astype(np.int64), size)
+            runs.append(summed(ngrams(h), np.concatenate((weight, weight))))
+            if sum(len(k) for k, _ in runs) > HELD_NGRAMS:
+                runs = [summed(*map(np.concatenate, zip(*runs, strict=True)))]
+        if runs:
+            yield from flush()
 
-    return blocks.unionByName(wanted).repartition("block").sortWithinPartitions("block", "kind", "h").mapInArrow(run, "h long, q long")
+    return chunked.select("chunk", "held_out", "text").mapInArrow(run, "shard long, chunk long, data binary")
+
+
+def answers(asked: DataFrame, shift: int, shards: int) -> DataFrame:
+    """(chunk, shard, data, n, v): for each request its n-grams' levels and its words' counts, in order; and for each shard, without
+    a chunk, the number of its training tokens and of their distinct words."""
+    names = ["chunk", "shard", "data", "n", "v"]
+
+    def answer(shard: int, messages: list[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
+        h, c = map(np.concatenate, zip(*(unpack(data) for _, data in messages), strict=True))
+        ends = np.cumsum([len(data) // 16 for _, data in messages])
+        keys, counts = summed(h, c)
+        level = np.zeros(len(keys), np.uint8)
+        block = (keys >> np.uint64(shift)).astype(np.int64)
+        cuts = [0, *(np.flatnonzero(block[1:] != block[:-1]) + 1).tolist(), len(keys)]
+        for lo, hi in zip(cuts, cuts[1:], strict=False):
+            seen = counts[lo:hi] > 0
+            if seen.any():
+                held = LogFrequencyFilter(iter([(0, *build_block(keys[lo:hi][seen], counts[lo:hi][seen]))]), 64)
+                level[lo:hi] = held.level(keys[lo:hi])
+        at = np.searchsorted(keys, h)
+        for (chunk, _), lo, hi in zip(messages, [0, *ends[:-1].tolist()], ends.tolist(), strict=True):
+            mine = at[lo:hi]
+            data = level[mine].tobytes() + _planes(counts[mine[h[lo:hi] & np.uint64(1) == 0]]).tobytes()
+            yield pa.RecordBatch.from_arrays([pa.array([chunk]), pa.array([shard]), pa.array([data], pa.binary()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64())], names=names)
+        word = (keys & np.uint64(1) == 0) & (counts > 0)
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.array([shard]), pa.nulls(1, pa.binary()), pa.array([int(counts[word].sum())]), pa.array([int(word.sum())])], names=names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, messages = None, []
+        for shard, rows in by_value(batches):
+            if messages and shard != own:
+                yield from answer(own, messages)
+                messages = []
+            own = shard
+            messages += zip(rows.column(1).to_pylist(), rows.column(2).to_pylist(), strict=True)
+        if messages:
+            yield from answer(own, messages)
+
+    return asked.repartition(-(-shards // 4), "shard").sortWithinPartitions("shard").mapInArrow(run, "chunk long, shard long, data binary, n long, v long")
+
+
+def score_by_exchange(keyed: DataFrame, shift: int, prior: float) -> DataFrame:
+    """The scores of ``keyed`` (_doc, _th, doc_id, text, held_out) where the filter stays in its blocks."""
+    total_bytes = keyed.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    chunks = max(1, -(-total_bytes // CHUNK_BYTES))
+    shard_shift = shift + SHARD_BLOCKS
+    tasks = -(-chunks // 2)
+    chunked = keyed.withColumn("chunk", F.pmod(F.xxhash64("_doc", "_th"), F.lit(chunks)).cast("long"))
+    asked = requests(chunked.select("chunk", "held_out", "text").repartition(tasks, "chunk").sortWithinPartitions("chunk"), shard_shift)
+    got = materialize(answers(asked, shift, 1 << (64 - shard_shift)))
+    total = got.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("v"), F.lit(0)).alias("v")).first()
+    n, v = int(total["n"]), int(total["v"])
+    scale = n + 0.5 * (v + 1)
+    names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
+
+    def score(replies: list[bytes], rows: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The documents of one chunk, from the replies to its requests in order of the shards."""
+        words = Words()
+        numbers = [words.numbers(text) for b in rows for text in b.column(5).to_pylist()]
+        size, t = np.fromiter(map(len, numbers), np.int64, len(numbers)), np.concatenate(numbers)
+        hashes = np.array(words.list, dtype=np.uint64)
+        h = hashes[t]
+        pairs, pair = np.unique(ngrams(h)[len(h) :], return_inverse=True)
+        keys = np.sort(np.concatenate((np.unique(hashes), pairs)))
+        at_word, at_pair = np.searchsorted(keys, hashes), np.searchsorted(keys, pairs)
+        level, counts, at = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64), 0
+        word = keys & np.uint64(1) == 0
+        shard = keys >> np.uint64(shard_shift)
+        ends = [*(np.flatnonzero(shard[1:] != shard[:-1]) + 1).tolist(), len(keys)]
+        for end, data in zip(ends, replies, strict=True):
+            raw = np.frombuffer(data, np.uint8)
+            level[at:end] = raw[: end - at]
+            counts[at:end][word[at:end]] = _numbers(raw[end - at :]).astype(np.int64)
+            at = end
+        q, q2, c = level[at_word][t], level[at_pair][pair], counts[at_word][t]
+        base, p = token_scores(q, q2, c, q[-1:], scale, prior)  # a text's last token is the end token
+        first = np.cumsum(size) - size
+        sums = [np.add.reduceat(x, first) for x in ((c > 0).astype(np.int64), base, np.log10(p))]
+        doc, held = (pa.concat_arrays([b.column(k) for b in rows]) for k in (3, 4))
+        yield pa.RecordBatch.from_arrays([doc, held, pa.array(size), pa.array(sums[0]), pa.array(np.full(len(size), n)), *map(pa.array, sums[1:])], names=names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, replies, rows = None, [], []
+        for chunk, b in by_value(in_parts(batches, 5)):
+            if chunk != own:
+                if rows:
+                    yield from score(replies, rows)
+                own, replies, rows = chunk, [], []
+            reply = b.column(2).is_valid().to_numpy(zero_copy_only=False)
+            k = int(reply.sum())  # replies lie before texts
+            replies += b.column(2).slice(0, k).to_pylist()
+            if k < len(b):
+                rows.append(b.slice(k))
+        if rows:
+            yield from score(replies, rows)
+
+    none = lambda kind: F.lit(None).cast(kind)
+    replies = got.where("chunk IS NOT NULL").select("chunk", "shard", "data", none("long").alias("doc_id"), none("boolean").alias("held_out"), none("string").alias("text"))
+    texts = chunked.select("chunk", none("long").alias("shard"), none("binary").alias("data"), "doc_id", "held_out", "text")
+    both = replies.unionByName(texts).repartition(tasks, "chunk").sortWithinPartitions("chunk", F.col("shard").asc_nulls_last())
+    return both.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+
+
+def token_scores(q: np.ndarray, q2: np.ndarray, c: np.ndarray, after_end: np.ndarray, scale: float, prior: float) -> tuple[np.ndarray, np.ndarray]:
+    """Each token's base score and probability, from the levels of words and of bigrams, the words' counts and the end token's level."""
+    low = lambda x: np.where(x > 0, np.exp2(x - 1.0), 0.0)
+    before = np.concatenate((after_end, q[:-1]))
+    high = np.where(before > 0, np.exp2(before.astype(float)) - 1, 0.0)
+    p = (np.minimum(low(q2), high) + prior * (low(q) + 0.5) / scale) / (high + prior)
+    return np.log10((c + 0.5) / scale), p
 
 
 def score_documents(
@@ -262,16 +439,19 @@ def score_documents(
     is_held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % modulus, F.lit(0)) == held_out
     text_bytes = docs.where(~is_held).agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shift = 64 - max(6, (text_bytes // block_bytes).bit_length())
+    keyed = docs.select(*document_key(docs), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), is_held.alias("held_out"))
+    if text_bytes * FILTER_SHARE + (16 << (64 - shift)) > broadcast_bytes:
+        return score_by_exchange(keyed, shift, prior)
     model = train(docs.where(~is_held), shift)
     words = model.where("h IS NOT NULL").select("h", "c")
-    total = model.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("h").alias("v"), F.coalesce(F.sum(F.length("bits")), F.lit(0)).alias("size"), F.max("top").alias("top")).first()
-    n, v, top = int(total["n"]), int(total["v"]), int(total["top"] or 0)
+    total = model.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("h").alias("v"), F.coalesce(F.sum(F.length("bits")), F.lit(0)).alias("size")).first()
+    if total["size"] + (16 << (64 - shift)) > broadcast_bytes:
+        drop_table(model)
+        return score_by_exchange(keyed, shift, prior)
+    n, v = int(total["n"]), int(total["v"])
     scale = n + 0.5 * (v + 1)
-    by_broadcast = total["size"] + (16 << (64 - shift)) <= broadcast_bytes
-    lfbf = None
-    if by_broadcast:
-        parts = ((r["block"], bytes(r["bits"])) for r in model.where("block IS NOT NULL").select("block", "bits").toLocalIterator())
-        lfbf = LogFrequencyFilter(parts, shift, top)
+    parts = ((r["block"], bytes(r["bits"]), r["top"]) for r in model.where("block IS NOT NULL").select("block", "bits", "top").toLocalIterator())
+    lfbf = LogFrequencyFilter(parts, shift)
     most = (words.orderBy(F.desc("c"), "h").limit(table_words) if v > table_words else words).toArrow()
     keys, counts = most.column(0).to_numpy().view(np.uint64), most.column(1).to_numpy()
     order = np.argsort(keys)
@@ -286,32 +466,10 @@ def score_documents(
         at = np.minimum(np.searchsorted(known, h), len(known) - 1)
         return np.where(known[at] == h, values[at], 0)
 
-    def in_parts(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[pa.RecordBatch]:
-        """Rows with about ``SCORE_BYTES`` of text at a time."""
-        for b in batches:
-            size = np.cumsum(pc.binary_length(b.column(text)).to_numpy(zero_copy_only=False).astype(np.int64)) // SCORE_BYTES
-            cuts = [0, *(np.flatnonzero(np.diff(size)) + 1).tolist(), len(b)]
-            for lo, hi in zip(cuts, cuts[1:], strict=False):
-                if hi > lo:
-                    yield b.slice(lo, hi - lo)
-
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The distinct n-grams of each text."""
-        words = Words()
-        for b in in_parts(batches, 2):
-            for doc, th, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                t = words.numbers(text)
-                h = np.fromiter((words.list[k] for k in t.tolist()), np.uint64, len(t))
-                if len(words) > CACHED_WORDS:
-                    words.empty()
-                h = np.unique(np.concatenate((single(h), bigram(np.concatenate(([END & ~np.uint64(1)], h[:-1])), h))))
-                yield pa.RecordBatch.from_arrays([pa.array([doc] * len(h), pa.int64()), pa.array([th] * len(h), pa.int64()), pa.array(h.view(np.int64))], names=["_doc", "_th", "h"])
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lfbf, known, counts = shared.value
         words = Words()
         hashes, count = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        low = lambda x: np.where(x > 0, np.exp2(x - 1.0), 0.0)
         for b in in_parts(batches, 3):
             numbers = [words.numbers(text) for text in b.column(3).to_pylist()]
             new = np.array(words.list[len(hashes) :], dtype=np.uint64)
@@ -321,25 +479,10 @@ def score_documents(
             t = np.concatenate(numbers)
             h, c = hashes[t], count[t]
             pair = bigram(np.concatenate(([END & ~np.uint64(1)], h[:-1])), h)
-            if lfbf is not None:
-                some, place = np.unique(t, return_inverse=True)
-                q, q2 = lfbf.level(single(hashes[some]))[place], lfbf.level(pair)
-                after_end = lfbf.level(np.array([END & ~np.uint64(1)]))
-            else:  # the levels that the join has found for each text
-                got = b.column(4)
-                of = np.repeat(np.arange(len(b)), size)
-                q, q2 = np.zeros(len(t), np.int64), np.zeros(len(t), np.int64)
-                for k, found in enumerate(got.to_pylist()):
-                    keys = np.array([x["h"] for x in found or ()], np.int64).view(np.uint64)
-                    values = np.array([x["q"] for x in found or ()], np.int64)
-                    order = np.argsort(keys)
-                    mine = of == k
-                    q[mine], q2[mine] = lookup(keys[order], values[order], single(h[mine])), lookup(keys[order], values[order], pair[mine])
-                after_end = q[first + size - 1][:1]
-            before = np.concatenate((after_end, q[:-1]))
-            high = np.where(before > 0, np.exp2(before.astype(float)) - 1, 0.0)
-            p = (np.minimum(low(q2), high) + prior * (low(q) + 0.5) / scale) / (high + prior)
-            base = np.where((c > 0) | whole, np.log10((c + 0.5) / scale), 0.0)
+            some, place = np.unique(t, return_inverse=True)
+            q, q2 = lfbf.level(single(hashes[some]))[place], lfbf.level(pair)
+            base, p = token_scores(q, q2, c, lfbf.level(np.array([END & ~np.uint64(1)])), scale, prior)
+            base = np.where((c > 0) | whole, base, 0.0)
             sums = [np.add.reduceat(x, first) for x in ((c > 0).astype(np.int64), base, np.log10(p))]
             # words that are not in the table of counts, with how often each text has them
             absent = [np.unique(h[a : a + z][c[a : a + z] == 0], return_counts=True) if not whole else ((), ()) for a, z in zip(first.tolist(), size.tolist(), strict=True)]
@@ -351,14 +494,7 @@ def score_documents(
                 words.empty()
                 hashes, count = hashes[:0], count[:0]
 
-    keyed = docs.select(*document_key(docs), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), is_held.alias("held_out"))
-    columns = [F.monotonically_increasing_id().alias("row"), "doc_id", "held_out", "text"]
-    if by_broadcast:
-        rows = keyed.select(*columns)
-    else:
-        asked = keyed.select("_doc", "_th", "text").mapInArrow(ask, "_doc long, _th long, h long").distinct()
-        got = asked.join(levels_by_join(asked, model, shift, top), "h").where("q > 0").groupBy("_doc", "_th").agg(F.collect_list(F.struct("h", "q")).alias("got"))
-        rows = keyed.join(got, ["_doc", "_th"], "left").select(*columns, "got")
+    rows = keyed.select(F.monotonically_increasing_id().alias("row"), "doc_id", "held_out", "text")
     scored = rows.mapInArrow(run, "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, absent array<long>, times array<long>")
     out = ["doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score"]
     if whole:

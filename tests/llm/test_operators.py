@@ -4,6 +4,7 @@ import collections
 import hashlib
 import math
 import random
+import time
 import zlib
 
 import numpy as np
@@ -273,6 +274,20 @@ def test_lm(docs, none):
     assert lm.score_documents(none).count() == 0
 
 
+def test_lm_with_a_large_filter_shuffles_little(spark, docs, monkeypatch):
+    big = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    text = big.agg(F.sum(F.octet_length("text"))).first()[0]
+    written = lambda: time.sleep(2) or spark.sparkContext._jsc.sc().statusStore().executorList(False).apply(0).totalShuffleWrite()
+    before = written()
+    got = {r["doc_id"]: r for r in lm.score_documents(big, broadcast_bytes=0).collect()}
+    assert written() - before < 4 * text
+    rounded = lambda r: (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6), round(r["score"], 6))
+    assert {k: rounded(r) for k, r in got.items()} == {r["doc_id"]: rounded(r) for r in lm.score_documents(big).collect()}
+    few = sorted((str(r["doc_id"]), rounded(r)) for r in lm.score_documents(docs, broadcast_bytes=0).collect())
+    monkeypatch.setattr(lm, "CHUNK_BYTES", 10_000)  # many chunks, and texts longer than one
+    assert sorted((str(r["doc_id"]), rounded(r)) for r in lm.score_documents(docs, broadcast_bytes=0).collect()) == few
+
+
 def test_top_k(spark):
     base = [(r["vec_id"], [float(x) for x in r["embedding"]]) for r in spark.read.parquet(f"{SF}/embeddings.parquet").collect()]
     base += [(1000 + k, base[0][1]) for k in range(40)]
