@@ -40,9 +40,10 @@ def diversify(candidates: DataFrame, limit: int = 100, same_video: float = 0.08,
         raise ValueError("penalties are not negative")
     if limit < 1 or radius <= 0 or (max_per_video is not None and max_per_video < 1):
         raise ValueError("limits and the radius are positive")
-    w = Window.partitionBy("query_id")
-    low, high = F.min("score").over(w), F.max("score").over(w)
-    rows = candidates.withColumn("relevance", F.when(high == low, 1.0).otherwise((F.col("score") - low) / (high - low)))
+    ends = candidates.groupBy(F.col("query_id").alias("_query")).agg(F.min("score").alias("_low"), F.max("score").alias("_high"))
+    low, high = F.col("_low"), F.col("_high")  # joined, as a window would hold a query with all its candidates in one task
+    rows = candidates.join(ends, F.col("query_id").eqNullSafe(F.col("_query")))
+    rows = rows.withColumn("relevance", F.when(high == low, 1.0).otherwise((F.col("score") - low) / (high - low)))
     rows = rows.withColumn("video_id", F.coalesce("video_id", F.lit(-1)))
     most = limit if max_per_video is None else min(limit, max_per_video)
     video = Window.partitionBy("query_id", "video_id")

@@ -266,3 +266,11 @@ def test_mean_pool(spark):
     for bad in (None, [1.0], [1.0, float("inf")], [None, 1.0]):
         with pytest.raises(Exception, match="not of length 2"):
             windows.mean_pool(v.unionByName(spark.createDataFrame([("c", bad)], "w string, v array<double>")), "w", dim=2).collect()
+
+
+def test_diversify_holds_no_query_in_one_task(spark):
+    pool = spark.createDataFrame([(0, 1, 7, 0.0, 1.0), (0, 2, 7, 50.0, 0.5), (None, 3, 8, 0.0, 2.0), (None, 4, 8, 9.0, 1.0)], "query_id long, candidate_id long, video_id long, ts double, score double")
+    best = ranking.diversify(pool, 5)
+    plan = best._jdf.queryExecution().optimizedPlan().toString()
+    assert not any("Window [" in line and "max(score" in line for line in plan.splitlines())
+    assert sorted((r["query_id"] is None, r["rank"], r["candidate_id"]) for r in best.collect()) == [(False, 1, 1), (False, 2, 2), (True, 1, 3), (True, 2, 4)]
