@@ -7,22 +7,25 @@ sorted pass. Upper and lower limits of the gap make a sliding window; it is cut
 each side only ever gains candidates as it is swept, forwards on one side, backwards on the other.
 
 A timeline is dealt out in slices of time, so that a long video is many tasks. A slice sends later ones only the
-predecessors that can still be best there.
+predecessors that can still be best there. A task takes its slices one after the other from sorted rows, as most have few
+positions; those with up to ``FEW_PAIRS`` pairs are compared pair by pair.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import storage
 
 Price = Callable[[float], float]
+#: Pairs of positions of a slice up to which all are compared.
+FEW_PAIRS = 1024
 
 
 def _sweep(value: Callable[[int, int], float], opens: np.ndarray, targets: int, *, newer_wins: bool) -> np.ndarray:
@@ -114,6 +117,20 @@ def best_predecessors(
     return out, gain
 
 
+def of_all_pairs(sources: np.ndarray, scores: np.ndarray, targets: np.ndarray, price: Price, min_gap: float = 0.0, max_gap: float | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """As ``best_predecessors``, by all pairs: less work for a few positions."""
+    gap = targets[:, None] - sources
+    fits = (gap > 0) & (gap >= min_gap)
+    if max_gap is not None:
+        fits &= gap <= max_gap
+    worth = np.full(gap.shape, -np.inf)
+    worth[fits] = np.broadcast_to(scores, gap.shape)[fits] - np.fromiter(map(price, gap[fits].tolist()), float)
+    if not len(sources):
+        return np.full(len(targets), -1, np.int64), np.full(len(targets), -np.inf)
+    found, gain = worth.argmax(axis=1), worth.max(axis=1)
+    return np.where(np.isinf(gain), -1, found), gain
+
+
 def still_useful(times: np.ndarray, scores: np.ndarray, after: float, price: Price, min_gap: float = 0.0) -> np.ndarray:
     """Numbers of the predecessors (times ascending) that can be best for some time from ``after`` on, if no gap is too long."""
     after -= 1e-9 * abs(after)
@@ -128,23 +145,62 @@ def still_useful(times: np.ndarray, scores: np.ndarray, after: float, price: Pri
     return np.array(kept, np.int64)
 
 
-def _layer(event: int, price: Price, min_gap: float, max_gap: float | None) -> Callable[[pa.Table, pa.Table], pa.Table]:
-    """One event's scores and predecessors for the positions of a slice, from its own and those that earlier slices sent."""
-    order = [("ts", "ascending"), ("_pos", "ascending")]
-    names = ["_pos", "ts", "_total"]
-
-    def step(own: pa.Table, more: pa.Table) -> pa.Table:
-        if not len(own):
-            return own
-        own = own.sort_by(order)
-        here = own.select(names).filter(own["_total"].is_valid())
-        sources = (pa.concat_tables([more.select(names), here]) if len(more) else here).sort_by(order)
-        found, gain = best_predecessors(sources["ts"].to_numpy(), sources["_total"].to_numpy(), own["ts"].to_numpy(), price, min_gap, max_gap)
-        none = found < 0
-        at = sources["_pos"].to_numpy()[np.where(none, 0, found)] if len(sources) else np.zeros(len(own), np.int64)
-        total = pa.compute.add(pa.array(np.where(none, 0.0, gain), pa.float64(), mask=none), own[f"s{event}"])
-        out = own.set_column(own.column_names.index("_total"), "_total", total)
-        return out.set_column(out.column_names.index(f"_before{event}"), f"_before{event}", pa.array(at, pa.int64(), mask=none))
+def _starts(rows: pa.RecordBatch) -> np.ndarray:
+    """Where each slice begins in rows that lie in order of their slices, and the end."""
+    video, part = (rows.column(k).dictionary_encode().indices.to_numpy() for k in ("video_id", "_slice"))
+    return np.concatenate(([0], np.flatnonzero((np.diff(video) != 0) | (np.diff(part) != 0)) + 1, [len(rows)]))
+
+
+def _whole_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows, cut so that no slice lies in two batches."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        if not len(b):
+            continue
+        at = int(_starts(b)[-2])  # what is from here on may go on in the next batch
+        if held and (at or any(b.column(k)[0] != held[-1].column(k)[-1] for k in ("video_id", "_slice"))):
+            yield pa.concat_batches([*held, b.slice(0, at)])
+            held = []
+        elif at:
+            yield b.slice(0, at)
+        held.append(b.slice(at))
+    if held:
+        yield pa.concat_batches(held)
+
+
+def _with_useful(rows: pa.RecordBatch, price: Price, min_gap: float, length: float | None) -> pa.RecordBatch:
+    """``_useful``: whether a position can be a predecessor of one in a later slice; with a ``length`` only those that can be best."""
+    useful = rows.column("_total").is_valid().to_numpy(zero_copy_only=False)
+    if length is not None:
+        ts, total, part = (rows.column(k).to_numpy(zero_copy_only=False) for k in ("ts", "_total", "_slice"))
+        starts = _starts(rows)
+        for lo, hi in zip(starts, starts[1:], strict=False):
+            held = lo + np.flatnonzero(useful[lo:hi])
+            useful[lo:hi] = False
+            if len(held):
+                useful[held[still_useful(ts[held], total[held], (part[lo] + 1) * length, price, min_gap)]] = True
+    return rows.set_column(rows.schema.get_field_index("_useful"), "_useful", pa.array(useful))
+
+
+def _layer(event: int, price: Price, min_gap: float, max_gap: float | None) -> Callable[[pa.RecordBatch], pa.RecordBatch]:
+    """One event's scores and predecessors for the positions of whole slices, from their own and those that earlier slices sent."""
+
+    def step(rows: pa.RecordBatch) -> pa.RecordBatch:
+        ts, total, pos = (rows.column(k).to_numpy(zero_copy_only=False) for k in ("ts", "_total", "_pos"))
+        own, usable = rows.column("_own").to_numpy(zero_copy_only=False), rows.column("_total").is_valid().to_numpy(zero_copy_only=False)
+        best, gain, none = np.zeros(len(rows), np.int64), np.zeros(len(rows)), np.ones(len(rows), bool)
+        starts = _starts(rows)
+        for lo, hi in zip(starts, starts[1:], strict=False):
+            targets, sources = lo + np.flatnonzero(own[lo:hi]), lo + np.flatnonzero(usable[lo:hi])
+            search = of_all_pairs if len(targets) * len(sources) <= FEW_PAIRS else best_predecessors
+            found, gains = search(ts[sources], total[sources], ts[targets], price, min_gap, max_gap)
+            has = found >= 0
+            at = targets[has]
+            best[at], gain[at], none[at] = pos[sources[found[has]]], gains[has], False
+        made = {"_total": pc.add(pa.array(gain, mask=none), rows.column(f"s{event}")), f"_before{event}": pa.array(best, mask=none)}
+        for name, column in made.items():
+            rows = rows.set_column(rows.schema.get_field_index(name), name, column)
+        return rows.filter(pa.array(own))
 
     return step
 
@@ -166,28 +222,31 @@ def viterbi(
     finite = lambda c: F.when(~F.isnan(c) & (F.abs(c) < F.lit(float("inf"))), F.col(c).cast("double")).alias(c)
     state = positions.select("video_id", finite("ts"), *[finite(n) for n in names]).where("video_id IS NOT NULL AND ts IS NOT NULL")
     state = state.withColumn("_slice", F.floor(F.col("ts") / length).cast("long")).withColumn("_total", F.col("s0")).withColumn("_pos", F.monotonically_increasing_id())
-    slices = None
+    state = state.withColumns({"_useful": F.lit(None).cast("boolean"), "_own": F.lit(True)} | {f"_before{e}": F.lit(None).cast("long") for e in range(1, events)})
     columns = ["video_id", "_slice", "_pos", "ts", "_total"]
+    kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in state.schema.fields)
+    until = length if max_gap is None else None
+
+    def dealt(rows: DataFrame, *steps: Callable[[pa.RecordBatch], pa.RecordBatch]) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in _whole_slices(batches):
+                for step in steps:
+                    b = step(b)
+                yield b
+
+        return storage.stored(rows.repartition("video_id", "_slice").sortWithinPartitions("video_id", "_slice", "ts", "_pos").mapInArrow(run, kind), "alignment")
+
+    def useful(b: pa.RecordBatch) -> pa.RecordBatch:
+        return _with_useful(b, price, min_gap, until)
+
+    state = dealt(state, useful)
+    slices = storage.stored(state.select("video_id", F.col("_slice").alias("_to")).distinct(), "slices") if events > 1 else None
     for e in range(1, events):
-        state = storage.stored(state.withColumn(f"_before{e}", F.lit(None).cast("long")), "alignment")
-        if slices is None:
-            slices = storage.stored(state.select("video_id", F.col("_slice").alias("_to")).distinct(), "slices")
-        usable = state.where("_total IS NOT NULL").select(*columns)
-        kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in usable.schema.fields)
-        whole = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in state.schema.fields)
-
-        def pruned(table: pa.Table) -> pa.Table:
-            table = table.sort_by([("ts", "ascending"), ("_pos", "ascending")])
-            after = (table["_slice"][0].as_py() + 1) * length
-            return table.take(still_useful(table["ts"].to_numpy(), table["_total"].to_numpy(), after, price, min_gap))
-
-        sent = usable.groupBy("video_id", "_slice").applyInArrow(pruned, kind) if max_gap is None else usable
-        sent = sent.join(slices, "video_id").where(F.col("_to") > F.col("_slice"))
+        sent = state.where("_useful").select(*columns).join(slices, "video_id").where(F.col("_to") > F.col("_slice"))
         if max_gap is not None:
             sent = sent.where(F.col("_to") * length <= F.col("ts") + max_gap)
-        sent = sent.withColumn("_slice", F.col("_to")).select(*[F.col(c).alias(c) for c in columns])
-        state = state.groupBy("video_id", "_slice").cogroup(sent.groupBy("video_id", "_slice")).applyInArrow(_layer(e, price, min_gap, max_gap), whole)
-    state = storage.stored(state, "alignment")
+        sent = sent.withColumn("_slice", F.col("_to")).select(*columns, F.lit(False).alias("_own"))
+        state = dealt(state.unionByName(sent, allowMissingColumns=True), _layer(e, price, min_gap, max_gap), useful)
     ends = state.where("_total IS NOT NULL").groupBy("video_id").agg(F.max(F.struct("_total", (-F.col("ts")).alias("_early"), (-F.col("_pos")).alias("_at"))).alias("b"))
     paths = ends.select("video_id", F.col("b._total").alias("score"), (-F.col("b._at")).alias("_at"), F.array().cast("array<double>").alias("path"))
     for e in range(events - 1, -1, -1):

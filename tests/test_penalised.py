@@ -4,6 +4,7 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from cinderloom.operators import penalised
@@ -82,3 +83,36 @@ def test_paths(spark, low, high, length):
         assert penalised.viterbi(p.where("false"), 3, price).count() == 0
         with pytest.raises(ValueError):
             penalised.viterbi(p, 3, price, min_gap=2.0, max_gap=1.0)
+
+
+@pytest.mark.parametrize("price", PRICES)
+def test_all_pairs_of_few_positions(price):
+    rng = np.random.default_rng(4)
+    for k in range(200):
+        n, m = rng.integers(0, 12, 2)
+        sources, targets, scores = np.sort(rng.integers(0, 20, n) / 2.0), np.sort(rng.integers(0, 24, m) / 2.0), rng.integers(0, 6, n) / 2.0
+        low, high = float(rng.choice([0, 0.5, 3])), [None, 3.0, 30.0][k % 3]
+        (one, gain), (other, same) = (f(sources, scores, targets, price, low, high) for f in (penalised.of_all_pairs, penalised.best_predecessors))
+        assert np.array_equal(gain, same) and np.array_equal(one < 0, other < 0)
+
+
+def test_slices_are_cut_whole():
+    """A slice that lies in several batches is put together; the rows stay as they are."""
+    rng = random.Random(6)
+    rows = sorted((str(rng.randrange(4)), rng.randrange(3), k) for k in range(200))
+    batch = pa.RecordBatch.from_pylist([{"video_id": v, "_slice": s, "k": k} for v, s, k in rows])
+    for size in (1, 3, 17, 50, 200):
+        cut = list(penalised._whole_slices(batch.slice(at, size) for at in range(0, 200, size)))
+        assert [r["k"] for b in cut for r in b.to_pylist()] == [k for *_, k in rows]
+        keys = [{(r["video_id"], r["_slice"]) for r in b.to_pylist()} for b in cut]
+        assert sum(map(len, keys)) == len(set().union(*keys)) == 12
+        assert all(len(penalised._starts(b)) == len(k) + 1 for b, k in zip(cut, keys, strict=True))
+
+
+def test_slices_share_tasks(spark, monkeypatch):
+    """No group of Spark's own for each slice: on short slices its cost is most of the work."""
+    plans, keep = [], penalised.storage.stored
+    monkeypatch.setattr(penalised.storage, "stored", lambda df, name="table": plans.append(df._jdf.queryExecution().toString()) or keep(df, name))
+    p = spark.createDataFrame([(v, float(t), 1.0, 1.0) for v in range(3) for t in range(9)], "video_id long, ts double, s0 double, s1 double")
+    assert penalised.viterbi(p, 2, PRICES[0], slice_length=2.0).count() == 3
+    assert any("MapInArrow" in x for x in plans) and not any("FlatMap" in x for x in plans)
