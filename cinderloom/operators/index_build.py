@@ -10,13 +10,12 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import storage
 from ..functions import vectors
-from . import windows as W
 
 BUILDER_VERSION = 2
 UID = r"(?i)^(.+)_K(\d+)$"
@@ -46,14 +45,31 @@ def visual_windows(windows: DataFrame, features: DataFrame, keyframes: DataFrame
     Features: (video_id, row, v); keyframes: (video_id, n, frame_idx, pts_time, fps), n from 1. The keyframe is the one
     whose vector has the greatest inner product with the mean, to nine digits; of equal ones the first.
     """
-    m = members(windows).join(features.select("video_id", "row", F.col("v").alias("own")), ["video_id", "row"], "left")
-    missing = _stop(F.concat(F.lit("no vector for row "), F.col("row").cast("string"), F.lit(" of "), F.col("video_id").cast("string")), "array<double>")
-    m = m.withColumn("own", F.coalesce(F.col("own").cast("array<double>"), missing))
-    pooled = W.mean_pool(m.select("window_id", F.col("own").alias("v")), "window_id", dim=dim).drop("n_vectors")
-    both = m.join(pooled, "window_id")
-    nearest = F.min(F.struct((-F.round(vectors.dot(F.col("own"), F.col("v")), 9)).alias("d"), "at", "row")).alias("best")
-    chosen = both.groupBy("window_id", "video_id").agg(nearest, F.first("v").alias("v")).select("window_id", "video_id", "v", (F.col("best.row") + 1).alias("n"))
-    placed = chosen.join(keyframes.select("video_id", "n", "frame_idx", "pts_time", "fps"), ["video_id", "n"], "left")
+    kind = "array<float>" if features.schema["v"].dataType == T.ArrayType(T.FloatType()) else "array<double>"
+    shots = keyframes.select("video_id", (F.col("n") - 1).alias("row"), F.struct("frame_idx", "pts_time", "fps").alias("place"))
+    shots = shots.groupBy("video_id", "row").agg(F.collect_list("place").alias("places"))
+    m = members(windows).join(features.select("video_id", "row", F.col("v").cast(kind).alias("own")), ["video_id", "row"], "left").join(shots, ["video_id", "row"], "left")
+    missing = _stop(F.concat(F.lit("no vector for row "), F.col("row").cast("string"), F.lit(" of "), F.col("video_id").cast("string")), kind)
+    refused = _stop(F.lit(f"a vector is null, not of length {dim}, or not finite"), kind)
+    own = F.when(F.col("own").isNull(), missing).when(vectors.is_valid(F.col("own"), dim), F.col("own")).otherwise(refused)
+    # vectors go to their windows once; the mean and the nearest keyframe are both found where they then lie, in that order
+    ordered = Window.partitionBy("window_id").orderBy("video_id", "at")
+    whole = ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    dealt = m.select("window_id", "video_id", "at", "row", "places", own.alias("own")).repartition("window_id").sortWithinPartitions("window_id", "video_id", "at")
+    parts = dealt.select("*", *[F.get("own", F.lit(i)).cast("double").alias(f"_x{i}") for i in range(dim)])  # these are not exchanged
+    means = [F.avg(f"_x{i}").over(whole).alias(f"_mean_{i}") for i in range(dim)]
+    both = parts.select("window_id", "video_id", "row", "places", "own", F.row_number().over(ordered).alias("i"), *means)
+    mean = F.array(*[F.col(f"_mean_{i}") for i in range(dim)]).cast("array<double>")
+
+    def against(v: Column) -> Column:
+        return F.struct(v.alias("v"), (-F.round(vectors.dot(F.col("own").cast("array<double>"), v), 9)).alias("d"))
+
+    found = F.transform(F.array(mean), lambda m: F.transform(F.array(F.greatest(vectors.norm(m), F.lit(vectors.EPSILON))), lambda n: F.transform(m, lambda x: x / n))[0])
+    both = both.select("window_id", "video_id", "i", "row", "places", F.inline(F.transform(found, against)))
+    nearest = F.min(F.struct("d", "i")).over(Window.partitionBy("window_id", "video_id"))
+    chosen = both.withColumn("best", nearest).where(F.col("i") == F.col("best.i"))
+    placed = chosen.select("window_id", "video_id", "v", (F.col("row") + 1).alias("n"), F.explode_outer("places").alias("place"))
+    placed = placed.select("window_id", "video_id", "v", "n", "place.*")
     off = _stop(F.concat(F.lit("no keyframe "), F.col("n").cast("string"), F.lit(" of "), F.col("video_id").cast("string")), "long")
     uid = F.format_string("%s_K%06d", F.col("video_id").cast("string"), "n")
     rows = placed.select("window_id", uid.alias("representative_keyframe_uid"), F.coalesce("frame_idx", off).alias("frame_idx"), "pts_time", "fps", "v")

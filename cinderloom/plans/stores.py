@@ -70,7 +70,7 @@ def _windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def visual_window_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pooled vectors of the windows written as an index, opened, and each window's keyframe; an event has the vector whose id
     is its own modulo their number."""
-    k, v = tables.keyframes(spark, sf_dir), tables.vectors(spark, sf_dir)
+    k, v = tables.keyframes(spark, sf_dir), tables.read(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("v"))
     n = v.agg(F.count(F.lit(1)).alias("c"), F.max(F.size("v")).alias("d")).first()
     features = k.join(v.select("vec_id", "v"), F.col("event_id") % F.lit(n["c"]) == F.col("vec_id")).select("video_id", (F.col("n") - 1).cast("long").alias("row"), "v")
     made = index_build.visual_windows(_windows(spark, sf_dir), features, k.select("video_id", "n", "frame_idx", "pts_time", F.lit(tables.FPS).alias("fps")), dim=n["d"])

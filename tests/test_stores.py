@@ -95,6 +95,20 @@ def test_visual_windows(spark, small, tmp_path):
         index_build.visual_windows(windows, features, keyframes, dim=3).collect()
 
 
+def test_vectors_are_dealt_to_windows_once(spark, small):
+    """32-bit vectors stay so until they lie with their windows, and no sums or pooled vectors are exchanged."""
+    windows, features, keyframes = small
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        made = index_build.visual_windows(windows, features.withColumn("v", F.col("v").cast("array<float>")), keyframes, dim=2)
+        plan = made._jdf.queryExecution().executedPlan().toString()
+        half = 2**-0.5
+        assert np.allclose({r["window_id"]: r["v"] for r in made.collect()}["W0"], [half, half])
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "partial_avg" not in plan and "as array<double>) AS own" not in plan and plan.count("Exchange hashpartitioning(window_id") == 2  # vectors, and the windows
+
+
 def test_index_manifest(spark, small, tmp_path):
     windows, features, keyframes = small
     made_from = {"encoder": "e", "window_records_hash": index_build.records_hash(windows).first()["records_hash"]}
