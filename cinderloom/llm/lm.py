@@ -7,9 +7,10 @@ the highest level stored. The filter lies in blocks by n-gram hash. Their number
 size, and a task that builds blocks holds one at a time.
 
 Workers get the filter by broadcast if it can be expected to have at most ``broadcast_bytes``. A larger one stays where it
-is built: documents are dealt into chunks of about ``CHUNK_BYTES``; a chunk sends its distinct n-grams, in order and with
-their training counts, to the blocks they belong to, once. Where a block's n-grams meet, it is built, and every chunk
-gets back a level (and a word its count) for each n-gram it sent, in the same order. Both ways give the same levels.
+is built: documents are packed where they are read into chunks of about ``CHUNK_BYTES``, which are stored compressed; a
+chunk sends its distinct n-grams, in order and with their training counts, to the blocks they belong to, once. Where a block's
+n-grams meet, it is built, and every chunk gets back a level (and a word its count) for each n-gram it sent, in the same
+order. Both ways give the same levels. Texts are exchanged once, as packed, when they meet the answers.
 
 The probability of word w after v is (low(v w) + k * p(w)) / (high(v) + k), where low and high are the ends of a
 level and p(w) = (low(w) + 0.5) / (N + 0.5 (V + 1)); sums over w stay at or below one but for the filter's errors. A
@@ -31,10 +32,11 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .support import document_key, drop_table, materialize
+from .support import drop_table, materialize
 
 #: Training text per block of the filter; bits per stored level; probes per level.
 BLOCK_BYTES, LEVEL_BITS, PROBES = 1 << 19, 10, 4
@@ -43,6 +45,7 @@ BROADCAST_BYTES = 1 << 27
 FILTER_SHARE = 0.25
 #: Text of a chunk, and blocks of the filter (as a power of two) that are built together; tasks take four such sets, or two chunks.
 CHUNK_BYTES, SHARD_BLOCKS = 8 << 20, 3
+ZSTD = pa.Codec("zstd", 1)
 #: Tokens that are counted, n-grams that are held, and bytes of text that are scored at a time.
 COUNT_TOKENS, HELD_NGRAMS, SCORE_BYTES, CACHED_WORDS = 1_000_000, 3_000_000, 2_000_000, 200_000
 END = np.uint64(xxhash.xxh3_64_intdigest(b"\n"))
@@ -249,19 +252,47 @@ def _numbers(planes: np.ndarray) -> np.ndarray:
 
 
 def pack(h: np.ndarray, counts: np.ndarray) -> bytes:
-    """Hashes in order, as differences, and their counts."""
-    return np.concatenate((_planes(np.diff(h, prepend=np.uint64(0))), _planes(counts))).tobytes()
+    """Hashes in order, as differences, and their counts, compressed after their number."""
+    planes = np.concatenate((_planes(np.diff(h, prepend=np.uint64(0))), _planes(counts))).tobytes()
+    return len(h).to_bytes(8, "little") + ZSTD.compress(planes, asbytes=True)
 
 
 def unpack(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    steps, counts = np.frombuffer(data, np.uint8).reshape(2, -1)
+    planes = ZSTD.decompress(data[8:], 16 * int.from_bytes(data[:8], "little"))
+    steps, counts = np.frombuffer(planes, np.uint8).reshape(2, -1)
     return np.cumsum(_numbers(steps), dtype=np.uint64), _numbers(counts).astype(np.int64)
 
 
-def in_parts(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[pa.RecordBatch]:
-    """Rows with about ``SCORE_BYTES`` of text at a time."""
+def packed(docs: DataFrame) -> DataFrame:
+    """(chunk, docs): the rows (doc_id, held_out, text) in chunks of about ``CHUNK_BYTES`` of text, each an Arrow stream."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size, number = [], 0, TaskContext.get().partitionId() << 32
+
+        def chunk() -> pa.RecordBatch:
+            with pa.BufferOutputStream() as out:
+                with pa.ipc.new_stream(out, held[0].schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 3))) as stream:
+                    for rows in held:
+                        stream.write_batch(rows)
+                return pa.RecordBatch.from_arrays([pa.array([number]), pa.array([out.getvalue().to_pybytes()], pa.binary())], names=["chunk", "docs"])
+
+        part = min(SCORE_BYTES, CHUNK_BYTES)
+        for b in in_parts(batches, 2, part):
+            held.append(b)
+            size += pc.sum(pc.binary_length(b.column(2))).as_py()
+            if size >= CHUNK_BYTES - part // 2:
+                yield chunk()
+                held, size, number = [], 0, number + 1
+        if held:
+            yield chunk()
+
+    return materialize(docs.select("doc_id", "held_out", "text").mapInArrow(run, "chunk long, docs binary"))
+
+
+def in_parts(batches: Iterator[pa.RecordBatch], text: int, most: int = SCORE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Rows with about ``most`` bytes of text at a time."""
     for b in batches:
-        size = np.cumsum(pc.fill_null(pc.binary_length(b.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64)) // SCORE_BYTES
+        size = np.cumsum(pc.fill_null(pc.binary_length(b.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64)) // most
         cuts = [0, *(np.flatnonzero(np.diff(size)) + 1).tolist(), len(b)]
         for lo, hi in zip(cuts, cuts[1:], strict=False):
             if hi > lo:
@@ -292,33 +323,27 @@ def hashes_of(texts: list[str | None], words: Words) -> tuple[np.ndarray, np.nda
     return h, np.fromiter(map(len, numbers), np.int64, len(numbers))
 
 
-def requests(chunked: DataFrame, shard_shift: int) -> DataFrame:
+def requests(chunks: DataFrame, shard_shift: int) -> DataFrame:
     """(shard, chunk, data): each chunk's distinct n-grams with how often training texts in it have them, by shard."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, own, runs = Words(), None, []
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            keys, counts = summed(*map(np.concatenate, zip(*runs, strict=True)))
-            shard = (keys >> np.uint64(shard_shift)).astype(np.int64)
-            cuts = [0, *(np.flatnonzero(shard[1:] != shard[:-1]) + 1).tolist(), len(keys)]
-            for lo, hi in zip(cuts, cuts[1:], strict=False):
-                yield pa.RecordBatch.from_arrays([pa.array([int(shard[lo])]), pa.array([own]), pa.array([pack(keys[lo:hi], counts[lo:hi])], pa.binary())], names=["shard", "chunk", "data"])
-
-        for chunk, rows in by_value(in_parts(batches, 2)):
-            if runs and chunk != own:
-                yield from flush()
+        words = Words()
+        for b in batches:
+            for chunk, docs in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 runs = []
-            own = chunk
-            h, size = hashes_of(rows.column(2).to_pylist(), words)
-            weight = np.repeat((~rows.column(1).to_numpy(zero_copy_only=False).astype(bool)).astype(np.int64), size)
-            runs.append(summed(ngrams(h), np.concatenate((weight, weight))))
-            if sum(len(k) for k, _ in runs) > HELD_NGRAMS:
-                runs = [summed(*map(np.concatenate, zip(*runs, strict=True)))]
-        if runs:
-            yield from flush()
+                for rows in in_parts(pa.ipc.open_stream(docs.as_buffer()), 2):
+                    h, size = hashes_of(rows.column(2).to_pylist(), words)
+                    weight = np.repeat((~rows.column(1).to_numpy(zero_copy_only=False).astype(bool)).astype(np.int64), size)
+                    runs.append(summed(ngrams(h), np.concatenate((weight, weight))))
+                    if sum(len(k) for k, _ in runs) > HELD_NGRAMS:
+                        runs = [summed(*map(np.concatenate, zip(*runs, strict=True)))]
+                keys, counts = summed(*map(np.concatenate, zip(*runs, strict=True)))
+                shard = (keys >> np.uint64(shard_shift)).astype(np.int64)
+                cuts = [0, *(np.flatnonzero(shard[1:] != shard[:-1]) + 1).tolist(), len(keys)]
+                for lo, hi in zip(cuts, cuts[1:], strict=False):
+                    yield pa.RecordBatch.from_arrays([pa.array([int(shard[lo])]), pa.array([chunk]), pa.array([pack(keys[lo:hi], counts[lo:hi])], pa.binary())], names=["shard", "chunk", "data"])
 
-    return chunked.select("chunk", "held_out", "text").mapInArrow(run, "shard long, chunk long, data binary")
+    return chunks.mapInArrow(run, "shard long, chunk long, data binary")
 
 
 def answers(asked: DataFrame, shift: int, shards: int) -> DataFrame:
@@ -327,8 +352,9 @@ def answers(asked: DataFrame, shift: int, shards: int) -> DataFrame:
     names = ["chunk", "shard", "data", "n", "v"]
 
     def answer(shard: int, messages: list[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
-        h, c = map(np.concatenate, zip(*(unpack(data) for _, data in messages), strict=True))
-        ends = np.cumsum([len(data) // 16 for _, data in messages])
+        sent = [unpack(data) for _, data in messages]
+        h, c = map(np.concatenate, zip(*sent, strict=True))
+        ends = np.cumsum([len(k) for k, _ in sent])
         keys, counts = summed(h, c)
         level = np.zeros(len(keys), np.uint8)
         block = (keys >> np.uint64(shift)).astype(np.int64)
@@ -361,23 +387,21 @@ def answers(asked: DataFrame, shift: int, shards: int) -> DataFrame:
 
 
 def score_by_exchange(keyed: DataFrame, shift: int, prior: float) -> DataFrame:
-    """The scores of ``keyed`` (_doc, _th, doc_id, text, held_out) where the filter stays in its blocks."""
+    """The scores of ``keyed`` (doc_id, text, held_out) where the filter stays in its blocks."""
     total_bytes = keyed.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    chunks = max(1, -(-total_bytes // CHUNK_BYTES))
     shard_shift = shift + SHARD_BLOCKS
-    tasks = -(-chunks // 2)
-    chunked = keyed.withColumn("chunk", F.pmod(F.xxhash64("_doc", "_th"), F.lit(chunks)).cast("long"))
-    asked = requests(chunked.select("chunk", "held_out", "text").repartition(tasks, "chunk").sortWithinPartitions("chunk"), shard_shift)
-    got = materialize(answers(asked, shift, 1 << (64 - shard_shift)))
+    tasks = max(1, -(-total_bytes // (2 * CHUNK_BYTES)))
+    chunks = packed(keyed.coalesce(tasks))
+    got = materialize(answers(requests(chunks, shard_shift), shift, 1 << (64 - shard_shift)))
     total = got.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("v"), F.lit(0)).alias("v")).first()
     n, v = int(total["n"]), int(total["v"])
     scale = n + 0.5 * (v + 1)
     names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
 
-    def score(replies: list[bytes], rows: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def score(replies: list[bytes], docs: pa.BinaryScalar) -> pa.RecordBatch:
         """The documents of one chunk, from the replies to its requests in order of the shards."""
-        words = Words()
-        numbers = [words.numbers(text) for b in rows for text in b.column(5).to_pylist()]
+        words, rows = Words(), list(pa.ipc.open_stream(docs.as_buffer()))
+        numbers = [words.numbers(text) for b in rows for text in b.column(2).to_pylist()]
         size, t = np.fromiter(map(len, numbers), np.int64, len(numbers)), np.concatenate(numbers)
         hashes = np.array(words.list, dtype=np.uint64)
         h = hashes[t]
@@ -397,28 +421,23 @@ def score_by_exchange(keyed: DataFrame, shift: int, prior: float) -> DataFrame:
         base, p = token_scores(q, q2, c, q[-1:], scale, prior)  # a text's last token is the end token
         first = np.cumsum(size) - size
         sums = [np.add.reduceat(x, first) for x in ((c > 0).astype(np.int64), base, np.log10(p))]
-        doc, held = (pa.concat_arrays([b.column(k) for b in rows]) for k in (3, 4))
-        yield pa.RecordBatch.from_arrays([doc, held, pa.array(size), pa.array(sums[0]), pa.array(np.full(len(size), n)), *map(pa.array, sums[1:])], names=names)
+        doc, held = (pa.concat_arrays([b.column(k) for b in rows]) for k in (0, 1))
+        return pa.RecordBatch.from_arrays([doc, held, pa.array(size), pa.array(sums[0]), pa.array(np.full(len(size), n)), *map(pa.array, sums[1:])], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, replies, rows = None, [], []
-        for chunk, b in by_value(in_parts(batches, 5)):
-            if chunk != own:
-                if rows:
-                    yield from score(replies, rows)
-                own, replies, rows = chunk, [], []
-            reply = b.column(2).is_valid().to_numpy(zero_copy_only=False)
-            k = int(reply.sum())  # replies lie before texts
-            replies += b.column(2).slice(0, k).to_pylist()
-            if k < len(b):
-                rows.append(b.slice(k))
-        if rows:
-            yield from score(replies, rows)
+        replies: list[bytes] = []
+        for b in batches:
+            for data, docs in zip(b.column(2), b.column(3), strict=True):
+                if data.is_valid:
+                    replies.append(data.as_py())
+                else:  # the documents lie after the replies to their chunk
+                    yield score(replies, docs)
+                    replies = []
 
     none = lambda kind: F.lit(None).cast(kind)
-    replies = got.where("chunk IS NOT NULL").select("chunk", "shard", "data", none("long").alias("doc_id"), none("boolean").alias("held_out"), none("string").alias("text"))
-    texts = chunked.select("chunk", none("long").alias("shard"), none("binary").alias("data"), "doc_id", "held_out", "text")
-    both = replies.unionByName(texts).repartition(tasks, "chunk").sortWithinPartitions("chunk", F.col("shard").asc_nulls_last())
+    replies = got.where("chunk IS NOT NULL").select("chunk", "shard", "data", none("binary").alias("docs"))
+    both = replies.unionByName(chunks.select("chunk", none("long").alias("shard"), none("binary").alias("data"), "docs"))
+    both = both.repartition(tasks, "chunk").sortWithinPartitions("chunk", F.col("shard").asc_nulls_last())
     return both.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
@@ -439,7 +458,7 @@ def score_documents(
     is_held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % modulus, F.lit(0)) == held_out
     text_bytes = docs.where(~is_held).agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shift = 64 - max(6, (text_bytes // block_bytes).bit_length())
-    keyed = docs.select(*document_key(docs), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), is_held.alias("held_out"))
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), is_held.alias("held_out"))
     if text_bytes * FILTER_SHARE + (16 << (64 - shift)) > broadcast_bytes:
         return score_by_exchange(keyed, shift, prior)
     model = train(docs.where(~is_held), shift)

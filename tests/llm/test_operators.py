@@ -8,6 +8,7 @@ import time
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -288,6 +289,18 @@ def test_lm_with_a_large_filter_shuffles_little(spark, docs, monkeypatch):
     assert sorted((str(r["doc_id"]), rounded(r)) for r in lm.score_documents(docs, broadcast_bytes=0).collect()) == few
 
 
+def test_lm_with_a_large_filter_exchanges_texts_once(spark):
+    """Texts are packed where they are read: besides the requests only packed ones are exchanged."""
+    big = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    text = big.agg(F.sum(F.octet_length("text"))).first()[0]
+    keyed = big.select("doc_id", "text", F.lit(False).alias("held_out"))
+    chunks = lm.packed(keyed)
+    plan = lm.requests(chunks, 61)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and chunks.agg(F.sum(F.length("docs"))).first()[0] < text / 2
+    read = [r for row in chunks.collect() for r in pa.ipc.open_stream(row["docs"]).read_all().to_pylist()]
+    assert sorted((r["doc_id"], r["text"]) for r in read) == sorted((r["doc_id"], r["text"]) for r in big.collect())
+
+
 def test_top_k(spark):
     base = [(r["vec_id"], [float(x) for x in r["embedding"]]) for r in spark.read.parquet(f"{SF}/embeddings.parquet").collect()]
     base += [(1000 + k, base[0][1]) for k in range(40)]
