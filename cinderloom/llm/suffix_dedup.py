@@ -287,17 +287,18 @@ def remove_repeats(
 ) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept): ``kept`` is what is left of the text, as bytes."""
     text = F.coalesce(F.col(text_col), F.lit(""))
+    # both joins below read the same columns of rows: then Spark exchanges the texts once for the two
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(2**63 - 1)).alias("doc"), F.xxhash64(text).alias("th"), text.alias("text"), F.col(id_col).alias("doc_id"))
     found = materialize(group_stretches(read_stretches(rows.select("doc", "th", "text"), length), length, wide_group, piece_rows))
     wanted = found.where("n > 0").groupBy("doc", "th").agg(F.collect_list(F.struct("h", "x", "pos", "n")).alias("wanted"))
-    joined = rows.select("doc", "th", "text").join(wanted, ["doc", "th"])
+    joined = rows.join(wanted, ["doc", "th"]).select("doc", "th", "text", "wanted", "doc_id")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([*_FLOW, ("content", pa.binary())])
         for b in batches:
             whole: list[tuple] = []
             wide: list[tuple] = []
-            for doc, th, text, wanted in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for doc, th, text, wanted in zip(*(c.to_pylist() for c in b.columns[:4]), strict=True):
                 raw = text.encode("utf-8", "surrogatepass")
                 for s in wanted:
                     a = s["pos"]

@@ -41,15 +41,24 @@ def shared_folder(spark: SparkSession) -> str:
 WRITE = {"compression": "zstd", "parquet.block.size": str(16 << 20), "parquet.compression.codec.zstd.level": "1"}
 
 
+#: Spark removes a query's shuffle files as it ends, not when the driver happens to collect its garbage.
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 #: Of each thread: for every ``recorded`` block that is open, the paths of the tables written in it.
 _open = threading.local()
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and read it again: lineage ends there, and a lost executor loses nothing."""
+    """Write ``df`` to the shared folder and read it again: lineage ends there, and a lost executor loses nothing. What was
+    shuffled for it goes with the write."""
     spark = settle(df.sparkSession)
     path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
-    df.write.options(**WRITE).parquet(path)
+    before = spark.conf.get(SHUFFLE_CLEANUP)
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        df.write.options(**WRITE).parquet(path)
+    finally:
+        spark.conf.set(SHUFFLE_CLEANUP, before)
     if blocks := getattr(_open, "blocks", None):
         blocks[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
