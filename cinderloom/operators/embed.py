@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import unicode_tokens
 from ..functions.vectors import EPSILON
+from ..session import bound_batches
 
 DIMENSION = 512
 #: Tokens of a batch that are taken at a time, and tokens whose places are remembered.
@@ -55,6 +56,7 @@ def hash_embed(rows: DataFrame, key: str, text: str, *, dim: int = DIMENSION, pl
                 v = pa.ListArray.from_arrays(np.arange(len(lists) + 1, dtype=np.int32) * dim, out.ravel())
                 yield pa.RecordBatch.from_arrays([ids, v], names=["vec_id", "v"])
 
+    bound_batches(rows.sparkSession)
     asked = rows.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("vec_id"), unicode_tokens(F.lower(F.col(text))).alias("tokens"))
     return asked.mapInArrow(run, "vec_id long, v array<double>")
 

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import SCORES, is_valid
+from ..session import bound_batches
 
 #: Bytes of a block of vectors, and of all queries' blocks up to which they are broadcast.
 BLOCK_BYTES, BROADCAST_BYTES = 4 << 20, 64 << 20
@@ -90,6 +91,7 @@ def knn_batch(index: DataFrame, queries: DataFrame, k: int, *, block_bytes: int
     per query, and one ranking per query follows. Scores are rounded to ``DIGITS`` places before they are compared, so
     that equal vectors tie wherever they lie.
     """
+    bound_batches(index.sparkSession)
     sample = queries.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("v")).alias("width")).first()
     size = 8 * sample["n"] * max(1, sample["width"] or 1)
     asked = blocks(queries, block_bytes).select(F.col("ids").alias("asked"), F.col("width").alias("w"), F.col("matrix").alias("q"))

@@ -1,9 +1,18 @@
-"""Session settings that right results depend on."""
+"""Session settings that right results and bounded workers depend on."""
 
 from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
+#: Bytes of rows that Spark sends a Python worker of a search at a time (a single row may be larger); Spark's own bound is 64 MB.
+ARROW_BYTES = 4 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """From now on workers get ``ARROW_BYTES`` at a time: texts as words and blocks of vectors are wide rows, and every step of
+    a task has a worker that holds a batch."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
+
 
 def settle(spark: SparkSession) -> SparkSession:
     """Turns off what Spark 4.1 assumes of a union's partitioning.
