@@ -7,17 +7,16 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import unicode_tokens
 from ..functions.vectors import EPSILON
-from ..session import bound_batches
+from ..session import bound_batches, plain_array
+from .search import BLOCK, packer
 
 DIMENSION = 512
 #: Tokens of a batch that are taken at a time, and tokens whose places are remembered.
-PART_TOKENS, KNOWN_TOKENS = 200_000, 200_000
+PART_TOKENS, KNOWN_TOKENS = 50_000, 50_000
 
 
 def blake2b_place(token: str, dim: int) -> tuple[int, int]:
@@ -27,15 +26,17 @@ def blake2b_place(token: str, dim: int) -> tuple[int, int]:
 
 def md5_place(token: str, dim: int) -> tuple[int, int]:
     """Bucket from the first eight hex digits, sign from the ninth: a form that SQL engines share."""
-    d = hashlib.md5(token.encode()).hexdigest()
-    return int(d[:8], 16) % dim, 1 if int(d[8], 16) & 1 else -1
+    d = hashlib.md5(token.encode()).digest()
+    return int.from_bytes(d[:4], "big") % dim, 1 if d[4] & 16 else -1
 
 
-def hash_embed(rows: DataFrame, key: str, text: str, *, dim: int = DIMENSION, place: Callable[[str, int], tuple[int, int]] = blake2b_place) -> DataFrame:
-    """(vec_id, v): unit vectors of the texts' tokens; a text without tokens has the zero vector. Tokens are cut in the
+def hash_embed(rows: DataFrame, key: str, text: str, *, dim: int = DIMENSION, place: Callable[[str, int], tuple[int, int]] = blake2b_place, packed: bool = False) -> DataFrame:
+    """(vec_id, v), or with ``packed`` the blocks of a search, made by the same worker: unit vectors of the texts' tokens; a text without tokens has the zero vector. Tokens are cut in the
     JVM; Python only hashes each new one. A batch is taken ``PART_TOKENS`` tokens at a time, and only the distinct ones of
     a part become Python strings."""
 
+    from ..functions.text import unicode_tokens  # workers import this module, and need no pandas
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, tuple[int, int]] = {}
         for b in batches:
@@ -49,21 +50,23 @@ def hash_embed(rows: DataFrame, key: str, text: str, *, dim: int = DIMENSION, pl
                     if (at := known.get(token)) is None:
                         at = known[token] = place(token, dim)
                     places[i] = at
-                held = pc.fill_null(lists.value_lengths(), 0).to_numpy(zero_copy_only=False)
-                row, token = np.repeat(np.arange(len(lists)), held), coded.indices.to_numpy(zero_copy_only=False)
+                row, token = np.repeat(np.arange(len(lists)), np.from_dlpack(lists.value_lengths())), np.from_dlpack(coded.indices)
                 out = np.bincount(row * dim + places[token, 0], places[token, 1], len(lists) * dim).astype(float).reshape(len(lists), dim)
                 out /= np.maximum(np.sqrt((out * out).sum(axis=1)), EPSILON)[:, None]
-                v = pa.ListArray.from_arrays(np.arange(len(lists) + 1, dtype=np.int32) * dim, out.ravel())
+                v = pa.ListArray.from_arrays(plain_array(np.arange(len(lists) + 1, dtype=np.int32) * dim), plain_array(out.ravel()))
                 yield pa.RecordBatch.from_arrays([ids, v], names=["vec_id", "v"])
 
     bound_batches(rows.sparkSession)
-    asked = rows.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("vec_id"), unicode_tokens(F.lower(F.col(text))).alias("tokens"))
+    asked = rows.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("vec_id"), F.coalesce(unicode_tokens(F.lower(F.col(text))), F.array()).alias("tokens"))
+    if packed:
+        pack = packer()
+        return asked.mapInArrow(lambda batches: pack(run(batches)), BLOCK)
     return asked.mapInArrow(run, "vec_id long, v array<double>")
 
 
 def parts(batch: pa.RecordBatch, dim: int) -> Iterator[tuple[pa.Array, pa.ListArray]]:
     """A batch of (key, tokens) in runs of rows with about ``PART_TOKENS`` tokens and as many components of vectors at most."""
-    weight = np.cumsum(pc.fill_null(batch.column(1).value_lengths(), 0).to_numpy(zero_copy_only=False).astype(np.int64) + dim)
+    weight = np.cumsum(np.from_dlpack(batch.column(1).value_lengths()).astype(np.int64) + dim)
     lo = 0
     while lo < len(batch):
         before = weight[lo - 1] if lo else 0

@@ -40,7 +40,7 @@ def knn_batch_topk_per_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _embedded(rows: DataFrame, key: str) -> DataFrame:
-    return embed.hash_embed(rows, key, "text", dim=TEXT_DIM, place=embed.md5_place)
+    return embed.hash_embed(rows, key, "text", dim=TEXT_DIM, place=embed.md5_place, packed=True)
 
 
 def _text_hits(spark: SparkSession, sf_dir: str, asked: DataFrame, k: int) -> DataFrame:

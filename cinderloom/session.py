@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import SparkSession
 
 #: Bytes of rows that Spark sends a Python worker of a search at a time (a single row may be larger); Spark's own bound is 64 MB.
@@ -14,6 +16,13 @@ def bound_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
 
 
+def plain_array(x: np.ndarray) -> pa.Array:
+    """``x`` as an Arrow array of its type without nulls. ``pa.array`` would load pandas, some 40 MB, into each worker; so would
+    ``to_numpy``, for which workers of a search take ``np.from_dlpack``."""
+    x = np.ascontiguousarray(x)
+    return pa.Array.from_buffers(pa.from_numpy_dtype(x.dtype), len(x), [None, pa.py_buffer(x)])
+
+
 def settle(spark: SparkSession) -> SparkSession:
     """Turns off what Spark 4.1 assumes of a union's partitioning.
 
