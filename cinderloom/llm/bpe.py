@@ -139,7 +139,8 @@ class RankMap:
 
             return let(F.array_position(parts, F.array_min(parts)).cast("int"), merge)
 
-        merged = let(F.aggregate(letters, start, step), lambda p: F.transform(F.slice(p, F.lit(2), F.size(p) - 2), lambda x: F.shiftright(x.bitwiseAND(F.lit(own_id)), ID_BITS).cast("int")))
+        steps = F.slice(letters, F.lit(2), F.size(letters))  # n letters merge n - 1 times at most
+        merged = let(F.aggregate(steps, start, step), lambda p: F.transform(F.slice(p, F.lit(2), F.size(p) - 2), lambda x: F.shiftright(x.bitwiseAND(F.lit(own_id)), ID_BITS).cast("int")))
         for w, rank in self.own.items():
             merged = F.when(word == F.lit(w), F.array(F.lit(rank))).otherwise(merged)
         return merged
@@ -184,20 +185,24 @@ def text_of(chunk: str) -> str:
     return chunk[1:] if chunk[0] == " " else " " + chunk
 
 
-def words_of(batch: list[str], find) -> list[list[bytes]]:
-    """The matches of the pattern in each chunk. Chunks without a space are searched together: there, a match that begins
-    with a space begins a chunk."""
-    plain = [c for c in batch if " " not in c]
-    found: list[list[bytes]] = []
-    for word in find(" " + " ".join(plain)) if plain else ():
-        if word[0] == " ":
-            found.append([word.encode("utf-8", "surrogatepass")])
-        else:
-            found[-1].append(word.encode("utf-8", "surrogatepass"))
-    if len(plain) == len(batch):
-        return found
-    rest = iter(found)
-    return [[w.encode("utf-8", "surrogatepass") for w in find(text_of(c))] if " " in c else next(rest) for c in batch]
+def words_of(batch: list[str], find) -> tuple[list[bytes], np.ndarray]:
+    """The matches of the pattern in all chunks, one after the other, and how many each chunk has; a list for each chunk would
+    keep Python's collector busy. Chunks without a space are searched together: there, a match that begins with a space
+    begins a chunk."""
+    spaced = [i for i, c in enumerate(batch) if " " in c]
+    plain = [c for c in batch if " " not in c] if spaced else batch
+    found = [w.encode("utf-8", "surrogatepass") for w in find(" " + " ".join(plain))] if plain else []
+    begins = np.append(np.flatnonzero(np.fromiter((w[0] == 32 for w in found), bool, len(found))), len(found))
+    if not spaced:
+        return found, np.diff(begins)
+    words, sizes, done = [], np.zeros(len(batch), np.int64), 0
+    sizes[np.delete(np.arange(len(batch)), spaced)] = np.diff(begins)
+    for k, i in enumerate(spaced):  # i - k plain chunks stand before
+        own = [w.encode("utf-8", "surrogatepass") for w in find(text_of(batch[i]))]
+        words += found[done : begins[i - k]]
+        words += own
+        sizes[i], done = len(own), begins[i - k]
+    return words + found[done:], sizes
 
 
 def distinct_words(docs: DataFrame, text_col: str, pattern: str) -> DataFrame:
@@ -212,9 +217,9 @@ def distinct_words(docs: DataFrame, text_col: str, pattern: str) -> DataFrame:
             keys, counts = list(counted), list(counted.values())
             counted.clear()
             for at in range(0, len(keys), 50_000):
-                for group, c in zip(words_of(keys[at : at + 50_000], find), counts[at : at + 50_000], strict=True):
-                    for word in group:
-                        found[word] = found.get(word, 0) + c
+                group, sizes = words_of(keys[at : at + 50_000], find)
+                for word, c in zip(group, np.repeat(counts[at : at + 50_000], sizes).tolist(), strict=True):
+                    found[word] = found.get(word, 0) + c
             del keys, counts
             words, counts = list(found), list(found.values())
             for at in range(0, len(words), 100_000):
@@ -282,12 +287,13 @@ class PackedTable:
         self.hashes, self.ids = np.frombuffer(hashes, np.uint64), np.frombuffer(ids, kind)
         self.end = np.cumsum(np.frombuffer(sizes, np.uint8), dtype=np.uint32)
 
-    def get(self, groups: list[list[bytes]]) -> list[bytes | None]:
-        """Ids of each group of words as little-endian 32-bit integers, None for groups with a word that is not here."""
+    def get(self, words: list[bytes], sizes: np.ndarray) -> list[bytes | None]:
+        """Ids of each group of words (``sizes``: how many words each has) as little-endian 32-bit integers, None for groups with
+        a word that is not here."""
         if not len(self.hashes):
-            return [None] * len(groups)
-        h = np.fromiter((xxhash.xxh3_64_intdigest(w) for g in groups for w in g), np.uint64)
-        last = np.cumsum(np.fromiter(map(len, groups), np.int64, len(groups)))
+            return [None] * len(sizes)
+        h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+        last = np.cumsum(sizes)
         k = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
         end = self.end[k].astype(np.int64)
         size = end - np.where(k > 0, self.end[k - 1], 0)
@@ -332,6 +338,7 @@ def encode_documents(
         """Rows (keep.., text, more); words that neither the table nor ``more`` has come out as ``_missing``."""
         find, known, vocab = regex.compile(pattern).findall, packed.value, pa.array(vocabulary.value, pa.binary())
         cache: dict[str, bytes] = {}  # ids of chunks
+        one = np.ones(1, np.int64)
 
         def row(ids: bytes) -> tuple:
             numbers = np.frombuffer(ids, "<u4")
@@ -350,25 +357,28 @@ def encode_documents(
             for lo in range(0, len(whole), 256):
                 b = whole.slice(lo, 256)
                 cut = [chunks(t) if t else [] for t in b.column(at).to_pylist()]
-                new = list({c for parts in cut for c in parts if c not in cache})
+                taken = [list(map(cache.get, parts)) for parts in cut]
+                gaps = [[i for i, ids in enumerate(row_ids) if ids is None] for row_ids in taken]
+                new = list({parts[i] for parts, at_gaps in zip(cut, gaps, strict=True) for i in at_gaps})
                 if len(cache) + len(new) > CACHED:
                     cache.clear()
-                    new = list({c for parts in cut for c in parts})
-                words = words_of(new, find)
-                found = known.get(words)
+                words, sizes = words_of(new, find)
+                found = known.get(words, sizes)
                 cache.update((c, ids) for c, ids in zip(new, found, strict=True) if ids is not None)
-                rare = {c: w for c, w, ids in zip(new, words, found, strict=True) if ids is None}
+                ends = np.cumsum(sizes)
+                rare = {new[i]: words[ends[i] - sizes[i] : ends[i]] for i, ids in enumerate(found) if ids is None}
                 made, missing = [], []
-                for parts, more in zip(cut, b.column(at + 1).to_pylist(), strict=True):
+                for parts, ids, at_gaps, more in zip(cut, taken, gaps, b.column(at + 1).to_pylist(), strict=True):
                     extra = {x["word"]: np.array(x["ids"], dtype="<u4").tobytes() for x in more or ()}
-                    ids, absent = [], {}
-                    for c in parts if rare else ():
-                        if c in rare and c not in absent:
-                            absent[c] = b"".join(known.get([[w]])[0] or extra.get(w, b"") for w in rare[c])
-                    if not absent:
-                        ids = map(cache.__getitem__, parts)
-                    elif more is not None:
-                        ids = [absent[c] if c in absent else cache[c] for c in parts]
+                    absent = {}
+                    for i in at_gaps:
+                        c = parts[i]
+                        if c not in rare:
+                            ids[i] = cache[c]
+                            continue
+                        if c not in absent:
+                            absent[c] = b"".join(known.get([w], one)[0] or extra.get(w, b"") for w in rare[c])
+                        ids[i] = absent[c]
                     if absent and more is None:
                         made.append((None,) * len(types))
                         missing.append(list(dict.fromkeys(w for c in absent for w in rare[c])))

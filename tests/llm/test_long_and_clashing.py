@@ -4,6 +4,7 @@ import hashlib
 
 import public_tokenizers
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from cinderloom.llm import bpe, fim, knn, licenses, line_dedup, lm, merkle, mil, mixing, quality, simhash, suffix_dedup
@@ -59,3 +60,23 @@ def test_clashing_vectors(spark):
     odd = plain.withColumns({c: F.lit("clash") for c in ("id", "v", "cell", "dist", "grp", "is_query", "score", "rank", "query_id", "x", "lo", "hi", "n", "label")})
     table = lambda d: sorted(tuple(r) for r in knn.top_k_search(d).collect())
     assert table(odd) == table(plain) and len(table(odd)) == 30
+
+
+def test_words_of_chunks_come_in_order_without_a_list_each():
+    find = regex.compile(public_tokenizers.PATTERN).findall
+    batch = ["plain", " first", "it's,", "a\n  b", "naïve%%%", "\ud800x", " ", "end."]
+    words, sizes = bpe.words_of(batch, find)
+    want = [[w.encode("utf-8", "surrogatepass") for w in find(bpe.text_of(c) if " " in c else " " + c)] for c in batch]
+    assert words == [w for group in want for w in group]
+    assert sizes.tolist() == [len(group) for group in want]
+    assert [x.tolist() if hasattr(x, "tolist") else x for x in bpe.words_of([], find)] == [[], []]
+
+
+def test_fresh_chunks_of_a_full_cache(spark, monkeypatch):
+    """The cache is emptied while a batch holds ids from it, and chunks whose words are not in the table stand among them."""
+    texts = [" ".join(f"w{i * j % 61}" for i in range(40)) + f" only{j}" for j in range(600)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    want = sorted(bpe.encode_documents(docs, RANKS, public_tokenizers.PATTERN).collect())
+    monkeypatch.setattr(bpe, "CACHED", 80)
+    assert sorted(bpe.encode_documents(docs, RANKS, public_tokenizers.PATTERN, table_words=30).collect()) == want
+    assert [r["decoded_sha256"] for r in want] == [hashlib.sha256(t.encode()).hexdigest() for t in texts]
