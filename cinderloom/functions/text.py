@@ -132,8 +132,11 @@ def normalize_answer(x: Column) -> Column:
     return collapse(F.regexp_replace(fold(x), r"[\p{P}\p{Z}]", " "))
 
 
+TOKEN = r"([\p{L}\p{N}_]+)"
+
+
 def unicode_tokens(x: Column) -> Column:
-    return F.regexp_extract_all(x, F.lit(r"([\p{L}\p{N}_]+)"))
+    return F.regexp_extract_all(x, F.lit(TOKEN))
 
 
 def sentence_case(x: Column) -> Column:

@@ -30,12 +30,13 @@ def md5_place(token: str, dim: int) -> tuple[int, int]:
     return int.from_bytes(d[:4], "big") % dim, 1 if d[4] & 16 else -1
 
 
-def hash_embed(rows: DataFrame, key: str, text: str, *, dim: int = DIMENSION, place: Callable[[str, int], tuple[int, int]] = blake2b_place, packed: bool = False) -> DataFrame:
-    """(vec_id, v), or with ``packed`` the blocks of a search, made by the same worker: unit vectors of the texts' tokens; a text without tokens has the zero vector. Tokens are cut in the
+def hash_embed(rows: DataFrame, key: str, text: str, *, dim: int = DIMENSION, place: Callable[[str, int], tuple[int, int]] = blake2b_place, packed: bool = False, never_zero: bool = False) -> DataFrame:
+    """(vec_id, v), or with ``packed`` the blocks of a search, made by the same worker: unit vectors of the texts' tokens; a text without tokens, or whose tokens cancel each other,
+    has the zero vector. With ``never_zero`` only a blank text has it: tokens that cancel count without their signs, and a text without tokens is one itself. Tokens are cut in the
     JVM; Python only hashes each new one. A batch is taken ``PART_TOKENS`` tokens at a time, and only the distinct ones of
     a part become Python strings."""
 
-    from ..functions.text import unicode_tokens  # workers import this module, and need no pandas
+    from ..functions.text import TOKEN, unicode_tokens  # workers import this module, and need no pandas
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, tuple[int, int]] = {}
@@ -51,13 +52,20 @@ def hash_embed(rows: DataFrame, key: str, text: str, *, dim: int = DIMENSION, pl
                         at = known[token] = place(token, dim)
                     places[i] = at
                 row, token = np.repeat(np.arange(len(lists)), np.from_dlpack(lists.value_lengths())), np.from_dlpack(coded.indices)
-                out = np.bincount(row * dim + places[token, 0], places[token, 1], len(lists) * dim).astype(float).reshape(len(lists), dim)
+                cell = row * dim + places[token, 0]
+                out = np.bincount(cell, places[token, 1], len(lists) * dim).astype(float).reshape(len(lists), dim)
+                if never_zero and (gone := ~out.any(axis=1)).any():
+                    out[gone] = np.bincount(cell, minlength=len(lists) * dim).reshape(len(lists), dim)[gone]
                 out /= np.maximum(np.sqrt((out * out).sum(axis=1)), EPSILON)[:, None]
                 v = pa.ListArray.from_arrays(plain_array(np.arange(len(lists) + 1, dtype=np.int32) * dim), plain_array(out.ravel()))
                 yield pa.RecordBatch.from_arrays([ids, v], names=["vec_id", "v"])
 
     bound_batches(rows.sparkSession)
-    asked = rows.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("vec_id"), F.coalesce(unicode_tokens(F.lower(F.col(text))), F.array()).alias("tokens"))
+    asked = rows.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("vec_id"), F.lower(F.col(text)).alias("text"))
+    tokens = unicode_tokens(F.col("text"))
+    if never_zero:
+        tokens = F.when((F.trim("text") != "") & ~F.col("text").rlike(TOKEN), F.array("text")).otherwise(tokens)
+    asked = asked.select("vec_id", F.coalesce(tokens, F.array()).alias("tokens"))
     if packed:
         pack = packer()
         return asked.mapInArrow(lambda batches: pack(run(batches)), BLOCK)

@@ -82,8 +82,9 @@ def visual_window_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _text_index(spark: SparkSession, sf_dir: str) -> tuple[str, dict[str, str]]:
     w = _windows(spark, sf_dir)
     path = storage.new_path(spark, "index")
+    # as signed tokens "video" and "769" cancel, and no search would find that text
     made_from = {"encoder": "hash", "window_records_hash": index_build.records_hash(w).first()["records_hash"]}
-    index_build.build_text_index(w, path, lambda rows, key, text: embed.hash_embed(rows, key, text, dim=TEXT_DIM, place=embed.md5_place), made_from)
+    index_build.build_text_index(w, path, lambda rows, key, text: embed.hash_embed(rows, key, text, dim=TEXT_DIM, place=embed.md5_place, never_zero=True), made_from)
     return path, made_from
 
 

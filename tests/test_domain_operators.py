@@ -53,6 +53,15 @@ def test_embedding_takes_batches_in_parts(spark):
     assert all(len(ids) == 1 or len(lists.flatten()) + 16 * len(ids) <= embed.PART_TOKENS for ids, lists in cut)
 
 
+def test_embedding_that_never_cancels(spark):
+    texts = {1: "video 769", 2: "video 768", 3: "!!!", 4: " ", 5: None, 6: "Video 769 video"}
+    d = spark.createDataFrame(list(texts.items()), "doc_id long, text string").coalesce(1)
+    signed, whole = ({r["vec_id"]: r["v"] for r in embed.hash_embed(d, "doc_id", "text", dim=256, place=embed.md5_place, never_zero=x).collect()} for x in (False, True))
+    assert [k for k in texts if not any(signed[k])] == [1, 3, 4, 5] and [k for k in texts if not any(whole[k])] == [4, 5]
+    assert all(whole[k] == signed[k] for k in (2, 6)) and whole[1][embed.md5_place("video", 256)[0]] == 1.0
+    assert whole[3][embed.md5_place("!!!", 256)[0]] == embed.md5_place("!!!", 256)[1]
+
+
 def test_viterbi_against_all_paths(spark):
     rng = random.Random(5)
     rows = [(v, float(rng.randrange(12)), *[None if rng.random() < 0.2 else rng.randrange(9) + 0.5 for _ in range(3)]) for v in range(4) for _ in range(10)]

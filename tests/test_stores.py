@@ -1,8 +1,10 @@
 """What the engine writes and reads again: shards, JSON lines, indexes, batch runs."""
 
+import datetime
 import json
 import os
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import Observation
@@ -10,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cinderloom.operators import index_build
-from cinderloom.plans import batch
+from cinderloom.plans import batch, stores
 from cinderloom.sources import files, shards
 
 
@@ -148,6 +150,17 @@ def test_vectors_of_a_text_index_are_not_broadcast(spark, small, tmp_path, monke
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
 
 
+def test_text_whose_signed_tokens_cancel(spark, tmp_path):
+    rows = [(k, datetime.datetime(2024, 1, 1 + k // 3, 5), 768 + k % 2, ("click", "view", "!!!")[k % 3], 1.0, "{}") for k in range(12)]
+    events = spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string")
+    events.coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    got = stores.text_window_indexes(spark, str(tmp_path))
+    sql = duckdb.connect()
+    sql.execute(f"CREATE VIEW events AS SELECT * FROM read_parquet('{tmp_path}/events.parquet/*.parquet')")
+    want = sql.execute(f"SELECT {', '.join(got.columns)} FROM ({stores.SOURCES['text_window_indexes']})").fetchall()
+    assert sorted(tuple(r) for r in got.collect()) == sorted(want) and any(r[:2] == ("metadata", "769_W000000") for r in want)
+
+
 def test_records_hash(spark):
     rows = spark.createDataFrame([("b", 1, {"y": 1.0, "x": 2.0}), ("a", None, None)], "id string, n long, m map<string,double>")
     value = lambda d: d.first()["records_hash"]
