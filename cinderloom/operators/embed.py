@@ -73,8 +73,9 @@ def hash_embed(rows: DataFrame, key: str, text: str, *, dim: int = DIMENSION, pl
 
 
 def parts(batch: pa.RecordBatch, dim: int) -> Iterator[tuple[pa.Array, pa.ListArray]]:
-    """A batch of (key, tokens) in runs of rows with about ``PART_TOKENS`` tokens and as many components of vectors at most."""
-    weight = np.cumsum(np.from_dlpack(batch.column(1).value_lengths()).astype(np.int64) + dim)
+    """A batch of (key, tokens) in runs of rows with about ``PART_TOKENS`` tokens and as many components of vectors at most; null
+    counts as no tokens."""
+    weight = np.cumsum(np.diff(np.from_dlpack(batch.column(1).offsets)).astype(np.int64) + dim)
     lo = 0
     while lo < len(batch):
         before = weight[lo - 1] if lo else 0
