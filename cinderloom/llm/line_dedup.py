@@ -23,7 +23,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .support import SPACE_RUN, document_key, drop_paths, materialize, recorded
+from .support import SPACE_RUN, document_key, drop_paths, drop_table, materialize, recorded
 
 MIN_WORDS = 3
 SPACES = " \t\n\x0b\x0c\r"
@@ -49,8 +49,10 @@ def _half_keys(w: Column, n: Column) -> Column:
 
 def line_table(docs: DataFrame, min_words: int, near_min_words: int) -> DataFrame:
     """One row per line of at least ``min_words`` words: where it is, its 128-bit hash, and its half keys."""
-    # the words are made inside the generator: a column of its own would be computed by the filter and once more after it
-    with_words = F.transform(F.split("text", "\n"), lambda line: F.struct(line.alias("line"), line_words(line).alias("w")))
+    # the words are made inside the generator: a column of its own would be computed by the filter and once more after it; they
+    # are cut at single blanks, without a pattern for each line, and are those of line_words
+    blanks = F.when(F.col("text").rlike(r"[\t\x0B\f\r]"), F.translate("text", "\t\x0b\x0c\r", " " * 4)).otherwise(F.col("text"))
+    with_words = F.zip_with(F.split("text", "\n"), F.split(blanks, "\n"), lambda line, b: F.struct(line.alias("line"), F.array_remove(F.split(b, " "), "").alias("w")))
     lines = docs.where("text is not null").select(*document_key(docs), F.posexplode(with_words).alias("no", "x"))
     lines = lines.where(F.size("x.w") >= min_words).select("_doc", "_th", "no", "x.line", "x.w", F.size("x.w").alias("n"))
     return lines.select(
@@ -80,7 +82,11 @@ def near_partners(docs: DataFrame, firsts: DataFrame) -> DataFrame:
     variants = each.select("h1", "h2", "at", F.col("i").alias("p"), F.xxhash64(before.bitwiseXOR(after), F.col("n") - 1).alias("v"))
     whole = each.groupBy("h1", "h2").agg(F.first("at").alias("at"), F.bit_xor("here").alias("x"), F.first("n").alias("n"))
     whole = whole.select("h1", "h2", "at", F.lit(-1).alias("p"), F.xxhash64("x", "n").alias("v"))
-    variants = materialize(variants.unionByName(whole))
+    every = materialize(variants.unionByName(whole))
+    # a variant that no other equals takes no part in what follows; they are counted without their lines
+    met = every.groupBy("v").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("v")
+    variants = materialize(every.join(met, "v"))
+    drop_table(every)
 
     # same word left out of both: one word replaced
     replaced = variants.where("p >= 0").groupBy("v", "p").agg(F.min("at").alias("other"), F.count(F.lit(1)).alias("c")).where("c > 1")
@@ -130,7 +136,9 @@ def dedup_lines(docs: DataFrame, *, columns: Sequence[str] = (), min_words: int
     rows = docs.select(*document_key(docs), "text", F.col("doc_id").alias("_id"), *carried).join(gone, ["_doc", "_th"], "left")
     none = F.array().cast("array<int>")
     rows = rows.withColumn("exact", F.coalesce("exact", none)).withColumn("near", F.coalesce("near", none))
-    kept = """CASE WHEN size(exact) + size(near) = 0 THEN text ELSE array_join(transform(array_except(sequence(0, size(split(text, '\\n')) - 1), concat(exact, near)), i -> element_at(split(text, '\\n'), i + 1)), '\\n') END"""
+    # the text is split once for all of its lines
+    kept = """CASE WHEN size(exact) + size(near) = 0 THEN text ELSE transform(array(split(text, '\\n')),
+        l -> array_join(transform(array_except(sequence(0, size(l) - 1), concat(exact, near)), i -> element_at(l, i + 1)), '\\n'))[0] END"""
     return rows.select(
         F.col("_id").alias("doc_id"), *[F.col(f"_keep_{c}").alias(f"_keep_{c}") for c in columns],
         F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n"))).cast("long").alias("n_lines"),

@@ -16,3 +16,20 @@ def test_white_space(spark):
     got = {r["doc_id"]: (r["kept_text"], r["n_near"]) for r in line_dedup.dedup_lines(docs).collect()}
     assert got[1] == (LINE, 0) and all(got[2 + k] == ("", 1) for k in range(len(respaced)))
     assert [got[k][1] for k in (20, 21, 30, 31, 40, 41, 42)] == [0, 0, 0, 1, 0, 1, 1]
+
+
+def test_variants_that_no_other_equals_are_left_behind(spark, monkeypatch):
+    sizes, write = [], line_dedup.materialize
+
+    def counted(df):
+        made = write(df)
+        if "v" in made.columns:
+            sizes.append(made.count())
+        return made
+
+    monkeypatch.setattr(line_dedup, "materialize", counted)
+    common = "a b c d e f g h"
+    texts = [f"{common} i j k l", f"{common}\ti  j\x0bk\x0c m \r", f"{common} 1 2 3 4", f"{common} 5 6 7 8", "\t\r", None]
+    rows = {r["doc_id"]: (r["kept_text"], r["n_near"]) for r in line_dedup.dedup_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert rows == {k: (x, 0) if k != 1 else ("", 1) for k, x in enumerate(texts)}
+    assert sizes == [4 * 13, 2]
